@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungwise.functions.numeric import is_finite
-from rungwise.operators.ordered import BROADCAST_ROWS, MAX_GROUP_ROWS, segment, with_index
+from rungwise.operators.ordered import MAX_GROUP_ROWS, segment, small, with_index
 
 # Fixed values of the generator: a prime modulus, counter multipliers and round salts.
 PRIME = 2147483647
@@ -23,27 +23,38 @@ EVENT_SALTS = (1274126177, 97531)
 DRAWS_PER_CHUNK = 4096
 
 
-def _fifth_power(x: Column) -> Column:
-    """``x**5`` permutes the residues (5 does not divide PRIME - 1); products fit 64 bits."""
-    square = x * x % PRIME
-    fourth = square * square % PRIME
-    return fourth * x % PRIME
-
+def with_draw(
+    df: DataFrame,
+    name: str,
+    seed: str,
+    slot: str,
+    draw: Column,
+    bound: str,
+    salts: tuple[int, int],
+) -> DataFrame:
+    """Add a reproducible integer in ``[0, bound)`` per row.
 
-def counter_draw(
-    seed: int, replicate: Column, slot: Column, draw: Column, bound: Column, salts: tuple[int, int]
-) -> Column:
-    """A reproducible integer in ``[0, bound)``."""
+    Three rounds of ``x**5`` modulo PRIME (a permutation, as 5 does not divide PRIME - 1) with a
+    salt between them; every product fits 64 bits. Each round is its own projection, so no
+    expression is written out more than once.
+    """
+    x, square = F.col("_x"), F.col("_square")
     start = (
-        F.lit(seed).cast("bigint") * SEED_STEP
-        + replicate.cast("bigint") * REPLICATE_STEP
-        + slot.cast("bigint") * SLOT_STEP
+        F.col(seed) * SEED_STEP
+        + F.col("replicate") * REPLICATE_STEP
+        + F.col(slot) * SLOT_STEP
         + (draw.cast("bigint") + 1) * DRAW_STEP
     ) % PRIME
-    mixed = _fifth_power(start)
-    for salt in salts:
-        mixed = _fifth_power((mixed + salt) % PRIME)
-    return mixed % bound
+    df = df.withColumn("_x", start)
+    for salt in (*salts, None):
+        power = x * (square * square % PRIME) % PRIME
+        df = df.withColumn("_square", x * x % PRIME).withColumn(
+            "_x", power if salt is None else (power + salt) % PRIME
+        )
+    # Never null: a join on the draw would otherwise push a null test, with every round written
+    # out again, below the rounds.
+    drawn = F.coalesce(x % F.col(bound), F.lit(0).cast("bigint"))
+    return df.withColumn(name, drawn).drop("_x", "_square")
 
 
 def check_inputs(events: DataFrame, losses: Sequence[str]) -> None:
@@ -87,79 +98,69 @@ def replicates(
     events: DataFrame,
     diffs: Sequence[str],
     resamples: int,
-    seed: int,
+    seeds: Sequence[int],
+    strata: Sequence[str] = (),
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """One row per replicate with the mean of every ``diffs`` column over the drawn events.
+    """One row per (stratum, seed, replicate) with the mean of every ``diffs`` column.
 
-    ``events`` holds one row per event: ``event_id, block`` and the paired differences. All
-    difference columns share the draws.
+    ``events`` holds one row per event: ``event_id, block``, the strata and the paired
+    differences. Strata are resampled independently; all difference columns share the draws.
     """
     spark = events.sparkSession
+    strata = list(strata)
+    columns = [*strata, "event_id", "block", *diffs]
+    if not strata:
+        strata, events = ["_all"], events.withColumn("_all", F.lit(0))
+        columns.append("_all")
     placed = with_index(
-        segment(events.select("event_id", "block", *diffs), ["block"], "event_id", max_rows),
-        "event_index",
+        segment(events.select(*columns), [*strata, "block"], "event_id", max_rows), "event_index"
     )
-    sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("block_events"))
-    blocks = with_index(
-        segment(sizes.withColumn("_all", F.lit(0)), ["_all"], "block", max_rows), "block_index"
-    ).drop("_all")
-    n_blocks, n_events = sizes.agg(F.count(F.lit(1)), F.sum("block_events")).first()
-    if n_blocks < 2:
+    sizes = placed.groupBy(*strata, "block").agg(F.count(F.lit(1)).alias("block_events"))
+    blocks = with_index(segment(sizes, strata, "block", max_rows), "block_index")
+    totals = sizes.groupBy(*strata).agg(
+        F.count(F.lit(1)).alias("blocks"), F.sum("block_events").alias("stratum_events")
+    )
+    n_strata, fewest, n_blocks, n_events = totals.agg(
+        F.count(F.lit(1)), F.min("blocks"), F.sum("blocks"), F.sum("stratum_events")
+    ).first()
+    if not n_strata or fewest < 2:
         raise ValueError("at least two time blocks are required")
 
+    seed_values = F.array(*[F.lit(int(s)).cast("bigint") for s in seeds])
     slots = (
-        spark.range(resamples * n_blocks)
-        .select(
-            F.floor(F.col("id") / n_blocks).alias("replicate"),
-            (F.col("id") % n_blocks).alias("slot"),
-        )
-        .withColumn(
-            "block_index",
-            counter_draw(
-                seed,
-                F.col("replicate"),
-                F.col("slot"),
-                F.lit(0),
-                F.lit(n_blocks),
-                BLOCK_SALTS,
-            ),
-        )
-    )
-    drawn = slots.join(
-        F.broadcast(blocks) if n_blocks <= BROADCAST_ROWS else blocks, "block_index"
+        spark.range(resamples)
+        .select(F.col("id").alias("replicate"), F.explode(seed_values).alias("seed"))
+        .join(small(totals.drop("stratum_events"), n_strata))
+        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
+    slots = with_draw(slots, "block_index", "seed", "slot", F.lit(0), "blocks", BLOCK_SALTS)
+    drawn = slots.join(small(blocks, n_blocks), [*strata, "block_index"])
     last_chunk = F.floor((F.col("block_events") - 1) / DRAWS_PER_CHUNK)
-    chunks = drawn.withColumn("_chunk", F.explode(F.sequence(F.lit(0), last_chunk)))
+    chunks = drawn.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
     if n_events > DRAWS_PER_CHUNK:
         chunks = chunks.repartition("replicate", "slot", "_chunk")
     begin = F.col("_chunk") * DRAWS_PER_CHUNK
     end = F.least(begin + DRAWS_PER_CHUNK, F.col("block_events")) - 1
-    draws = chunks.select(
-        "replicate", "slot", "block", "block_events", F.explode(F.sequence(begin, end)).alias("draw")
-    ).select(
-        "replicate",
-        "block",
-        counter_draw(
-            seed,
-            F.col("replicate"),
-            F.col("slot"),
-            F.col("draw"),
-            F.col("block_events"),
-            EVENT_SALTS,
-        ).alias("event_index"),
-    )
-    pool = placed.select("block", "event_index", *diffs)
-    picked = draws.join(
-        F.broadcast(pool) if n_events <= BROADCAST_ROWS else pool, ["block", "event_index"]
-    )
-    return picked.groupBy("replicate").agg(*[F.avg(d).alias(d) for d in diffs])
-
+    draws = chunks.withColumn("draw", F.explode(F.sequence(begin, end)))
+    draws = with_draw(
+        draws, "event_index", "seed", "slot", F.col("draw"), "block_events", EVENT_SALTS
+    ).select(*strata, "seed", "replicate", "block", "event_index")
+    pool = placed.select(*strata, "block", "event_index", *diffs)
+    picked = draws.join(small(pool, n_events), [*strata, "block", "event_index"])
+    means = picked.groupBy(*strata, "seed", "replicate").agg(*[F.avg(d).alias(d) for d in diffs])
+    return means.drop("_all")
+
+
+def intervals(
+    replicate_table: DataFrame, diffs: Sequence[str], confidence: float, by: Sequence[str] = ()
+) -> DataFrame:
+    """Percentile interval (linear interpolation) of every difference column, one row each.
 
-def intervals(replicate_table: DataFrame, diffs: Sequence[str], confidence: float) -> DataFrame:
-    """Percentile interval (linear interpolation) of every difference column, one row each."""
+    A group holds one number per replicate and column.
+    """
     tail = (1.0 - confidence) / 2.0
-    bounds = replicate_table.agg(
+    bounds = replicate_table.groupBy(*by).agg(
         *[F.percentile(d, F.array(F.lit(tail), F.lit(1.0 - tail))).alias(d) for d in diffs]
     )
     rows = [
@@ -168,7 +169,7 @@ def intervals(replicate_table: DataFrame, diffs: Sequence[str], confidence: floa
         )
         for d in diffs
     ]
-    return bounds.select(F.inline(F.array(*rows)))
+    return bounds.select(*by, F.inline(F.array(*rows)))
 
 
 def paired_bootstrap(
@@ -189,6 +190,6 @@ def paired_bootstrap(
     paired = events.groupBy("event_id").agg(
         F.min("block").alias("block"), (F.avg(baseline) - F.avg(model)).alias("diff")
     )
-    bounds = intervals(replicates(paired, ["diff"], resamples, seed, max_rows), ["diff"], confidence)
+    bounds = intervals(replicates(paired, ["diff"], resamples, [seed], max_rows=max_rows), ["diff"], confidence)
     estimate = paired.agg(F.avg("diff").alias("estimate"))
     return estimate.crossJoin(F.broadcast(bounds)).select("estimate", "lower", "upper")

@@ -277,31 +277,31 @@ def fit_calibrators(
 
 
 def _fit_all(training, horizons, methods, settings) -> list[Model]:
-    width = {method: len(FEATURES[method]("p", settings.epsilon)) + 1 for method in methods}
+    """Newton loop. Parameters travel as a broadcast table of one row per horizon, so the query
+    and its generated code stay the same from one iteration to the next."""
+    spark = training.sparkSession
+    width = {m: len(FEATURES[m]("p", settings.epsilon)) + 1 for m in methods}
     fits = {(h, m): _Fit(width[m]) for h in horizons for m in methods}
+    fields = ", ".join(f"{m} array<array<double>>" for m in methods)
+    aggregates: list[Column] = []
+    for m in methods:
+        features = FEATURES[m]("p", settings.epsilon)
+        vectors = [
+            [F.col(m)[k][i] for i in range(width[m])] for k in range(SCALES_PER_JOB)
+        ]
+        terms = newton_statistics(features, vectors[0], vectors[1:])
+        aggregates.append(F.array(*terms).alias(m))
     while not all(fit.done for fit in fits.values()):
-        aggregates: list[Column] = []
-        for method in methods:
-            features = FEATURES[method]("p", settings.epsilon)
-
-            def at(pick, method=method) -> list[Column]:
-                vectors = {h: pick(fits[h, method]) for h in horizons}
-                return [
-                    _per_horizon({h: float(v[i]) for h, v in vectors.items()})
-                    for i in range(width[method])
-                ]
-
-            theta = at(lambda fit: fit.candidate)
-            shorter = [
-                at(lambda fit, k=k: fit.shorter()[k]) for k in range(SCALES_PER_JOB - 1)
-            ]
-            terms = newton_statistics(features, theta, shorter)
-            aggregates.append(F.array(*terms).alias(method))
-        for row in training.groupBy("horizon_seconds").agg(*aggregates).collect():
-            for method in methods:
-                fit = fits[row["horizon_seconds"], method]
+        rows = [
+            (int(h), *[_vectors(fits[h, m]) for m in methods]) for h in horizons
+        ]
+        parameters = spark.createDataFrame(rows, f"horizon_seconds bigint, {fields}")
+        joined = training.join(F.broadcast(parameters), "horizon_seconds")
+        for row in joined.groupBy("horizon_seconds").agg(*aggregates).collect():
+            for m in methods:
+                fit = fits[row["horizon_seconds"], m]
                 if not fit.done:
-                    fit.advance(row[method], settings)
+                    fit.advance(row[m], settings)
     return [
         Model(
             horizon_seconds=int(horizon),
@@ -315,6 +315,10 @@ def _fit_all(training, horizons, methods, settings) -> list[Model]:
     ]
 
 
+def _vectors(fit: _Fit) -> list[list[float]]:
+    return [[float(x) for x in v] for v in (fit.candidate, *fit.shorter())]
+
+
 def gradient_table(
     df: DataFrame, models: DataFrame, method: str, settings: Settings = Settings()
 ) -> DataFrame:

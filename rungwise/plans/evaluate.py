@@ -83,37 +83,34 @@ def comparison_intervals(events: DataFrame, protocol: Protocol, max_rows: int) -
     The four comparisons of a loss share their draws; the log loss uses the next seed.
     """
     bst.check_settings(protocol.resamples, protocol.confidence, protocol.seed)
-    names = [name for name, _, _ in scoring.COMPARISONS]
-    results = []
-    for horizon in protocol.horizons:
-        held = events.where(
-            (F.col("split") == protocol.holdout_split) & (F.col("horizon_seconds") == horizon)
-        )
-        for loss, seed in (("brier", protocol.seed), ("log", protocol.seed + 1)):
-            diffs = held.select(
-                "event_id",
-                "block",
-                *[
-                    (F.col(f"{base}__{loss}") - F.col(f"{model}__{loss}")).alias(name)
-                    for name, base, model in scoring.COMPARISONS
-                ],
-            )
-            drawn = bst.replicates(diffs, names, protocol.resamples, seed, max_rows)
-            bounds = bst.intervals(drawn, names, protocol.confidence)
-            results.append(
-                bounds.select(
-                    F.lit(protocol.holdout_split).alias("split"),
-                    F.lit(int(horizon)).cast("bigint").alias("horizon_seconds"),
-                    F.col("name").alias("comparison"),
-                    F.lit(loss).alias("loss"),
-                    "lower",
-                    "upper",
-                )
-            )
-    merged = results[0]
-    for other in results[1:]:
-        merged = merged.unionByName(other)
-    return merged
+    held = events.where(
+        (F.col("split") == protocol.holdout_split)
+        & F.col("horizon_seconds").isin([int(h) for h in protocol.horizons])
+    )
+    losses = {"brier": protocol.seed, "log": protocol.seed + 1}
+    diffs = {
+        f"{name}__{loss}": F.col(f"{base}__{loss}") - F.col(f"{model}__{loss}")
+        for loss in losses
+        for name, base, model in scoring.COMPARISONS
+    }
+    paired = held.select(
+        "horizon_seconds", "event_id", "block", *[d.alias(name) for name, d in diffs.items()]
+    )
+    drawn = bst.replicates(
+        paired, list(diffs), protocol.resamples, list(losses.values()), ["horizon_seconds"], max_rows
+    )
+    bounds = bst.intervals(drawn, list(diffs), protocol.confidence, ["horizon_seconds", "seed"])
+    parts = F.split("name", "__")
+    own_seed = F.when(F.col("loss") == "brier", losses["brier"]).otherwise(losses["log"])
+    named = bounds.withColumn("comparison", parts[0]).withColumn("loss", parts[1])
+    return named.where(F.col("seed") == own_seed).select(
+        F.lit(protocol.holdout_split).alias("split"),
+        "horizon_seconds",
+        "comparison",
+        "loss",
+        "lower",
+        "upper",
+    )
 
 
 def reporting_gate(

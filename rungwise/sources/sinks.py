@@ -87,16 +87,17 @@ def result_document(
         packed(compared, "comparison", "comparisons"), keys, "left"
     )
     body = F.struct(*[c for c in cells.columns if c not in keys])
+    by_horizon = F.map_from_entries(
+        F.array_sort(
+            F.collect_list(F.struct(F.col("horizon_seconds").cast("string"), F.to_json(body)))
+        )
+    )
     per_split = (
         cells.groupBy("split")
+        .agg(F.to_json(by_horizon).alias("horizons"))
         .agg(
-            F.map_from_entries(
-                F.array_sort(
-                    F.collect_list(F.struct(F.col("horizon_seconds").cast("string"), F.to_json(body)))
-                )
-            ).alias("horizons")
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "horizons")))).alias("s")
         )
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "horizons")))).alias("s"))
     )
     conditions = gate.agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("condition", "passed")))).alias("c"),
