@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rungwise.workload import scoring_queries
+from rungwise.workload import asof_queries, label_queries, scoring_queries
 
-MODULES = (scoring_queries,)
+MODULES = (scoring_queries, asof_queries, label_queries)
 
 
 def all_queries() -> dict:
