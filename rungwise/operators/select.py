@@ -86,7 +86,7 @@ def _market_decision(market: Column, protocol: Protocol) -> Column:
         & ~F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))),
         F.lit(False),
     )
-    tokens = F.transform(json_list(market["clobTokenIds"]), F.trim)
+    tokens = F.transform(json_list(market["clobTokenIds"]), lambda t: F.trim(t))
     tokens_ok = (
         (F.size(tokens) == 2)
         & (tokens[0] != tokens[1])
@@ -191,8 +191,17 @@ def event_decisions(selected: DataFrame) -> DataFrame:
     return selected.drop("decisions", "candidates")
 
 
+def _computed_once(array: str, when: Column | None = None) -> Column:
+    """Generator input that is not a bare column.
+
+    For a bare column Spark infers a size filter and pushes it below the projection, where the
+    whole eligibility expression would be evaluated a second time.
+    """
+    return F.when(F.col(array).isNotNull() if when is None else when, F.col(array))
+
+
 def market_decisions(selected: DataFrame) -> DataFrame:
-    decided = selected.select("event_id", F.explode("decisions").alias("d"))
+    decided = selected.select("event_id", F.explode(_computed_once("decisions")).alias("d"))
     passed = F.size("d.reasons") == 0
     return decided.select(
         "event_id",
@@ -206,9 +215,9 @@ def contracts(selected: DataFrame) -> DataFrame:
     """Strict contracts of the selected events, one row per market."""
     keep = ["event_id", "event_title", "event_end", "asset", "split"]
     keep += [c for c in ("source_event_sha256",) if c in selected.columns]
-    rows = selected.where(F.col("status") == "selected")
+    whole = _computed_once("candidates", F.col("status") == "selected")
     fields = ["market_id", "condition_id", "question", "threshold", "label", "yes_token", "no_token"]
-    return rows.select(*keep, F.explode("candidates").alias("c")).select(
+    return selected.select(*keep, F.explode(whole).alias("c")).select(
         *keep, *[f"c.{name}" for name in fields], F.col("c.yes_token").alias("token")
     )
 
@@ -224,7 +233,7 @@ def reason_counts(decisions: DataFrame) -> DataFrame:
 def selection_view(markets: str = "markets") -> Column:
     """The decision-relevant part of an event, markets in canonical order."""
     return F.struct(
-        "id", "title", "endDate", "closed", F.array_sort(F.transform(markets, F.to_json)).alias("m")
+        "id", "title", "endDate", "closed", F.array_sort(F.transform(markets, lambda m: F.to_json(m))).alias("m")
     )
 
 

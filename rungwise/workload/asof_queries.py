@@ -309,7 +309,7 @@ QUERIES = {
             f"count(case when fresh = total and total >= {MINIMUM} then 1 end) as retained_events, "
             f"cast(coalesce(sum(case when fresh = total and total >= {MINIMUM} then total end), 0) as bigint) as retained_rows "
             "from (select event_id, horizon_seconds, tol, count(*) as total, "
-            "count(case when not conflict and point_ts is not null and age <= tol * 1000000 then 1 end) as fresh "
+            "count(case when not conflict and point_ts is not null and age <= tol * 1000000::bigint then 1 end) as fresh "
             "from wanted w join found f on f.token = w.token and f.cutoff = w.cutoff cross join (values "
             + ", ".join(f"({t})" for t in TOLERANCES)
             + ") t(tol) group by 1, 2, 3) c group by 1, 2",

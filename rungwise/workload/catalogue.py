@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from rungwise.workload import asof_queries, label_queries, scoring_queries
+from rungwise.workload import (
+    asof_queries,
+    function_queries,
+    label_queries,
+    quality_queries,
+    scoring_queries,
+    select_queries,
+)
 
-MODULES = (scoring_queries, asof_queries, label_queries)
+MODULES = (
+    scoring_queries,
+    asof_queries,
+    select_queries,
+    label_queries,
+    function_queries,
+    quality_queries,
+)
 
 
 def all_queries() -> dict:

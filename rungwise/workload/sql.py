@@ -243,7 +243,7 @@ found as (
 def asof_reason(limit: int) -> str:
     return f"""case when conflict then 'conflicting_probabilities_at_one_timestamp'
   when point_ts is null then 'no_point_at_or_before_cutoff'
-  when age > {limit} * 1000000 then 'latest_point_exceeds_max_staleness' end"""
+  when age > {limit} * 1000000::bigint then 'latest_point_exceeds_max_staleness' end"""
 
 
 CONDITION = f"""condition as (
