@@ -45,16 +45,17 @@ def logs_in_window(logs: DataFrame, conditions: DataFrame, grace_seconds: int) -
 
 
 def attach_blocks(logs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Block time of every log; a block with another hash than the log's is fatal."""
+    """Block time of every log, and whether the block's hash is the one the log names."""
     known = blocks.select(
         F.col("number").alias("block_number"),
         F.col("hash").alias("_hash"),
         F.col("ts").alias("block_ts"),
     )
-    checked = F.when(F.col("_hash") == F.col("block_hash"), F.col("block_ts")).otherwise(
-        F.raise_error(F.lit("canonical block hash mismatch"))
+    return (
+        logs.join(known, "block_number")
+        .withColumn("hash_matches", F.col("_hash") == F.col("block_hash"))
+        .drop("_hash")
     )
-    return logs.join(known, "block_number").withColumn("block_ts", checked).drop("_hash")
 
 
 def hash_mismatches(logs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -98,9 +99,12 @@ def log_filter_problems(
     return joined.where("problem is not null").drop("_address", "_topic", "_condition", "_known")
 
 
+LOG_FIELDS = ("removed", "slot_count", "payouts", "block_ts", "hash_matches")
+
+
 def one_log_per_condition(unique_logs: DataFrame) -> DataFrame:
     """Number of distinct logs per condition and the content of one of them."""
-    content = F.struct("removed", "slot_count", "payouts", "block_ts")
+    content = F.struct(*LOG_FIELDS)
     return unique_logs.groupBy("condition_id").agg(
         F.count(F.lit(1)).alias("n_logs"), F.min(content).alias("log")
     )
@@ -110,10 +114,11 @@ def classify(conditions: DataFrame, unique_logs: DataFrame, grace_seconds: int)
     """Status and reason per condition, first matching rule wins.
 
     ``conditions``: ``condition_id, target_at, candidate``; ``unique_logs``: one row per distinct
-    log with ``condition_id, removed, slot_count, payouts (null when undecodable), block_ts``.
+    log with ``condition_id, removed, slot_count, payouts (null when undecodable), block_ts,
+    hash_matches``. An otherwise usable log of a block with another hash is fatal.
     """
     joined = conditions.join(one_log_per_condition(unique_logs), "condition_id", "left")
-    log = {name: F.col(f"log.{name}") for name in ("removed", "slot_count", "payouts", "block_ts")}
+    log = {name: F.col(f"log.{name}") for name in LOG_FIELDS}
     yes = F.array(F.lit(1), F.lit(0)).cast("array<bigint>")
     no = F.array(F.lit(0), F.lit(1)).cast("array<bigint>")
     is_yes, is_no = log["payouts"] == yes, log["payouts"] == no
@@ -123,7 +128,7 @@ def classify(conditions: DataFrame, unique_logs: DataFrame, grace_seconds: int)
     label = F.when(is_yes, 1.0).otherwise(0.0)
     n = F.col("n_logs")
 
-    rules: list[tuple[Column, str, Column]] = [
+    rules: list[tuple[Column, str | Column, Column]] = [
         (n.isNull(), "missing", F.lit(MISSING)),
         (
             n > 1,
@@ -141,6 +146,11 @@ def classify(conditions: DataFrame, unique_logs: DataFrame, grace_seconds: int)
                 F.lit("]"),
             ),
         ),
+        (
+            ~log["hash_matches"],
+            F.raise_error(F.lit("canonical block hash mismatch")),
+            F.lit("canonical block hash mismatch"),
+        ),
         (at < target, "ambiguous", F.lit(EARLY)),
         (late, "ambiguous", F.lit(LATE)),
         (label != F.col("candidate"), "gamma_disagreement", F.lit(DISAGREED)),
