@@ -73,10 +73,11 @@ def page_request_ok(url: Column | str, endpoint: str, title_search: str) -> Colu
     names = F.transform(pairs, lambda x: F.substring_index(x, "=", 1))
     required = F.array(*[F.lit(f) for f in PAGE_FIELDS])
     extra = F.array_except(names, required)
-    values = F.str_to_map(query, F.lit("&"), F.lit("="))
 
     def value(name: str) -> Column:
-        return F.try_url_decode(F.try_element_at(values, F.lit(name)))
+        own = F.filter(pairs, lambda x: F.startswith(x, F.lit(f"{name}=")))
+        text = F.try_element_at(own, F.lit(1))
+        return F.try_url_decode(F.substring(text, F.lit(len(name) + 2), F.length(text)))
 
     start, end = utc_timestamp(value("end_date_min")), utc_timestamp(value("end_date_max"))
     span = F.unix_micros(end) - F.unix_micros(start)
