@@ -31,12 +31,9 @@ def json_list(text: Column | str) -> Column:
 
 
 def terminal_label(prices: Column) -> Column:
-    """1.0 for prices [1,0], 0.0 for [0,1], null for anything else."""
-    first, second = prices[0].try_cast("double"), prices[1].try_cast("double")
-    two = F.size(prices) == 2
-    return F.when(two & (first == 1.0) & (second == 0.0), 1.0).when(
-        two & (first == 0.0) & (second == 1.0), 0.0
-    )
+    """1.0 for numeric prices [1,0], 0.0 for [0,1], null for anything else."""
+    yes, no = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))
+    return F.when(prices == yes, 1.0).when(prices == no, 0.0)
 
 
 def label_number(text: Column | str) -> Column:
@@ -53,7 +50,7 @@ def label_number(text: Column | str) -> Column:
 def agreed_label(explicit: Column, prices: Column) -> Column:
     """Label from an explicit value and a price list; null when both exist and differ."""
     stated = label_number(explicit)
-    listed = terminal_label(json_list(prices))
+    listed = terminal_label(F.transform(json_list(prices), lambda x: x.try_cast("double")))
     absent = F.lit("")
     no_stated = F.coalesce(explicit, absent) == ""
     no_listed = F.coalesce(prices, absent) == ""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rungwise.functions.numeric import is_finite
 from rungwise.operators.ordered import MAX_GROUP_ROWS, segment, small, with_index
+from rungwise.session import checkpointed
 
 # Fixed values of the generator: a prime modulus, counter multipliers and round salts.
 PRIME = 2147483647
@@ -113,8 +114,10 @@ def replicates(
     if not strata:
         strata, events = ["_all"], events.withColumn("_all", F.lit(0))
         columns.append("_all")
+    # One narrow row per event feeds several jobs: written once, read from there.
+    paired = checkpointed(events.select(*columns))
     placed = with_index(
-        segment(events.select(*columns), [*strata, "block"], "event_id", max_rows), "event_index"
+        segment(paired, [*strata, "block"], "event_id", max_rows), "event_index"
     )
     sizes = placed.groupBy(*strata, "block").agg(F.count(F.lit(1)).alias("block_events"))
     blocks = with_index(segment(sizes, strata, "block", max_rows), "block_index")

@@ -282,7 +282,7 @@ def _fit_all(training, horizons, methods, settings) -> list[Model]:
     spark = training.sparkSession
     width = {m: len(FEATURES[m]("p", settings.epsilon)) + 1 for m in methods}
     fits = {(h, m): _Fit(width[m]) for h in horizons for m in methods}
-    fields = ", ".join(f"{m} array<array<double>>" for m in methods)
+    names = ", ".join(methods)
     aggregates: list[Column] = []
     for m in methods:
         features = FEATURES[m]("p", settings.epsilon)
@@ -292,10 +292,11 @@ def _fit_all(training, horizons, methods, settings) -> list[Model]:
         terms = newton_statistics(features, vectors[0], vectors[1:])
         aggregates.append(F.array(*terms).alias(m))
     while not all(fit.done for fit in fits.values()):
-        rows = [
-            (int(h), *[_vectors(fits[h, m]) for m in methods]) for h in horizons
-        ]
-        parameters = spark.createDataFrame(rows, f"horizon_seconds bigint, {fields}")
+        rows = ", ".join(
+            f"({int(h)}L, " + ", ".join(_vectors(fits[h, m]) for m in methods) + ")"
+            for h in horizons
+        )
+        parameters = spark.sql(f"select * from values {rows} as t(horizon_seconds, {names})")
         joined = training.join(F.broadcast(parameters), "horizon_seconds")
         for row in joined.groupBy("horizon_seconds").agg(*aggregates).collect():
             for m in methods:
@@ -315,8 +316,13 @@ def _fit_all(training, horizons, methods, settings) -> list[Model]:
     ]
 
 
-def _vectors(fit: _Fit) -> list[list[float]]:
-    return [[float(x) for x in v] for v in (fit.candidate, *fit.shorter())]
+def _vectors(fit: _Fit) -> str:
+    """Candidate and shorter steps as a SQL array of double arrays."""
+    rows = [
+        "array(" + ", ".join(f"{float(x)!r}D" for x in v) + ")"
+        for v in (fit.candidate, *fit.shorter())
+    ]
+    return f"array({', '.join(rows)})"
 
 
 def gradient_table(

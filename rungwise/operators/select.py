@@ -48,9 +48,10 @@ def _reasons(rules: Sequence[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(test, name) for name, test in rules]))
 
 
-def event_reasons(protocol: Protocol) -> Column:
+def event_reasons(protocol: Protocol, end: str | Column) -> Column:
     """Event-level rejection reasons; every rule is reported, none stops the others."""
-    title, end = F.col("title"), zoned_timestamp("endDate")
+    title = F.col("title")
+    end = F.col(end) if isinstance(end, str) else end
     lower, upper = (F.to_timestamp(F.lit(t)) for t in protocol.discovery)
     named, dated = title.isNotNull(), end.isNotNull()
     rules = [
@@ -73,20 +74,36 @@ def event_reasons(protocol: Protocol) -> Column:
     return _reasons(rules)
 
 
-def _market_decision(market: Column, protocol: Protocol) -> Column:
-    title, event_end = F.col("title"), zoned_timestamp("endDate")
+def _parsed_market(market: Column) -> Column:
+    """Every text of a market parsed once; the rules below only read the parsed fields."""
     group = market["groupItemTitle"]
-    level = threshold(group)
-    end = zoned_timestamp(market["endDate"])
-    outcomes = json_list(market["outcomes"])
-    prices = json_list(market["outcomePrices"])
-    numbers = F.transform(prices, lambda x: x.try_cast("double"))
+    return F.struct(
+        F.trim(market["id"]).alias("market_id"),
+        market["conditionId"].alias("condition_id"),
+        market["question"].alias("question"),
+        group.alias("group"),
+        threshold(group).alias("level"),
+        zoned_timestamp(market["endDate"]).alias("end"),
+        market["closed"].alias("closed"),
+        market["enableOrderBook"].alias("order_book"),
+        market["umaResolutionStatus"].alias("resolution"),
+        json_list(market["outcomes"]).alias("outcomes"),
+        F.transform(json_list(market["outcomePrices"]), lambda x: x.try_cast("double")).alias(
+            "prices"
+        ),
+        F.transform(json_list(market["clobTokenIds"]), lambda t: F.trim(t)).alias("tokens"),
+    )
+
+
+def _market_decision(parsed: Column, protocol: Protocol) -> Column:
+    """Rejection reasons and contract fields. ``_end`` is the event's parsed end."""
+    group, level, end = parsed["group"], parsed["level"], parsed["end"]
+    outcomes, prices, tokens = parsed["outcomes"], parsed["prices"], parsed["tokens"]
     prices_ok = F.coalesce(
-        (F.size(numbers) == 2)
-        & ~F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))),
+        (F.size(prices) == 2)
+        & ~F.exists(prices, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))),
         F.lit(False),
     )
-    tokens = F.transform(json_list(market["clobTokenIds"]), lambda t: F.trim(t))
     tokens_ok = (
         (F.size(tokens) == 2)
         & (tokens[0] != tokens[1])
@@ -96,22 +113,22 @@ def _market_decision(market: Column, protocol: Protocol) -> Column:
     label = terminal_label(prices)
     wanted = F.array(*[F.lit(o) for o in protocol.required_outcomes])
     rules = [
-        ("missing_market_id", _blank(market["id"])),
-        ("missing_condition_id", _blank(market["conditionId"])),
+        ("missing_market_id", _blank(parsed["market_id"])),
+        ("missing_condition_id", _blank(parsed["condition_id"])),
         ("missing_group_item_title", _blank(group)),
         ("invalid_group_item_threshold", ~_blank(group) & level.isNull()),
         (
             "question_does_not_match_event_template",
-            _not(market["question"] == fill_template(title, group)),
+            _not(parsed["question"] == fill_template("title", group)),
         ),
-        ("market_not_closed", _not(market["closed"])),
-        ("order_book_not_enabled", _not(market["enableOrderBook"])),
+        ("market_not_closed", _not(parsed["closed"])),
+        ("order_book_not_enabled", _not(parsed["order_book"])),
         (
             "resolution_status_mismatch",
-            _not(market["umaResolutionStatus"] == protocol.required_resolution_status),
+            _not(parsed["resolution"] == protocol.required_resolution_status),
         ),
         ("invalid_market_end_date", end.isNull()),
-        ("market_end_does_not_match_event_end", end.isNotNull() & _not(end == event_end)),
+        ("market_end_does_not_match_event_end", end.isNotNull() & _not(end == F.col("_end"))),
         ("invalid_outcomes", outcomes.isNull()),
         ("outcomes_mismatch", outcomes.isNotNull() & _not(outcomes == wanted)),
         ("invalid_outcome_prices", ~prices_ok),
@@ -119,10 +136,10 @@ def _market_decision(market: Column, protocol: Protocol) -> Column:
         ("invalid_clob_token_ids", _not(tokens_ok)),
     ]
     return F.struct(
-        F.trim(market["id"]).alias("market_id"),
+        parsed["market_id"].alias("market_id"),
         _reasons(rules).alias("reasons"),
-        market["conditionId"].alias("condition_id"),
-        market["question"].alias("question"),
+        parsed["condition_id"].alias("condition_id"),
+        parsed["question"].alias("question"),
         level.alias("threshold"),
         label.alias("label"),
         F.try_element_at(tokens, F.lit(1)).alias("yes_token"),
@@ -140,12 +157,14 @@ def select_events(events: DataFrame, protocol: Protocol) -> DataFrame:
     Adds ``event_id, asset, split, event_end, decisions, candidates, reasons, status``. Markets
     are judged only when no event-level rule fired; an event survives only whole.
     """
-    base = events.withColumn("event_reasons", event_reasons(protocol)).withColumn(
-        "decisions",
-        F.when(
-            F.size("event_reasons") == 0,
-            F.transform("markets", lambda m: _market_decision(m, protocol)),
-        ),
+    parsed = F.transform("markets", lambda m: _parsed_market(m))
+    base = (
+        events.withColumn("_end", zoned_timestamp("endDate"))
+        .withColumn("event_reasons", event_reasons(protocol, "_end"))
+        .withColumn("_parsed", F.when(F.size("event_reasons") == 0, parsed))
+        .withColumn(
+            "decisions", F.transform("_parsed", lambda m: _market_decision(m, protocol))
+        )
     )
     base = base.withColumn(
         "candidates", F.filter("decisions", lambda d: F.size(d["reasons"]) == 0)
@@ -169,7 +188,7 @@ def select_events(events: DataFrame, protocol: Protocol) -> DataFrame:
         ]
     )
     reasons = F.concat(F.col("event_reasons"), late)
-    end = zoned_timestamp("endDate")
+    end = F.col("_end")
     extra = [c for c in ("source_event_sha256",) if c in events.columns]
     return base.select(
         F.trim("id").alias("event_id"),

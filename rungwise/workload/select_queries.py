@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rungwise.functions.text import asset_of_title, fill_template
-from rungwise.functions.times import split_of, utc_text
+from rungwise.functions.times import split_of, utc_text, zoned_timestamp
 from rungwise.operators import compare, select
 from rungwise.plans.collect import build_snapshot, deduplicated_events
 from rungwise.session import scratch_path
@@ -48,7 +48,10 @@ def series(spark, folder):
 
 
 def event_reason_counts(spark, folder):
-    rows = events(spark, folder).select(select.event_reasons(views.SELECTION).alias("reasons"))
+    end = zoned_timestamp("endDate")
+    rows = events(spark, folder).select(
+        select.event_reasons(views.SELECTION, end).alias("reasons")
+    )
     return select.reason_counts(rows)
 
 
