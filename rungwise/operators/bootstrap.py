@@ -13,7 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungwise.functions.numeric import is_finite
-from rungwise.operators.ordered import MAX_GROUP_ROWS, segment, small, with_index
+from rungwise.operators.ordered import (
+    MAX_GROUP_ROWS,
+    segment,
+    side_by_side,
+    small,
+    with_index,
+)
 from rungwise.session import checkpointed
 
 # Fixed values of the generator: a prime modulus, counter multipliers and round salts.
@@ -108,7 +114,6 @@ def replicates(
     ``events`` holds one row per event: ``event_id, block``, the strata and the paired
     differences. Strata are resampled independently; all difference columns share the draws.
     """
-    spark = events.sparkSession
     strata = list(strata)
     columns = [*strata, "event_id", "block", *diffs]
     if not strata:
@@ -124,17 +129,19 @@ def replicates(
     totals = sizes.groupBy(*strata).agg(
         F.count(F.lit(1)).alias("blocks"), F.sum("block_events").alias("stratum_events")
     )
-    n_strata, fewest, n_blocks, n_events = totals.agg(
-        F.count(F.lit(1)), F.min("blocks"), F.sum("blocks"), F.sum("stratum_events")
+    fewest, n_blocks, n_events = totals.agg(
+        F.min("blocks"), F.sum("blocks"), F.sum("stratum_events")
     ).first()
-    if not n_strata or fewest < 2:
+    if fewest is None or fewest < 2:
         raise ValueError("at least two time blocks are required")
 
     seed_values = F.array(*[F.lit(int(s)).cast("bigint") for s in seeds])
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint"))
     slots = (
-        spark.range(resamples)
-        .select(F.col("id").alias("replicate"), F.explode(seed_values).alias("seed"))
-        .join(small(totals.drop("stratum_events"), n_strata))
+        totals.drop("stratum_events")
+        .withColumn("seed", F.explode(seed_values))
+        .withColumn("replicate", F.explode(every))
+        .repartition(*strata, "seed", "replicate")
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
     slots = with_draw(slots, "block_index", "seed", "slot", F.lit(0), "blocks", BLOCK_SALTS)
@@ -195,4 +202,4 @@ def paired_bootstrap(
     )
     bounds = intervals(replicates(paired, ["diff"], resamples, [seed], max_rows=max_rows), ["diff"], confidence)
     estimate = paired.agg(F.avg("diff").alias("estimate"))
-    return estimate.crossJoin(F.broadcast(bounds)).select("estimate", "lower", "upper")
+    return side_by_side(estimate, bounds.drop("name"))

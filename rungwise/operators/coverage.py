@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungwise.functions.numeric import ratio_matches, safe_ratio
+from rungwise.operators.ordered import side_by_side
 
 CELL = ["split", "horizon_seconds"]
 # Resolution statuses.
@@ -106,7 +107,7 @@ def status_algebra(conditions: DataFrame, rows: DataFrame, retained_rows: DataFr
         )
 
     kept = retained_rows.agg(F.count(F.lit(1)).alias("retained_rows"))
-    table = counts(conditions, "conditions").crossJoin(counts(rows, "rows")).crossJoin(kept)
+    table = side_by_side(counts(conditions, "conditions"), counts(rows, "rows"), kept)
 
     def total(prefix: str) -> Column:
         return sum((F.col(f"{prefix}_{s}") for s in STATUSES), F.lit(0))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rungwise.functions.chain import hex_bytes
 from rungwise.functions.times import block_ranges
+from rungwise.operators.asof import first_at_or_after
+from rungwise.operators.ordered import percentiles, side_by_side
 
 DAY_MICROS = 86_400 * 1_000_000
 
@@ -198,8 +200,6 @@ def search_summary(
 
     Block bounds come from the mirrored as-of join against the block table, for one row per day.
     """
-    from rungwise.operators.asof import first_at_or_after
-
     days = (
         conditions.groupBy(F.date_trunc("day", "target_at").alias("start_at"))
         .agg(F.count(F.lit(1)).alias("condition_count"))
@@ -212,14 +212,14 @@ def search_summary(
     )
     asked = days.select(F.col("start_at").alias("at")).union(days.select("end_at")).distinct()
     bounds = first_at_or_after(blocks, asked)
-    head = blocks.agg(F.max("number").alias("head"), F.max("ts").alias("head_ts"))
+    head = blocks.agg(
+        F.max("number").alias("number"), F.unix_micros(F.max("ts")).alias("at")
+    ).first()
     first = bounds.select(F.col("at").alias("start_at"), F.col("number").alias("from_block"))
     last = bounds.select(F.col("at").alias("end_at"), F.col("number").alias("after_block"))
-    table = (
-        days.join(first, "start_at").join(last, "end_at").crossJoin(F.broadcast(head))
-    )
-    clamped = F.col("end_at") > F.col("head_ts")
-    to_block = F.when(clamped, F.col("head")).otherwise(F.col("after_block") - 1)
+    table = days.join(first, "start_at").join(last, "end_at")
+    clamped = F.unix_micros("end_at") > head["at"]
+    to_block = F.when(clamped, head["number"]).otherwise(F.col("after_block") - 1)
     return (
         table.withColumn("clamped", clamped)
         .withColumn("to_block", to_block)
@@ -230,17 +230,13 @@ def search_summary(
 
 def latency_profile(resolutions: DataFrame) -> DataFrame:
     """Delay of the label behind its target: extremes and linear-interpolation percentiles."""
-    delay = F.col("delay_seconds")
-    marks = F.percentile(delay, F.array(*[F.lit(q) for q in (0.5, 0.9, 0.95, 0.99)]))
-    return resolutions.agg(
+    marks = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    extremes = resolutions.agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(delay).alias("min"),
-        marks.alias("m"),
-        F.max(delay).alias("max"),
-    ).select(
-        "n", "min", F.col("m")[0].alias("p50"), F.col("m")[1].alias("p90"),
-        F.col("m")[2].alias("p95"), F.col("m")[3].alias("p99"), "max",
+        F.min("delay_seconds").alias("min"),
+        F.max("delay_seconds").alias("max"),
     )
+    return side_by_side(extremes, percentiles(resolutions, [], "delay_seconds", marks))
 
 
 def event_spread(resolutions: DataFrame) -> DataFrame:

@@ -81,13 +81,69 @@ def with_next(parts: Segmented, value: str, name: str) -> DataFrame:
     return joined.withColumn(name, following).drop(SEGMENT, "_carried")
 
 
+def _before(parts: Segmented, inside: Column, amount: Column, name: str) -> DataFrame:
+    """Add ``inside`` plus the ``amount`` found in all earlier segments of the group."""
+    if not parts.hot:
+        return parts.df.withColumn(name, inside).drop(SEGMENT)
+    totals = parts.borders(F.sum(amount).alias("_own"))
+    along = Window.partitionBy(*parts.keys).orderBy(SEGMENT)
+    table = totals.select(
+        *parts.keys, SEGMENT, (F.sum("_own").over(along) - F.col("_own")).alias("_earlier")
+    )
+    joined = parts.df.join(F.broadcast(table), [*parts.keys, SEGMENT], "left")
+    carried = F.coalesce(F.col("_earlier"), F.lit(0).cast("bigint"))
+    return joined.withColumn(name, inside + carried).drop(SEGMENT, "_earlier")
+
+
 def with_index(parts: Segmented, name: str) -> DataFrame:
     """Add the zero-based position of each row inside its group."""
     local = (F.row_number().over(parts.window) - 1).cast("bigint")
-    if not parts.hot:
-        return parts.df.withColumn(name, local).drop(SEGMENT)
-    counts = parts.borders(F.count(F.lit(1)).alias("_count"))
-    joined = _across_borders(parts, counts, F.sum("_count"), "_through")
-    own = F.count(F.lit(1)).over(Window.partitionBy(*parts.keys, SEGMENT))
-    before = F.coalesce(F.col("_through") - own, F.lit(0).cast("bigint"))
-    return joined.withColumn(name, local + before).drop(SEGMENT, "_through")
+    return _before(parts, local, F.lit(1).cast("bigint"), name)
+
+
+def with_total_before(parts: Segmented, weight: str, name: str) -> DataFrame:
+    """Add the sum of an integer ``weight`` over all earlier rows of the group."""
+    so_far = parts.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = F.sum(weight).over(so_far) - F.col(weight)
+    return _before(parts, local, F.col(weight), name)
+
+
+def percentiles(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    fractions: dict[str, float],
+    max_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Exact percentiles per group, linearly interpolated, without holding a group in one task.
+
+    Equal values are counted first, so a value shared by many rows is one row from there on.
+    """
+    by, keys = keys, keys or ["_all"]
+    if not by:
+        df = df.withColumn("_all", F.lit(0))
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = with_total_before(segment(counted, keys, value, max_rows), "_n", "_start")
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    ranked = placed.join(totals, keys)
+    marks = []
+    for name, q in fractions.items():
+        at = F.lit(q) * (F.col("_total") - 1)
+        for side, position in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col("_start") <= position) & (position < F.col("_start") + F.col("_n"))
+            marks.append(F.max(F.when(here, F.col(value))).alias(f"{name}_{side}"))
+    found = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *marks)
+    out = []
+    for name, q in fractions.items():
+        at = F.lit(q) * (F.col("_total") - 1)
+        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return found.select(*by, *out)
+
+
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One row holding the columns of several one-row frames."""
+    merged = frames[0]
+    for frame in frames[1:]:
+        merged = merged.unionByName(frame, allowMissingColumns=True)
+    return merged.agg(*[F.first(c, ignorenulls=True).alias(c) for c in merged.columns])

@@ -13,7 +13,7 @@ from rungwise.operators import bootstrap as bst
 from rungwise.operators import scoring
 from rungwise.operators.calibrate import Model, apply_calibrators, fit_calibrators, model_table
 from rungwise.operators.isotonic import project_ladders
-from rungwise.operators.ordered import MAX_GROUP_ROWS
+from rungwise.operators.ordered import MAX_GROUP_ROWS, side_by_side
 
 SLICE = ["split", "horizon_seconds"]
 LADDER = ["event_id", "horizon_seconds"]
@@ -136,25 +136,26 @@ def reporting_gate(
             & (F.col("horizon_seconds") == protocol.primary_horizon)
         )
 
-    one = primary(summary).select("events", "blocks")
-    one = one.crossJoin(primary(coverage).select("event_coverage", "row_coverage"))
     main = primary(comparisons).where("comparison = 'pav_raw_vs_raw'")
-    one = one.crossJoin(main.select("relative_brier_improvement", "log_loss_delta"))
     extra = primary(comparisons).where("comparison = 'pav_beta_vs_beta'")
-    one = one.crossJoin(extra.select(F.col("relative_brier_improvement").alias("extra_relative")))
-    bounds = primary(intervals).where("loss = 'brier'").groupBy().agg(
+    bounds = primary(intervals).where("loss = 'brier'").agg(
         F.max(F.when(F.col("comparison") == "pav_raw_vs_raw", F.col("lower"))).alias("lower"),
         F.max(F.when(F.col("comparison") == "pav_beta_vs_beta", F.col("lower"))).alias("extra_lower"),
     )
-    one = one.crossJoin(bounds)
     assets = F.array(*[F.lit(a) for a in sorted(protocol.assets)])
     groups = primary(subgroups).agg(
         F.array_sort(F.collect_set("asset")).eqNullSafe(assets).cast("double").alias("all_assets"),
         F.min("brier_delta").alias("worst_asset"),
     )
-    one = one.crossJoin(groups)
-    edges = primary(metrics).where("method = 'pav_raw'").select("edges")
-    one = one.crossJoin(edges)
+    parts = [
+        primary(summary).select("events", "blocks"),
+        primary(coverage).select("event_coverage", "row_coverage"),
+        main.select("relative_brier_improvement", "log_loss_delta"),
+        extra.select(F.col("relative_brier_improvement").alias("extra_relative")),
+        bounds,
+        groups,
+        primary(metrics).where("method = 'pav_raw'").select("edges"),
+    ]
 
     def row(gate: str, name: str, value, limit: float, passed) -> object:
         return F.struct(
@@ -193,14 +194,14 @@ def reporting_gate(
             c("extra_lower") > 0.0),
     ]
     if verified is not None:
-        one = one.crossJoin(verified.select("all_verified", "disagreements"))
+        parts.append(verified.select("all_verified", "disagreements"))
         rows += [
             row("primary", "canonical_chain_labels_verified", c("all_verified"), 1.0,
                 c("all_verified")),
             row("primary", "gamma_candidate_mismatches_zero", c("disagreements"), 0.0,
                 c("disagreements") == 0),
         ]
-    return one.select(F.inline(F.array(*rows)))
+    return side_by_side(*parts).select(F.inline(F.array(*rows)))
 
 
 def evaluate(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rungwise.functions.numeric import quantised
 from rungwise.functions.times import utc_text
+from rungwise.operators.ordered import side_by_side
 from rungwise.operators.select import canonical_order
 from rungwise.sources.tables import EVIDENCE_COLUMNS, SNAPSHOT_COLUMNS, TIME, VECTOR
 
@@ -103,7 +104,7 @@ def result_document(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("condition", "passed")))).alias("c"),
         F.every("passed").alias("all"),
     )
-    return per_split.crossJoin(conditions).select(
+    return side_by_side(per_split, conditions).select(
         F.to_json(
             F.struct(
                 F.col("s").alias("splits"),

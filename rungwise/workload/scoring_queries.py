@@ -9,6 +9,7 @@ from rungwise.functions.numeric import quantised
 from rungwise.operators import bootstrap as bst
 from rungwise.operators import calibrate, scoring
 from rungwise.operators.isotonic import project_ladders
+from rungwise.operators.ordered import percentiles as ordered_percentiles
 from rungwise.operators.ordered import segment, with_index
 from rungwise.plans import evaluate as ev
 from rungwise.sources import sinks
@@ -262,12 +263,7 @@ def bootstrap_guards(spark, folder):
 def percentiles(spark, folder):
     """Interval bounds of event losses per slice (linear interpolation)."""
     losses = scoring.event_losses(views.ladder(spark, folder), [*SLICE, "event_id"], {"raw": "p"})
-    marks = F.percentile("raw__brier", F.array(F.lit(0.025), F.lit(0.975)))
-    return losses.groupBy(*SLICE).agg(marks.alias("m")).select(
-        *SLICE,
-        F.round(F.col("m")[0], DECIMALS).alias("lower"),
-        F.round(F.col("m")[1], DECIMALS).alias("upper"),
-    )
+    return rounded(ordered_percentiles(losses, SLICE, "raw__brier", {"lower": 0.025, "upper": 0.975}))
 
 
 def slice_coverage(spark, folder):

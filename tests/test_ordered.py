@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from rungwise.operators.ordered import segment, with_index, with_next
+from rungwise.operators.ordered import percentiles, segment, with_index, with_next
 from rungwise.operators.scoring import violations
 from rungwise.operators.quality import rising_label_edges
 
@@ -49,3 +49,16 @@ def test_label_edges(spark):
         rows, "event_id long, horizon_seconds long, threshold double, label double"
     )
     assert rising_label_edges(df).count() == rising_label_edges(df, max_rows=6).count() == 20
+
+
+def test_percentiles_match_numpy_for_any_split(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1, float(v)) for v in rng.integers(0, 60, 400)] + [(2, 7.0)] * 30 + [(3, 0.5)]
+    df = spark.createDataFrame(rows, "key long, v double")
+    marks = {"a": 0.025, "b": 0.5, "c": 0.975}
+    for limit in (1_000, 7):
+        for row in percentiles(df, ["key"], "v", marks, max_rows=limit).collect():
+            values = [v for k, v in rows if k == row.key]
+            np.testing.assert_allclose([row.a, row.b, row.c], np.quantile(values, list(marks.values())))
+    whole = percentiles(df, [], "v", marks).first()
+    np.testing.assert_allclose([whole.a, whole.b, whole.c], np.quantile([v for _, v in rows], list(marks.values())))
