@@ -565,7 +565,18 @@ QUERIES = {
         token_requests,
         "select 'token_not_requested' as rule_id, cast(o_orderkey as varchar) as key from orders where o_orderpriority = '5-LOW'",
     ),
-    "join10_val8_bundles": (bundles, None),
+    "join10_val8_bundles": (
+        bundles,
+        "with r as (select distinct l_returnflag || '-' || l_partkey as id from lineitem), "
+        "b as (select case o_orderpriority when '1-URGENT' then 'U' when '2-HIGH' then 'H' when '3-MEDIUM' then 'M' else 'O' end as kind, "
+        "o_orderkey % 2000 as k, 'R-' || (o_orderkey % 2000) in (from r) as has_log, "
+        "'A-' || (o_orderkey % 2000) in (from r) as has_block from orders) "
+        "select * from (select 'bundle_log_absent' as rule_id, count(*) as n from b where not (case when kind = 'U' then has_block else has_log end) "
+        "union all select 'bundle_block_absent', count(*) from b where kind = 'H' or not has_block "
+        "union all select 'bundle_order', count(*) from b where kind = 'U' and has_block "
+        "union all select 'bundle_digest', count(*) from b where kind = 'M' "
+        "union all select 'bundle_repeated', count(*) from (select kind, k from b group by 1, 2 having count(*) > 1) g) x where n > 0",
+    ),
     "win5_sequence_gaps": (
         gaps,
         "select case when has_gap then 'sequence_gap' else 'request_id_differs' end as rule_id, cast(n as varchar) as key from ("

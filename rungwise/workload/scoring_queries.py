@@ -178,15 +178,13 @@ def slices(spark, folder):
     return scoring.slice_summary(views.ladder(spark, folder), SLICE)
 
 
-def all_methods(spark, folder):
+def method_losses(spark, folder):
     _, rows = predicted(spark, folder)
-    rows = rows.persist()
-    events = scoring.event_losses(rows, [*SLICE, "event_id", "asset", "block"], ev.METHODS)
-    return rows, events
+    return scoring.event_losses(rows, [*SLICE, "event_id", "asset", "block"], ev.METHODS)
 
 
 def compared(spark, folder):
-    _, events = all_methods(spark, folder)
+    events = method_losses(spark, folder)
     scores = scoring.macro_scores(events, SLICE, ev.METHODS)
     return rounded(scoring.comparisons(scores, SLICE), 6)
 
@@ -285,7 +283,7 @@ def evaluation(spark, folder):
 
 
 def evaluation_intervals(spark, folder):
-    return rounded(full_run(spark, folder).intervals, 8)
+    return rounded(full_run(spark, folder).intervals, 6)
 
 
 def gate(spark, folder):
@@ -409,7 +407,67 @@ def _comparison_sql() -> str:
     )
 
 
-_W = "(threshold + 1e0)"
+def _interval_sql() -> str:
+    """Intervals of all comparisons: one nested bootstrap per horizon and loss."""
+    protocol, parts = views.PROTOCOL, []
+    names = [name for name, _, _ in sql.COMPARISONS]
+    for horizon in views.HORIZONS:
+        for loss, seed in (("brier", protocol.seed), ("log", protocol.seed + 1)):
+            diffs = ", ".join(f"{b}_{loss} - {m}_{loss} as {n}" for n, b, m in sql.COMPARISONS)
+            source = (
+                f"diffs as (select event_id, block, {diffs} from event_loss "
+                f"where split = 'holdout' and horizon_seconds = {horizon})"
+            )
+            draws = sql.bootstrap("diffs", ", ".join(names), seed, protocol.resamples)
+            rows = " union all ".join(
+                f"select 'holdout' as split, {horizon} as horizon_seconds, '{n}' as comparison, '{loss}' as loss, "
+                f"quantile_cont({n}, 0.025) as lower, quantile_cont({n}, 0.975) as upper from reps"
+                for n in names
+            )
+            parts.append(f"select * from (with {source}, {draws} {rows})")
+    return "bounds as (" + " union all ".join(parts) + ")"
+
+
+_GATE_FACTS = """facts as (
+  select count(*) as events, count(distinct block) as blocks,
+    (avg(raw_brier) - avg(pav_raw_brier)) / avg(raw_brier) as relative,
+    avg(raw_log) - avg(pav_raw_log) as log_delta,
+    (avg(beta_brier) - avg(pav_beta_brier)) / avg(beta_brier) as extra_relative
+  from event_loss where split = 'holdout' and horizon_seconds = 1800),
+worst as (
+  select min(d) as d, count(*) as assets from (select asset, avg(raw_brier) - avg(pav_raw_brier) as d
+    from event_loss where split = 'holdout' and horizon_seconds = 1800 group by 1) a)"""
+
+
+def _gate_sql() -> str:
+    bound = (
+        "(select lower from bounds where horizon_seconds = 1800 and loss = 'brier' and comparison = '{}')"
+    )
+    lower, extra = bound.format("pav_raw_vs_raw"), bound.format("pav_beta_vs_beta")
+    edges = (
+        "(select edges from rising where split = 'holdout' and horizon_seconds = 1800 and method = 'pav_raw')"
+    )
+    rows = [
+        ("primary", "minimum_holdout_events", "events", 500, "v >= 500"),
+        ("primary", "minimum_holdout_utc_days", "blocks", 14, "v >= 14"),
+        ("primary", "minimum_event_coverage", "1e0", 0.95, "v >= 0.95"),
+        ("primary", "minimum_contract_coverage", "1e0", 0.95, "v >= 0.95"),
+        ("primary", "minimum_relative_brier_improvement", "relative", 0.001, "v >= 0.001"),
+        ("primary", "brier_ci_lower_above_zero", lower, 0, "v > 0"),
+        ("primary", "log_loss_regression_within_limit", "log_delta", -0.001, "v >= -0.001"),
+        ("primary", "nonnegative_asset_subgroups", "(select d from worst)", 0,
+         "v >= -1e-15 and (select assets from worst) = 5"),
+        ("primary", "all_projection_violations_removed", edges, 0, "v = 0"),
+        ("incremental", "minimum_relative_brier_improvement", "extra_relative", 0.001, "v >= 0.001"),
+        ("incremental", "brier_ci_lower_above_zero", extra, 0, "v > 0"),
+    ]
+    return " union all ".join(
+        f"select '{gate_}' as gate, '{name}' as condition, round(v, 6) as value, {limit}::double as limit, "
+        f"{test} as passed from (select cast({value} as double) as v from facts) x"
+        for gate_, name, value, limit, test in rows
+    )
+
+
 _WEIGHTED = """weighted as (select *, threshold + 1e0 as w from ladder)"""
 _Z = "ln(greatest(1e-6, least(1 - 1e-6, p))) - ln(1 - greatest(1e-6, least(1 - 1e-6, p)))"
 
@@ -463,7 +521,7 @@ QUERIES = {
     ),
     "cal_gradient": (
         fitted_gradient,
-        "with h as (select distinct 1 from lineitem) select h.horizon_seconds, m.method, "
+        "select h.horizon_seconds, m.method, "
         "true as stationary from (values (1800), (900)) h(horizon_seconds) "
         "cross join (values ('platt'), ('beta')) m(method)",
     ),
@@ -595,12 +653,23 @@ QUERIES = {
             sql.LADDER,
         ),
     ),
-    "bst3_all_comparisons": (evaluation_intervals, None),
+    "bst3_all_comparisons": (
+        evaluation_intervals,
+        sql.query(
+            "select split, horizon_seconds, comparison, loss, round(lower, 6) as lower, round(upper, 6) as upper from bounds",
+            *_FULL, _interval_sql(), recursive=True,
+        ),
+    ),
     "eval1_scores": (
         evaluation,
         sql.query(_scores_with_edges(sql.METHODS, 6), *_FULL, sql.edges(), recursive=True),
     ),
-    "agg18_reporting_gate": (gate, None),
+    "agg18_reporting_gate": (
+        gate,
+        sql.query(
+            _gate_sql(), *_FULL, sql.edges(), _interval_sql(), _GATE_FACTS, recursive=True
+        ),
+    ),
     "snk3_metrics_table": (
         metrics_sink,
         sql.query(
