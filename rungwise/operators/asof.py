@@ -29,7 +29,8 @@ def distinct_points(points: DataFrame, bucket_seconds: int) -> DataFrame:
     """One row per (token, timestamp); copies collapse map-side and disagreement is kept."""
     when = micros("ts")
     return (
-        points.groupBy("token", "ts")
+        points.where("token is not null and ts is not null")
+        .groupBy("token", "ts")
         .agg(F.min("p").alias("p"), (F.min("p") != F.max("p")).alias("conflict"))
         .withColumn("at", when)
         .withColumn("bucket", F.floor(F.col("at") / (bucket_seconds * MICROS)))
@@ -47,19 +48,24 @@ def latest_at_or_before(
     distinct timestamps within a bucket fit a task; whole-second data has at most that many.
     """
     clean = distinct_points(points, bucket_seconds)
-    asked = cutoffs.select("token", "cutoff").distinct().withColumn("at", micros("cutoff"))
-    asked = asked.withColumn("bucket", F.floor(F.col("at") / (bucket_seconds * MICROS)))
-
-    point = F.struct(F.col("at"), F.col("p"))
+    asked = (
+        cutoffs.where("token is not null and cutoff is not null")
+        .select("token", F.col("cutoff").cast("timestamp").alias("cutoff"))
+        .distinct()
+        .withColumn("at", micros("cutoff"))
+        .withColumn("bucket", F.floor(F.col("at") / (bucket_seconds * MICROS)))
+    )
     rows = clean.select(
-        "token", "bucket", "at", F.lit(0).alias("kind"), point.alias("point"), "conflict",
+        "token", "bucket", "at", F.lit(0).alias("kind"),
+        F.col("at").alias("point_at"), "p", "conflict",
         F.lit(None).cast("timestamp").alias("cutoff"),
     ).unionByName(
         asked.select(
             "token", "bucket", "at", F.lit(1).alias("kind"),
-            F.lit(None).cast("struct<at:bigint,p:double>").alias("point"),
+            F.lit(None).cast("bigint").alias("point_at"),
+            F.lit(None).cast("double").alias("p"),
             F.lit(None).cast("boolean").alias("conflict"),
-            F.col("cutoff").cast("timestamp").alias("cutoff"),
+            "cutoff",
         )
     )
     so_far = (
@@ -69,33 +75,36 @@ def latest_at_or_before(
     )
     inside = rows.select(
         "token", "bucket", "kind", "cutoff", "at",
-        F.last("point", ignorenulls=True).over(so_far).alias("inside_point"),
+        F.last("point_at", ignorenulls=True).over(so_far).alias("inside_at"),
+        F.last("p", ignorenulls=True).over(so_far).alias("inside_p"),
         F.max("conflict").over(so_far).alias("inside_conflict"),
     ).where("kind = 1")
 
     # One row per (token, bucket): points seen there; a cutoff reads what came before its bucket.
     summary = rows.groupBy("token", "bucket").agg(
-        F.max("point").alias("last_point"), F.max("conflict").alias("any_conflict")
+        F.max("point_at").alias("last_at"),
+        F.max_by("p", "point_at").alias("last_p"),
+        F.max("conflict").alias("any_conflict"),
     )
     earlier = (
         Window.partitionBy("token").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = summary.select(
         "token", "bucket",
-        F.last("last_point", ignorenulls=True).over(earlier).alias("carried_point"),
+        F.last("last_at", ignorenulls=True).over(earlier).alias("carried_at"),
+        F.last("last_p", ignorenulls=True).over(earlier).alias("carried_p"),
         F.max("any_conflict").over(earlier).alias("carried_conflict"),
     )
-    chosen = F.coalesce("inside_point", "carried_point")
     no = F.lit(False)
     return (
         inside.join(carried, ["token", "bucket"], "left")
-        .withColumn("chosen", chosen)
+        .withColumn("point_at", F.coalesce("inside_at", "carried_at"))
         .select(
             "token",
             "cutoff",
-            F.col("chosen.at").alias("point_at"),
-            F.col("chosen.p").alias("p"),
-            (F.col("at") - F.col("chosen.at")).alias("age_micros"),
+            "point_at",
+            F.coalesce("inside_p", "carried_p").alias("p"),
+            (F.col("at") - F.col("point_at")).alias("age_micros"),
             (
                 F.coalesce("inside_conflict", no) | F.coalesce("carried_conflict", no)
             ).alias("conflict"),

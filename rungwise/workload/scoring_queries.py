@@ -31,7 +31,8 @@ def rounded(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
 
 
 def projected(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.ladder(spark, folder)
+    # Every column of the input passes through the kernel: leave out what nobody reads.
+    rows = views.ladder(spark, folder).drop("scheduled_time")
     return project_ladders(rows, LADDER, "threshold", {"p": "pav_raw"})
 
 
@@ -48,20 +49,20 @@ def headline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def isotonic(spark, folder):
-    return rounded(
-        projected(spark, folder).select("event_id", "horizon_seconds", "threshold", "pav_raw")
-    )
+    rows = views.ladder(spark, folder).select(*LADDER, "threshold", "p")
+    fitted = project_ladders(rows, LADDER, "threshold", {"p": "pav_raw"})
+    return rounded(fitted.select(*LADDER, "threshold", "pav_raw"))
 
 
 def weighted_isotonic(spark, folder):
     weight = (F.col("threshold") + 1.0).alias("w")
-    rows = views.ladder(spark, folder).select("*", weight)
+    rows = views.ladder(spark, folder).select(*LADDER, "threshold", "p", weight)
     fitted = project_ladders(rows, LADDER, "threshold", {"p": "fit"}, weight="w")
     return rounded(fitted.select("event_id", "horizon_seconds", "threshold", "fit"))
 
 
 def predicted(spark, folder):
-    return ev.predict(views.ladder(spark, folder), views.PROTOCOL)
+    return ev.predict(views.ladder(spark, folder).drop("scheduled_time"), views.PROTOCOL)
 
 
 def beta_isotonic(spark, folder):
@@ -274,7 +275,9 @@ def slice_coverage(spark, folder):
 
 def full_run(spark, folder) -> ev.Evaluation:
     return ev.evaluate(
-        views.ladder(spark, folder), views.PROTOCOL, slice_coverage(spark, folder)
+        views.ladder(spark, folder).drop("scheduled_time"),
+        views.PROTOCOL,
+        slice_coverage(spark, folder),
     )
 
 
