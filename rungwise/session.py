@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +21,26 @@ SQL_SETTINGS = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, so kernels import wherever they start.
+
+    The driver zips its own copy and Spark's file service hands it out; nothing needs to be
+    installed on the executors and the working folder does not matter.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_rungwise_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "rungwise.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(target)
+    context._rungwise_shipped = True
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
+    ship(spark)
     for name, value in SQL_SETTINGS.items():
         spark.conf.set(name, value)
     return spark
@@ -38,6 +60,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
