@@ -36,7 +36,8 @@ PART_CHARS = 1 << 16
 LONG_SPACE = 512
 
 # The characters with the Unicode property White_Space.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_WIDE = [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, _WIDE))
 _LONG = re.compile(f"[{SPACE}]{{{LONG_SPACE},}}")
 _EDGE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.session import scratch_path
+from rungwise.session import scratch_path, ship
 
 #: Words of all contracts: runs of anything but ASCII white space. ``bytes.split()`` cuts there too.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,7 @@ def map_arrow(
     df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, so long texts do not pile up in a worker."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     now = conf.get(_BATCH_SETTING, None)
     if now is None or not now.isdigit() or int(now) > BATCH_BYTES:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rungwise.llm import bpe
+from rungwise.llm import bpe, mix, warc
 from rungwise.llm.common import table
 
 
@@ -14,6 +14,35 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.RANKS))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to dictionary-compressed archives and read back."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.read(warc.write(pages)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mix.takes(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as t from pages
+), q as (
+  select page_id, octet_length(encode(t)) as payload_bytes, sha1(t) as payload_digest from p
+), g as (
+  select payload_digest as d, max(page_id) as top from q where payload_bytes >= 1000 group by 1
+)
+select page_id, payload_bytes, payload_digest,
+       case when top is null or page_id = top then 'response' else 'revisit' end as record_type,
+       case when page_id <> top then top end as refers_to
+from q left join g on payload_digest = d and payload_bytes >= 1000
+"""
+
 QUERIES = {
     "op1_byte_bpe": (op1_byte_bpe, None),
+    "op2_warc": (op2_warc, OP2_SQL),
+    "op8_mix": (op8_mix, None),
 }
