@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rungwise.llm import bpe, mix, warc
+from rungwise.llm import bpe, editcount, langid, mix, quality, toxicity, warc
 from rungwise.llm.common import table
 
 
@@ -22,11 +23,36 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mix.takes(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return toxicity.score(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after edits derived from it."""
+    ranks = public_tokenizers.path(bpe.RANKS)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", editcount.derived_edits().alias("edits"))
+    return editcount.apply(editcount.build(docs, ranks), "edits", ranks).select(
+        "doc_id", "n_tokens_before", "n_tokens", "encoded_chars", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 OP2_SQL = """
 with p as (
   select page_id, coalesce(html, '') as t from pages
@@ -44,5 +70,9 @@ from q left join g on payload_digest = d and payload_bytes >= 1000
 QUERIES = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_warc": (op2_warc, OP2_SQL),
+    "op4_language": (op4_language, None),
+    "op6_quality": (op6_quality, None),
     "op8_mix": (op8_mix, None),
+    "op9_toxicity": (op9_toxicity, None),
+    "op10_edit_counts": (op10_edit_counts, None),
 }
