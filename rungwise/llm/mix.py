@@ -39,7 +39,7 @@ class Mix:
     block_words: int = 256
     max_epochs: int = 3
     weights: tuple[float, ...] = (1.0, 2.0, 3.0)
-    bucket_rows: int = 20_000
+    bucket_rows: int = 2_000
     seed: int = 0
 
 
