@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm import bpe, editcount, langid, mix, quality, toxicity, warc
+from rungwise.llm import bpe, editcount, langid, mix, parity, pii, quality, toxicity, warc
 from rungwise.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -33,6 +38,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return parity.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mix.takes(table(spark, sf_dir, "documents"))
@@ -67,11 +77,15 @@ select page_id, payload_bytes, payload_digest,
 from q left join g on payload_digest = d and payload_bytes >= 1000
 """
 
+OP7_SQL = None
+
 QUERIES = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_warc": (op2_warc, OP2_SQL),
+    "op3_personal_data": (op3_personal_data, None),
     "op4_language": (op4_language, None),
     "op6_quality": (op6_quality, None),
+    "op7_parity_join": (op7_parity_join, OP7_SQL),
     "op8_mix": (op8_mix, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_edit_counts": (op10_edit_counts, None),
