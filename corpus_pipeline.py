@@ -1,22 +1,52 @@
-"""Corpus pipeline: each stage applies one text operator to what the stage before it kept."""
+"""Corpus pipeline: each stage applies one text operator to what the stage before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the
+shared folder and read again as the next stage's docs. All but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rungwise.llm import bpe
+from rungwise.llm import bpe, mix, parity, pii, toxicity
 from rungwise.llm.common import stored, table
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the segment search does not predict to be toxic."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return parity.keep_one(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data masked."""
+    return pii.mask(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes them."""
+    return mix.apply_mix(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and digests of every mixed document."""
+    """Token count and digests of every mixed document."""
     return bpe.round_trip(docs, public_tokenizers.path(bpe.RANKS))
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [
+    ("toxicity", clean),
+    ("near_duplicates", distinct),
+    ("personal_data", private),
+    ("mix", mixed),
+    ("tokens", tokens),
+]
 
-#: Trained models and string kernels have no SQL form; the stages are tested against brute force.
+#: Trained models and the tokenizer have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import WORD, fresh, stored
+from rungwise.llm.common import WORD, broadcast_if_small, fresh, stored
 
 POINT_BITS = 52
 CELLS = 4096
@@ -228,11 +228,12 @@ def apply_mix(
     """
     name = fresh(docs)
     copies, other = name("copies"), name("other_id")
-    count = (
+    count = stored(
         takes(docs, options, id_column, text, source)
         .groupBy(F.col(id_column).alias(other))
         .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(copies))
-        .where(F.col(copies) > 0)
+        .where(F.col(copies) > 0),
+        "copies",
     )
-    joined = docs.join(count, F.col(id_column).eqNullSafe(F.col(other)))
+    joined = docs.join(broadcast_if_small(count), F.col(id_column).eqNullSafe(F.col(other)))
     return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm import bpe, editcount, langid, mix, parity, pii, quality, toxicity, warc
+from rungwise.llm import bpe, editcount, langid, mix, parity, pii, quality, rpforest, toxicity, warc
 from rungwise.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return rpforest.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.assess(table(spark, sf_dir, "documents"))
@@ -77,13 +82,42 @@ select page_id, payload_bytes, payload_digest,
 from q left join g on payload_digest = d and payload_bytes >= 1000
 """
 
-OP7_SQL = None
+OP7_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as ws
+  from documents
+), s as (
+  select distinct doc_id, unnest(
+    case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+         else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh
+  from w
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as x, b.doc_id as y, count(*) as k
+  from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all
+), l as (
+  select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y
+  where 100 * k >= 75 * (a.n + b.n - k)
+), e as (
+  select x, y from l union all select y, x from l
+), r as (
+  select doc_id as id, doc_id as c from documents
+  union
+  select r.id, e.y from r join e on r.c = e.x
+)
+select r.id as doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(c) as component_id
+from r left join n on n.doc_id = r.id group by r.id
+"""
 
 QUERIES = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_warc": (op2_warc, OP2_SQL),
     "op3_personal_data": (op3_personal_data, None),
     "op4_language": (op4_language, None),
+    "op5_vector_forest": (op5_vector_forest, None),
     "op6_quality": (op6_quality, None),
     "op7_parity_join": (op7_parity_join, OP7_SQL),
     "op8_mix": (op8_mix, None),
