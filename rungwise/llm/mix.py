@@ -176,7 +176,7 @@ def _taken(laid: DataFrame, slots: DataFrame, options: Mix) -> DataFrame:
     """Words taken by (position, start), which names a document with words: pieces of slots in it."""
     b = options.block_words
     rounds = F.explode(
-        F.sequence(F.lit(0), F.floor((F.ceil("target") - 1) / F.col("source_size")).cast("int"))
+        F.sequence(F.lit(0), F.floor((F.ceil("target") - 1) / F.greatest("source_size", F.lit(1))).cast("int"))
     )
     pieces = (
         laid.where("size > 0 and target >= 1")
@@ -231,7 +231,7 @@ def apply_mix(
     count = stored(
         takes(docs, options, id_column, text, source)
         .groupBy(F.col(id_column).alias(other))
-        .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(copies))
+        .agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias(copies))
         .where(F.col(copies) > 0),
         "copies",
     )
