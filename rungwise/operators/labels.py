@@ -20,6 +20,7 @@ REMOVED = "the only resolution log is removed or lacks finality state"
 EARLY = "resolution block predates the scheduled target"
 LATE = "resolution block is later than the protocol target-plus-grace deadline"
 AGREED = "canonical payout agrees with Gamma candidate"
+UNKNOWN_BLOCK = "the block of the only resolution log is not in the block table"
 DISAGREED = "canonical payout disagrees with Gamma candidate"
 
 
@@ -34,32 +35,46 @@ def search_windows(conditions: DataFrame, grace_seconds: int) -> DataFrame:
 def logs_in_window(logs: DataFrame, conditions: DataFrame, grace_seconds: int) -> DataFrame:
     """Logs of requested conditions whose block lies in the condition's window.
 
-    An equi-join on the condition with the range as residual; copies of a log are collapsed first.
-    ``logs`` carries ``block_ts``.
+    An equi-join on the condition with the range as residual; collapse copies of a log first.
+    ``logs`` carries ``block_ts``; a log whose block is unknown (null) cannot be placed and stays.
     """
     windows = search_windows(conditions, grace_seconds).select(
         "condition_id", "window_start", "window_end"
     )
     at = F.unix_micros("block_ts")
     return logs.join(windows, "condition_id").where(
-        (at >= F.col("window_start")) & (at < F.col("window_end"))
+        at.isNull() | ((at >= F.col("window_start")) & (at < F.col("window_end")))
     ).drop("window_start", "window_end")
 
 
 def attach_blocks(logs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Block time of every log, and whether the block's hash is the one the log names."""
+    """Block time of every log, and whether the block's hash is the one the log names.
+
+    Both are null for a log whose block is not in ``blocks``; no log is lost.
+    """
     known = blocks.select(
         F.col("number").alias("block_number"),
         F.col("hash").alias("_hash"),
         F.col("ts").alias("block_ts"),
     )
     return (
-        logs.join(known, "block_number")
+        logs.join(known, "block_number", "left")
         .withColumn("hash_matches", F.col("_hash") == F.col("block_hash"))
         .drop("_hash")
     )
 
 
+def unknown_blocks(logs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Violations: blocks that logs name and the block table lacks, with the number of logs."""
+    known = blocks.select(F.col("number").alias("block_number"))
+    missing = logs.join(known, "block_number", "left_anti")
+    return missing.groupBy("block_number").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("block_unknown").alias("rule_id"),
+        F.coalesce(F.col("block_number").cast("string"), F.lit("")).alias("key"),
+        F.concat(F.col("n").cast("string"), F.lit(" logs")).alias("detail"),
+    )
+
+
 def hash_mismatches(logs: DataFrame, blocks: DataFrame) -> DataFrame:
     known = blocks.select(F.col("number").alias("block_number"), F.col("hash").alias("canonical"))
     return logs.join(known, "block_number").where(F.col("canonical") != F.col("block_hash"))
@@ -102,11 +117,22 @@ def log_filter_problems(
 
 
 LOG_FIELDS = ("removed", "slot_count", "payouts", "block_ts", "hash_matches")
+#: What an agreed condition cites: fields of its log -> columns of the evidence.
+CITED = {
+    "payouts": "payout_vector",
+    "block_number": "resolution_block_number",
+    "block_hash": "resolution_block_hash",
+    "block_ts": "resolution_block_timestamp",
+    "tx_hash": "resolution_tx_hash",
+    "log_index": "resolution_log_index",
+    "source_sha256": "chain_source_sha256",
+}
 
 
 def one_log_per_condition(unique_logs: DataFrame) -> DataFrame:
     """Number of distinct logs per condition and the content of one of them."""
-    content = F.struct(*LOG_FIELDS)
+    cited = [c for c in CITED if c in unique_logs.columns and c not in LOG_FIELDS]
+    content = F.struct(*LOG_FIELDS, *cited)
     return unique_logs.groupBy("condition_id").agg(
         F.count(F.lit(1)).alias("n_logs"), F.min(content).alias("log")
     )
@@ -117,12 +143,16 @@ def classify(conditions: DataFrame, unique_logs: DataFrame, grace_seconds: int)
 
     ``conditions``: ``condition_id, target_at, candidate``; ``unique_logs``: one row per distinct
     log with ``condition_id, removed, slot_count, payouts (null when undecodable), block_ts,
-    hash_matches``. An otherwise usable log of a block with another hash is fatal.
+    hash_matches``, and optionally the other fields of ``CITED``, which agreed conditions keep under
+    the evidence's names. An otherwise usable log of a block with another hash is fatal; one of an
+    unknown block cannot be placed in time and leaves its condition ambiguous.
     """
-    joined = conditions.join(one_log_per_condition(unique_logs), "condition_id", "left")
-    log = {name: F.col(f"log.{name}") for name in LOG_FIELDS}
-    yes = F.array(F.lit(1), F.lit(0)).cast("array<bigint>")
-    no = F.array(F.lit(0), F.lit(1)).cast("array<bigint>")
+    one = one_log_per_condition(unique_logs)
+    fields = one.schema["log"].dataType.names
+    joined = conditions.join(one, "condition_id", "left")
+    log = {name: F.col(f"log.{name}") for name in fields}
+    log["payouts"] = log["payouts"].cast("array<string>")
+    yes, no = F.array(F.lit("1"), F.lit("0")), F.array(F.lit("0"), F.lit("1"))
     is_yes, is_no = log["payouts"] == yes, log["payouts"] == no
     known = F.coalesce((log["slot_count"] == 2) & (is_yes | is_no), F.lit(False))
     at, target = F.unix_micros(log["block_ts"]), F.unix_micros("target_at")
@@ -144,10 +174,11 @@ def classify(conditions: DataFrame, unique_logs: DataFrame, grace_seconds: int)
             "ambiguous",
             F.concat(
                 F.lit("unsupported payout vector ["),
-                F.concat_ws(", ", log["payouts"].cast("array<string>")),
+                F.concat_ws(", ", log["payouts"]),
                 F.lit("]"),
             ),
         ),
+        (log["block_ts"].isNull(), "ambiguous", F.lit(UNKNOWN_BLOCK)),
         (
             ~log["hash_matches"],
             F.raise_error(F.lit("canonical block hash mismatch")),
@@ -166,6 +197,7 @@ def classify(conditions: DataFrame, unique_logs: DataFrame, grace_seconds: int)
         joined.withColumn("status", status.otherwise("agreed"))
         .withColumn("reason", reason.otherwise(F.lit(AGREED)))
         .withColumn("label", F.when(agreed, label))
+        .withColumns({CITED[f]: F.when(agreed, log[f]) for f in CITED if f in fields})
         .drop("log", "n_logs")
     )
 

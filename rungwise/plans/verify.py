@@ -29,16 +29,25 @@ def verify_labels(
     blocks: DataFrame,
     pre_coverage: DataFrame,
     protocol: Protocol,
+    unknown_blocks: str = "raise",
 ) -> Verification:
-    """``candidates``: ``event_id, condition_id, split, horizon_seconds, target_at, candidate``."""
+    """``candidates``: ``event_id, condition_id, split, horizon_seconds, target_at, candidate``.
+
+    A requested log whose block is not in ``blocks`` is fatal, or with ``unknown_blocks="report"``
+    leaves its condition ambiguous. ``rows`` carries the cited evidence of agreed conditions.
+    """
+    if unknown_blocks not in ("raise", "report"):
+        raise ValueError("unknown_blocks is raise or report")
     metadata = ["event_id", "target_at", "split", "candidate"]
     if not labels.candidate_conflicts(candidates, metadata).isEmpty():
         raise DataQualityError("a condition has conflicting candidate metadata")
     conditions = labels.one_row_per_condition(candidates, metadata)
     grace = protocol.resolution_grace_seconds
-    timed = labels.attach_blocks(logs, blocks)
-    found = labels.logs_in_window(timed, conditions.select("condition_id", "target_at"), grace)
-    unique = labels.distinct_logs(found, LOG_IDENTITY)
+    # Copies collapse before the joins, so a much repeated log stays one row.
+    timed = labels.attach_blocks(labels.distinct_logs(logs, LOG_IDENTITY), blocks)
+    unique = labels.logs_in_window(timed, conditions.select("condition_id", "target_at"), grace)
+    if unknown_blocks == "raise" and not unique.where("block_ts is null").isEmpty():
+        raise DataQualityError("a resolution log cites a block that is not in the block table")
     guarded = unique.withColumn(
         "removed",
         F.when(~F.col("conflict"), F.col("removed")).otherwise(
@@ -46,8 +55,11 @@ def verify_labels(
         ),
     )
     resolutions = checkpointed(labels.classify(conditions, guarded, grace))
+    cited = [c for c in labels.CITED.values() if c in resolutions.columns]
     rows = candidates.join(
-        resolutions.select("condition_id", "status", "reason", F.col("label").alias("chain_label")),
+        resolutions.select(
+            "condition_id", "status", "reason", F.col("label").alias("chain_label"), *cited
+        ),
         "condition_id",
     )
     kept = coverage.complete_agreed_events(rows)

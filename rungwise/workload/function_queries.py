@@ -92,6 +92,7 @@ def hex_values(spark, folder):
         "o_orderkey",
         chain.quantity(number).alias("quantity"),
         chain.quantity(padded).alias("padded"),
+        chain.quantity_text(F.concat(number, F.lit("0" * 20))).alias("wide"),
         chain.hex_bytes(F.upper(views.hex32(F.col("o_orderkey"))), 32).alias("upper_prefix"),
         chain.hex_bytes(F.concat(F.lit("0x"), F.upper(views.word(F.col("o_orderkey")))), 32).alias("id"),
     )
@@ -102,7 +103,10 @@ def payloads(spark, folder):
     decoded = chain.resolution_payload("data")
     return rows.groupBy(
         decoded["slot_count"].alias("slot_count"),
-        F.to_json(decoded["payouts"]).alias("payouts"),
+        F.when(
+            decoded["payouts"].isNotNull(),
+            F.concat(F.lit("["), F.concat_ws(",", decoded["payouts"]), F.lit("]")),
+        ).alias("payouts"),
     ).agg(F.count(F.lit(1)).alias("logs"))
 
 
@@ -277,7 +281,8 @@ QUERIES = {
     ),
     "fn6_hex_values": (
         hex_values,
-        "select o_orderkey, o_orderkey as quantity, cast(null as bigint) as padded, cast(null as varchar) as upper_prefix, "
+        "select o_orderkey, o_orderkey as quantity, cast(null as bigint) as padded, "
+        "case when o_orderkey > 0 then (o_orderkey::hugeint * 1208925819614629174706176)::varchar end as wide, cast(null as varchar) as upper_prefix, "
         "'0x' || lpad(lower(to_hex(o_orderkey)), 64, '0') as id from orders",
     ),
     "fn7_payloads": (

@@ -21,9 +21,10 @@ def timed_logs(spark, folder):
 
 
 def windowed(spark, folder):
-    """Copies of a log collapse before the join, so a much repeated log stays small."""
-    unique = labels.distinct_logs(timed_logs(spark, folder), LOG_IDENTITY)
-    return labels.logs_in_window(unique, views.condition(spark, folder), views.GRACE)
+    """Copies of a log collapse before the joins, so a much repeated log stays one row."""
+    unique = labels.distinct_logs(views.logs(spark, folder), LOG_IDENTITY)
+    timed = labels.attach_blocks(unique, views.blocks(spark, folder))
+    return labels.logs_in_window(timed, views.condition(spark, folder), views.GRACE)
 
 
 def window_logs(spark, folder):
@@ -64,6 +65,34 @@ def classified(spark, folder):
     return resolutions(spark, folder).select("condition_id", "status", "reason", "label")
 
 
+def unknown_blocks(spark, folder):
+    return labels.unknown_blocks(views.logs(spark, folder), views.blocks(spark, folder))
+
+
+def evidence(spark, folder):
+    """What the agreed conditions cite, from the whole verification plan."""
+    candidates = views.condition(spark, folder).withColumn("horizon_seconds", views.horizons())
+    done = verify_labels(
+        candidates,
+        views.logs(spark, folder),
+        views.blocks(spark, folder),
+        pre_coverage(spark, folder),
+        views.PROTOCOL,
+        unknown_blocks="report",
+    )
+    return done.rows.where("status = 'agreed'").select(
+        "condition_id",
+        "horizon_seconds",
+        "chain_label",
+        F.concat_ws(",", "payout_vector").alias("payouts"),
+        "resolution_block_number",
+        "resolution_block_hash",
+        _epoch("resolution_block_timestamp").alias("resolution_at"),
+        "resolution_tx_hash",
+        "resolution_log_index",
+    )
+
+
 def deduplicated(spark, folder):
     unique = labels.distinct_logs(timed_logs(spark, folder), LOG_IDENTITY)
     return unique.groupBy("condition_id").agg(
@@ -164,6 +193,7 @@ def verified(spark, folder):
         views.blocks(spark, folder),
         pre_coverage(spark, folder),
         views.PROTOCOL,
+        unknown_blocks="report",
     )
     return done.coverage.select(
         *coverage.CELL,
@@ -182,10 +212,12 @@ def algebra(spark, folder):
 
 
 def _delays(spark, folder):
-    """Delay between order and shipment of every line shipped after its order."""
-    unique = timed_logs(spark, folder).join(views.condition(spark, folder), "condition_id")
+    """Delay of each condition's only log behind its target; negative for early ones, null where
+    the block is unknown (such conditions count in no percentile)."""
+    unique = labels.one_log_per_condition(windowed(spark, folder)).where("n_logs = 1")
+    timed = unique.select("condition_id", F.col("log.block_ts").alias("block_ts"))
     delay = F.unix_seconds("block_ts") - F.unix_seconds("target_at")
-    return unique.withColumn("delay_seconds", delay).where("delay_seconds >= 0")
+    return timed.join(views.condition(spark, folder), "condition_id").withColumn("delay_seconds", delay)
 
 
 def latency(spark, folder):
@@ -244,7 +276,7 @@ _PROFILE = (
 )
 _DELAY = """delay as (
   select c.event_id, cast(epoch(block_ts) - epoch(target_at) as bigint) as d
-  from log l join condition c on c.condition_id = l.condition_id where block_ts >= target_at)"""
+  from per_condition p join condition c on c.condition_id = p.condition_id where n = 1)"""
 _DAY = "date_diff('day', date '1970-01-01', cast({0} as date))"
 _STATUS = "('agreed'), ('missing'), ('ambiguous'), ('gamma_disagreement')"
 
@@ -252,7 +284,7 @@ QUERIES = {
     "join5_logs_in_window": (
         window_logs,
         sql.query(
-            f"select condition_id, tx_hash, log_index, {_DAY.format('block_ts')} as block_number, "
+            f"select condition_id, tx_hash, log_index, {_DAY.format('mined')} as block_number, "
             "min(removed) as removed, count(*) as copies from in_window group by 1, 2, 3, 4",
             *_LABELS,
         ),
@@ -260,7 +292,7 @@ QUERIES = {
     "join6_logs_with_blocks": (
         log_blocks,
         sql.query(
-            f"select {_DAY.format('block_ts')} as block_number, count(*) as logs, "
+            f"select {_DAY.format('mined')} as block_number, count(*) as logs, "
             "cast(epoch(max(block_ts)) as bigint) as block_ts from log group by 1",
             sql.CONDITION,
         ),
@@ -270,6 +302,27 @@ QUERIES = {
         f"select {_DAY.format('l_shipdate')} as block_number, count(*) as logs from lineitem "
         "where l_tax = 0 and l_shipdate in (select o_orderdate from orders) group by 1",
     ),
+    "join6_unknown_blocks": (
+        unknown_blocks,
+        sql.query(
+            f"select 'block_unknown' as rule_id, {_DAY.format('mined')}::varchar as key, "
+            "count(*)::varchar || ' logs' as detail from log where block_ts is null group by mined",
+            sql.CONDITION,
+        ),
+    ),
+    "lbl1_evidence": (
+        evidence,
+        sql.query(
+            "select r.condition_id, horizon_seconds, r.candidate as chain_label, p.yes || ',' || p.no as payouts, "
+            f"{_DAY.format('p.block_ts')} as resolution_block_number, "
+            f"'0x' || lpad(lower(to_hex({_DAY.format('p.block_ts')})), 64, '0') as resolution_block_hash, "
+            "cast(epoch(p.block_ts) as bigint) as resolution_at, p.tx_hash as resolution_tx_hash, "
+            "cast(p.log_index as bigint) as resolution_log_index "
+            "from resolved r join per_condition p on p.condition_id = r.condition_id "
+            f"cross join {sql.HORIZONS} where status = 'agreed'",
+            *_LABELS,
+        ),
+    ),
     "join7_lbl1_resolutions": (
         classified,
         sql.query(
@@ -283,7 +336,7 @@ QUERIES = {
         sql.query(
             "select condition_id, count(*) as logs, cast(sum(n) as bigint) as copies, "
             "cast(sum(case when lo <> hi then 1 else 0 end) as bigint) as conflicts from ("
-            "select condition_id, block_ts, tx_hash, log_index, count(*) as n, "
+            "select condition_id, mined, tx_hash, log_index, count(*) as n, "
             "min(removed || '/' || yes || '/' || no) as lo, max(removed || '/' || yes || '/' || no) as hi "
             "from log group by 1, 2, 3, 4) d group by 1",
             sql.CONDITION,
@@ -377,13 +430,13 @@ QUERIES = {
         ),
     ),
     "agg22_label_latency": (
-        latency, sql.query(f"select {_PROFILE} from delay", sql.CONDITION, _DELAY)
+        latency, sql.query(f"select {_PROFILE} from delay", *_LABELS, _DELAY)
     ),
     "agg22_event_spread": (
         spread,
         sql.query(
             f"select {_PROFILE} from (select max(d) - min(d) as d from delay group by event_id) e",
-            sql.CONDITION, _DELAY,
+            *_LABELS, _DELAY,
         ),
     ),
     "src7_fn7_decoded_logs": (

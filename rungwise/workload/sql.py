@@ -253,34 +253,38 @@ CONDITION = f"""condition as (
     {SPLIT.format('o_orderdate')} as split
   from orders),
 log as (
-  select l_orderkey as condition_id, l_shipdate as block_ts, l_partkey || '-' || l_suppkey as tx_hash,
+  select l_orderkey as condition_id, l_shipdate as mined, o.ts as block_ts,
+    l_partkey || '-' || l_suppkey as tx_hash,
     l_linenumber as log_index, l_returnflag = 'R' as removed,
     case when l_linestatus = 'O' then 1 else 0 end as yes,
     case when l_tax = 0 then case when l_linestatus = 'O' then 1 else 0 end
          else case when l_linestatus = 'O' then 0 else 1 end end as no
-  from lineitem where l_shipdate in (select o_orderdate from orders))"""
+  from lineitem left join (select distinct o_orderdate as ts from orders) o on o.ts = l_shipdate)"""
 
 GRACE = 51861600
 
 CLASSIFIED = f"""in_window as (
   select l.* from log l join condition c on c.condition_id = l.condition_id
-  where block_ts >= date_trunc('day', target_at)
+  where block_ts is null or block_ts >= date_trunc('day', target_at)
     and block_ts < date_trunc('day', target_at) + interval 1 day + interval {GRACE} second),
 distinct_log as (
-  select condition_id, block_ts, tx_hash, log_index, min(removed) as removed, min(yes) as yes, min(no) as no
-  from in_window group by 1, 2, 3, 4),
+  select condition_id, mined, block_ts, tx_hash, log_index, min(removed) as removed, min(yes) as yes, min(no) as no
+  from in_window group by 1, 2, 3, 4, 5),
 per_condition as (
   select condition_id, count(*) as n, min(removed) as removed, min(yes) as yes, min(no) as no,
-    min(block_ts) as block_ts from distinct_log group by 1),
+    min(block_ts) as block_ts, min(tx_hash) as tx_hash, min(log_index) as log_index
+  from distinct_log group by 1),
 resolved as (
   select c.*, p.block_ts,
-    case when n is null then 'missing' when n > 1 or removed or yes + no <> 1 or block_ts < target_at
+    case when n is null then 'missing'
+      when n > 1 or removed or yes + no <> 1 or p.block_ts is null or block_ts < target_at
         or block_ts > target_at + interval {GRACE} second then 'ambiguous'
       when yes <> candidate then 'gamma_disagreement' else 'agreed' end as status,
     case when n is null then 'no ConditionResolution log in the configured window'
       when n > 1 then 'found ' || n || ' distinct ConditionResolution logs'
       when removed then 'the only resolution log is removed or lacks finality state'
       when yes + no <> 1 then 'unsupported payout vector [' || yes || ', ' || no || ']'
+      when p.block_ts is null then 'the block of the only resolution log is not in the block table'
       when block_ts < target_at then 'resolution block predates the scheduled target'
       when block_ts > target_at + interval {GRACE} second
         then 'resolution block is later than the protocol target-plus-grace deadline'

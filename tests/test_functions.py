@@ -112,8 +112,9 @@ def words(*values):
 @pytest.mark.parametrize(
     ("data", "payout"),
     [
-        (words(2, 64, 2, 1, 0), [1, 0]),
-        (words(3, 64, 3, 3, 2, 1), [3, 2, 1]),
+        (words(2, 64, 2, 1, 0), ["1", "0"]),
+        (words(3, 64, 3, 3, 2, 1), ["3", "2", "1"]),
+        (words(2, 64, 2, 2**60, 2**256 - 1), [str(2**60), str(2**256 - 1)]),
         (words(2, 96, 2, 1, 0), None),
         (words(2, 64, 2, 1, 0) + "00" * 32, None),
         (words(2, 64, 1, 1), None),
@@ -135,6 +136,13 @@ def test_quantity(spark, raw, value):
     assert one(spark, raw, chain.quantity) == value
 
 
+def test_quantities_of_any_width(spark):
+    values = [0, 1, 2**60 - 1, 2**60, 2**63 - 1, 2**63, 2**64, 10**9, 10**18, 10**77, 2**256 - 1, *(3**k for k in range(0, 160, 13))]
+    rows = spark.createDataFrame([(hex(v), str(v), v if v < 2**63 else None) for v in values], "h string, t string, n long")
+    wrong = ~chain.quantity_text("h").eqNullSafe(F.col("t")) | ~chain.quantity("h").eqNullSafe(F.col("n"))
+    assert rows.where(wrong).count() == 0
+
+
 def test_evidence_digest(spark):
     a, b = hashlib.sha256(b"a").hexdigest(), hashlib.sha256(b"b").hexdigest()
     want = hashlib.sha256(b"domain\x00" + bytes.fromhex(a) + bytes.fromhex(b)).hexdigest()

@@ -85,6 +85,29 @@ def test_conflicts_are_fatal(spark):
         run(spark, [("e", "c", 1.0), ("e", "c", 0.0)], [])
 
 
+def test_logs_of_unknown_blocks_are_never_lost(spark):
+    rows, unknown = [("e", "c", 1.0)], [log("c", [1, 0], block=99)]
+    with pytest.raises(AssertionError, match="not in the block table"):
+        run(spark, rows, unknown)
+    logs, known = spark.createDataFrame(unknown * 3, LOGS), blocks(spark)
+    assert [tuple(r) for r in labels.unknown_blocks(logs, known).collect()] == [("block_unknown", "99", "3 logs")]
+    unique = labels.attach_blocks(labels.distinct_logs(logs, ("condition_id", "block_hash", "tx_hash", "log_index")), known)
+    conditions = candidates(spark, rows).where("horizon_seconds = 900")
+    kept = labels.logs_in_window(unique, conditions.select("condition_id", "target_at"), 3 * 3600)
+    found = labels.classify(conditions, kept, 3 * 3600).first()
+    assert (found.status, found.reason) == ("ambiguous", labels.UNKNOWN_BLOCK)
+
+
+def test_agreed_conditions_carry_what_they_cite(spark):
+    done = run(spark, [("e", "c", 1.0), ("f", "d", 0.0)], [log("c", [1, 0], block=3, index=7, tx="t9"), log("d", [1, 0])])
+    cited = {r.condition_id: r for r in done.rows.collect()}
+    r = cited["c"]
+    assert r.payout_vector == ["1", "0"] and (r.resolution_block_number, r.resolution_block_hash) == (3, "h3")
+    assert (r.resolution_tx_hash, r.resolution_log_index) == ("t9", 7)
+    assert r.resolution_block_timestamp == DAY + timedelta(hours=4)
+    assert cited["d"].status == "gamma_disagreement" and cited["d"].payout_vector is None
+
+
 def test_window_summary_is_clamped_to_the_head(spark):
     conditions = candidates(spark, [("e", "c", 1.0)]).where("horizon_seconds = 900")
     row = labels.search_summary(conditions, blocks(spark), 3 * 3600, 2).first()

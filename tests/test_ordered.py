@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rungwise.operators.ordered import percentiles, segment, with_index, with_next
 from rungwise.operators.scoring import violations
@@ -62,3 +63,35 @@ def test_percentiles_match_numpy_for_any_split(spark):
             np.testing.assert_allclose([row.a, row.b, row.c], np.quantile(values, list(marks.values())))
     whole = percentiles(df, [], "v", marks).first()
     np.testing.assert_allclose([whole.a, whole.b, whole.c], np.quantile([v for _, v in rows], list(marks.values())))
+
+
+def with_nulls():
+    rows = [(k, float(t), None if t % 3 == 0 else float(t * k)) for k in (1, 2) for t in range(40)]
+    return rows + [(None, float(t), None if t % 4 == 0 else float(t)) for t in range(30)] + [(3, 0.0, None)]
+
+
+def test_nulls_give_the_same_on_both_size_paths(spark):
+    df = spark.createDataFrame(with_nulls(), "key long, t double, p double")
+    def got(limit, add):
+        return sorted(map(tuple, add(segment(df, ["key"], "t", limit)).collect()), key=str)
+    for add in (lambda parts: with_next(parts, "p", "x"), lambda parts: with_index(parts, "x")):
+        assert got(1000, add) == got(7, add)
+    following = {(k, t): x for k, t, _, x in got(7, lambda parts: with_next(parts, "p", "x"))}
+    for k, t, _ in with_nulls():
+        want = next((p for a, b, p in with_nulls() if a == k and b == t + 1), None)
+        assert following[k, t] == want
+
+
+def test_percentiles_ignore_nulls_and_keep_null_keys(spark):
+    df = spark.createDataFrame(with_nulls() + [(1, 0.0, 5.0)] * 9, "key long, t double, v double")
+    want = {r.key: (r.a, r.b) for r in df.groupBy("key").agg(F.percentile("v", 0.25).alias("a"), F.percentile("v", 0.9).alias("b")).collect()}
+    assert want[3] == (None, None) and None in want
+    for limit in (1000, 5):
+        rows = percentiles(df, ["key"], "v", {"a": 0.25, "b": 0.9}, limit).collect()
+        assert {r.key for r in rows} == set(want)
+        for r in rows:
+            assert (r.a, r.b) == want[r.key] or np.allclose([r.a, r.b], want[r.key])
+    simple = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (None,)], "v double")
+    whole = percentiles(simple, [], "v", {"m": 0.5})
+    assert whole.first().m == 2.0
+    assert "CartesianProduct" not in whole._jdf.queryExecution().executedPlan().toString()
