@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -40,9 +42,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
+    """Ship the package and make the settings, once per session.
+
+    What the caller set when building the session stays, but for the time zone: timestamps without
+    a zone mean UTC in every table.
+    """
     ship(spark)
+    if getattr(spark, "_rungwise_settings", False):
+        return spark
+    chosen = spark.sparkContext.getConf()
     for name, value in SQL_SETTINGS.items():
-        spark.conf.set(name, value)
+        if name == "spark.sql.session.timeZone" or not chosen.contains(name):
+            spark.conf.set(name, value)
+    spark._rungwise_settings = True
     return spark
 
 
@@ -55,6 +67,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for name, value in SQL_SETTINGS.items():
         builder = builder.config(name, value)
@@ -65,22 +78,46 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+    """The folder every executor can reach: the one in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where no cluster names one, as in tests.
+    Only a session on one machine (``local[...]``) may do without: it gets a temporary folder that
+    goes with the process. Elsewhere a missing setting is an error, as a driver-local folder would
+    be out of the executors' reach.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
         if configured is None:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             configured = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(configured)
     return configured or current
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path inside the shared folder, until ``clean_scratch`` is called."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote under ``scratch_path``; tables read from there are gone then.
+
+    Returns the number of paths deleted. Checkpoints are removed by Spark itself if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    conf, deleted = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        deleted += bool(path.getFileSystem(conf).delete(path, True))
+    return deleted
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
