@@ -15,13 +15,15 @@ Two sketches are made of XORs, so what both sets share cancels out:
   so candidates beyond that bound go before any set is fetched.
 
 What is left is verified on whole sets. To keep large groups of near copies from becoming all their
-pairs, candidates are verified in two rounds: first every class against one of those it meets (a
-star), then, exactly, all pairs that meet and are not yet in one component. No link between
-different components can be lost, and pairs inside a component need no further test.
+pairs, a few rounds verify each class against at most ``hubs`` of the classes it meets (a star, with
+other hubs each time); pairs inside a component need no further test. Then, exactly, all pairs that
+still meet across components are compared by parity bits where their value stands, in blocks of
+bounded size, and only pairs within the bound leave the task to be verified. No link between
+different components can be lost.
 
-Size bands are [4^g, 4^(g+1)); a class also joins the band of the smallest size that it may link
-to. The number of parts exceeds what D + 1 non-empty parts need by 15 standard deviations or more
-from 64 shingles on (by 7 from 16 on; below that every shingle is a part of its own).
+Size bands are [2^g, 2^(g+1)); a class also joins the band of the smallest size that it may link
+to. The number of parts exceeds what D + 1 non-empty parts need by 9 standard deviations or more;
+below 32 shingles every shingle is a part of its own.
 
 Defined cases: null and empty texts have size 0 and link with nothing; texts of fewer words than a
 shingle are one shingle; rows with equal ids are documents of their own, links never go through an
@@ -52,6 +54,9 @@ class Join:
     #: The threshold as a fraction of whole numbers: numerator * union <= denominator * intersection.
     numerator: int = 75
     denominator: int = 100
+    rounds: int = 3
+    hubs: int = 4
+    block: int = 1024
 
     def difference(self, total: int) -> int:
         """The largest symmetric difference of two linked sets whose sizes add up to ``total``."""
@@ -97,13 +102,13 @@ def fingerprint(elements: np.ndarray) -> int:
 
 
 def band_of(n: int) -> int:
-    return (n.bit_length() - 1) // 2
+    return n.bit_length() - 1
 
 
 def part_count(band: int) -> int:
     """Parts of a band; 0: every element is a part of its own."""
-    low = 4**band
-    return 0 if band < 2 else 4 * low if band < 4 else 2 * low
+    low = 2**band
+    return 0 if band < 5 else 2 * low if band < 6 else low * 3 // 2 if band < 8 else low
 
 
 def part_values(elements: np.ndarray, band: int) -> np.ndarray:
@@ -121,18 +126,22 @@ def part_values(elements: np.ndarray, band: int) -> np.ndarray:
 
 
 def parity_sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity bits in 64-bit words: about two bits per element, a power of two, 256 to 16,384."""
-    bits = 1 << min(14, max(8, (2 * len(elements) - 1).bit_length()))
+    """Parity bits in 64-bit words: four to eight per element, a power of two, 256 to 32,768."""
+    bits = 1 << min(15, max(8, (4 * len(elements) - 1).bit_length()))
     flips = np.bincount((mixed(elements ^ _ODD) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.uint64)
 
 
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def hamming(a: np.ndarray, b: np.ndarray) -> int:
     """Hamming distance after folding the longer sketch onto the shorter."""
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    words = min(len(a), len(b))
+    a, b = folded(a, words), folded(b, words)
     return int(np.bitwise_count(a ^ b).sum())
 
 
@@ -211,6 +220,93 @@ def met(sets: DataFrame) -> DataFrame:
     return ranked.select("value", "set", "n")
 
 
+def still_open(where: DataFrame, parts: DataFrame) -> DataFrame:
+    """(value, set, n, component_id) of the values that classes of several components share."""
+    labelled = where.join(parts, "set")
+    several = labelled.groupBy("value").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y"))
+    return labelled.join(several.where("x <> y").select("value"), "value")
+
+
+def _may_link(m: str, n: str, join: Join):
+    """Do the sizes allow a link?"""
+    a, b = F.col(m), F.col(n)
+    return (a * join.numerator <= b * join.denominator) & (b * join.numerator <= a * join.denominator)
+
+
+def stars(open_: DataFrame, join: Join, turn: int) -> DataFrame:
+    """Pairs (a, b) of each class with at most ``hubs`` classes of other components, those it meets
+    most often where every value has one of its classes, drawn by hash, as its hub."""
+    hub = F.min(F.struct(F.xxhash64("value", "set", F.lit(turn)).alias("h"), F.col("set").alias("a"), F.col("n").alias("na"), F.col("component_id").alias("ca")))
+    met_hub = open_.withColumn("hub", hub.over(Window.partitionBy("value"))).select("set", "n", "component_id", "hub.a", "hub.na", "hub.ca")
+    often = met_hub.where("component_id <> ca").where(_may_link("n", "na", join)).groupBy("set", "a").agg(F.count(F.lit(1)).alias("times"))
+    place = F.row_number().over(Window.partitionBy("set").orderBy(F.desc("times"), "a"))
+    best = often.withColumn("place", place).where(F.col("place") <= join.hubs)
+    return best.select(F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b")).distinct()
+
+
+def near_pairs(group: pa.Table, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one value, or of two of its blocks, that may link and are in different components."""
+    n, part, block = (group.column(c).to_numpy() for c in ("n", "component_id", "block"))
+    across = part[:, None] != part[None, :]
+    if group.column("i")[0] != group.column("j")[0]:
+        across &= block[:, None] != block[None, :]
+    fits = n * join.numerator
+    across &= (fits[:, None] <= n[None, :] * join.denominator) & (fits[None, :] <= n[:, None] * join.denominator)
+    left, right = np.nonzero(np.triu(across))
+    sketches = [np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()]
+    words = min(map(len, sketches))
+    table = np.stack([folded(x, words) for x in sketches])
+    keep = []
+    step = max(1, (1 << 21) // words)
+    for at in range(0, len(left), step):
+        a, b = left[at : at + step], right[at : at + step]
+        apart = np.bitwise_count(table[a] ^ table[b]).sum(1, dtype=np.int64)
+        bound = (n[a] + n[b]) * (join.denominator - join.numerator) // (join.denominator + join.numerator)
+        keep.append(at + np.flatnonzero(apart <= bound))
+    keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+    return left[keep], right[keep]
+
+
+def crossing(open_: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) that share a value across components and are within the bound of parity bits.
+
+    The rows of a value are dealt to blocks, and each pair of blocks is one group of at most about
+    two blocks' rows; groups follow each other sorted, so a task holds one group and one batch.
+    """
+    sized = open_.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("value")))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / join.block)).cast("int")
+    dealt = (
+        sized.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        .join(sets.select("set", "sketch"), "set")
+        .select("value", "i", "j", "block", "set", "n", "component_id", "sketch")
+        .repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+    )
+
+    def kernel(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = np.stack([held.column(c).to_numpy() for c in ("value", "i", "j")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1)]
+            for low, high in zip(edges, edges[1:]):
+                yield paired(held.slice(low, high - low))
+            held = held.slice(edges[-1])
+        if held is not None and held.num_rows:
+            yield paired(held)
+
+    def paired(group: pa.Table) -> pa.RecordBatch:
+        left, right = near_pairs(group, join)
+        name = group.column("set").to_numpy()
+        a, b = np.minimum(name[left], name[right]), np.maximum(name[left], name[right])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return map_arrow(dealt, kernel, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, owners: DataFrame, picked: DataFrame, join: Join) -> DataFrame:
     """The pairs (a, b) of set names that link: first by parity bits, then on the whole sets.
 
@@ -282,34 +378,19 @@ def classes(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id", tex
     sets = stored(sets, "sketches")
     where = stored(met(sets), "met")
 
-    # Round one: each class against the class it meets most often among the first of each value.
-    hub = F.min("set").over(Window.partitionBy("value"))
-    star = (
-        where.withColumn("a", hub).where("a <> set").groupBy("set", "a").agg(F.count(F.lit(1)).alias("times"))
-        .groupBy("set").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
-        .select(F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b")).distinct()
-    )
-    links = verified(star, sets, owners, picked, join)
-    joined = stored(components(where.select("set").distinct(), links, "set"), "first-components")
-
-    # Round two: pairs that meet, may link by size, and are in different components so far.
-    labelled = where.join(joined, "set")
-    several = (
-        labelled.groupBy("value").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y"))
-        .where("x <> y").select("value")
-    )
-    open_ = stored(labelled.join(several, "value"), "open")
-    left = open_.select("value", F.col("set").alias("a"), F.col("n").alias("na"), F.col("component_id").alias("ca"))
-    right = open_.select("value", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("component_id").alias("cb"))
-    pairs = (
-        left.join(right, "value")
-        .where("a < b and ca <> cb")
-        .where(F.col("na") * join.numerator <= F.col("nb") * join.denominator)
-        .where(F.col("nb") * join.numerator <= F.col("na") * join.denominator)
-        .select("a", "b")
-        .distinct()
-    )
-    links = links.unionByName(verified(pairs, sets, owners, picked, join))
+    nodes = stored(where.select("set").distinct(), "nodes")
+    parts = nodes.select("set", F.col("set").alias("component_id"))
+    links = None
+    for turn in range(join.rounds):
+        star = stored(stars(still_open(where, parts), join, turn), "stars")
+        if star.isEmpty():
+            break
+        more = verified(star, sets, owners, picked, join)
+        links = more if links is None else links.unionByName(more)
+        parts = stored(components(nodes, links, "set"), "components")
+    pairs = crossing(still_open(where, parts), sets, join)
+    more = verified(pairs, sets, owners, picked, join)
+    links = more if links is None else links.unionByName(more)
     found = stored(components(sets.select("set"), links, "set"), "components")
     label = found.join(owners, "set").groupBy("component_id").agg(F.min("id").alias("least"))
     named_by = found.join(label, "component_id").select("set", "least")

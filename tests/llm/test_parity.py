@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from rungwise.llm import parity
 
@@ -57,10 +58,12 @@ def corpus(seed=1):
     return rows
 
 
-def test_components_against_brute_force(spark):
+@pytest.mark.parametrize("join", [JOIN, parity.Join(rounds=0, block=3), parity.Join(rounds=1, hubs=1)])
+def test_components_against_brute_force(spark, join):
+    """With and without the star rounds, in one or in many blocks, the result is the same."""
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, n_shingles int")
-    got = sorted((tuple(r) for r in parity.classes(df).collect()), key=str)
+    got = sorted((tuple(r) for r in parity.classes(df, join).collect()), key=str)
     assert got == slow_components(rows)
 
 
@@ -98,7 +101,7 @@ def test_bands_of_linked_sizes_meet_and_hold_enough_parts():
     for a in [*range(1, 300), 1000, 1023, 1024, 5000, 20_000]:
         b = JOIN.largest(a)
         assert parity.band_of(a) in {parity.band_of(b), parity.band_of(JOIN.smallest(b))}
-        if a in (16, 63, 64, 255, 256, 1023, 5000):
+        if a in (16, 32, 63, 64, 127, 128, 255, 256, 1023, 5000):
             for n, total in ((a, a + b), (b, 2 * b)):
                 values = parity.part_values(np.unique(r.integers(0, 2**63, n).astype(np.uint64)), parity.band_of(a))
                 assert len(values) > JOIN.difference(total)
