@@ -1,14 +1,20 @@
 """Paired hierarchical bootstrap: time blocks first, then events inside each drawn block.
 
 Draws come from a counter-based generator, so every task computes its own draws from (seed,
-replicate, slot, draw) and a lost executor recomputes exactly the same ones. Draws of a large
-block are generated in chunks spread over the cluster, never as one sequence in one task.
+replicate, slot, draw) and a lost executor recomputes exactly the same ones.
+
+Blocks of up to ``BLOCK_EVENTS`` events are one bounded array each, and a NumPy kernel adds up the
+draws of a range of replicates: what leaves a task is one sum per replicate, not a row per draw.
+Draws of larger blocks are generated as rows, in chunks spread over the cluster, and joined to their
+events. Both ways take the same draws, so the result does not depend on the limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +34,9 @@ SEED_STEP, REPLICATE_STEP, SLOT_STEP, DRAW_STEP = 1000003, 7919, 104729, 1548586
 BLOCK_SALTS = (374761393, 668265263)
 EVENT_SALTS = (1274126177, 97531)
 DRAWS_PER_CHUNK = 4096
+BLOCK_EVENTS = 50_000
+REPLICATES_PER_TASK = 1_250
+KERNEL_CELLS = 1 << 20
 
 
 def with_draw(
@@ -64,6 +73,70 @@ def with_draw(
     return df.withColumn(name, drawn).drop("_x", "_square")
 
 
+def drawn(seed: int, replicate, slot, draw, salts: tuple[int, int]) -> np.ndarray:
+    """The generator of ``with_draw`` on NumPy integers, before the bound is applied."""
+    x = (seed * SEED_STEP + replicate * REPLICATE_STEP + slot * SLOT_STEP + (draw + 1) * DRAW_STEP) % PRIME
+    for salt in (*salts, 0):
+        square = x * x % PRIME
+        x = (x * (square * square % PRIME) % PRIME + salt) % PRIME
+    return x
+
+
+def block_sums(
+    values: np.ndarray, index: int, blocks: int, seed: int, first: int, last: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Replicates first..last-1 that draw block ``index`` at all, and the sums of their draws."""
+    n, found = len(values), []
+    slots_at_once = max(1, KERNEL_CELLS // (last - first))
+    for low in range(0, blocks, slots_at_once):
+        slot = np.arange(low, min(blocks, low + slots_at_once), dtype=np.int64)
+        replicate = np.arange(first, last, dtype=np.int64)
+        hit = drawn(seed, replicate[:, None], slot[None, :], 0, BLOCK_SALTS) % blocks == index
+        found.append(np.argwhere(hit) + [first, low])
+    pairs = np.concatenate(found).astype(np.int64)
+    sums = np.zeros((last - first, values.shape[1]))
+    counts = np.zeros(last - first, np.int64)
+    step = max(1, KERNEL_CELLS // n)
+    draw = np.arange(n, dtype=np.int64)
+    for at in range(0, len(pairs), step):
+        part = pairs[at : at + step]
+        picked = drawn(seed, part[:, :1], part[:, 1:], draw[None, :], EVENT_SALTS) % n
+        weight = np.zeros((last - first, n)) if (last - first) * n <= 8 * KERNEL_CELLS else None
+        if weight is None:
+            np.add.at(sums, part[:, 0] - first, values[picked].sum(1))
+        else:
+            # How often each event is drawn in each replicate, then one matrix product.
+            flat = ((part[:, :1] - first) * n + picked).ravel()
+            weight = np.bincount(flat, minlength=weight.size).reshape(weight.shape)
+            sums += weight @ values
+        np.add.at(counts, part[:, 0] - first, n)
+    some = np.flatnonzero(counts)
+    return some + first, np.column_stack([counts[some], sums[some]])
+
+
+def _number(x: Column) -> Column:
+    return x.cast("double")
+
+
+def _kernel(strata: list[str], diffs: list[str], seeds: list[int], names: list[str]):
+    def run(batches):
+        for batch in batches:
+            rows = [batch.column(c).to_pylist() for c in (*strata, "block_index", "blocks", "first", "last")]
+            for k in range(batch.num_rows):
+                values = np.column_stack([batch.column(f"v{i}")[k].values.to_numpy(zero_copy_only=False) for i in range(len(diffs))])
+                index, blocks, first, last = (r[k] for r in rows[len(strata) :])
+                for seed in seeds:
+                    which, table = block_sums(values, index, blocks, seed, first, last)
+                    keys = [pa.array([rows[i][k]] * len(which), batch.column(c).type) for i, c in enumerate(strata)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*keys, pa.array([seed] * len(which), pa.int64()), pa.array(which, pa.int64()),
+                         pa.array(table[:, 0].astype(np.int64)), *(pa.array(table[:, 1 + i]) for i in range(len(diffs)))],
+                        names=names,
+                    )
+
+    return run
+
+
 def check_inputs(events: DataFrame, losses: Sequence[str]) -> None:
     """Guards of the bootstrap: one block per event, finite non-negative losses, two blocks."""
     bad = [~is_finite(loss) | (F.col(loss) < 0) for loss in losses]
@@ -83,22 +156,22 @@ def check_inputs(events: DataFrame, losses: Sequence[str]) -> None:
         .first()
     )
     if not facts["events"]:
-        raise ValueError("at least one observation is required")
+        raise ValueError("the bootstrap got no events")
     if facts["split_block"]:
-        raise ValueError("an event appears in more than one block")
+        raise ValueError("events may not be spread over several blocks")
     if facts["bad"]:
-        raise ValueError("losses must be finite and non-negative")
+        raise ValueError("a loss is negative, missing or not finite")
     if not facts["two_blocks"]:
-        raise ValueError("at least two time blocks are required")
+        raise ValueError("resampling blocks takes two of them or more")
 
 
 def check_settings(resamples: int, confidence: float, seed: int) -> None:
     if isinstance(resamples, bool) or not isinstance(resamples, int) or resamples <= 0:
-        raise ValueError("n_resamples must be a positive integer")
+        raise ValueError("the number of resamples is a whole number above zero")
     if not 0.0 < confidence < 1.0:
-        raise ValueError("confidence must lie in (0, 1)")
+        raise ValueError("the confidence is strictly between zero and one")
     if isinstance(seed, bool) or not isinstance(seed, int) or seed < 0:
-        raise ValueError("seed must be a non-negative integer")
+        raise ValueError("the seed is a whole number, zero or more")
 
 
 def replicates(
@@ -108,11 +181,13 @@ def replicates(
     seeds: Sequence[int],
     strata: Sequence[str] = (),
     max_rows: int = MAX_GROUP_ROWS,
+    block_events: int = BLOCK_EVENTS,
 ) -> DataFrame:
     """One row per (stratum, seed, replicate) with the mean of every ``diffs`` column.
 
-    ``events`` holds one row per event: ``event_id, block``, the strata and the paired
-    differences. Strata are resampled independently; all difference columns share the draws.
+    ``events`` holds one row per event: ``event_id, block``, the strata and the paired differences
+    (not null). Strata are resampled independently; all difference columns share the draws. Blocks
+    above ``block_events`` go the way of rows, see the module's text.
     """
     strata = list(strata)
     columns = [*strata, "event_id", "block", *diffs]
@@ -133,8 +208,42 @@ def replicates(
         F.min("blocks"), F.sum("blocks"), F.sum("stratum_events")
     ).first()
     if fewest is None or fewest < 2:
-        raise ValueError("at least two time blocks are required")
+        raise ValueError("resampling blocks takes two of them or more")
+
+    placed = placed.join(small(blocks.select(*strata, "block", "block_index", "block_events"), n_blocks), [*strata, "block"])
+    names = [*strata, "seed", "replicate", "_n", *[f"_s{i}" for i in range(len(diffs))]]
+    ordered = F.sort_array(F.collect_list(F.struct("event_index", *diffs)))
+    pools = (
+        placed.where(F.col("block_events") <= block_events)
+        .groupBy(*strata, "block_index")
+        .agg(ordered.alias("_pool"))
+        .join(F.broadcast(totals.select(*strata, "blocks")), strata)
+        .withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(REPLICATES_PER_TASK))))
+        .withColumn("last", F.least(F.col("first") + REPLICATES_PER_TASK, F.lit(resamples)))
+        .select(
+            *strata, "block_index", "blocks", "first", "last",
+            *[F.transform(F.col(f"_pool.{d}"), _number).alias(f"v{i}") for i, d in enumerate(diffs)],
+        )
+    )
+    tasks = max(1, min(int(n_blocks) * -(-resamples // REPLICATES_PER_TASK), 10_000))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in paired.schema if f.name in strata)
+    kinds += ", seed bigint, replicate bigint, _n bigint, " + ", ".join(f"_s{i} double" for i in range(len(diffs)))
+    kernel = _kernel(strata, list(diffs), [int(s) for s in seeds], names)
+    sums = pools.repartition(tasks).mapInArrow(kernel, kinds)
+    large = blocks.where(F.col("block_events") > block_events)
+    if not large.isEmpty():
+        sums = sums.unionByName(
+            _drawn_rows(placed, large, totals, n_blocks, n_events, resamples, seeds, strata, diffs).select(*names)
+        )
+    totalled = sums.groupBy(*strata, "seed", "replicate").agg(
+        F.sum("_n").alias("_n"), *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(diffs))]
+    )
+    means = [(F.col(f"_s{i}") / F.col("_n")).alias(d) for i, d in enumerate(diffs)]
+    return totalled.select(*strata, "seed", "replicate", *means).drop("_all")
 
+
+def _drawn_rows(placed, large, totals, n_blocks, n_events, resamples, seeds, strata, diffs) -> DataFrame:
+    """Sums per replicate over the draws of the large blocks, a row per draw before aggregation."""
     seed_values = F.array(*[F.lit(int(s)).cast("bigint") for s in seeds])
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint"))
     slots = (
@@ -145,21 +254,21 @@ def replicates(
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
     slots = with_draw(slots, "block_index", "seed", "slot", F.lit(0), "blocks", BLOCK_SALTS)
-    drawn = slots.join(small(blocks, n_blocks), [*strata, "block_index"])
+    chosen = slots.join(small(large, n_blocks), [*strata, "block_index"])
     last_chunk = F.floor((F.col("block_events") - 1) / DRAWS_PER_CHUNK)
-    chunks = drawn.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
-    if n_events > DRAWS_PER_CHUNK:
-        chunks = chunks.repartition("replicate", "slot", "_chunk")
+    chunks = chosen.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
+    chunks = chunks.repartition("replicate", "slot", "_chunk")
     begin = F.col("_chunk") * DRAWS_PER_CHUNK
     end = F.least(begin + DRAWS_PER_CHUNK, F.col("block_events")) - 1
     draws = chunks.withColumn("draw", F.explode(F.sequence(begin, end)))
     draws = with_draw(
         draws, "event_index", "seed", "slot", F.col("draw"), "block_events", EVENT_SALTS
-    ).select(*strata, "seed", "replicate", "block", "event_index")
-    pool = placed.select(*strata, "block", "event_index", *diffs)
-    picked = draws.join(small(pool, n_events), [*strata, "block", "event_index"])
-    means = picked.groupBy(*strata, "seed", "replicate").agg(*[F.avg(d).alias(d) for d in diffs])
-    return means.drop("_all")
+    ).select(*strata, "seed", "replicate", "block_index", "event_index")
+    pool = placed.select(*strata, "block_index", "event_index", *diffs)
+    picked = draws.join(small(pool, n_events), [*strata, "block_index", "event_index"])
+    return picked.groupBy(*strata, "seed", "replicate").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(d).alias(f"_s{i}") for i, d in enumerate(diffs)]
+    )
 
 
 def intervals(

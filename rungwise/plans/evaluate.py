@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rungwise.config import Protocol
 from rungwise.operators import bootstrap as bst
+from rungwise.functions.numeric import is_finite
 from rungwise.operators import scoring
 from rungwise.operators.calibrate import Model, apply_calibrators, fit_calibrators, model_table
 from rungwise.operators.isotonic import project_ladders
 from rungwise.operators.ordered import MAX_GROUP_ROWS, side_by_side
+from rungwise.operators.quality import DataQualityError
+from rungwise.session import checkpointed
 
 SLICE = ["split", "horizon_seconds"]
 LADDER = ["event_id", "horizon_seconds"]
@@ -28,24 +32,52 @@ METHODS = {
 
 @dataclass
 class Evaluation:
-    """Result tables of one run. ``release`` frees the cached prediction table."""
+    """Result tables of one run, each planned when it is first asked for.
+
+    Predictions and event losses are written in the shared folder, so every table starts there; the
+    bootstrap runs only if intervals or the gate are read.
+    """
 
     models: list[Model]
     predictions: DataFrame
     events: DataFrame
-    summary: DataFrame
-    metrics: DataFrame
-    comparisons: DataFrame
-    subgroups: DataFrame
-    intervals: DataFrame
-    gate: DataFrame
+    protocol: Protocol
+    coverage: DataFrame
+    max_rows: int = MAX_GROUP_ROWS
 
     def model_table(self) -> DataFrame:
         return model_table(self.predictions.sparkSession, self.models)
 
-    def release(self) -> None:
-        self.predictions.unpersist()
-        self.events.unpersist()
+    @cached_property
+    def summary(self) -> DataFrame:
+        return scoring.slice_summary(self.predictions, SLICE)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return method_table(self.predictions, self.events, max_rows=self.max_rows)
+
+    @cached_property
+    def comparisons(self) -> DataFrame:
+        return scoring.comparisons(scoring.macro_scores(self.events, SLICE, METHODS), SLICE)
+
+    @cached_property
+    def subgroups(self) -> DataFrame:
+        return scoring.asset_subgroups(self.events, SLICE)
+
+    @cached_property
+    def intervals(self) -> DataFrame:
+        return comparison_intervals(self.events, self.protocol, self.max_rows)
+
+    def reporting_gate(self, verified: DataFrame | None = None) -> DataFrame:
+        """The gate's conditions, with ``verified`` labels two more."""
+        return reporting_gate(
+            self.protocol, self.summary, self.comparisons, self.subgroups, self.metrics,
+            self.intervals, self.coverage, verified,
+        )
+
+    @cached_property
+    def gate(self) -> DataFrame:
+        return self.reporting_gate()
 
 
 def predict(rows: DataFrame, protocol: Protocol, max_rows: int = MAX_GROUP_ROWS):
@@ -87,26 +119,23 @@ def comparison_intervals(events: DataFrame, protocol: Protocol, max_rows: int) -
         (F.col("split") == protocol.holdout_split)
         & F.col("horizon_seconds").isin([int(h) for h in protocol.horizons])
     )
-    losses = {"brier": protocol.seed, "log": protocol.seed + 1}
-    diffs = {
-        f"{name}__{loss}": F.col(f"{base}__{loss}") - F.col(f"{model}__{loss}")
-        for loss in losses
-        for name, base, model in scoring.COMPARISONS
-    }
-    paired = held.select(
-        "horizon_seconds", "event_id", "block", *[d.alias(name) for name, d in diffs.items()]
-    )
-    drawn = bst.replicates(
-        paired, list(diffs), protocol.resamples, list(losses.values()), ["horizon_seconds"], max_rows
-    )
-    bounds = bst.intervals(drawn, list(diffs), protocol.confidence, ["horizon_seconds", "seed"])
-    parts = F.split("name", "__")
-    own_seed = F.when(F.col("loss") == "brier", losses["brier"]).otherwise(losses["log"])
-    named = bounds.withColumn("comparison", parts[0]).withColumn("loss", parts[1])
-    return named.where(F.col("seed") == own_seed).select(
+    bst.check_inputs(held, [f"{m}__{loss}" for m in METHODS for loss in ("brier", "log")])
+    found = []
+    for loss, seed in (("brier", protocol.seed), ("log", protocol.seed + 1)):
+        diffs = {
+            name: F.col(f"{base}__{loss}") - F.col(f"{model}__{loss}")
+            for name, base, model in scoring.COMPARISONS
+        }
+        paired = held.select("horizon_seconds", "event_id", "block", *[d.alias(n) for n, d in diffs.items()])
+        replicates = bst.replicates(
+            paired, list(diffs), protocol.resamples, [seed], ["horizon_seconds"], max_rows
+        )
+        bounds = bst.intervals(replicates, list(diffs), protocol.confidence, ["horizon_seconds"])
+        found.append(bounds.withColumn("loss", F.lit(loss)))
+    return found[0].unionByName(found[1]).select(
         F.lit(protocol.holdout_split).alias("split"),
         "horizon_seconds",
-        "comparison",
+        F.col("name").alias("comparison"),
         "loss",
         "lower",
         "upper",
@@ -204,24 +233,70 @@ def reporting_gate(
     return side_by_side(*parts).select(F.inline(F.array(*rows)))
 
 
+def input_problems(rows: DataFrame, protocol: Protocol) -> DataFrame:
+    """Violations (rule_id, key, detail) of the table to be evaluated; empty if it may be.
+
+    Per row: probability, label, threshold, split and horizon; per rung: repeated thresholds; per
+    event: one split, block and asset; per declared slice: at least one row.
+    """
+    p, y, t = F.col("p"), F.col("label"), F.col("threshold")
+    broken = {
+        "probability_not_in_unit_interval": p.isNull() | F.isnan(p) | (p < 0) | (p > 1),
+        "label_not_binary": y.isNull() | ~((y == 0) | (y == 1)),
+        "threshold_not_finite": ~is_finite("threshold"),
+        "split_not_declared": ~F.coalesce(F.col("split").isin(list(protocol.splits)), F.lit(False)),
+        "horizon_not_declared": ~F.coalesce(
+            F.col("horizon_seconds").isin([int(h) for h in protocol.horizons]), F.lit(False)
+        ),
+        "event_missing": F.col("event_id").isNull() | F.col("block").isNull(),
+    }
+    fired = F.array_compact(F.array(*[F.when(test, name) for name, test in broken.items()]))
+    event = F.coalesce(F.col("event_id").cast("string"), F.lit(""))
+    per_row = rows.select(event.alias("key"), F.explode(fired).alias("rule_id"))
+    rungs = rows.groupBy(event.alias("key"), "horizon_seconds", t.alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = rungs.where("n > 1").select("key", F.lit("threshold_repeated").alias("rule_id"))
+    facts = [F.min(c).alias(f"{c}_lo") for c in ("split", "block", "asset")]
+    facts += [F.max(c).alias(f"{c}_hi") for c in ("split", "block", "asset")]
+    per_event = rows.groupBy(event.alias("key")).agg(*facts)
+    several = F.array_compact(
+        F.array(*[F.when(F.col(f"{c}_lo") != F.col(f"{c}_hi"), f"event_in_several_{c}s") for c in ("split", "block", "asset")])
+    )
+    spread = per_event.select("key", F.explode(several).alias("rule_id"))
+    found = per_row.unionByName(repeated).unionByName(spread).groupBy("rule_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    listed = found.select("rule_id", "key", F.concat(F.col("n").cast("string"), F.lit(" times")).alias("detail"))
+    grid = protocol.grid(rows.sparkSession)
+    cells = rows.groupBy(*SLICE).agg(F.count(F.lit(1)).alias("n"))
+    empty = grid.join(cells, SLICE, "left_anti").select(
+        F.lit("slice_empty").alias("rule_id"),
+        F.concat_ws("/", "split", F.col("horizon_seconds").cast("string")).alias("key"),
+        F.lit("no rows").alias("detail"),
+    )
+    return listed.unionByName(empty)
+
+
+def check_input(rows: DataFrame, protocol: Protocol) -> None:
+    """Raise, naming some of what is wrong, unless the table may be evaluated."""
+    some = input_problems(rows, protocol).orderBy("rule_id", "key").limit(5).collect()
+    if some:
+        raise DataQualityError("; ".join(f"{r.rule_id} {r.key} ({r.detail})" for r in some))
+
+
 def evaluate(
     rows: DataFrame, protocol: Protocol, coverage: DataFrame, max_rows: int = MAX_GROUP_ROWS
 ) -> Evaluation:
-    """Full run over all splits and horizons. ``coverage`` holds the declared slice coverage."""
-    models, projected = predict(rows, protocol, max_rows)
-    predictions = projected.persist()
-    events = scoring.event_losses(
-        predictions, [*SLICE, "event_id", "asset", "block"], METHODS, protocol.log_epsilon
-    ).persist()
-    scores = scoring.macro_scores(events, SLICE, METHODS)
-    metrics = method_table(predictions, events, max_rows=max_rows)
-    summary = scoring.slice_summary(predictions, SLICE)
-    compared = scoring.comparisons(scores, SLICE)
-    subgroups = scoring.asset_subgroups(events, SLICE)
-    intervals = comparison_intervals(events, protocol, max_rows)
-    gate = reporting_gate(
-        protocol, summary, compared, subgroups, metrics, intervals, coverage
+    """Full run over all splits and horizons. ``coverage`` holds the declared slice coverage.
+
+    The table is written once to the shared folder, checked, and only then fitted and scored.
+    """
+    rows = checkpointed(
+        rows.select("event_id", "horizon_seconds", "threshold", "p", "label", "split", "block", "asset")
     )
-    return Evaluation(
-        models, predictions, events, summary, metrics, compared, subgroups, intervals, gate
+    check_input(rows, protocol)
+    models, projected = predict(rows, protocol, max_rows)
+    predictions = checkpointed(projected)
+    events = checkpointed(
+        scoring.event_losses(
+            predictions, [*SLICE, "event_id", "asset", "block"], METHODS, protocol.log_epsilon
+        )
     )
+    return Evaluation(models, predictions, events, protocol, coverage, max_rows)

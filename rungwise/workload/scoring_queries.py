@@ -219,11 +219,9 @@ def ranks(spark, folder):
     return with_index(parts, "rung")
 
 
-def holdout_diffs(spark, folder, horizon: int = 1800):
-    events = raw_events(spark, folder).where(
-        (F.col("split") == "holdout") & (F.col("horizon_seconds") == horizon)
-    )
-    return events.select(
+def holdout_diffs(spark, folder):
+    return raw_events(spark, folder).where("split = 'holdout'").select(
+        "horizon_seconds",
         "event_id",
         "block",
         (F.col("raw__brier") - F.col("pav_raw__brier")).alias("brier"),
@@ -231,25 +229,25 @@ def holdout_diffs(spark, folder, horizon: int = 1800):
     )
 
 
-RESAMPLES = 60
+RESAMPLES = 10_000
 
 
 def replicate_means(spark, folder):
     diffs = holdout_diffs(spark, folder)
-    drawn = bst.replicates(diffs, ["brier", "log"], RESAMPLES, [7])
+    drawn = bst.replicates(diffs, ["brier", "log"], RESAMPLES, [7], ["horizon_seconds"])
     return rounded(drawn.drop("seed"), 10)
 
 
 def interval(spark, folder):
     diffs = holdout_diffs(spark, folder)
-    drawn = bst.replicates(diffs, ["brier", "log"], RESAMPLES, [7])
-    return rounded(bst.intervals(drawn, ["brier", "log"], 0.95), 10)
+    drawn = bst.replicates(diffs, ["brier", "log"], RESAMPLES, [7], ["horizon_seconds"])
+    return rounded(bst.intervals(drawn, ["brier", "log"], 0.95, ["horizon_seconds"]), 10)
 
 
 def bootstrap_guards(spark, folder):
     """Facts the bootstrap requires: blocks, events, events in several blocks, bad losses."""
     events = raw_events(spark, folder)
-    held = events.where("split = 'holdout' and horizon_seconds = 1800")
+    held = events.where("split = 'holdout'")
     bst.check_inputs(held, ["raw__brier", "pav_raw__brier"])
     per_event = held.groupBy("event_id").agg(
         (F.min("block") != F.max("block")).cast("bigint").alias("several")
@@ -281,6 +279,26 @@ def full_run(spark, folder) -> ev.Evaluation:
     )
 
 
+def broken_ladder(spark, folder):
+    """The ladder with faults wherever a line's price says so, one rule each."""
+    ladder = views.ladder(spark, folder).drop("scheduled_time")
+    n = F.col("event_id") % 97
+    return ladder.select(
+        "event_id",
+        F.when(n == 1, 60).otherwise(F.col("horizon_seconds")).alias("horizon_seconds"),
+        F.when(n == 2, float("inf")).when(n == 3, 1.0).otherwise(F.col("threshold")).alias("threshold"),
+        F.when(n == 4, float("nan")).when(n == 5, 1.7).when(n == 6, None).otherwise(F.col("p")).alias("p"),
+        F.when(n == 7, 0.5).otherwise(F.col("label")).alias("label"),
+        F.when(n == 8, "other").otherwise(F.col("split")).alias("split"),
+        F.when((n == 9) & (F.col("threshold") == 1.0), "elsewhen").otherwise(F.col("block")).alias("block"),
+        F.when((n == 10) & (F.col("threshold") == 1.0), "elsewhat").otherwise(F.col("asset")).alias("asset"),
+    ).where("not (split = 'validation' and horizon_seconds = 900)")
+
+
+def input_problems(spark, folder):
+    return ev.input_problems(broken_ladder(spark, folder), views.PROTOCOL)
+
+
 def evaluation(spark, folder):
     return rounded(full_run(spark, folder).metrics, 6)
 
@@ -394,10 +412,22 @@ _HEADLINE = sql.query(
     _scores_with_edges(_TWO, 9), *_SCORED, sql.edges(methods=_TWO)
 )
 _FULL = (sql.predictions(), sql.event_losses())
-_DIFFS = """diffs as (
-  select event_id, block, raw_brier - pav_raw_brier as brier, raw_log - pav_raw_log as log
-  from event_loss where split = 'holdout' and horizon_seconds = 1800)"""
-_REPS = sql.bootstrap("diffs", "brier, log", 7, RESAMPLES)
+
+
+def _replicate_sql() -> str:
+    """The nested bootstrap of both horizons, as table ``reps``."""
+    parts = []
+    for horizon in views.HORIZONS:
+        source = (
+            "diffs as (select event_id, block, raw_brier - pav_raw_brier as brier, "
+            f"raw_log - pav_raw_log as log from event_loss where split = 'holdout' and horizon_seconds = {horizon})"
+        )
+        draws = sql.bootstrap("diffs", "brier, log", 7, RESAMPLES)
+        parts.append(f"select * from (with {source}, {draws} select {horizon} as horizon_seconds, * from reps)")
+    return "reps as (" + " union all ".join(parts) + ")"
+
+
+_REPS = _replicate_sql()
 
 
 def _comparison_sql() -> str:
@@ -635,24 +665,25 @@ QUERIES = {
     "bst1_replicates": (
         replicate_means,
         sql.query(
-            "select rep as replicate, round(brier, 10) as brier, round(log, 10) as log from reps",
-            *_SCORED, _DIFFS, _REPS,
+            "select horizon_seconds, rep as replicate, round(brier, 10) as brier, round(log, 10) as log from reps",
+            *_SCORED, _REPS,
         ),
     ),
     "bst1_interval": (
         interval,
         sql.query(
-            "select 'brier' as name, round(quantile_cont(brier, 0.025), 10) as lower, "
-            "round(quantile_cont(brier, 0.975), 10) as upper from reps union all "
-            "select 'log', round(quantile_cont(log, 0.025), 10), round(quantile_cont(log, 0.975), 10) from reps",
-            *_SCORED, _DIFFS, _REPS,
+            "select horizon_seconds, 'brier' as name, round(quantile_cont(brier, 0.025), 10) as lower, "
+            "round(quantile_cont(brier, 0.975), 10) as upper from reps group by 1 union all "
+            "select horizon_seconds, 'log', round(quantile_cont(log, 0.025), 10), "
+            "round(quantile_cont(log, 0.975), 10) from reps group by 1",
+            *_SCORED, _REPS,
         ),
     ),
     "bst2_guards": (
         bootstrap_guards,
         sql.query(
             "select count(*) as events, 0 as events_in_several_blocks from (select event_id from ladder "
-            "where split = 'holdout' and horizon_seconds = 1800 group by 1 having count(distinct block) = 1) e",
+            "where split = 'holdout' group by 1 having count(distinct block) = 1) e",
             sql.LADDER,
         ),
     ),
@@ -663,6 +694,28 @@ QUERIES = {
             *_FULL, _interval_sql(), recursive=True,
         ),
     ),
+    "eval1_input_problems": (
+        input_problems,
+        sql.query(
+            "select rule_id, key, n::varchar || ' times' as detail from ("
+            "select case event_id % 97 when 1 then 'horizon_not_declared' when 2 then 'threshold_not_finite' "
+            "when 7 then 'label_not_binary' when 8 then 'split_not_declared' "
+            "else 'probability_not_in_unit_interval' end as rule_id, event_id::varchar as key, count(*) as n "
+            "from kept where event_id % 97 in (1, 2, 4, 5, 6, 7, 8) group by 1, 2 union all "
+            "select 'threshold_repeated', event_id::varchar, count(*) from (select event_id, horizon_seconds "
+            "from kept where event_id % 97 = 3 group by 1, 2 having count(*) > 1) group by 2 union all "
+            "select 'threshold_repeated', event_id::varchar, count(*) from (select event_id from kept "
+            "where event_id % 97 in (1, 2) group by event_id, case when event_id % 97 = 1 then 0 else horizon_seconds end, "
+            "case when event_id % 97 = 2 then 0 else threshold end having count(*) > 1) group by 2 union all "
+            "select case event_id % 97 when 9 then 'event_in_several_blocks' else 'event_in_several_assets' end, "
+            "event_id::varchar, 1 from kept where event_id % 97 in (9, 10) group by event_id "
+            "having count(*) filter (threshold = 1) > 0 and count(*) filter (threshold <> 1) > 0) x "
+            "union all select 'slice_empty', 'validation/900', 'no rows'",
+            sql.LADDER,
+            "kept as (select * from ladder where not (split = 'validation' "
+            "and horizon_seconds = 900 and event_id % 97 not in (1, 8)))",
+        ),
+    ),
     "eval1_scores": (
         evaluation,
         sql.query(_scores_with_edges(sql.METHODS, 6), *_FULL, sql.edges(), recursive=True),

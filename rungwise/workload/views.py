@@ -33,7 +33,7 @@ PROTOCOL = Protocol(
     minimum_thresholds=3,
     max_staleness_seconds=40,
     resolution_grace_seconds=GRACE,
-    resamples=200,
+    resamples=10_000,
     seed=260715,
     gate=Gate(minimum_events=500, minimum_blocks=14),
 )

@@ -37,15 +37,17 @@ def brute(diffs, resamples, seed):
     return np.array(means)
 
 
-@pytest.mark.parametrize("max_rows", [250_000, 5])
-def test_replicates_match_plain_loops(spark, monkeypatch, max_rows):
+@pytest.mark.parametrize(("max_rows", "block_events"), [(250_000, 50_000), (5, 50_000), (250_000, 5), (5, 0)])
+def test_replicates_match_plain_loops(spark, monkeypatch, max_rows, block_events):
+    """Whatever the size limits: kernel for all, for some or for none of the blocks."""
     monkeypatch.setattr(bst, "DRAWS_PER_CHUNK", 4)
+    monkeypatch.setattr(bst, "REPLICATES_PER_TASK", 10)
     rng = np.random.default_rng(1)
     sizes = {"b1": 3, "b2": 23, "b3": 1, "b4": 8}
     diffs = {b: {f"{b}-{i:02d}": float(rng.normal()) for i in range(n)} for b, n in sizes.items()}
     rows = [(e, b, v) for b, d in diffs.items() for e, v in d.items()]
     df = spark.createDataFrame(rows, "event_id string, block string, d double")
-    got = bst.replicates(df, ["d"], 25, [9], max_rows=max_rows).orderBy("replicate").toPandas()
+    got = bst.replicates(df, ["d"], 25, [9], max_rows=max_rows, block_events=block_events).orderBy("replicate").toPandas()
     assert np.allclose(got.d.to_numpy(), brute(diffs, 25, 9))
 
 
@@ -92,10 +94,10 @@ def test_interval_covers_the_spread_of_the_mean(spark):
 @pytest.mark.parametrize(
     ("data", "message"),
     [
-        ([], "at least one"),
-        ([("a", "1", 0.1, 0.1), ("a", "2", 0.1, 0.1)], "more than one block"),
-        ([("a", "1", 0.1, 0.1), ("b", "1", 0.1, 0.1)], "two time blocks"),
-        ([("a", "1", -0.1, 0.1), ("b", "2", 0.1, 0.1)], "non-negative"),
+        ([], "no events"),
+        ([("a", "1", 0.1, 0.1), ("a", "2", 0.1, 0.1)], "several blocks"),
+        ([("a", "1", 0.1, 0.1), ("b", "1", 0.1, 0.1)], "two of them"),
+        ([("a", "1", -0.1, 0.1), ("b", "2", 0.1, 0.1)], "negative"),
         ([("a", "1", float("nan"), 0.1), ("b", "2", 0.1, 0.1)], "finite"),
     ],
 )
@@ -104,6 +106,14 @@ def test_bad_inputs(spark, data, message):
         bst.paired_bootstrap(events(spark, data), "base", "model", 5)
 
 
+def test_kernel_in_small_pieces(monkeypatch):
+    values = np.random.default_rng(0).normal(size=(37, 2))
+    whole = bst.block_sums(values, 1, 5, 3, 10, 60)
+    monkeypatch.setattr(bst, "KERNEL_CELLS", 64)
+    parts = bst.block_sums(values, 1, 5, 3, 10, 60)
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+
+
 @pytest.mark.parametrize("kwargs", [{"resamples": 0}, {"resamples": True}, {"confidence": 1.0}, {"seed": -1}])
 def test_bad_settings(kwargs):
     with pytest.raises(ValueError):

@@ -190,4 +190,3 @@ def test_full_evaluation(spark):
     assert {m.iterations for m in done.models} <= set(range(1, 15))
     document = sinks.result_document(done.summary, done.metrics, done.comparisons, done.gate.where("gate = 'primary'"))
     assert '"passed":true' in document.first().value
-    done.release()
