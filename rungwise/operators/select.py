@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungwise.config import Protocol
@@ -21,6 +21,7 @@ from rungwise.functions.text import (
     threshold,
 )
 from rungwise.functions.times import split_of, utc_day, utc_text, zoned_timestamp
+from rungwise.session import checkpointed
 from rungwise.operators.ordered import MAX_GROUP_ROWS, segment, with_index, with_next
 
 MARKET_FIELDS = (
@@ -360,6 +361,19 @@ def canonical_order(rows: DataFrame, splits: Mapping[str, tuple[str, str]]) -> D
     )
 
 
+def with_position(ordered: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a sorted table from 0, without gathering it: each range partition numbers
+    its own rows, and the counts before it (one row per partition) are added."""
+    marked = checkpointed(
+        ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    )
+    inside = F.col("_id") - F.shiftleft(F.col("_part").cast("bigint"), 33)
+    counts = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    offsets = F.broadcast(counts.select("_part", before.alias("_before")))
+    return marked.join(offsets, "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_id", "_before")
+
+
 def snapshot_rows(retained: DataFrame, label_source: str) -> DataFrame:
     """The closed 23-column candidate schema from retained cutoff rows."""
     return retained.select(

@@ -206,29 +206,32 @@ def bundles(spark, folder):
 
 
 def gaps(spark, folder):
-    """Line numbers per table as a request sequence: parts never sold leave gaps."""
-    rows = views.table(spark, folder, "lineitem").where("l_returnflag = 'R'").select(
-        F.col("l_partkey").alias("sequence"),
-        F.when(F.col("l_linestatus") == "O", F.col("l_partkey")).otherwise(F.col("l_partkey") + 1).alias("request_id"),
+    """Order keys as a request sequence with holes, repeated numbers and foreign request ids."""
+    k = F.col("o_orderkey")
+    rows = views.table(spark, folder, "orders").where(k % 50 != 0).select(
+        k.alias("sequence"), F.when(k % 33 == 0, k + 1).otherwise(k).alias("request_id")
     )
-    once = rows.groupBy("sequence").agg(F.min("request_id").alias("request_id"))
-    return quality.sequence_gaps(once, "sequence", "request_id").select("rule_id", "key")
+    repeated = rows.where("sequence % 77 = 0")
+    found = quality.sequence_gaps(rows.unionByName(repeated), "sequence", "request_id")
+    return found.select("rule_id", "key")
 
 
 def digests(spark, folder):
-    """Every order line written as a gzip text per month, digested as files and as content."""
+    """Every order written as a line of its month's gzip text: the digest of the text behind the
+    file, and whether that is another one than the file's."""
     path = scratch_path(spark, "archive")
     rows = views.table(spark, folder, "orders").select(
-        F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.to_json(F.struct("o_orderkey")).alias("value")
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey",
+        F.to_json(F.struct("o_orderkey")).alias("value"),
     )
-    rows.repartition("month").write.option("compression", "gzip").partitionBy("month").text(path)
+    sorted_rows = rows.repartition("month").sortWithinPartitions("month", "o_orderkey").drop("o_orderkey")
+    sorted_rows.write.option("compression", "gzip").partitionBy("month").text(path)
     found = provenance.artifact_digests(spark, path, "*.gz")
     return found.select(
-        F.length("sha256").cast("bigint").alias("hash_digits"),
-        F.length("content_sha256").cast("bigint").alias("content_digits"),
-        (F.col("sha256") != F.col("content_sha256")).alias("differ"),
         F.regexp_extract("path", r"month=(\d{4}-\d{2})", 1).alias("month"),
-    ).distinct()
+        "content_sha256",
+        (F.col("sha256") != F.col("content_sha256")).alias("differ"),
+    )
 
 
 def archive_audit(spark, folder):
@@ -579,14 +582,17 @@ QUERIES = {
     ),
     "win5_sequence_gaps": (
         gaps,
-        "select case when has_gap then 'sequence_gap' else 'request_id_differs' end as rule_id, cast(n as varchar) as key from ("
-        "select n, n <> 1 and n - 1 not in (select l_partkey from lineitem where l_returnflag = 'R') as has_gap, r from ("
-        "select l_partkey as n, min(case when l_linestatus = 'O' then l_partkey else l_partkey + 1 end) as r "
-        "from lineitem where l_returnflag = 'R' group by 1) x) y where has_gap or r <> n",
+        "select rule_id, cast(k as varchar) as key from (select o_orderkey as k, case "
+        "when o_orderkey % 77 = 0 then 'sequence_repeated' "
+        "when o_orderkey <> 1 and o_orderkey - 1 not in (select o_orderkey from orders where o_orderkey % 50 <> 0) "
+        "then 'sequence_gap' when o_orderkey % 33 = 0 then 'request_id_differs' end as rule_id "
+        "from orders where o_orderkey % 50 <> 0) x where rule_id is not null",
     ),
     "src8_artifact_digests": (
         digests,
-        "select distinct 64 as hash_digits, 64 as content_digits, true as differ, strftime(o_orderdate, '%Y-%m') as month from orders",
+        "select strftime(o_orderdate, '%Y-%m') as month, sha256(string_agg("
+        "'{\"o_orderkey\":' || o_orderkey || '}' || chr(10), '' order by o_orderkey)) as content_sha256, "
+        "true as differ from orders group by 1",
     ),
     "val11_archive_audit": (
         archive_audit,

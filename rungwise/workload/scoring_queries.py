@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rungwise.functions.numeric import quantised
 from rungwise.operators import bootstrap as bst
+from rungwise.operators import coverage
 from rungwise.operators import calibrate, scoring
 from rungwise.operators.isotonic import project_ladders
 from rungwise.operators.ordered import percentiles as ordered_percentiles
@@ -213,7 +214,7 @@ def steps(spark, folder):
 
 
 def ranks(spark, folder):
-    """Rung number and running mean of the quotes along each ladder."""
+    """Rung number along each ladder."""
     rows = views.ladder(spark, folder).select("event_id", "horizon_seconds", "threshold")
     parts = segment(rows, LADDER, "threshold")
     return with_index(parts, "rung")
@@ -264,10 +265,20 @@ def percentiles(spark, folder):
 
 
 def slice_coverage(spark, folder):
-    """All rows of the ladder view are retained: its own declared coverage."""
-    cells = views.ladder(spark, folder).groupBy(*SLICE).agg(F.count(F.lit(1)).alias("n"))
-    return cells.select(
-        *SLICE, F.lit(1.0).alias("event_coverage"), F.lit(1.0).alias("row_coverage")
+    """What the ladder keeps of all orders and all their lines, by the history coverage operator."""
+    lines = views.table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    events = (
+        views.table(spark, folder, "orders")
+        .select("o_orderkey", views.split_column().alias("split"))
+        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .select("split", F.coalesce("n", F.lit(0)).alias("eligible_market_count"))
+    )
+    grid = views.PROTOCOL.grid(spark)
+    found = coverage.history_coverage(grid, events, views.ladder(spark, folder))
+    return found.select(
+        *SLICE,
+        F.col("event_history_coverage").alias("event_coverage"),
+        F.col("row_history_coverage").alias("row_coverage"),
     )
 
 
@@ -483,8 +494,8 @@ def _gate_sql() -> str:
     rows = [
         ("primary", "minimum_holdout_events", "events", 500, "v >= 500"),
         ("primary", "minimum_holdout_utc_days", "blocks", 14, "v >= 14"),
-        ("primary", "minimum_event_coverage", "1e0", 0.95, "v >= 0.95"),
-        ("primary", "minimum_contract_coverage", "1e0", 0.95, "v >= 0.95"),
+        ("primary", "minimum_event_coverage", "(select ec from covered)", 0.95, "v >= 0.95"),
+        ("primary", "minimum_contract_coverage", "(select rc from covered)", 0.95, "v >= 0.95"),
         ("primary", "minimum_relative_brier_improvement", "relative", 0.001, "v >= 0.001"),
         ("primary", "brier_ci_lower_above_zero", lower, 0, "v > 0"),
         ("primary", "log_loss_regression_within_limit", "log_delta", -0.001, "v >= -0.001"),
@@ -501,6 +512,12 @@ def _gate_sql() -> str:
     )
 
 
+_COVERED = f"""covered as (
+  select (select count(distinct event_id) from ladder where split = 'holdout')
+      / (select count(*) from orders where {sql.SPLIT.format('o_orderdate')} = 'holdout') as ec,
+    (select count(*) from ladder where split = 'holdout' and horizon_seconds = 1800)
+      / (select count(*) from lineitem join orders on o_orderkey = l_orderkey
+         where {sql.SPLIT.format('o_orderdate')} = 'holdout') as rc)"""
 _WEIGHTED = """weighted as (select *, threshold + 1e0 as w from ladder)"""
 _Z = "ln(greatest(1e-6, least(1 - 1e-6, p))) - ln(1 - greatest(1e-6, least(1 - 1e-6, p)))"
 
@@ -723,7 +740,7 @@ QUERIES = {
     "agg18_reporting_gate": (
         gate,
         sql.query(
-            _gate_sql(), *_FULL, sql.edges(), _interval_sql(), _GATE_FACTS, recursive=True
+            _gate_sql(), *_FULL, sql.edges(), _interval_sql(), _GATE_FACTS, _COVERED, recursive=True
         ),
     ),
     "snk3_metrics_table": (

@@ -100,14 +100,22 @@ def splits(spark, folder):
 
 
 def fingerprints(spark, folder):
-    """Events whose selection view depends on the order of their markets: none may."""
+    """Does the fingerprint stay when markets change places, and change with one of their fields?"""
     rows = events(spark, folder)
-    turned = rows.withColumn("markets", F.reverse("markets"))
-    marked = rows.select("id", select.selection_fingerprint().alias("straight")).join(
-        turned.select("id", select.selection_fingerprint().alias("turned")), "id"
-    )
-    return marked.groupBy((F.col("straight") == F.col("turned")).alias("same")).agg(
-        F.count(F.lit(1)).alias("events")
+    altered = F.transform("markets", lambda m: m.withField("closed", ~m["closed"]))
+    kept = F.col("id").cast("bigint") % 7 != 0
+
+    def marked(name, markets):
+        view = rows.withColumn("markets", markets)
+        return view.select(F.col("id").alias("event_id"), select.selection_fingerprint().alias(name))
+
+    turned = marked("turned", F.reverse("markets"))
+    changed = marked("changed", F.when(kept, F.col("markets")).otherwise(altered))
+    joined = marked("straight", F.col("markets")).join(turned, "event_id").join(changed, "event_id")
+    return joined.select(
+        "event_id",
+        (F.col("straight") == F.col("turned")).alias("same_reordered"),
+        (F.col("straight") == F.col("changed")).alias("same_altered"),
     )
 
 
@@ -176,19 +184,12 @@ def requests(spark, folder):
 
 
 def ordered(spark, folder):
-    """Canonical order written down as the position of every row."""
-    from rungwise.operators.ordered import segment, with_index
-
+    """Canonical order written down as the position of every row in the whole output."""
     rows = views.ladder(spark, folder).select(
         "split", "scheduled_time", F.col("event_id").cast("string").alias("event_id"),
         "horizon_seconds", "threshold",
     ).withColumn("market_id", F.concat_ws("-", "event_id", "threshold"))
-    shuffled = select.canonical_order(rows, views.SPLITS)
-    # Sorting keeps neighbours; the position inside an event is checked relationally.
-    within = shuffled.withColumn(
-        "_at", F.struct(-F.col("horizon_seconds"), "threshold", "market_id")
-    )
-    placed = with_index(segment(within, ["event_id"], "_at"), "position")
+    placed = select.with_position(select.canonical_order(rows, views.SPLITS), "position")
     return placed.select("event_id", "horizon_seconds", "threshold", "position")
 
 
@@ -252,10 +253,16 @@ def audit_sink(spark, folder):
 
 
 def replay(spark, folder):
-    """Rebuild the snapshot a second time and list the differences: none may remain."""
-    first = collected(spark, folder).rows
+    """The stored snapshot, with a number altered here and there, against one rebuilt from the
+    documents: each altered row shows on both sides, and nothing else does."""
+    rows = collected(spark, folder).rows
+    path = scratch_path(spark, "stored-snapshot")
+    hit = (F.col("horizon_seconds") == 900) & (F.col("market_id").cast("bigint") % 101 == 0)
+    p = F.col("reference_probability")
+    rows.withColumn("reference_probability", F.when(hit, p + 2.0).otherwise(p)).write.parquet(path)
     again = collected(spark, folder).rows
-    return compare.table_differences(first, again).select("event_id", "market_id", "surplus")
+    changed = compare.table_differences(spark.read.parquet(path), again)
+    return changed.select("event_id", "market_id", "surplus")
 
 
 _EVENT_RULES = """all_event_rule as (
@@ -364,7 +371,10 @@ QUERIES = {
         "when o_orderdate < timestamp '2001-01-01' then 'holdout' end as split from orders",
     ),
     "prj7_selection_view": (
-        fingerprints, "select true as same, count(*) as events from orders"
+        fingerprints,
+        # An event without markets has nothing to alter.
+        "select cast(o_orderkey as varchar) as event_id, true as same_reordered, "
+        "o_orderkey % 7 <> 0 or o_orderkey not in (select l_orderkey from lineitem) as same_altered from orders",
     ),
     "win4_first_seen": (
         first_seen,
@@ -408,7 +418,8 @@ QUERIES = {
         ordered,
         sql.query(
             "select cast(event_id as varchar) as event_id, horizon_seconds, threshold, row_number() over "
-            "(partition by event_id order by -horizon_seconds, threshold) - 1 as position from ladder",
+            "(order by case split when 'development' then 0 when 'validation' then 1 else 2 end, "
+            "scheduled_time, event_id, -horizon_seconds, threshold) - 1 as position from ladder",
             sql.LADDER,
         ),
     ),
@@ -432,6 +443,10 @@ QUERIES = {
     ),
     "val12_replay": (
         replay,
-        "select '' as event_id, '' as market_id, 0 as surplus from orders where false",
+        sql.query(
+            "select event_id, market_id, unnest([1, -1]) as surplus from snap "
+            "where horizon_seconds = 900 and cast(market_id as bigint) % 101 = 0",
+            sql.MARKETS, _SNAP,
+        ),
     ),
 }
