@@ -68,6 +68,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _stars(e: DataFrame) -> bool:
+    """Is every node with a smaller neighbour (a) joined to just one, which has no smaller itself?"""
+    several = e.groupBy("a").agg((F.min("b") != F.max("b")).alias("bad")).where("bad").select("a")
+    chained = e.select("a").join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return several.unionByName(chained).isEmpty()
+
+
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """Smallest node reachable from each node: (``node``, component_id).
 
@@ -83,8 +90,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFram
         .distinct(),
         "edges",
     )
-    count, mark = -1, None
-    while True:
+    while not _stars(e):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = (
@@ -103,13 +109,6 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFram
             .distinct()
         )
         e = stored(small, "small-star")
-        now = e.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h"),
-        ).first()
-        if (now.n, now.h) == (count, mark):
-            break
-        count, mark = now.n, now.h
     found = e.select(F.col("a").alias(node), F.col("b").alias("_component"))
     return nodes.select(node).join(found, node, "left").select(
         node, F.coalesce("_component", node).alias("component_id")

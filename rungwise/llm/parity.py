@@ -15,11 +15,11 @@ Two sketches are made of XORs, so what both sets share cancels out:
   so candidates beyond that bound go before any set is fetched.
 
 What is left is verified on whole sets. To keep large groups of near copies from becoming all their
-pairs, a few rounds verify each class against at most ``hubs`` of the classes it meets (a star, with
-other hubs each time); pairs inside a component need no further test. Then, exactly, all pairs that
-still meet across components are compared by parity bits where their value stands, in blocks of
-bounded size, and only pairs within the bound leave the task to be verified. No link between
-different components can be lost.
+pairs, a first round verifies each class against at most ``hubs`` of the classes it meets (a star).
+Pairs inside a component need no further test. Pairs that still meet across components are compared
+by parity bits where their value stands, in blocks of bounded size: first only the nearest pair of
+any two components leaves the task to be verified, which joins most of what belongs together; then,
+exactly, all pairs within the bound that are left. No link between different components can be lost.
 
 Size bands are [2^g, 2^(g+1)); a class also joins the band of the smallest size that it may link
 to. The number of parts exceeds what D + 1 non-empty parts need by 9 standard deviations or more;
@@ -54,7 +54,8 @@ class Join:
     #: The threshold as a fraction of whole numbers: numerator * union <= denominator * intersection.
     numerator: int = 75
     denominator: int = 100
-    rounds: int = 3
+    stars: int = 1
+    nearest: int = 1
     hubs: int = 4
     block: int = 1024
 
@@ -244,8 +245,9 @@ def stars(open_: DataFrame, join: Join, turn: int) -> DataFrame:
     return best.select(F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b")).distinct()
 
 
-def near_pairs(group: pa.Table, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one value, or of two of its blocks, that may link and are in different components."""
+def near_pairs(group: pa.Table, join: Join, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one value, or of two of its blocks, that may link and are in different components;
+    with ``nearest`` just the pair that is nearest for its sizes of each two components."""
     n, part, block = (group.column(c).to_numpy() for c in ("n", "component_id", "block"))
     across = part[:, None] != part[None, :]
     if group.column("i")[0] != group.column("j")[0]:
@@ -256,19 +258,28 @@ def near_pairs(group: pa.Table, join: Join) -> tuple[np.ndarray, np.ndarray]:
     sketches = [np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()]
     words = min(map(len, sketches))
     table = np.stack([folded(x, words) for x in sketches])
-    keep = []
+    keep, share = [], []
     step = max(1, (1 << 21) // words)
     for at in range(0, len(left), step):
         a, b = left[at : at + step], right[at : at + step]
         apart = np.bitwise_count(table[a] ^ table[b]).sum(1, dtype=np.int64)
         bound = (n[a] + n[b]) * (join.denominator - join.numerator) // (join.denominator + join.numerator)
-        keep.append(at + np.flatnonzero(apart <= bound))
+        near = np.flatnonzero(apart <= bound)
+        keep.append(at + near)
+        share.append(apart[near] / np.maximum(1, n[a] + n[b])[near])
     keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+    if nearest and len(keep):
+        low = np.minimum(part[left[keep]], part[right[keep]])
+        high = np.maximum(part[left[keep]], part[right[keep]])
+        order = np.lexsort((keep, np.concatenate(share), high, low))
+        first = np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])
+        keep = keep[order[first]]
     return left[keep], right[keep]
 
 
-def crossing(open_: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b) that share a value across components and are within the bound of parity bits.
+def crossing(open_: DataFrame, sets: DataFrame, join: Join, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) that share a value across components and are within the bound of parity bits;
+    with ``nearest`` one of each two components where they meet.
 
     The rows of a value are dealt to blocks, and each pair of blocks is one group of at most about
     two blocks' rows; groups follow each other sorted, so a task holds one group and one batch.
@@ -299,7 +310,7 @@ def crossing(open_: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
             yield paired(held)
 
     def paired(group: pa.Table) -> pa.RecordBatch:
-        left, right = near_pairs(group, join)
+        left, right = near_pairs(group, join, nearest)
         name = group.column("set").to_numpy()
         a, b = np.minimum(name[left], name[right]), np.maximum(name[left], name[right])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -381,11 +392,13 @@ def classes(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id", tex
     nodes = stored(where.select("set").distinct(), "nodes")
     parts = nodes.select("set", F.col("set").alias("component_id"))
     links = None
-    for turn in range(join.rounds):
-        star = stored(stars(still_open(where, parts), join, turn), "stars")
-        if star.isEmpty():
+    for turn in range(join.stars + join.nearest):
+        open_ = still_open(where, parts)
+        some = stars(open_, join, turn) if turn < join.stars else crossing(open_, sets, join, nearest=True)
+        some = stored(some, "some-pairs")
+        if some.isEmpty():
             break
-        more = verified(star, sets, owners, picked, join)
+        more = verified(some, sets, owners, picked, join)
         links = more if links is None else links.unionByName(more)
         parts = stored(components(nodes, links, "set"), "components")
     pairs = crossing(still_open(where, parts), sets, join)

@@ -58,7 +58,7 @@ def corpus(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("join", [JOIN, parity.Join(rounds=0, block=3), parity.Join(rounds=1, hubs=1)])
+@pytest.mark.parametrize("join", [JOIN, parity.Join(stars=0, nearest=0, block=3), parity.Join(stars=0, nearest=1, block=3)])
 def test_components_against_brute_force(spark, join):
     """With and without the star rounds, in one or in many blocks, the result is the same."""
     rows = corpus()
