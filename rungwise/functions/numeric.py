@@ -16,7 +16,7 @@ def _col(value: Column | str) -> Column:
 
 def clipped(p: Column | str, epsilon: float) -> Column:
     if not 0.0 < epsilon < 0.5:
-        raise ValueError("epsilon must lie in (0, 0.5)")
+        raise ValueError("epsilon is a number between 0 and 0.5")
     return F.least(F.greatest(_col(p), F.lit(epsilon)), F.lit(1.0 - epsilon))
 
 
@@ -71,6 +71,6 @@ def quantised(x: Column | str, decimals: int = REPORT_DECIMALS) -> Column:
     """Round for reporting; negative zero becomes zero and non-finite input raises."""
     x = _col(x)
     checked = F.when(is_finite(x), x).otherwise(
-        F.raise_error(F.lit("result contains a non-finite number"))
+        F.raise_error(F.lit("a number to be reported is not finite"))
     )
     return F.when(x.isNull(), None).otherwise(F.round(checked, decimals) + F.lit(0.0))

@@ -134,7 +134,7 @@ def asof_decisions(
 ) -> DataFrame:
     """Decision per distinct (token, cutoff): ``status``, ``reason`` and the usable point."""
     if max_staleness_seconds < 0:
-        raise ValueError("max_staleness must be non-negative")
+        raise ValueError("the staleness limit cannot be negative")
     found = latest_at_or_before(points, cutoffs, bucket_seconds)
     why = found.withColumn("reason", reason(max_staleness_seconds))
     usable = F.col("reason").isNull()

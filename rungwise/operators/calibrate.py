@@ -45,13 +45,13 @@ class Settings:
 
     def __post_init__(self) -> None:
         if not 0.0 < self.epsilon < 0.5:
-            raise ValueError("epsilon must lie in (0, 0.5)")
+            raise ValueError("epsilon is a number between 0 and 0.5")
         for name in ("l2", "tolerance"):
             value = getattr(self, name)
             if not math.isfinite(value) or value <= 0.0:
-                raise ValueError(f"{name} must be finite and strictly positive")
+                raise ValueError(f"{name} has to be a positive finite number")
         if isinstance(self.max_iterations, bool) or self.max_iterations < 0:
-            raise ValueError("max_iterations must be a non-negative integer")
+            raise ValueError("max_iterations is a whole number, zero or more")
 
 
 @dataclass(frozen=True)
@@ -140,13 +140,13 @@ def check_training(training: DataFrame, horizons: Sequence[int]) -> None:
     for horizon in horizons:
         row = facts.get(horizon)
         if row is None:
-            raise ValueError(f"no calibration rows for horizon {horizon}")
+            raise ValueError(f"horizon {horizon} has no rows to fit on")
         if row["bad_label"]:
-            raise ValueError("labels must contain only binary 0/1 values")
+            raise ValueError("a label to fit on is neither 0 nor 1")
         if row["bad_p"]:
-            raise ValueError("probabilities must be finite and lie in [0, 1]")
+            raise ValueError("a probability to fit on is outside [0, 1]")
         if row["classes"] != 2:
-            raise ValueError("calibration training requires both outcome classes")
+            raise ValueError("fitting takes labels of both kinds")
 
 
 def _per_horizon(values: dict[int, float]) -> Column:
@@ -222,7 +222,7 @@ class _Fit:
                     return
             self.scale *= 0.5**SCALES_PER_JOB
             if self.scale < 0.5 ** (MAX_HALVINGS - 1):
-                raise ConvergenceError("Newton line search failed")
+                raise ConvergenceError("no shorter step lowers the objective")
             self.candidate = self.theta - self.scale * self.step
             return
         if self.started:
@@ -231,12 +231,12 @@ class _Fit:
         gradient = np.array(numbers[1 : 1 + size]) + l2 * mask * self.theta
         if float(np.max(np.abs(gradient))) <= settings.tolerance:
             if not (np.all(np.isfinite(self.theta)) and math.isfinite(objective)):
-                raise ConvergenceError("calibration produced non-finite parameters")
+                raise ConvergenceError("the fitted parameters are not finite")
             self.done = True
             return
         if self.iterations >= settings.max_iterations:
             raise ConvergenceError(
-                f"calibrator did not converge within {settings.max_iterations} iterations"
+                f"still above the tolerance after {settings.max_iterations} iterations"
             )
         upper = iter(numbers[1 + size :])
         hessian = np.diag(l2 * mask)
@@ -249,10 +249,10 @@ class _Fit:
         try:
             self.step = np.linalg.solve(hessian, gradient)
         except np.linalg.LinAlgError as error:
-            raise ConvergenceError("Newton Hessian is singular") from error
+            raise ConvergenceError("the curvature matrix cannot be inverted") from error
         self.decrease = float(gradient @ self.step)
         if not math.isfinite(self.decrease) or self.decrease <= 0.0:
-            raise ConvergenceError("Newton direction is not a descent direction")
+            raise ConvergenceError("the step does not lead downhill")
         self.scale = 1.0
         self.candidate = self.theta - self.step
 

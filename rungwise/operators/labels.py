@@ -193,11 +193,16 @@ def classify(conditions: DataFrame, unique_logs: DataFrame, grace_seconds: int)
         status = F.when(test, name) if status is None else status.when(test, name)
         reason = F.when(test, text) if reason is None else reason.when(test, text)
     agreed = F.col("status") == "agreed"
+
+    def cited(field: str) -> Column:
+        # The payouts of an agreed condition are 1 and 0.
+        return log[field].cast("array<int>") if field == "payouts" else log[field]
+
     return (
         joined.withColumn("status", status.otherwise("agreed"))
         .withColumn("reason", reason.otherwise(F.lit(AGREED)))
         .withColumn("label", F.when(agreed, label))
-        .withColumns({CITED[f]: F.when(agreed, log[f]) for f in CITED if f in fields})
+        .withColumns({CITED[f]: F.when(agreed, cited(f)) for f in CITED if f in fields})
         .drop("log", "n_logs")
     )
 

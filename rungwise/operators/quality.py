@@ -13,6 +13,7 @@ from rungwise.functions.numeric import is_finite
 from rungwise.functions.text import FORBIDDEN_FEATURES, decimal_text, snake_name
 from rungwise.functions.times import utc_day
 from rungwise.operators.ordered import MAX_GROUP_ROWS, segment, with_next
+from rungwise.session import checkpointed
 
 MICROS = 1_000_000
 VIOLATION = "rule_id string, key string, detail string"
@@ -124,8 +125,12 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
 
 
 def dependency(df: DataFrame, keys: Sequence[str], fields: Sequence[str], rule: str) -> DataFrame:
-    """Keys that do not determine ``fields``. Smallest against largest needs no distinct."""
-    content = F.struct(*fields)
+    """Keys that do not determine ``fields``.
+
+    Smallest against largest needs no distinct; 64-bit digests (nulls marked) let both be kept in a
+    hash aggregate, where whole rows of text would be sorted.
+    """
+    content = F.xxhash64(*[part for f in fields for part in (F.col(f), F.col(f).isNull())])
     bad = df.groupBy(*keys).agg((F.min(content) != F.max(content)).alias("bad")).where("bad")
     return _violations(bad, rule, key_text(*keys))
 
@@ -186,7 +191,11 @@ def ladders_differ(df: DataFrame) -> DataFrame:
 
 
 def table_invariants(df: DataFrame, chain: bool = False) -> DataFrame:
-    """Keys, functional dependencies and ladder rules of a whole snapshot or evidence table."""
+    """Keys, functional dependencies and ladder rules of a whole snapshot or evidence table.
+
+    The typed table is written once to the shared folder, as every rule reads it.
+    """
+    df = checkpointed(df)
     checks = [
         duplicate_rows(df, ROW_KEY, "duplicate_row"),
         dependency(df, ["event_id"], EVENT_FIELDS, "event_properties_disagree"),
@@ -207,7 +216,8 @@ def table_invariants(df: DataFrame, chain: bool = False) -> DataFrame:
 
 
 def protocol_violations(df: DataFrame, protocol: Protocol, chain: bool = False) -> DataFrame:
-    """Timing rules per row, then ladder sizes per curve."""
+    """Timing rules per row, then ladder sizes per curve, both from one written typed table."""
+    df = checkpointed(df)
     splits = protocol.splits
     when = F.col("scheduled_time")
     inside = F.lit(False)
@@ -249,7 +259,7 @@ def protocol_violations(df: DataFrame, protocol: Protocol, chain: bool = False)
 def late_features(df: DataFrame, feature: str, cutoff: str, embargo_seconds: int, key: Column) -> DataFrame:
     """Features observed after the embargoed cutoff; equality passes."""
     if embargo_seconds < 0:
-        raise ValueError("embargo must be non-negative")
+        raise ValueError("an embargo cannot be negative")
     allowed = F.unix_micros(cutoff) - embargo_seconds * MICROS
     return _violations(
         df.where(F.unix_micros(feature) > allowed), "feature_after_cutoff", key
@@ -259,7 +269,7 @@ def late_features(df: DataFrame, feature: str, cutoff: str, embargo_seconds: int
 def late_labels(df: DataFrame, resolved: str, cutoff: str, embargo_seconds: int, key: Column) -> DataFrame:
     """Labels not strictly resolved before the embargoed cutoff."""
     if embargo_seconds < 0:
-        raise ValueError("embargo must be non-negative")
+        raise ValueError("an embargo cannot be negative")
     allowed = F.unix_micros(cutoff) - embargo_seconds * MICROS
     return _violations(df.where(F.unix_micros(resolved) >= allowed), "label_not_before_cutoff", key)
 
@@ -289,7 +299,7 @@ def assert_safe_features(df: DataFrame, forbidden: Sequence[str] = FORBIDDEN_FEA
     catalogue = df.sparkSession.createDataFrame(rows, "table_name string, column_name string")
     bad = sorted(row["column_name"] for row in forbidden_columns(catalogue, forbidden).collect())
     if bad:
-        raise DataQualityError(f"forbidden feature columns: {bad}")
+        raise DataQualityError(f"columns that reveal the outcome: {bad}")
 
 
 def absent(df: DataFrame, known: DataFrame, on: Sequence[str], rule: str, key: Column) -> DataFrame:

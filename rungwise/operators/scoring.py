@@ -117,7 +117,7 @@ def comparisons(scores: DataFrame, keys: list[str]) -> DataFrame:
     for name, baseline, model in COMPARISONS:
         base, other = F.col(f"{baseline}__brier"), F.col(f"{model}__brier")
         positive = F.when(base > 0, base).otherwise(
-            F.raise_error(F.lit(f"relative Brier improvement is undefined for {baseline}"))
+            F.raise_error(F.lit(f"the Brier score of {baseline} is 0: nothing to improve on"))
         )
         rows.append(
             F.struct(

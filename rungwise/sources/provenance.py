@@ -105,6 +105,55 @@ def response_problems(
     return merged.select("rule_id", "key", F.lit("").alias("detail"))
 
 
+RECORD_FIELDS = {
+    "": ("path", "source", "request", "archived_at_utc", "content_bytes", "content_sha256", "gzip_bytes", "gzip_sha256"),
+    "request": ("method", "url", "body", "body_sha256"),
+}
+
+
+def record_field_problems(manifests: DataFrame, body: str = "body") -> DataFrame:
+    """Records with other fields than the closed set: parsing by schema would drop them silently.
+
+    Read as maps of raw JSON, so every field of a record is seen. A request may lack a body.
+    """
+    raw = F.from_json(body, "raw_responses array<map<string,string>>")["raw_responses"]
+    records = manifests.select(F.posexplode(raw).alias("index", "r"))
+    key = F.coalesce(F.element_at("r", F.lit("path")), F.concat(F.lit("record "), F.col("index").cast("string")))
+    inner = F.coalesce(F.json_object_keys(F.element_at("r", F.lit("request"))), F.array().cast("array<string>"))
+
+    def names(values: list[str]):
+        return F.array(*[F.lit(v) for v in values])
+
+    outer_names, inner_names = names(RECORD_FIELDS[""]), names(RECORD_FIELDS["request"])
+    needed = names([n for n in RECORD_FIELDS["request"] if not n.startswith("body")])
+    found = {
+        "unexpected_field": F.concat(
+            F.array_except(F.map_keys("r"), outer_names),
+            F.transform(F.array_except(inner, inner_names), lambda n: F.concat(F.lit("request."), n)),
+        ),
+        "missing_field": F.concat(
+            F.array_except(outer_names, F.map_keys("r")),
+            F.transform(F.array_except(needed, inner), lambda n: F.concat(F.lit("request."), n)),
+        ),
+    }
+    parts = [
+        records.select(F.lit(rule).alias("rule_id"), key.alias("key"), F.explode(fields).alias("detail"))
+        for rule, fields in found.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def method_problems(responses: DataFrame) -> DataFrame:
+    """Entries of a response log whose method is not one of ``METHODS``."""
+    allowed = F.coalesce(F.col("method").isin(*METHODS), F.lit(False))
+    bad = responses.where(~allowed).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    return bad.select(
+        F.lit("method_not_allowed").alias("rule_id"),
+        F.coalesce("method", F.lit("")).alias("key"),
+        F.concat(F.col("n").cast("string"), F.lit(" responses")).alias("detail"),
+    )
+
+
 def requested_tokens(records: DataFrame) -> DataFrame:
     """``(content_sha256, token)`` pairs named by history requests."""
     body = F.from_json("request_body", BODY)

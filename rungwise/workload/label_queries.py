@@ -84,7 +84,7 @@ def evidence(spark, folder):
         "condition_id",
         "horizon_seconds",
         "chain_label",
-        F.concat_ws(",", "payout_vector").alias("payouts"),
+        F.concat_ws(",", F.col("payout_vector").cast("array<string>")).alias("payouts"),
         "resolution_block_number",
         "resolution_block_hash",
         _epoch("resolution_block_timestamp").alias("resolution_at"),

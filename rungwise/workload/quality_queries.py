@@ -139,6 +139,27 @@ def record_problems(spark, folder):
     return counted(_problems(spark, folder))
 
 
+def record_fields(spark, folder):
+    """Landed manifests, some with a field too many or a field of another name."""
+    rows = views.manifest_documents(spark, folder)
+    k = F.regexp_extract("body", r"order_(\d+)", 1).cast("bigint")
+    extra = F.regexp_replace("body", '"gzip_bytes":1', '"gzip_bytes":1,"note":0')
+    other = F.regexp_replace("body", '"source":', '"origin":')
+    body = F.when(k % 13 == 0, extra).when(k % 17 == 0, other).otherwise(F.col("body"))
+    found = provenance.record_field_problems(rows.select(body.alias("body")))
+    return found.groupBy("rule_id", "detail").agg(F.count(F.lit(1)).alias("n"))
+
+
+def logged_methods(spark, folder):
+    """A response log that names one method per order priority, two of them not allowed."""
+    names = dict(zip(views.PRIORITIES, ("eth_call", *provenance.METHODS[:2], "eth_getCode"), strict=False))
+    method = F.lit(None).cast("string")
+    for priority, value in names.items():
+        method = F.when(F.col("o_orderpriority") == priority, value).otherwise(method)
+    rows = views.table(spark, folder, "orders").select(method.alias("method"))
+    return provenance.method_problems(rows)
+
+
 def page_urls(spark, folder):
     return _problems(spark, folder).where("rule_id = 'bad_event_request'").select("key")
 
@@ -539,6 +560,19 @@ QUERIES = {
             )
         ),
     ),
+    "val7_record_fields": (
+        record_fields,
+        "select rule_id, detail, 2 * count(*) as n from ("
+        "select 'unexpected_field' as rule_id, 'note' as detail from orders where o_orderkey % 13 = 0 union all "
+        "select unnest(['unexpected_field', 'missing_field']), unnest(['origin', 'source']) from orders "
+        "where o_orderkey % 13 <> 0 and o_orderkey % 17 = 0) x group by 1, 2",
+    ),
+    "val8_logged_methods": (
+        logged_methods,
+        "select 'method_not_allowed' as rule_id, m as key, count(*) || ' responses' as detail from ("
+        "select case o_orderpriority when '1-URGENT' then 'eth_call' when '4-NOT SPECIFIED' then 'eth_getCode' "
+        "when '5-LOW' then '' end as m from orders) x where m is not null group by m",
+    ),
     "val7_response_problems": (
         record_problems,
         " union all ".join(

@@ -82,6 +82,12 @@ def test_from_overlapping_windows_to_rows(spark):
     assert sorted(judged) == ["non_terminal_gamma_outcome_prices", "question_does_not_match_event_template"]
 
 
+def test_a_token_in_two_history_documents_is_an_error(spark):
+    both = quotes(spark, **FRESH).unionByName(quotes(spark, t3107=[(2000, 0.5)]))
+    with pytest.raises(DataQualityError, match="3107 has a history in several"):
+        build_snapshot(landed(spark, [sound()]), both, PROTOCOL, "gauges")
+
+
 def test_only_changes_that_matter_are_fatal(spark):
     turned = dict(sorted(sound().items(), reverse=True))
     shown = landed(spark, [sound()], [sound(volume=1)], [turned]).select(

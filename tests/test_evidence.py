@@ -190,3 +190,30 @@ def test_full_evaluation(spark):
     assert {m.iterations for m in done.models} <= set(range(1, 15))
     document = sinks.result_document(done.summary, done.metrics, done.comparisons, done.gate.where("gate = 'primary'"))
     assert '"passed":true' in document.first().value
+
+
+def test_record_fields_are_a_closed_set(spark):
+    import json
+
+    from rungwise.sources import provenance
+
+    good = {n: "x" for n in provenance.RECORD_FIELDS[""]} | {"request": {"method": "GET", "url": "u"}}
+    extra = good | {"path": "b", "note": "n"}
+    odd = good | {"path": "c", "request": {"url": "u", "proxy": "p", "body": "", "body_sha256": ""}}
+    short = {k: v for k, v in good.items() if k != "gzip_bytes"} | {"path": "d"}
+    text = json.dumps({"raw_responses": [good, extra, odd, short]})
+    found = provenance.record_field_problems(spark.createDataFrame([(text,)], "body string")).collect()
+    assert {tuple(r) for r in found} == {
+        ("unexpected_field", "b", "note"),
+        ("unexpected_field", "c", "request.proxy"),
+        ("missing_field", "c", "request.method"),
+        ("missing_field", "d", "gzip_bytes"),
+    }
+
+
+def test_only_known_methods_may_be_logged(spark):
+    from rungwise.sources import provenance
+
+    rows = [(m,) for m in (*provenance.METHODS, "eth_call", "eth_call", None)]
+    found = provenance.method_problems(spark.createDataFrame(rows, "method string")).collect()
+    assert {tuple(r) for r in found} == {("method_not_allowed", "eth_call", "2 responses"), ("method_not_allowed", "", "1 responses")}

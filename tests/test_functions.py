@@ -157,7 +157,7 @@ def test_quantised(spark, x, y):
 
 
 def test_quantised_refuses_infinity(spark):
-    with pytest.raises(Exception, match="non-finite"):
+    with pytest.raises(Exception, match="not finite"):
         one(spark, float("inf"), numeric.quantised, "double")
 
 

@@ -102,7 +102,7 @@ def test_agreed_conditions_carry_what_they_cite(spark):
     done = run(spark, [("e", "c", 1.0), ("f", "d", 0.0)], [log("c", [1, 0], block=3, index=7, tx="t9"), log("d", [1, 0])])
     cited = {r.condition_id: r for r in done.rows.collect()}
     r = cited["c"]
-    assert r.payout_vector == ["1", "0"] and (r.resolution_block_number, r.resolution_block_hash) == (3, "h3")
+    assert r.payout_vector == [1, 0] and (r.resolution_block_number, r.resolution_block_hash) == (3, "h3")
     assert (r.resolution_tx_hash, r.resolution_log_index) == ("t9", 7)
     assert r.resolution_block_timestamp == DAY + timedelta(hours=4)
     assert cited["d"].status == "gamma_disagreement" and cited["d"].payout_vector is None
