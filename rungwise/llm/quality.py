@@ -35,6 +35,8 @@ CLASSES = (
     "vowel", "consonant", "upper", "digit", "space", "newline", "stop", "quote", "symbol", "other_ascii", "latin", "wide",
 )
 FLUSH = 200_000
+#: Texts of fewer words fail the base rule; the word comparison starts where that ends.
+BASE_WORDS = 50
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ class Rules:
     common_words: int = 100
     max_languages: int = 64
     minimum_chars: int = 200
-    minimum_words: int = 100
+    minimum_words: int = BASE_WORDS
     max_char_distance: float = 0.3
     max_word_distance: float = 0.55
 
@@ -105,7 +107,7 @@ def base_counts(text: str, words: list[bytes], classes: np.ndarray) -> tuple[int
 
 
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
-    return n_words < 50 or 100 * n_repeat_words > 50 * n_words
+    return n_words < BASE_WORDS or 100 * n_repeat_words > 50 * n_words
 
 
 def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:

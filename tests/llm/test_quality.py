@@ -62,3 +62,13 @@ def test_clean_documents_stay_and_junk_goes(spark):
     good = [r.kept for r in got if r.quality == 1]
     bad = [r.kept for r in got if r.quality == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.2
+
+
+def test_junk_goes_in_every_band_of_lengths(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.assess(docs).where("not base_failed").join(labels, "doc_id").collect()
+    for low, high in ((50, 100), (100, 10**9)):
+        band = [r for r in got if low <= r.n_words < high]
+        good, bad = ([r.kept for r in band if r.quality == q] for q in (1, 0))
+        assert good and np.mean(good) > 0.98 and bad and np.mean(bad) < 0.2
+        assert not [r.doc_id for r in band if r.kept and (r.word_distance is None or r.word_distance > 0.55)]
