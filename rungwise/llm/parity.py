@@ -41,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rungwise.llm.common import broadcast_if_small, components, fresh, map_arrow, stored
 
@@ -375,8 +376,9 @@ def repeated(rows: DataFrame) -> bool:
     return not rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
 
 
-def classes(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id."""
+def labelled(docs: DataFrame, join: Join, id_column: str, text: str) -> DataFrame:
+    """(id, set, n, component, least): a row per document, with its set's component (null for texts
+    without words) and the smallest id there."""
     picked = _picked(docs, id_column, text)
     rows = stored(named(picked, join), "named")
     owners = stored(rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id")), "classes")
@@ -406,32 +408,65 @@ def classes(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id", tex
     links = more if links is None else links.unionByName(more)
     found = stored(components(sets.select("set"), links, "set"), "components")
     label = found.join(owners, "set").groupBy("component_id").agg(F.min("id").alias("least"))
-    named_by = found.join(label, "component_id").select("set", "least")
-    return rows.join(named_by, "set", "left").select(
+    named_by = found.join(label, "component_id").select("set", F.col("component_id").alias("component"), "least")
+    return rows.join(named_by, "set", "left").select("id", "set", "n", "component", "least")
+
+
+def classes(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id."""
+    return labelled(docs, join, id_column, text).select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
         F.coalesce("least", "id").alias("component_id"),
     )
 
 
+def with_set(docs: DataFrame, join: Join, text: str, column: str) -> DataFrame:
+    """``docs`` and the fingerprint of each row's set, null for texts without words."""
+
+    def kernel(batches):
+        cache: dict[bytes, int] = {}
+        for batch in batches:
+            found = (shingle_set(x, join.shingle, cache) for x in batch.column(text).to_pylist())
+            names = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, column])
+
+    return map_arrow(docs, kernel, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
+
+
 def keep_one(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with the smallest id, with the columns of ``docs``.
 
-    Documents without words and rows with a null id all stay, as they link with nothing that has an
-    id. Of rows that repeat a kept id, the one with the smallest text stays.
+    Documents without words all stay, as they link with nothing, and so do rows with a null id. Rows
+    that repeat an id are decided one by one: each goes or stays with its own component, and of
+    several rows of one component that have its smallest id, the one with the smallest text stays.
     """
     name = fresh(docs)
-    own, times, row = name("own"), name("times"), name("row")
-    found = classes(docs, join, id_column, text).where(F.col(id_column).isNotNull())
+    own, times, group, component = name("own"), name("times"), name("set"), name("component")
+    found = labelled(docs, join, id_column, text).where("id is not null")
+    stays = F.coalesce("least", "id") == F.col("id")
     kept = stored(
-        found.groupBy(F.col(id_column).alias(own))
-        .agg(F.count(F.lit(1)).alias(times), F.min(F.col(id_column) != F.col("component_id")).alias("gone"))
-        .where("not gone").drop("gone"),
+        found.groupBy(F.col("id").alias(own))
+        .agg(F.count(F.lit(1)).alias(times), F.max(stays).alias("stays"))
+        .where("stays").drop("stays"),
         "kept",
     )
-    joined = docs.join(broadcast_if_small(kept), F.col(id_column) == F.col(own))
+    joined = docs.join(broadcast_if_small(kept), F.col(id_column).cast("long") == F.col(own))
     out = joined.where(F.col(times) == 1).select(docs.columns)
-    if not kept.where(F.col(times) > 1).isEmpty():
-        whole = F.struct(*docs.columns)
-        again = joined.where(F.col(times) > 1).groupBy(own).agg(F.min_by(whole, F.col(text)).alias(row))
-        out = out.unionByName(again.select(f"{row}.*"))
+    several = kept.where(F.col(times) > 1)
+    if not several.isEmpty():
+        again = with_set(joined.where(F.col(times) > 1).select(*docs.columns, own), join, text, group)
+        wordless = again.where(F.col(group).isNull()).select(docs.columns)
+        places = (
+            found.where(stays & F.col("set").isNotNull())
+            .join(several.select(F.col(own).alias("id")), "id", "left_semi")
+            .select(F.col("id").alias(own), F.col("set").alias(group), F.col("component").alias(component))
+            .distinct()
+        )
+        row = name("row")
+        first = (
+            again.join(places, [own, group])
+            .groupBy(component)
+            .agg(F.min_by(F.struct(*docs.columns), F.col(text)).alias(row))
+        )
+        out = out.unionByName(wordless).unionByName(first.select(f"{row}.*"))
     return out.unionByName(docs.where(F.col(id_column).isNull()))

@@ -79,6 +79,22 @@ def test_one_of_each_component_stays(spark):
     assert len([i for i in ids if i is not None]) == len(want) and ids.count(None) == 2
 
 
+def test_rows_of_one_id_are_decided_one_by_one(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(80))
+    rows = [
+        (5, None, 1), (5, None, 2), (6, "", 3), (6, text("f"), 4),  # no words: documents of their own
+        (7, text("a"), 5), (7, text("b"), 6),  # two unlinked texts
+        (8, text("c"), 7), (9, text("c") + " more", 8), (9, text("d"), 9),  # one goes, the other stays
+        (10, text("e"), 10), (10, text("e") + " more", 11), (11, text("e"), 12), (11, None, 13),
+        (12, text("a"), 14), (12, text("a"), 15), (None, text("b"), 16),
+    ]
+    df = spark.createDataFrame(rows, "doc_id int, text string, set int")
+    kept = parity.keep_one(df)
+    assert kept.columns == df.columns
+    gone = {8, 11, 12, 14, 15}
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[2]) == [r for r in rows if r[2] not in gone]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert parity.classes(df).count() == 0 and parity.keep_one(df).count() == 0
