@@ -319,11 +319,25 @@ def crossing(open_: DataFrame, sets: DataFrame, join: Join, nearest: bool = Fals
     return map_arrow(dealt, kernel, "a long, b long").distinct()
 
 
+def with_set(docs: DataFrame, join: Join, text: str, column: str) -> DataFrame:
+    """``docs`` and the fingerprint of each row's set, null for texts without words."""
+
+    def kernel(batches):
+        cache: dict[bytes, int] = {}
+        for batch in batches:
+            found = (shingle_set(x, join.shingle, cache) for x in batch.column(text).to_pylist())
+            names = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, column])
+
+    return map_arrow(docs, kernel, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, owners: DataFrame, picked: DataFrame, join: Join) -> DataFrame:
     """The pairs (a, b) of set names that link: first by parity bits, then on the whole sets.
 
     Sets are made again from the texts of the documents that ``owners`` (id, set) names, a set's
-    own document each; only texts with a surviving pair are read beyond the scan.
+    own document each; only texts with a surviving pair are read beyond the scan. A null id in
+    ``owners`` stands for any of the rows without an id.
     """
     side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
@@ -340,7 +354,11 @@ def verified(pairs: DataFrame, sets: DataFrame, owners: DataFrame, picked: DataF
     left = stored(map_arrow(sized, near, "a long, b long"), "near-pairs")
     wanted = left.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     ids = stored(owners.join(wanted, "set").select(F.col("id").alias("own"), "set"), "wanted")
-    texts = picked.join(broadcast_if_small(ids), picked["id"] == F.col("own")).select("text", "set")
+    texts = picked.join(broadcast_if_small(ids.where("own is not null")), picked["id"] == F.col("own")).select("text", "set")
+    unnamed = ids.where("own is null").select("set")
+    if not unnamed.isEmpty():
+        without = with_set(picked.where("id is null").select("text"), join, "text", "set")
+        texts = texts.unionByName(without.join(broadcast_if_small(unnamed), "set", "left_semi").select("text", "set"))
 
     def whole(batches):
         cache: dict[bytes, int] = {}
@@ -383,11 +401,15 @@ def labelled(docs: DataFrame, join: Join, id_column: str, text: str) -> DataFram
     rows = stored(named(picked, join), "named")
     owners = stored(rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id")), "classes")
     first = owners.select(F.col("id").alias("own"), F.col("set").alias("own_set")).where("own is not null")
-    # A class is sketched from its smallest id; classes without ids have nothing to join by.
+    # A class is sketched from its smallest id, one that only rows without an id hold from those rows.
     chosen = picked.join(broadcast_if_small(first.select("own").distinct()), picked["id"] == F.col("own"), "left_semi")
     sets = sketched(chosen, join)
     if repeated(rows):
         sets = sets.dropDuplicates(["set"])
+    unnamed = owners.where("id is null").select("set")
+    if not unnamed.isEmpty():
+        more = sketched(picked.where("id is null"), join).join(unnamed, "set", "left_semi")
+        sets = sets.unionByName(more.dropDuplicates(["set"]))
     sets = stored(sets, "sketches")
     where = stored(met(sets), "met")
 
@@ -420,19 +442,6 @@ def classes(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id", tex
     )
 
 
-def with_set(docs: DataFrame, join: Join, text: str, column: str) -> DataFrame:
-    """``docs`` and the fingerprint of each row's set, null for texts without words."""
-
-    def kernel(batches):
-        cache: dict[bytes, int] = {}
-        for batch in batches:
-            found = (shingle_set(x, join.shingle, cache) for x in batch.column(text).to_pylist())
-            names = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, column])
-
-    return map_arrow(docs, kernel, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
-
-
 def keep_one(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with the smallest id, with the columns of ``docs``.
 

@@ -67,6 +67,19 @@ def test_components_against_brute_force(spark, join):
     assert got == slow_components(rows)
 
 
+def test_near_copies_without_an_id(spark):
+    """Sets that only rows with a null id hold link, and connect others."""
+    rows = corpus(3)
+    chain = [f"x{i}" for i in range(200)]
+    rows += [(d, " ".join(chain[k * 10 : k * 10 + 120]), 0) for k, d in enumerate((5000, None, 5001))]
+    rows += [(None, rows[4][1] + " more", 0), (None, "only without any id " * 3 + "a", 0), (None, rows[-1][1], 0)]
+    rows += [(None, " ".join(f"y{i}" for i in range(60 + k)), 0) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_shingles int")
+    got = sorted((tuple(r) for r in parity.classes(df).collect()), key=str)
+    assert got == slow_components(rows)
+    assert (5001, 116, 5000) in got and (None, 116, 5000) in got
+
+
 def test_one_of_each_component_stays(spark):
     rows = corpus(2)
     rows.append((rows[3][0], rows[3][1], 99))
