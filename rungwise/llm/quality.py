@@ -7,8 +7,10 @@ smallest over the languages counts, so a wrong language tag does no harm. A comp
 for texts long enough to have shares at all (``minimum_chars``, ``minimum_words``).
 
 Scale: the first pass counts inside the tasks (the table of words is emptied whenever it reaches
-``FLUSH`` entries, and sums meet in a shuffle), the second is a scan with the references, at most
-``max_languages`` times ``common_words`` rows, in the closure.
+``FLUSH`` entries, and sums meet in a shuffle), the second is a scan with the references of all
+languages, 112 rows each, as a broadcast list of packed groups of ``group_languages``. A text is
+compared with one group after the other; beyond ``HELD_GROUPS`` a task unpacks one at a time. The
+driver collects references up to ``collected_rows``, counted first, and reads more in partitions.
 
 Defined cases: null and empty texts have all counts 0, fail the base rule and are not kept; null
 languages count as a language of their own called ''; repeated rows count as often as they occur;
@@ -18,15 +20,18 @@ reference the verdict is the base rule alone; other columns are ignored by ``jud
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import map_arrow
+from rungwise.llm.common import map_arrow, stored
 
 # The symbols of the base counts.
 SYMBOLS = "#*$%&|<>"
@@ -37,12 +42,15 @@ CLASSES = (
 FLUSH = 200_000
 #: Texts of fewer words fail the base rule; the word comparison starts where that ends.
 BASE_WORDS = 50
+#: A task keeps at most so many groups of languages unpacked.
+HELD_GROUPS = 8
 
 
 @dataclass(frozen=True)
 class Rules:
     common_words: int = 100
-    max_languages: int = 64
+    group_languages: int = 64
+    collected_rows: int = 200_000
     minimum_chars: int = 200
     minimum_words: int = BASE_WORDS
     max_char_distance: float = 0.3
@@ -150,7 +158,8 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
 
 @dataclass
 class Model:
-    """References as arrays: classes (languages x classes), words (languages x words and the rest)."""
+    """References of some languages as arrays: classes (languages x classes), words (languages x
+    words and the rest)."""
 
     classes: np.ndarray
     vocabulary: dict[bytes, int]
@@ -158,19 +167,32 @@ class Model:
     words: list[np.ndarray]
 
 
-def model(found: DataFrame, rules: Rules) -> Model:
-    """At most ``max_languages`` times ``common_words`` rows reach the driver."""
-    largest = (
-        found.where("kind = 'word'").groupBy("lang").agg(F.max("total").alias("t")).orderBy(F.desc("t"), "lang").limit(rules.max_languages)
-    )
-    rows = found.join(F.broadcast(largest.select("lang")), "lang").collect()
-    langs = sorted({r.lang for r in rows if r.kind == "word"})
-    classes = np.zeros((len(langs), len(CLASSES)))
+def models(found: DataFrame, rules: Rules) -> Iterator[Model]:
+    """The references of every language that has words, ``group_languages`` at a time."""
+    if found.count() <= rules.collected_rows:
+        rows = iter(sorted(found.collect(), key=lambda r: r.lang))
+    else:
+        rows = found.orderBy("lang").toLocalIterator()
+    held: list[list[Row]] = []
+    for _, mine in groupby(rows, key=lambda r: r.lang):
+        mine = list(mine)
+        if any(r.kind == "word" for r in mine):
+            held.append(mine)
+        if len(held) == rules.group_languages:
+            yield model(held)
+            held = []
+    if held:
+        yield model(held)
+
+
+def model(languages: list[list[Row]]) -> Model:
+    """One group from the rows of each of its languages."""
+    classes = np.zeros((len(languages), len(CLASSES)))
     vocabulary: dict[bytes, int] = {}
     members, words = [], []
-    for i, a in enumerate(langs):
-        mine = sorted((r for r in rows if r.lang == a and r.kind == "word"), key=lambda r: (-r.n, r.key))
-        for r in (r for r in rows if r.lang == a and r.kind == "class"):
+    for i, rows in enumerate(languages):
+        mine = sorted((r for r in rows if r.kind == "word"), key=lambda r: (-r.n, r.key))
+        for r in (r for r in rows if r.kind == "class"):
             classes[i, CLASSES.index(r.key)] = r.n / r.total
         members.append(np.array([vocabulary.setdefault(r.key.encode(), len(vocabulary)) for r in mine], np.int64))
         shares = np.array([r.n for r in mine], float) / mine[0].total
@@ -207,7 +229,7 @@ def distances(known: Model, classes: np.ndarray, counts: np.ndarray) -> tuple[np
 
 
 def judge(
-    docs: DataFrame, known: Model, rules: Rules = Rules(), id_column: str = "doc_id", text: str = "text"
+    docs: DataFrame, known: Iterator[Model], rules: Rules = Rules(), id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One row per document: id, the base counts, base_failed, kept, char_distance, word_distance
     (the distances null where the text is too short to compare)."""
@@ -217,32 +239,47 @@ def judge(
     schema = f"id {kind}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, kept boolean, char_distance double, word_distance double"
     step = 256
 
-    def block(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
-        rest = len(known.vocabulary)
-        place = known.vocabulary
-        base, classes, counts = [], np.zeros((len(texts), len(CLASSES))), np.zeros((len(texts), rest + 1))
+    packed = docs.sparkSession.sparkContext.broadcast([pickle.dumps(m) for m in known])
+
+    def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        base, classes = np.zeros((len(texts), 5), np.int64), np.zeros((len(texts), len(CLASSES)))
         for i, x in enumerate(texts):
             x = x or ""
             classes[i] = own = class_counts(x)
-            base.append(base_counts(x, x.encode().split(), own))
-            if base[-1][0] >= rules.minimum_words:
-                counts[i] = np.bincount([place.get(w, rest) for w in x.lower().encode().split()], minlength=rest + 1)
-        by_char, by_word = distances(known, classes, counts)
-        table = np.array(base, np.int64).reshape(len(texts), 5)
-        failed = np.array([base_failed(int(r[0]), int(r[4])) for r in table], bool)
-        long_c, long_w = classes.sum(1) >= rules.minimum_chars, table[:, 0] >= rules.minimum_words
+            base[i] = base_counts(x, x.encode().split(), own)
+        return base, classes
+
+    def compared(texts: list[str | None], base: np.ndarray, classes: np.ndarray, group: Model) -> tuple[np.ndarray, np.ndarray]:
+        place, rest = group.vocabulary, len(group.vocabulary)
+        counts = np.zeros((len(texts), rest + 1))
+        for i in np.flatnonzero(base[:, 0] >= rules.minimum_words):
+            counts[i] = np.bincount([place.get(w, rest) for w in texts[i].lower().encode().split()], minlength=rest + 1)
+        return distances(group, classes, counts)
+
+    def judged(ids: pa.Array, base: np.ndarray, classes: np.ndarray, by_char: np.ndarray, by_word: np.ndarray) -> pa.RecordBatch:
+        failed = np.array([base_failed(int(r[0]), int(r[4])) for r in base], bool)
+        long_c, long_w = classes.sum(1) >= rules.minimum_chars, base[:, 0] >= rules.minimum_words
         far = (long_c & (by_char > rules.max_char_distance)) | (long_w & (by_word > rules.max_word_distance))
         return pa.RecordBatch.from_arrays(
-            [ids, *(pa.array(table[:, k]) for k in range(5)), pa.array(failed), pa.array(~failed & ~far),
+            [ids, *(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(~failed & ~far),
              pa.array(by_char, mask=~long_c), pa.array(by_word, mask=~long_w)],
             names=["id", *names, "base_failed", "kept", "char_distance", "word_distance"],
         )
 
     def kernel(batches):
+        blobs = packed.value
+        held = [pickle.loads(b) for b in blobs] if len(blobs) <= HELD_GROUPS else None
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                yield block(part.column(0), part.column(1).to_pylist())
+            starts = range(0, batch.num_rows, step)
+            found = [counted(batch.column(1).slice(at, step).to_pylist()) for at in starts]
+            # Without any reference all distances are 0.
+            near = [np.full((2, len(base)), 1.0 if blobs else 0.0) for base, _ in found]
+            for group in held if held is not None else map(pickle.loads, blobs):
+                for k, at in enumerate(starts):
+                    texts = batch.column(1).slice(at, step).to_pylist()
+                    near[k] = np.minimum(near[k], compared(texts, *found[k], group))
+            for k, at in enumerate(starts):
+                yield judged(batch.column(0).slice(at, step), *found[k], *near[k])
 
     return map_arrow(picked, kernel, schema).withColumnRenamed("id", id_column)
 
@@ -251,4 +288,5 @@ def assess(
     docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
     """References over all documents, then every document against them."""
-    return judge(docs, model(references(docs, rules, text, lang), rules), rules, id_column, text)
+    found = stored(references(docs, rules, text, lang), "references")
+    return judge(docs, models(found, rules), rules, id_column, text)

@@ -72,3 +72,14 @@ def test_junk_goes_in_every_band_of_lengths(spark):
         good, bad = ([r.kept for r in band if r.quality == q] for q in (1, 0))
         assert good and np.mean(good) > 0.98 and bad and np.mean(bad) < 0.2
         assert not [r.doc_id for r in band if r.kept and (r.word_distance is None or r.word_distance > 0.55)]
+
+
+@pytest.mark.parametrize("rows", [quality.Rules().collected_rows, 0])
+def test_every_language_has_a_reference(spark, rows):
+    """Clean texts of more languages than a task holds unpacked, each with words of its own."""
+    text = lambda k: " ".join(f"l{k}w{i % 30}" if i % 3 else f"l{k}x{i}" for i in range(120))
+    docs = [(k, text(k), f"lang{k:04}") for k in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.assess(df, quality.Rules(collected_rows=rows)).collect()}
+    assert [k for k in range(600) if not got[k].kept] == []
+    assert max(got[k].word_distance for k in range(600)) < 0.3
