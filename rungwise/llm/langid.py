@@ -167,16 +167,20 @@ def expected_counts(stretched: list[str], weights: np.ndarray, vocabulary: Piece
 
 
 def sample(docs: DataFrame, options: Training, id_column: str, text: str, lang: str) -> list[tuple[str, str]]:
-    """(lang, text) of the sample: the rows with the smallest hash per language. Ids alone pass
-    through the window, and only ``rows_per_language`` of each partition reach it."""
+    """(lang, text) of the sample: the rows with the smallest hash per language, fewer of each beyond
+    ``max_languages`` languages but at least one. Ids alone pass through the first window, and only
+    ``rows_per_language`` of each partition reach it."""
     ids = docs.where(F.col(lang).isNotNull() & ~held_out(id_column)).select(
         F.col(id_column).alias("_id"), F.col(lang).alias("_lang")
     )
+    languages = ids.select("_lang").distinct().count()
+    each = min(options.rows_per_language, max(1, options.rows_per_language * options.max_languages // max(1, languages)))
     place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = ids.withColumn("_place", place).where(F.col("_place") <= options.rows_per_language).select("_id", "_lang").distinct()
+    chosen = ids.withColumn("_place", place).where(F.col("_place") <= each).select("_id", "_lang").distinct()
     rows = docs.join(broadcast_if_small(chosen), (F.col(id_column) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
-    limit = options.rows_per_language * options.max_languages
-    return [(r[0], r[1]) for r in rows.select(F.col(lang), F.col(text)).orderBy(F.xxhash64(id_column), id_column).limit(limit).collect() if r[1]]
+    # Repeated ids come back with all their rows.
+    picked = rows.select("_id", "_lang", F.col(text).alias("_text")).withColumn("_place", place).where(F.col("_place") <= each)
+    return [(r[0], r[1]) for r in picked.select("_lang", "_text", "_id").orderBy(F.xxhash64("_id"), "_id").collect() if r[1]]
 
 
 @dataclass

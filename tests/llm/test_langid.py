@@ -68,3 +68,10 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(df).collect()] == [("und", 0.0)]
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_every_language_keeps_rows_in_the_sample(spark):
+    rows = [(i, f"text {i}", f"lang{i % 40}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(df, langid.Training(rows_per_language=4, max_languages=2), "doc_id", "text", "lang")
+    assert len(got) == 40 and len({a for a, _ in got}) == 40
