@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm import bpe, editcount, langid, mix, parity, pii, quality, rpforest, toxicity, warc
+from rungwise.llm import (
+    bpe,
+    editcount,
+    langid,
+    mix,
+    packing,
+    parity,
+    pii,
+    quality,
+    ranked,
+    rpforest,
+    toxicity,
+    variants,
+    warc,
+)
 from rungwise.llm.common import table
 
 
@@ -68,6 +82,22 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 1024 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(bpe.RANKS))
+
+
 OP2_SQL = """
 with p as (
   select page_id, coalesce(html, '') as t from pages
@@ -112,6 +142,39 @@ select r.id as doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(c) as co
 from r left join n on n.doc_id = r.id group by r.id
 """
 
+OP11_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents
+), h as (
+  select r, doc_id, len(ts)::bigint as n from d where len(ts) > 0
+), s as (
+  select count(*)::bigint as docs, sum(n)::bigint as terms from h
+), p as (
+  select r, t, count(*)::bigint as tf from (select r, unnest(ts) as t from d) group by all
+), i as (
+  select q, item_id, t, count(*)::bigint as times from (
+    select row_number() over () as q, item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+    from benchmark
+  ) group by all
+), w as (
+  select t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from p, s where t in (select t from i) group by t, docs
+), m as (
+  select r, doc_id, 25 + (75 * n * docs) // terms as m from h, s
+), c as (
+  select q, item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from i join w using (t) join p using (t) join m using (r) group by all
+)
+select item_id, k::int as rank, doc_id, score from (
+  select *, row_number() over (partition by q order by score desc, doc_id nulls last) as k from c where score > 0
+) where k <= 10
+"""
+
 QUERIES = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_warc": (op2_warc, OP2_SQL),
@@ -123,4 +186,7 @@ QUERIES = {
     "op8_mix": (op8_mix, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_edit_counts": (op10_edit_counts, None),
+    "op11_ranked": (op11_ranked, OP11_SQL),
+    "op12_variants": (op12_variants, None),
+    "op13_packing": (op13_packing, None),
 }

@@ -22,7 +22,12 @@ COLUMNS = {
     "op8_mix": ["doc_id", "size", "source_size", "target", "taken"],
     "op9_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op10_edit_counts": ["doc_id", "n_tokens_before", "n_tokens", "encoded_chars", "n_chars"],
+    "op11_ranked": ["item_id", "rank", "doc_id", "score"],
+    "op12_variants": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op13_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
 }
+#: Queries that do not return one row per row of a table.
+OTHER_ROWS = {"op11_ranked", "op12_variants", "op13_packing"}
 
 
 @pytest.mark.parametrize("name", COLUMNS)
@@ -30,7 +35,7 @@ def test_columns_and_rows(spark, small_dir, name):
     got = registry.QUERIES[name][0](spark, small_dir)
     assert got.columns[: len(COLUMNS[name])] == COLUMNS[name]
     source = {"op2_warc": "pages", "op5_vector_forest": "embeddings"}.get(name, "documents")
-    assert got.count() == table(spark, small_dir, source).count()
+    assert name in OTHER_ROWS or got.count() == table(spark, small_dir, source).count()
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in registry.QUERIES.items() if sql])
