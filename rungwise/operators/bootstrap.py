@@ -1,12 +1,18 @@
 """Paired hierarchical bootstrap: time blocks first, then events inside each drawn block.
 
-Draws come from a counter-based generator, so every task computes its own draws from (seed,
+Draws come from counter-based generators, so every task computes its own draws from (seed,
 replicate, slot, draw) and a lost executor recomputes exactly the same ones.
 
 Blocks of up to ``BLOCK_EVENTS`` events are one bounded array each, and a NumPy kernel adds up the
 draws of a range of replicates: what leaves a task is one sum per replicate, not a row per draw.
-Draws of larger blocks are generated as rows, in chunks spread over the cluster, and joined to their
-events. Both ways take the same draws, so the result does not depend on the limit.
+
+A larger block is cut into chunks of events, and its draws are split among them instead of made one
+by one (conditional binomial splitting): a replicate that picks the block m times draws m times its
+size; down a binary tree over the chunks, the draws that go left are binomial given those of the
+node; in a chunk the counts of its events are multinomial. Each node has its own Philox stream, keyed
+by seed, block, node and range of replicates, so all chunks agree on the split without exchanging
+anything. The number of draws does not matter for the cost, and no draw is a row. The two ways are
+equal in distribution, and which blocks a replicate picks is the same either way.
 """
 
 from __future__ import annotations
@@ -33,48 +39,20 @@ PRIME = 2147483647
 SEED_STEP, REPLICATE_STEP, SLOT_STEP, DRAW_STEP = 1000003, 7919, 104729, 15485863
 BLOCK_SALTS = (374761393, 668265263)
 EVENT_SALTS = (1274126177, 97531)
-DRAWS_PER_CHUNK = 4096
 BLOCK_EVENTS = 50_000
+CHUNK_EVENTS = 4096
+#: Marks the streams of chunks among those of tree nodes.
+LEAF = 1
 REPLICATES_PER_TASK = 1_250
 KERNEL_CELLS = 1 << 20
 
 
-def with_draw(
-    df: DataFrame,
-    name: str,
-    seed: str,
-    slot: str,
-    draw: Column,
-    bound: str,
-    salts: tuple[int, int],
-) -> DataFrame:
-    """Add a reproducible integer in ``[0, bound)`` per row.
+def drawn(seed: int, replicate, slot, draw, salts: tuple[int, int]) -> np.ndarray:
+    """Reproducible integers in ``[0, PRIME)``; a bound is applied by its remainder.
 
     Three rounds of ``x**5`` modulo PRIME (a permutation, as 5 does not divide PRIME - 1) with a
-    salt between them; every product fits 64 bits. Each round is its own projection, so no
-    expression is written out more than once.
+    salt between them; every product fits 64 bits.
     """
-    x, square = F.col("_x"), F.col("_square")
-    start = (
-        F.col(seed) * SEED_STEP
-        + F.col("replicate") * REPLICATE_STEP
-        + F.col(slot) * SLOT_STEP
-        + (draw.cast("bigint") + 1) * DRAW_STEP
-    ) % PRIME
-    df = df.withColumn("_x", start)
-    for salt in (*salts, None):
-        power = x * (square * square % PRIME) % PRIME
-        df = df.withColumn("_square", x * x % PRIME).withColumn(
-            "_x", power if salt is None else (power + salt) % PRIME
-        )
-    # Never null: a join on the draw would otherwise push a null test, with every round written
-    # out again, below the rounds.
-    drawn = F.coalesce(x % F.col(bound), F.lit(0).cast("bigint"))
-    return df.withColumn(name, drawn).drop("_x", "_square")
-
-
-def drawn(seed: int, replicate, slot, draw, salts: tuple[int, int]) -> np.ndarray:
-    """The generator of ``with_draw`` on NumPy integers, before the bound is applied."""
     x = (seed * SEED_STEP + replicate * REPLICATE_STEP + slot * SLOT_STEP + (draw + 1) * DRAW_STEP) % PRIME
     for salt in (*salts, 0):
         square = x * x % PRIME
@@ -82,18 +60,24 @@ def drawn(seed: int, replicate, slot, draw, salts: tuple[int, int]) -> np.ndarra
     return x
 
 
-def block_sums(
-    values: np.ndarray, index: int, blocks: int, seed: int, first: int, last: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Replicates first..last-1 that draw block ``index`` at all, and the sums of their draws."""
-    n, found = len(values), []
+def picks(index: int, blocks: int, seed: int, first: int, last: int) -> np.ndarray:
+    """(replicate, slot) pairs of replicates first..last-1 that draw block ``index``."""
+    found = []
     slots_at_once = max(1, KERNEL_CELLS // (last - first))
     for low in range(0, blocks, slots_at_once):
         slot = np.arange(low, min(blocks, low + slots_at_once), dtype=np.int64)
         replicate = np.arange(first, last, dtype=np.int64)
         hit = drawn(seed, replicate[:, None], slot[None, :], 0, BLOCK_SALTS) % blocks == index
         found.append(np.argwhere(hit) + [first, low])
-    pairs = np.concatenate(found).astype(np.int64)
+    return np.concatenate(found).astype(np.int64)
+
+
+def block_sums(
+    values: np.ndarray, index: int, blocks: int, seed: int, first: int, last: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Replicates first..last-1 that draw block ``index`` at all, and the sums of their draws."""
+    n = len(values)
+    pairs = picks(index, blocks, seed, first, last)
     sums = np.zeros((last - first, values.shape[1]))
     counts = np.zeros(last - first, np.int64)
     step = max(1, KERNEL_CELLS // n)
@@ -114,19 +98,60 @@ def block_sums(
     return some + first, np.column_stack([counts[some], sums[some]])
 
 
+def _stream(*key: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence(key)))
+
+
+def chunk_draws(
+    chunk: int, n: int, chunk_events: int, index: int, blocks: int, seed: int, first: int, last: int
+) -> np.ndarray:
+    """How many draws of replicates first..last-1 fall into a chunk of block ``index`` of n events."""
+    times = np.bincount(picks(index, blocks, seed, first, last)[:, 0] - first, minlength=last - first)
+    draws = times * n
+    low, high = 0, -(-n // chunk_events)
+    while high - low > 1 and draws.any():
+        middle = (low + high) // 2
+        events = min(high * chunk_events, n) - low * chunk_events
+        left = (middle - low) * chunk_events
+        goes_left = _stream(seed, index, low, high, first).binomial(draws, left / events)
+        if chunk < middle:
+            draws, high = goes_left, middle
+        else:
+            draws, low = draws - goes_left, middle
+    return draws
+
+
+def chunk_sums(
+    values: np.ndarray, chunk: int, n: int, chunk_events: int, index: int, blocks: int, seed: int, first: int, last: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """As ``block_sums``, for one chunk of a block of ``n`` events, by counts instead of draws."""
+    draws = chunk_draws(chunk, n, chunk_events, index, blocks, seed, first, last)
+    some = np.flatnonzero(draws)
+    own, even = _stream(seed, index, chunk, first, LEAF, LEAF), np.full(len(values), 1 / len(values))
+    sums = np.zeros((len(some), values.shape[1]))
+    step = max(1, KERNEL_CELLS // len(values))
+    for at in range(0, len(some), step):
+        sums[at : at + step] = own.multinomial(draws[some[at : at + step]], even) @ values
+    return some + first, np.column_stack([draws[some], sums])
+
+
 def _number(x: Column) -> Column:
     return x.cast("double")
 
 
-def _kernel(strata: list[str], diffs: list[str], seeds: list[int], names: list[str]):
+def _kernel(strata: list[str], diffs: list[str], seeds: list[int], names: list[str], chunk_events: int):
     def run(batches):
         for batch in batches:
-            rows = [batch.column(c).to_pylist() for c in (*strata, "block_index", "blocks", "first", "last")]
+            bounds = ("block_index", "blocks", "first", "last", "chunk", "block_events")
+            rows = [batch.column(c).to_pylist() for c in (*strata, *bounds)]
             for k in range(batch.num_rows):
                 values = np.column_stack([batch.column(f"v{i}")[k].values.to_numpy(zero_copy_only=False) for i in range(len(diffs))])
-                index, blocks, first, last = (r[k] for r in rows[len(strata) :])
+                index, blocks, first, last, chunk, n = (r[k] for r in rows[len(strata) :])
                 for seed in seeds:
-                    which, table = block_sums(values, index, blocks, seed, first, last)
+                    if chunk is None:
+                        which, table = block_sums(values, index, blocks, seed, first, last)
+                    else:
+                        which, table = chunk_sums(values, chunk, n, chunk_events, index, blocks, seed, first, last)
                     keys = [pa.array([rows[i][k]] * len(which), batch.column(c).type) for i, c in enumerate(strata)]
                     yield pa.RecordBatch.from_arrays(
                         [*keys, pa.array([seed] * len(which), pa.int64()), pa.array(which, pa.int64()),
@@ -182,12 +207,13 @@ def replicates(
     strata: Sequence[str] = (),
     max_rows: int = MAX_GROUP_ROWS,
     block_events: int = BLOCK_EVENTS,
+    chunk_events: int = CHUNK_EVENTS,
 ) -> DataFrame:
     """One row per (stratum, seed, replicate) with the mean of every ``diffs`` column.
 
     ``events`` holds one row per event: ``event_id, block``, the strata and the paired differences
-    (not null). Strata are resampled independently; all difference columns share the draws. Blocks
-    above ``block_events`` go the way of rows, see the module's text.
+    (not null). Strata are resampled independently; all difference columns share the draws. Draws of
+    blocks above ``block_events`` are split among chunks of ``chunk_events``, see the module's text.
     """
     strata = list(strata)
     columns = [*strata, "event_id", "block", *diffs]
@@ -213,28 +239,25 @@ def replicates(
     placed = placed.join(small(blocks.select(*strata, "block", "block_index", "block_events"), n_blocks), [*strata, "block"])
     names = [*strata, "seed", "replicate", "_n", *[f"_s{i}" for i in range(len(diffs))]]
     ordered = F.sort_array(F.collect_list(F.struct("event_index", *diffs)))
+    chunk = F.when(F.col("block_events") > block_events, F.floor(F.col("event_index") / chunk_events))
     pools = (
-        placed.where(F.col("block_events") <= block_events)
-        .groupBy(*strata, "block_index")
+        placed.withColumn("chunk", chunk)
+        .groupBy(*strata, "block_index", "block_events", "chunk")
         .agg(ordered.alias("_pool"))
         .join(F.broadcast(totals.select(*strata, "blocks")), strata)
         .withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(REPLICATES_PER_TASK))))
         .withColumn("last", F.least(F.col("first") + REPLICATES_PER_TASK, F.lit(resamples)))
         .select(
-            *strata, "block_index", "blocks", "first", "last",
+            *strata, "block_index", "blocks", "first", "last", "chunk", "block_events",
             *[F.transform(F.col(f"_pool.{d}"), _number).alias(f"v{i}") for i, d in enumerate(diffs)],
         )
     )
-    tasks = max(1, min(int(n_blocks) * -(-resamples // REPLICATES_PER_TASK), 10_000))
+    n_pools = int(n_blocks) + int(n_events) // max(chunk_events, CHUNK_EVENTS)
+    tasks = max(1, min(n_pools * -(-resamples // REPLICATES_PER_TASK), 10_000))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in paired.schema if f.name in strata)
     kinds += ", seed bigint, replicate bigint, _n bigint, " + ", ".join(f"_s{i} double" for i in range(len(diffs)))
-    kernel = _kernel(strata, list(diffs), [int(s) for s in seeds], names)
+    kernel = _kernel(strata, list(diffs), [int(s) for s in seeds], names, chunk_events)
     sums = pools.repartition(tasks).mapInArrow(kernel, kinds)
-    large = blocks.where(F.col("block_events") > block_events)
-    if not large.isEmpty():
-        sums = sums.unionByName(
-            _drawn_rows(placed, large, totals, n_blocks, n_events, resamples, seeds, strata, diffs).select(*names)
-        )
     totalled = sums.groupBy(*strata, "seed", "replicate").agg(
         F.sum("_n").alias("_n"), *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(diffs))]
     )
@@ -242,35 +265,6 @@ def replicates(
     return totalled.select(*strata, "seed", "replicate", *means).drop("_all")
 
 
-def _drawn_rows(placed, large, totals, n_blocks, n_events, resamples, seeds, strata, diffs) -> DataFrame:
-    """Sums per replicate over the draws of the large blocks, a row per draw before aggregation."""
-    seed_values = F.array(*[F.lit(int(s)).cast("bigint") for s in seeds])
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint"))
-    slots = (
-        totals.drop("stratum_events")
-        .withColumn("seed", F.explode(seed_values))
-        .withColumn("replicate", F.explode(every))
-        .repartition(*strata, "seed", "replicate")
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
-    slots = with_draw(slots, "block_index", "seed", "slot", F.lit(0), "blocks", BLOCK_SALTS)
-    chosen = slots.join(small(large, n_blocks), [*strata, "block_index"])
-    last_chunk = F.floor((F.col("block_events") - 1) / DRAWS_PER_CHUNK)
-    chunks = chosen.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
-    chunks = chunks.repartition("replicate", "slot", "_chunk")
-    begin = F.col("_chunk") * DRAWS_PER_CHUNK
-    end = F.least(begin + DRAWS_PER_CHUNK, F.col("block_events")) - 1
-    draws = chunks.withColumn("draw", F.explode(F.sequence(begin, end)))
-    draws = with_draw(
-        draws, "event_index", "seed", "slot", F.col("draw"), "block_events", EVENT_SALTS
-    ).select(*strata, "seed", "replicate", "block_index", "event_index")
-    pool = placed.select(*strata, "block_index", "event_index", *diffs)
-    picked = draws.join(small(pool, n_events), [*strata, "block_index", "event_index"])
-    return picked.groupBy(*strata, "seed", "replicate").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(d).alias(f"_s{i}") for i, d in enumerate(diffs)]
-    )
-
-
 def intervals(
     replicate_table: DataFrame, diffs: Sequence[str], confidence: float, by: Sequence[str] = ()
 ) -> DataFrame:

@@ -247,6 +247,22 @@ def interval(spark, folder):
     return rounded(bst.intervals(drawn, ["brier", "log"], 0.95, ["horizon_seconds"]), 10)
 
 
+def split_interval(spark, folder):
+    """Intervals of single draws, and whether draws split over chunks of events come to the same.
+
+    The ends of both are estimates from 10,000 replicates, so they may differ by a part of the width.
+    """
+    diffs = holdout_diffs(spark, folder)
+    names, by = ["brier", "log"], ["horizon_seconds"]
+    single = bst.intervals(bst.replicates(diffs, names, RESAMPLES, [7], by), names, 0.95, by)
+    split = bst.replicates(diffs, names, RESAMPLES, [7], by, block_events=0, chunk_events=16)
+    other = bst.intervals(split, names, 0.95, by).withColumnsRenamed({"lower": "low", "upper": "high"})
+    near = (F.col("upper") - F.col("lower")) * 0.1
+    agrees = (F.abs(F.col("low") - F.col("lower")) < near) & (F.abs(F.col("high") - F.col("upper")) < near)
+    both = single.join(other, [*by, "name"]).select(*by, "name", "lower", "upper", agrees.alias("split_agrees"))
+    return rounded(both, 10)
+
+
 def bootstrap_guards(spark, folder):
     """Facts the bootstrap requires: blocks, events, events in several blocks, bad losses."""
     events = raw_events(spark, folder)
@@ -699,6 +715,16 @@ QUERIES = {
             *_SCORED, _REPS,
         ),
     ),
+    "bst1_split_blocks": (
+        split_interval,
+        sql.query(
+            "select horizon_seconds, 'brier' as name, round(quantile_cont(brier, 0.025), 10) as lower, "
+            "round(quantile_cont(brier, 0.975), 10) as upper, true as split_agrees from reps group by 1 union all "
+            "select horizon_seconds, 'log', round(quantile_cont(log, 0.025), 10), "
+            "round(quantile_cont(log, 0.975), 10), true from reps group by 1",
+            *_SCORED, _REPS,
+        ),
+    ),
     "bst2_guards": (
         bootstrap_guards,
         sql.query(

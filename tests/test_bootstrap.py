@@ -37,20 +37,76 @@ def brute(diffs, resamples, seed):
     return np.array(means)
 
 
-@pytest.mark.parametrize(("max_rows", "block_events"), [(250_000, 50_000), (5, 50_000), (250_000, 5), (5, 0)])
-def test_replicates_match_plain_loops(spark, monkeypatch, max_rows, block_events):
-    """Whatever the size limits: kernel for all, for some or for none of the blocks."""
-    monkeypatch.setattr(bst, "DRAWS_PER_CHUNK", 4)
+@pytest.mark.parametrize("max_rows", [250_000, 5])
+def test_replicates_match_plain_loops(spark, monkeypatch, max_rows):
     monkeypatch.setattr(bst, "REPLICATES_PER_TASK", 10)
     rng = np.random.default_rng(1)
     sizes = {"b1": 3, "b2": 23, "b3": 1, "b4": 8}
     diffs = {b: {f"{b}-{i:02d}": float(rng.normal()) for i in range(n)} for b, n in sizes.items()}
     rows = [(e, b, v) for b, d in diffs.items() for e, v in d.items()]
     df = spark.createDataFrame(rows, "event_id string, block string, d double")
-    got = bst.replicates(df, ["d"], 25, [9], max_rows=max_rows, block_events=block_events).orderBy("replicate").toPandas()
+    got = bst.replicates(df, ["d"], 25, [9], max_rows=max_rows).orderBy("replicate").toPandas()
     assert np.allclose(got.d.to_numpy(), brute(diffs, 25, 9))
 
 
+def test_draws_are_split_without_loss():
+    """All chunks of a block together get its draws, each about its share."""
+    n, size, blocks = 1003, 64, 5
+    chunks = [bst.chunk_draws(c, n, size, 2, blocks, 11, 20, 820) for c in range(-(-n // size))]
+    pairs = bst.picks(2, blocks, 11, 20, 820)
+    assert (sum(chunks) == np.bincount(pairs[:, 0] - 20, minlength=800) * n).all()
+    shares = np.array([c.sum() for c in chunks]) / (len(pairs) * n)
+    assert np.allclose(shares[:-1], size / n, rtol=0.02) and shares[-1] == pytest.approx((n % size) / n, rel=0.05)
+
+
+def test_split_counts_have_the_moments_of_single_draws():
+    """Mean, variance and covariance of how often events are drawn, against the binomial's."""
+    n, size, reps = 40, 8, 40_000
+    counts = []
+    for chunk in range(5):
+        which, table = bst.chunk_sums(np.eye(size), chunk, n, size, 0, 1, 3, 0, reps)
+        full = np.zeros((reps, size))
+        full[which] = table[:, 1:]
+        counts.append(full)
+    counts = np.hstack(counts)
+    assert (counts.sum(1) == n).all()
+    cov = np.cov(counts.T)
+    assert np.allclose(counts.mean(0), 1, atol=0.03)
+    assert np.allclose(np.diag(cov), 1 - 1 / n, atol=0.05)
+    off = cov[~np.eye(n, dtype=bool)]
+    assert abs(off.mean() + 1 / n) < 0.002 and abs(off).max() < 0.05
+
+
+@pytest.mark.parametrize(("block_events", "chunk_events"), [(5, 4), (0, 7)])
+def test_split_blocks_agree_in_distribution(spark, block_events, chunk_events):
+    """Some blocks or all of them above the limit: same mean and spread as single draws."""
+    rng = np.random.default_rng(1)
+    sizes = {"b1": 3, "b2": 123, "b3": 1, "b4": 58}
+    rows = [(f"{b}-{i:03d}", b, float(rng.normal() + k)) for k, (b, n) in enumerate(sizes.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, "event_id string, block string, d double")
+    options = {"max_rows": 20, "block_events": block_events, "chunk_events": chunk_events}
+    got = bst.replicates(df, ["d"], 4000, [9], **options).orderBy("replicate").toPandas()
+    again = bst.replicates(df.repartition(3), ["d"], 4000, [9], **options).orderBy("replicate").toPandas()
+    assert len(got) == 4000 and np.allclose(got.d, again.d)
+    drawn = bst.replicates(df, ["d"], 4000, [9]).orderBy("replicate").toPandas().d
+    # Which blocks a replicate picks is the same, so the replicates themselves are close.
+    assert np.corrcoef(got.d, drawn)[0, 1] > 0.95
+    assert got.d.mean() == pytest.approx(drawn.mean(), abs=0.02) and got.d.std() == pytest.approx(drawn.std(), rel=0.05)
+    assert np.quantile(got.d, [0.025, 0.975]) == pytest.approx(np.quantile(drawn, [0.025, 0.975]), abs=0.08)
+
+
+def test_a_large_block_makes_no_row_per_draw(spark):
+    """2,000 replicates of 60,000 draws each: rows in the plan stay with chunks and replicates."""
+    df = spark.range(120_000).select(
+        F.col("id").cast("string").alias("event_id"), F.when(F.col("id") < 60_000, "x").otherwise("y").alias("block"),
+        (F.col("id") % 100).cast("double").alias("d"),
+    )
+    got = bst.replicates(df, ["d"], 2000, [1]).toPandas().d
+    assert len(got) == 2000 and got.mean() == pytest.approx(49.5, abs=0.02)
+    # Two equal blocks of the same values: only the draws inside them vary.
+    assert got.std() == pytest.approx(np.std(np.arange(100)) / np.sqrt(120_000), rel=0.1)
+
+
 def test_strata_and_seeds_are_independent(spark):
     rows = [(f"e{i}", f"b{i % 3}", float(i), s) for i in range(12) for s in ("x", "y")]
     df = spark.createDataFrame(rows, "event_id string, block string, d double, s string")
