@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from rungwise.functions.numeric import is_finite
 from rungwise.functions.text import FORBIDDEN_FEATURES, decimal_text, snake_name
 from rungwise.functions.times import utc_day
 from rungwise.operators.ordered import MAX_GROUP_ROWS, segment, with_next
-from rungwise.session import checkpointed
+from rungwise.session import written
 
 MICROS = 1_000_000
 VIOLATION = "rule_id string, key string, detail string"
@@ -119,20 +120,80 @@ def snapshot_row_violations(df: DataFrame, label_source: str) -> DataFrame:
     return row_rules(df, snapshot_row_rules(label_source), key_text(*ROW_KEY))
 
 
-def duplicate_rows(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return _violations(repeated, rule, key_text(*keys), F.col("n").cast("string"))
+@dataclass(frozen=True)
+class KeyRule:
+    """What every key of a table must keep to.
+
+    ``fields``: the key determines them. ``once``: it occurs once. ``rising`` (threshold, label): no
+    label 0 lies at or below a label 1.
+    """
 
+    rule: str
+    keys: tuple[str, ...]
+    fields: tuple[str, ...] = ()
+    once: bool = False
+    rising: tuple[str, str] | None = None
+
+
+def _plain(df: DataFrame, name: str) -> Column:
+    """The column with one zero and one NaN, as grouping by it would have."""
+    value = F.col(name)
+    if dict(df.dtypes)[name] not in ("double", "float"):
+        return value
+    return F.when(F.isnan(value), F.lit(float("nan"))).when(value == 0.0, F.lit(0.0)).otherwise(value)
+
+
+def _digest(df: DataFrame, names: Sequence[str]) -> Column:
+    """64 bits of the values, nulls marked."""
+    return F.xxhash64(*[part for name in names for part in (_plain(df, name), F.col(name).isNull())])
 
-def dependency(df: DataFrame, keys: Sequence[str], fields: Sequence[str], rule: str) -> DataFrame:
-    """Keys that do not determine ``fields``.
 
-    Smallest against largest needs no distinct; 64-bit digests (nulls marked) let both be kept in a
-    hash aggregate, where whole rows of text would be sorted.
+def key_violations(df: DataFrame, rules: Sequence[KeyRule]) -> DataFrame:
+    """Keys that break any of the rules, found in one scan and one shuffle.
+
+    A row becomes one narrow row per rule: number of the rule, key, digest of the determined fields.
+    Smallest against largest digest needs no distinct, and a hash aggregate keeps numbers only, so
+    repeated keys shrink in the tasks before anything is shuffled, whatever the number of rules.
     """
-    content = F.xxhash64(*[part for f in fields for part in (F.col(f), F.col(f).isNull())])
-    bad = df.groupBy(*keys).agg((F.min(content) != F.max(content)).alias("bad")).where("bad")
-    return _violations(bad, rule, key_text(*keys))
+    nothing = F.lit(None)
+    parts = []
+    for i, rule in enumerate(rules):
+        threshold, label = map(F.col, rule.rising) if rule.rising else (nothing, nothing)
+        parts.append(
+            F.struct(
+                F.lit(i).alias("rule"),
+                F.concat_ws("|", *[_plain(df, k).cast("string") for k in rule.keys]).alias("key"),
+                _digest(df, rule.keys).alias("key_digest"),
+                (_digest(df, rule.fields) if rule.fields else F.lit(0).cast("bigint")).alias("content"),
+                F.when(label == 0.0, threshold).cast("double").alias("no"),
+                F.when(label == 1.0, threshold).cast("double").alias("yes"),
+            )
+        )
+    facts = (
+        df.select(F.inline(F.array(*parts)))
+        .groupBy("rule", "key", "key_digest")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            (F.min("content") != F.max("content")).alias("differs"),
+            (F.min("no") <= F.max("yes")).alias("rises"),
+        )
+    )
+    numbers = [i for i, r in enumerate(rules) if r.once]
+    repeated = F.col("rule").isin(numbers) & (F.col("n") > 1)
+    names = F.array(*[F.lit(r.rule) for r in rules])
+    return facts.where(F.col("differs") | F.coalesce("rises", F.lit(False)) | repeated).select(
+        F.element_at(names, F.col("rule") + 1).alias("rule_id"), "key",
+        F.when(repeated, F.col("n").cast("string")).otherwise("").alias("detail"),
+    )
+
+
+def duplicate_rows(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
+    return key_violations(df, [KeyRule(rule, tuple(keys), once=True)])
+
+
+def dependency(df: DataFrame, keys: Sequence[str], fields: Sequence[str], rule: str) -> DataFrame:
+    """Keys that do not determine ``fields``."""
+    return key_violations(df, [KeyRule(rule, tuple(keys), tuple(fields))])
 
 
 EVENT_FIELDS = ("asset", "split", "utc_day", "scheduled_time", "source_event_sha256")
@@ -149,19 +210,6 @@ CONDITION_FIELDS = (
 )
 
 
-def rising_labels(df: DataFrame) -> DataFrame:
-    """Curves with a 0 at or below a 1: binary labels need two extremes, not a sorted ladder."""
-    curves = df.groupBy("event_id", "horizon_seconds").agg(
-        F.min(F.when(F.col("label") == 0.0, F.col("threshold"))).alias("lowest_no"),
-        F.max(F.when(F.col("label") == 1.0, F.col("threshold"))).alias("highest_yes"),
-    )
-    return _violations(
-        curves.where("lowest_no <= highest_yes"),
-        "labels_rise_along_ladder",
-        key_text("event_id", "horizon_seconds"),
-    )
-
-
 def rising_label_edges(df: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Neighbouring thresholds whose label rises."""
     parts = segment(
@@ -190,34 +238,37 @@ def ladders_differ(df: DataFrame) -> DataFrame:
     return _violations(bad, "ladder_differs_across_horizons", key_text("event_id"))
 
 
+CURVE_KEY = ("event_id", "horizon_seconds")
+KEY_RULES = (
+    KeyRule("duplicate_row", ROW_KEY, once=True),
+    KeyRule("event_properties_disagree", ("event_id",), EVENT_FIELDS),
+    KeyRule("market_in_several_events", ("market_id",), ("event_id",)),
+    KeyRule("market_properties_disagree", ("event_id", "market_id"), MARKET_FIELDS),
+    KeyRule("duplicate_threshold", (*CURVE_KEY, "threshold"), once=True),
+    KeyRule("labels_rise_along_ladder", CURVE_KEY, rising=("threshold", "label")),
+)
+CHAIN_RULE = KeyRule("chain_evidence_disagrees", ("condition_id",), CONDITION_FIELDS)
+
+
 def table_invariants(df: DataFrame, chain: bool = False) -> DataFrame:
     """Keys, functional dependencies and ladder rules of a whole snapshot or evidence table.
 
-    The typed table is written once to the shared folder, as every rule reads it.
+    The columns that rules read are written once to the shared folder: the key rules scan them
+    once, the comparison of ladders reads five of them.
     """
-    df = checkpointed(df)
-    checks = [
-        duplicate_rows(df, ROW_KEY, "duplicate_row"),
-        dependency(df, ["event_id"], EVENT_FIELDS, "event_properties_disagree"),
-        dependency(df, ["market_id"], ["event_id"], "market_in_several_events"),
-        dependency(df, ["event_id", "market_id"], MARKET_FIELDS, "market_properties_disagree"),
-        duplicate_rows(df, ["event_id", "horizon_seconds", "threshold"], "duplicate_threshold"),
-        rising_labels(df),
-        ladders_differ(df),
-    ]
-    if chain:
-        checks.append(
-            dependency(df, ["condition_id"], CONDITION_FIELDS, "chain_evidence_disagrees")
-        )
-    merged = checks[0]
-    for check in checks[1:]:
-        merged = merged.unionByName(check)
-    return merged
+    rules = (*KEY_RULES, CHAIN_RULE) if chain else KEY_RULES
+    wanted = {"label", *ROW_KEY, *(c for r in rules for c in (*r.keys, *r.fields))}
+    df = written(df.select(*[c for c in df.columns if c in wanted]), "invariants")
+    return key_violations(df, rules).unionByName(ladders_differ(df))
 
 
 def protocol_violations(df: DataFrame, protocol: Protocol, chain: bool = False) -> DataFrame:
     """Timing rules per row, then ladder sizes per curve, both from one written typed table."""
-    df = checkpointed(df)
+    wanted = {
+        *ROW_KEY, "split", "asset", "utc_day", "scheduled_time", "cutoff_time", "reference_timestamp",
+        "staleness_seconds", "event_horizon_contract_count", *(["resolution_block_timestamp"] if chain else []),
+    }
+    df = written(df.select(*[c for c in df.columns if c in wanted]), "timing")
     splits = protocol.splits
     when = F.col("scheduled_time")
     inside = F.lit(False)

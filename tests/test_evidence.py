@@ -1,8 +1,9 @@
-"""The 96-row evidence table: clean as it is, and each tampered cell fires its rule."""
+"""An evidence table of metal prices: clean as built, and every spoilt cell fires its rule."""
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import hashlib
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,64 +13,68 @@ from rungwise.operators import quality
 from rungwise.plans.evaluate import evaluate
 from rungwise.sources import sinks, tables
 
-SPLITS = {
-    "development": ("2026-06-01T00:00:00Z", "2026-06-20T00:00:00Z"),
-    "validation": ("2026-06-20T00:00:00Z", "2026-06-30T00:00:00Z"),
-    "holdout": ("2026-06-30T00:00:00Z", "2026-07-14T00:00:00Z"),
+WEEKS = {
+    name: tuple(f"2031-02-{day:02d}T00:00:00Z" for day in (first, first + 7))
+    for name, first in (("fit", 3), ("tune", 10), ("judge", 17))
 }
+METALS = ("Copper", "Tin", "Zinc")
+HORIZONS = (3600, 600)
+RUNGS = 5
 PROTOCOL = Protocol(
-    assets=("Bitcoin", "Ethereum"),
-    splits=SPLITS,
-    minimum_thresholds=4,
-    resolution_grace_seconds=7200,
-    resamples=100,
-    seed=7,
-    gate=Gate(minimum_events=4, minimum_blocks=2, maximum_log_regression=1.0),
+    assets=METALS,
+    splits=WEEKS,
+    horizons=HORIZONS,
+    training_split="fit",
+    holdout_split="judge",
+    minimum_thresholds=RUNGS,
+    resolution_grace_seconds=900,
+    resamples=60,
+    seed=21,
+    gate=Gate(minimum_events=6, minimum_blocks=3, maximum_log_regression=1.0),
 )
+#: Quotes along a ladder: the fourth rung is quoted above the third.
+QUOTES = (0.92, 0.81, 0.55, 0.62, 0.13)
+
+
+def stamp(moment):
+    return moment.strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def sha(*parts):
+    return hashlib.sha256("/".join(map(str, parts)).encode()).hexdigest()
+
+
+def event_rows(week, number):
+    """Both horizons of one event; the settled level passes ``number % 4 + 1`` rungs."""
+    opened = datetime.fromisoformat(WEEKS[week][0]).astimezone(timezone.utc)
+    settled = opened + timedelta(days=number, hours=5 * number % 24, minutes=15)
+    event = f"{week[0]}{number}"
+    for rung, quote in enumerate(QUOTES):
+        passed = rung < number % 4 + 1
+        name = f"{event}.{rung}"
+        fixed = {
+            "event_id": event, "market_id": name, "condition_id": "0x" + sha("condition", name),
+            "asset": METALS[number % len(METALS)], "scheduled_time": stamp(settled),
+            "utc_day": settled.date().isoformat(), "split": week, "threshold": str(12.5 + 2.5 * rung),
+            "gamma_candidate_label": "Yes" if passed else "No", "yes_token": str(int(sha("token", name)[:12], 16)),
+            "reference_probability": str(quote), "source_event_sha256": sha("event", event),
+            "source_history_sha256": sha("history", name), "event_horizon_contract_count": str(RUNGS),
+            "label": "1.0" if passed else "0.0", "payout_vector": "[1,0]" if passed else "[0,1]",
+            "resolution_block_number": str(880 + number), "resolution_block_hash": "0x" + sha("block", number),
+            "resolution_block_timestamp": stamp(settled + timedelta(minutes=4)),
+            "resolution_tx_hash": "0x" + sha("transaction", name), "resolution_log_index": str(3 * rung + 2),
+            "chain_source_sha256": sha("chain", event),
+        }
+        for horizon in HORIZONS:
+            asked = settled - timedelta(seconds=horizon)
+            yield fixed | {
+                "horizon_seconds": str(horizon), "cutoff_time": stamp(asked),
+                "reference_timestamp": stamp(asked - timedelta(seconds=11)), "staleness_seconds": "11",
+            }
 
 
 def cells():
-    iso = lambda t: t.strftime("%Y-%m-%dT%H:%M:%SZ")
-    rows = []
-    for s, (split, (start, _)) in enumerate(SPLITS.items()):
-        for horizon in (1800, 900):
-            for e in range(4):
-                when = datetime.fromisoformat(start[:-1]) + timedelta(days=e % 2, hours=e + 1)
-                for t, p in enumerate([0.9, 0.65, 0.7, 0.1]):
-                    yes = t <= 1 + e % 3
-                    number = s * 100 + e * 10 + t + 1
-                    cutoff = when - timedelta(seconds=horizon)
-                    rows.append(
-                        {
-                            "event_id": f"{split}-{e}",
-                            "market_id": f"{split}-{e}-{t}",
-                            "condition_id": f"0x{number:064x}",
-                            "asset": "Ethereum" if e % 2 else "Bitcoin",
-                            "scheduled_time": iso(when),
-                            "utc_day": when.date().isoformat(),
-                            "split": split,
-                            "horizon_seconds": str(horizon),
-                            "cutoff_time": iso(cutoff),
-                            "threshold": str(float(t)),
-                            "gamma_candidate_label": "Yes" if yes else "No",
-                            "yes_token": str(10_000 + number),
-                            "reference_probability": str(p),
-                            "reference_timestamp": iso(cutoff - timedelta(seconds=30)),
-                            "staleness_seconds": "30",
-                            "source_event_sha256": "5" * 64,
-                            "source_history_sha256": "6" * 64,
-                            "event_horizon_contract_count": "4",
-                            "label": "1.0" if yes else "0.0",
-                            "payout_vector": "[1,0]" if yes else "[0,1]",
-                            "resolution_block_number": "70000000",
-                            "resolution_block_hash": "0x" + "7" * 64,
-                            "resolution_block_timestamp": iso(when + timedelta(seconds=60)),
-                            "resolution_tx_hash": "0x" + "8" * 64,
-                            "resolution_log_index": str(t),
-                            "chain_source_sha256": "9" * 64,
-                        }
-                    )
-    return rows
+    return [row for week in WEEKS for number in range(6) for row in event_rows(week, number)]
 
 
 def frame(spark, rows):
@@ -94,42 +99,50 @@ def test_clean_table(spark):
     quality.assert_clean(everything(frame(spark, cells())))
 
 
-@pytest.mark.parametrize(
-    ("field", "value", "rule"),
-    [
-        ("payout_vector", "[]", "label_payout_disagreement"),
-        ("payout_vector", "[0,1]", "label_payout_disagreement"),
-        ("scheduled_time", "not-a-time", "bad_timestamp"),
-        ("threshold", "nan", "non_finite_threshold"),
-        ("label", "0.5", "non_binary_label"),
-        ("reference_probability", "1.01", "probability_outside_unit_interval"),
-        ("horizon_seconds", "0", "non_positive_horizon"),
-        ("staleness_seconds", "-1", "negative_staleness"),
-        ("event_horizon_contract_count", "0", "non_positive_contract_count"),
-        ("resolution_block_number", "-1", "negative_chain_coordinate"),
-        ("event_id", "", "empty_identifier"),
-        ("yes_token", "0x123", "non_decimal_yes_token"),
-        ("source_event_sha256", "A" * 64, "bad_source_event_digest"),
-        ("condition_id", "0x1234", "bad_condition_id"),
-        ("gamma_candidate_label", "No", "label_candidate_disagreement"),
-        ("utc_day", "2099-01-01", "utc_day_differs"),
-        ("cutoff_time", "2026-06-01T00:30:01Z", "cutoff_differs"),
-        ("reference_timestamp", "2026-06-01T00:30:01Z", "future_reference_point"),
-        ("staleness_seconds", "31", "staleness_differs"),
-        ("event_horizon_contract_count", "3", "ladder_below_minimum"),
-        ("event_horizon_contract_count", "5", "contract_count_differs"),
-        ("split", "archive", "undeclared_split"),
-        ("asset", "Solana", "undeclared_asset"),
-        ("scheduled_time", "2026-05-31T01:00:00Z", "scheduled_outside_split"),
-        ("resolution_block_timestamp", "2026-06-01T04:00:00Z", "resolution_outside_grace"),
-        ("source_history_sha256", "4" * 64, "market_properties_disagree"),
-        ("resolution_tx_hash", "0x" + "4" * 64, "chain_evidence_disagrees"),
-        ("threshold", "1.0", "duplicate_threshold"),
-        ("market_id", "validation-0-0", "market_in_several_events"),
-    ],
-)
-def test_one_tampered_cell(spark, field, value, rule):
+#: rule -> a cell of the first row (event f0, week fit, rung 0, passed, horizon 3600) that breaks it.
+SPOILT = {
+    "label_payout_disagreement": ("payout_vector", "[0,1]"),
+    "label_candidate_disagreement": ("gamma_candidate_label", "No"),
+    "non_binary_label": ("label", "0.25"),
+    "bad_timestamp": ("reference_timestamp", "yesterday"),
+    "non_finite_threshold": ("threshold", "inf"),
+    "probability_outside_unit_interval": ("reference_probability", "-0.01"),
+    "non_positive_horizon": ("horizon_seconds", "-600"),
+    "negative_staleness": ("staleness_seconds", "-5"),
+    "non_positive_contract_count": ("event_horizon_contract_count", "-2"),
+    "negative_chain_coordinate": ("resolution_log_index", "-7"),
+    "empty_identifier": ("market_id", ""),
+    "non_decimal_yes_token": ("yes_token", "12.0"),
+    "bad_source_event_digest": ("source_event_sha256", sha("event", "f0").upper()),
+    "bad_source_history_digest": ("source_history_sha256", "none"),
+    "bad_chain_source_digest": ("chain_source_sha256", sha("x")[:63]),
+    "bad_condition_id": ("condition_id", sha("no prefix")),
+    "bad_block_hash": ("resolution_block_hash", "0x" + "g" * 64),
+    "bad_transaction_hash": ("resolution_tx_hash", "0x"),
+    "utc_day_differs": ("utc_day", "2031-02-04"),
+    "cutoff_differs": ("cutoff_time", "2031-02-02T23:15:30Z"),
+    "future_reference_point": ("reference_timestamp", "2031-02-02T23:59:00Z"),
+    "staleness_differs": ("staleness_seconds", "12"),
+    "staleness_above_limit": ("reference_timestamp", "2031-02-02T22:00:00Z"),
+    "ladder_below_minimum": ("event_horizon_contract_count", "4"),
+    "contract_count_differs": ("event_horizon_contract_count", "6"),
+    "undeclared_split": ("split", "spare"),
+    "undeclared_asset": ("asset", "Lead"),
+    "undeclared_horizon": ("horizon_seconds", "3601"),
+    "scheduled_outside_split": ("scheduled_time", "2031-02-10T00:00:00Z"),
+    "resolution_outside_grace": ("resolution_block_timestamp", "2031-02-03T00:30:01Z"),
+    "event_properties_disagree": ("source_event_sha256", sha("other event")),
+    "market_properties_disagree": ("source_history_sha256", sha("other history")),
+    "chain_evidence_disagrees": ("resolution_block_number", "881"),
+    "duplicate_threshold": ("threshold", "15.0"),
+    "market_in_several_events": ("market_id", "t0.3"),
+}
+
+
+@pytest.mark.parametrize("rule", SPOILT)
+def test_one_spoilt_cell(spark, rule):
     rows = cells()
+    field, value = SPOILT[rule]
     rows[0][field] = value
     assert rule in rules(everything(frame(spark, rows)))
 
@@ -139,8 +152,8 @@ def test_table_level_faults(spark):
     assert "duplicate_row" in rules(quality.table_invariants(frame(spark, rows + rows[:1])))
     assert "ladder_differs_across_horizons" in rules(quality.table_invariants(frame(spark, rows[1:])))
     for row in rows:
-        if row["event_id"] == "development-0":
-            row["label"] = "1.0" if row["threshold"] == "3.0" else "0.0"
+        if row["event_id"] == "j3":
+            row["label"] = str(1.0 - float(row["label"]))
     assert "labels_rise_along_ladder" in rules(quality.table_invariants(frame(spark, rows)))
 
 
@@ -160,9 +173,9 @@ def test_leakage_limits(spark):
 
 def test_round_trip_through_the_sink(spark, tmp_path):
     df = frame(spark, cells())
-    sinks.write_evidence(df, SPLITS, str(tmp_path / "out"))
+    sinks.write_evidence(df, WEEKS, str(tmp_path / "out"))
     back = tables.scan_evidence(spark, str(tmp_path / "out"))
-    assert back.exceptAll(df).count() == 0 and back.count() == 96
+    assert back.exceptAll(df).count() == 0 and back.count() == len(cells())
     with pytest.raises(tables.SchemaError, match="missing"):
         tables.typed_table(df.drop("label"), tables.EVIDENCE_COLUMNS)
     with pytest.raises(tables.SchemaError, match="unexpected"):
@@ -175,14 +188,14 @@ def test_full_evaluation(spark):
         F.col("utc_day").alias("block"), "asset",
     )
     cover = spark.createDataFrame(
-        [("holdout", 1800, 1.0, 1.0)], "split string, horizon_seconds long, event_coverage double, row_coverage double"
+        [("judge", 3600, 1.0, 1.0)], "split string, horizon_seconds long, event_coverage double, row_coverage double"
     )
     done = evaluate(rows, PROTOCOL, cover)
     metrics = {(r.split, r.horizon_seconds, r.method): r for r in done.metrics.collect()}
     assert len(metrics) == 30
-    assert metrics["holdout", 1800, "raw"].edges == 4 and metrics["holdout", 1800, "raw"].violating_events == 4
-    assert metrics["holdout", 1800, "pav_raw"].edges == metrics["holdout", 900, "pav_beta"].edges == 0
-    primary = done.comparisons.where("split = 'holdout' and horizon_seconds = 1800 and comparison = 'pav_raw_vs_raw'").first()
+    assert metrics["judge", 3600, "raw"].edges == 6 and metrics["judge", 3600, "raw"].violating_events == 6
+    assert metrics["judge", 3600, "pav_raw"].edges == metrics["judge", 600, "pav_beta"].edges == 0
+    primary = done.comparisons.where("split = 'judge' and horizon_seconds = 3600 and comparison = 'pav_raw_vs_raw'").first()
     assert primary.brier_delta > 0
     gate = done.gate.collect()
     assert len([r for r in gate if r.gate == "primary"]) == 9
@@ -217,3 +230,26 @@ def test_only_known_methods_may_be_logged(spark):
     rows = [(m,) for m in (*provenance.METHODS, "eth_call", "eth_call", None)]
     found = provenance.method_problems(spark.createDataFrame(rows, "method string")).collect()
     assert {tuple(r) for r in found} == {("method_not_allowed", "eth_call", "2 responses"), ("method_not_allowed", "", "1 responses")}
+
+
+def test_key_rules_in_one_aggregate(spark):
+    """Any number of rules is one scan and one shuffle; nulls, zeros and NaN keys are told apart."""
+    rows = [
+        ("a", 1, 0.0, None), ("a", 1, -0.0, None), ("b", 2, float("nan"), "x"), ("b", 3, float("nan"), "x"),
+        (None, 4, 1.0, ""), ("", 4, 1.0, ""), ("c", 5, 2.0, None), ("c", 5, 2.0, ""), ("d|e", 6, 3.0, "f"), ("d", 6, 3.0, "e|f"),
+    ]
+    df = spark.createDataFrame(rows, "k string, v int, t double, s string")
+    rules_ = [
+        quality.KeyRule("k_v", ("k",), ("v",)),
+        quality.KeyRule("k_s", ("k",), ("s",)),
+        quality.KeyRule("t_once", ("t",), once=True),
+        quality.KeyRule("k_s_once", ("k", "s"), once=True),
+    ]
+    got = quality.key_violations(df, rules_)
+    assert {tuple(r) for r in got.collect()} == {
+        ("k_v", "b", ""), ("k_s", "c", ""), ("t_once", "0.0", "2"), ("t_once", "NaN", "2"), ("t_once", "1.0", "2"),
+        ("t_once", "2.0", "2"), ("t_once", "3.0", "2"), ("k_s_once", "a", "2"), ("k_s_once", "b|x", "2"),
+    }
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("Generate") <= 1
+    assert quality.key_violations(df.limit(0), rules_).count() == 0
