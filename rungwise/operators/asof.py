@@ -133,9 +133,13 @@ def asof_decisions(
     bucket_seconds: int = DAY_SECONDS,
 ) -> DataFrame:
     """Decision per distinct (token, cutoff): ``status``, ``reason`` and the usable point."""
+    return decided(latest_at_or_before(points, cutoffs, bucket_seconds), max_staleness_seconds)
+
+
+def decided(found: DataFrame, max_staleness_seconds: int) -> DataFrame:
+    """Decisions from the newest earlier points (``latest_at_or_before``)."""
     if max_staleness_seconds < 0:
         raise ValueError("the staleness limit cannot be negative")
-    found = latest_at_or_before(points, cutoffs, bucket_seconds)
     why = found.withColumn("reason", reason(max_staleness_seconds))
     usable = F.col("reason").isNull()
     return why.select(

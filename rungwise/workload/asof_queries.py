@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rungwise.operators import asof, coverage
+from rungwise.sources import price_store
 from rungwise.workload import sql, views
 
 TOLERANCE = views.ASOF_TOLERANCE
@@ -18,9 +19,29 @@ def _epoch(name: str):
 
 
 def _decisions(spark, folder, hourly: bool):
-    found = asof.asof_decisions(
-        views.history(spark, folder, hourly), views.cutoffs(spark, folder), TOLERANCE
+    return _shown(
+        asof.asof_decisions(views.history(spark, folder, hourly), views.cutoffs(spark, folder), TOLERANCE)
     )
+
+
+def _stored(spark, folder, hourly: bool):
+    """The same decisions from a history stored once, asked by the cutoffs of two halves apart."""
+    store = price_store.stored(views.history(spark, folder, hourly))
+    cutoffs = views.cutoffs(spark, folder)
+    early = F.dayofmonth("cutoff") <= 15
+    halves = [price_store.decisions(spark, store, cutoffs.where(part), TOLERANCE) for part in (early, ~early)]
+    return _shown(halves[0].unionByName(halves[1]))
+
+
+def stored_backward(spark, folder):
+    return _stored(spark, folder, False)
+
+
+def stored_rejections(spark, folder):
+    return _stored(spark, folder, True)
+
+
+def _shown(found):
     return found.select(
         "token",
         _epoch("cutoff").alias("cutoff"),
@@ -228,6 +249,8 @@ def _decision_sql(history: str) -> str:
 QUERIES = {
     "join1_asof_backward": (backward, _decision_sql(_FINE)),
     "join2_asof_rejections": (rejections, _decision_sql(_HOURLY)),
+    "join1_stored_history": (stored_backward, _decision_sql(_FINE)),
+    "join2_stored_history": (stored_rejections, _decision_sql(_HOURLY)),
     "join3_asof_forward": (
         forward,
         "select cast(epoch(s.at) as bigint) as at, "
