@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rungwise.functions import chain
+from rungwise.operators import bindings as binding
 from rungwise.operators import compare, quality
 from rungwise.session import scratch_path
 from rungwise.sources import provenance, sinks, tables
@@ -288,6 +289,55 @@ def bindings(spark, folder):
     return quality.binding_mismatches(orders, customers).select("rule_id", "key")
 
 
+def count_bindings(spark, folder):
+    """Each order's manifest states its lines, its parts and its customer's digest; lines are counted
+    from the table, digests read from the customers' documents. Some manifests are wrong."""
+    lines = views.table(spark, folder, "lineitem")
+    orders = views.table(spark, folder, "orders")
+    customers = views.table(spark, folder, "customer")
+    name = F.col("l_orderkey").cast("string")
+    counted = binding.measured(
+        lines.withColumn("name", F.concat(F.lit("o"), name)), "name",
+        {"lines": F.count(F.lit(1)), "parts": F.countDistinct("l_partkey")},
+    )
+    stated = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("parts"))
+    order = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    customer = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    manifest = F.to_json(
+        F.struct(
+            F.struct(
+                (F.col("n") + F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).alias("rows"),
+                F.when(urgent & (F.col("o_orderstatus") == "F"), F.lit("several")).otherwise(F.col("parts").cast("string")).alias("parts"),
+            ).alias("lines"),
+            F.array(F.struct(F.sha2(customer, 256).alias("sha256"))).alias("customers"),
+        )
+    )
+    held = orders.join(stated, F.col("o_orderkey") == F.col("l_orderkey"))
+    bodies = held.select(order.alias("document"), manifest.alias("body"))
+    own = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    digest = F.when(F.col("c_nationkey") == 3, F.lit(None)).when(F.col("c_nationkey") == 5, F.upper(F.sha2(own, 256))).otherwise(
+        F.when(F.col("c_nationkey") == 7, F.sha2(F.lit("x"), 256)).otherwise(F.sha2(own, 256))
+    )
+    bodies = bodies.unionByName(customers.select(own.alias("document"), F.to_json(F.struct(digest.alias("sha256"))).alias("body")))
+
+    def one(kind, left_path, right_document, right_path):
+        return F.struct(
+            F.concat_ws("|", order, F.lit(left_path)).alias("binding"), F.lit(kind).alias("kind"), order.alias("left_document"),
+            F.lit(left_path).alias("left_path"), right_document.alias("right_document"), F.lit(right_path).alias("right_path"),
+        )
+
+    stated_bindings = held.select(
+        F.inline(
+            F.array(
+                one(binding.COUNT, "$.lines.rows", order, "lines"), one(binding.COUNT, "$.lines.parts", order, "parts"),
+                one(binding.DIGEST, "$.customers[0].sha256", customer, "$.sha256"),
+            )
+        )
+    )
+    return binding.problems(stated_bindings, bodies, counted).select("rule_id", "key")
+
+
 FIELDS = ("rows", "parts", "suppliers", "returned")
 
 
@@ -636,6 +686,15 @@ QUERIES = {
         "select 'response_absent', 'x' || month from m where month like '2001%' union all "
         "select 'response_unrecorded', month from m where month like '2001%'",
     ),
+    "val9_count_bindings": (
+        count_bindings,
+        "with h as (select o_orderkey as k, o_orderstatus as st, o_orderpriority as pr, c_nationkey as n from orders "
+        "left join customer on c_custkey = o_custkey where o_orderkey in (select l_orderkey from lineitem)) "
+        "select 'binding_differs' as rule_id, 'o' || k || '|$.lines.rows' as key from h where st = 'P' union all "
+        "select 'count_not_whole', 'o' || k || '|$.lines.parts' from h where st = 'F' and pr = '1-URGENT' union all "
+        "select case when n = 5 then 'digest_malformed' when n = 7 then 'binding_differs' else 'right_side_absent' end, "
+        "'o' || k || '|$.customers[0].sha256' from h where n is null or n in (3, 5, 7)",
+    ),
     "val9_bindings": (
         bindings,
         "select 'binding_differs' as rule_id, o_orderkey || '|' || o_custkey as key from orders where o_orderstatus = 'O'",
