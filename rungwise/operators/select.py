@@ -268,19 +268,34 @@ def first_seen(pages: DataFrame, order: Sequence[str]) -> DataFrame:
     ``payload`` to keep. Copies are counted per distinct content before ids meet, so a much
     repeated event shrinks map-side. ``changed`` marks ids whose decision-relevant content differs.
     """
+    return per_id(contents_of(pages, order))
+
+
+def contents_of(pages: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(id, selection, full, n, seen, payload): one row per distinct content, first seen at ``seen``."""
     position = F.struct(*order)
-    contents = pages.groupBy("id", "selection", "full").agg(
+    return pages.groupBy("id", "selection", "full").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(position).alias("seen"),
         F.min_by("payload", position).alias("payload"),
     )
-    per_id = contents.groupBy("id").agg(
+
+
+def merged_contents(contents: DataFrame) -> DataFrame:
+    """Contents counted in several places, as if they had been counted in one."""
+    return contents.groupBy("id", "selection", "full").agg(
+        F.sum("n").alias("n"), F.min("seen").alias("seen"), F.min_by("payload", "seen").alias("payload")
+    )
+
+
+def per_id(contents: DataFrame) -> DataFrame:
+    """What ``first_seen`` reports, from distinct contents."""
+    return contents.groupBy("id").agg(
         F.min_by("payload", "seen").alias("payload"),
         (F.sum("n") - 1).alias("duplicates"),
         (F.sum("n") - F.min_by("n", "seen")).alias("unused_field_changes"),
         (F.min("selection") != F.max("selection")).alias("changed"),
     )
-    return per_id
 
 
 def union_windows(windows: Sequence[DataFrame], key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rungwise.functions.text import asset_of_title, fill_template
 from rungwise.functions.times import split_of, utc_text, zoned_timestamp
-from rungwise.operators import compare, digest_tree, select
+from rungwise.operators import compare, digest_tree, seen_state, select
 from rungwise.operators.ordered import side_by_side
 from rungwise.plans.collect import build_snapshot, deduplicated_events
 from rungwise.session import scratch_path, written
@@ -127,15 +127,27 @@ def pages(spark, folder):
 ORDER = ["window", "page", "position"]
 
 
-def first_seen(spark, folder):
-    rows = pages(spark, folder).select(
+def _fingerprints(spark, folder):
+    return pages(spark, folder).select(
         "id",
         *ORDER,
         select.selection_fingerprint().alias("selection"),
         F.sha2("canonical", 256).alias("full"),
         F.col("title").alias("payload"),
     )
-    return select.first_seen(rows, ORDER)
+
+
+def first_seen(spark, folder):
+    return select.first_seen(_fingerprints(spark, folder), ORDER)
+
+
+def landed_windows(spark, folder):
+    """Every window of pages landed by itself, the later one first, on the state of those before."""
+    rows = written(_fingerprints(spark, folder), "pages")
+    state = seen_state.new_state(rows, ORDER)
+    for window in (1, 0):
+        seen_state.land(state, rows.where(F.col("window") == window), ORDER, str(window))
+    return seen_state.first_seen(spark, state)
 
 
 def distinct_events(spark, folder):
@@ -410,6 +422,14 @@ QUERIES = {
             sql.MARKETS,
         ),
     ),
+    "win4_landed_windows": (
+        landed_windows,
+        sql.query(
+            "select event_id as id, title as payload, 1 as duplicates, "
+            "case when total > 0 then 1 else 0 end as unused_field_changes, false as changed from ev",
+            sql.MARKETS,
+        ),
+    ),
     "win4_distinct_events": (
         distinct_events,
         sql.query(
