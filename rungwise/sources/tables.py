@@ -136,10 +136,12 @@ def alias_value(df: DataFrame, aliases: Sequence[str]) -> tuple[Column, Column]:
     return F.try_element_at(filled, F.lit(1)), F.size(F.array_distinct(filled)) > 1
 
 
-def normalise_candidates(raw: DataFrame, outcomes: Sequence[str] = ("Yes", "No")) -> DataFrame:
+def normalise_candidates(
+    raw: DataFrame, outcomes: Sequence[str] = ("Yes", "No"), keep: Sequence[str] = ()
+) -> DataFrame:
     """Candidate rows under their canonical names, with the problems of each row.
 
-    ``problems`` is empty for a usable row.
+    ``problems`` is empty for a usable row. Columns named in ``keep`` come first, as they are.
     """
     values, problems = {}, []
     for name, aliases in CANDIDATE_ALIASES.items():
@@ -160,6 +162,7 @@ def normalise_candidates(raw: DataFrame, outcomes: Sequence[str] = ("Yes", "No")
         ("no_consistent_candidate", label.isNull()),
     ]
     return raw.select(
+        *keep,
         F.trim(values["event_id"]).alias("event_id"),
         condition.alias("condition_id"),
         target.alias("target_at"),

@@ -8,7 +8,7 @@ from rungwise.functions import chain
 from rungwise.operators import bindings as binding
 from rungwise.operators import compare, quality
 from rungwise.session import scratch_path
-from rungwise.sources import provenance, sinks, tables
+from rungwise.sources import provenance, quarantine, sinks, tables
 from rungwise.workload import sql, views
 
 EMBARGO = 3_600
@@ -394,11 +394,11 @@ def table_equality(spark, folder):
     return compare.table_differences(left, right)
 
 
-def candidates(spark, folder):
-    """Candidate rows under several aliases, with the problems found per kind."""
+def _candidate_texts(spark, folder):
+    """Candidate rows under several aliases, as text, faulty here and there."""
     orders = views.table(spark, folder, "orders")
     key = F.col("o_orderkey")
-    raw = orders.select(
+    return orders.select(
         key.cast("string").alias("event_id"),
         F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("x"), key.cast("string")))
         .when(F.col("o_orderstatus") == "O", key.cast("string"))
@@ -414,13 +414,44 @@ def candidates(spark, folder):
         F.when(F.col("o_totalprice") > 250_000, "Yes").otherwise("0").alias("gamma_candidate_label"),
         F.when(F.col("o_orderstatus") == "P", '["1","0"]').otherwise("").alias("outcomePrices"),
     )
-    rows = tables.normalise_candidates(raw)
+
+
+def candidates(spark, folder):
+    """Candidate rows with the problems found per kind."""
+    rows = tables.normalise_candidates(_candidate_texts(spark, folder))
     return rows.select(
         "event_id", "condition_id", F.unix_seconds("target_at").alias("target_at"), "candidate",
         F.concat_ws(",", "problems").alias("problems"),
     )
 
 
+def candidate_files(spark, folder):
+    """The candidates written as JSON lines and as CSV, some lines torn, and read back through the
+    quarantine: lines per fault, candidates accepted, and whether every fault names a line of its own."""
+    raw = _candidate_texts(spark, folder)
+    names = raw.columns
+    torn = F.col("event_id").cast("bigint") % 11 == 0
+    json_path, csv_path = scratch_path(spark, "json-lines"), scratch_path(spark, "csv-lines")
+    whole = F.to_json(F.struct(*names))
+    raw.select(F.when(torn, F.substring(whole, 1, 30)).otherwise(whole).alias("value")).write.text(json_path)
+    line = F.to_csv(F.struct(*names), {"escape": '"', "quoteAll": "true"})
+    part = F.col("event_id").cast("bigint") % 3
+    body = raw.select(part.alias("part"), F.lit(1).alias("o"), F.when(torn, F.substring_index(line, ",", 4)).otherwise(line).alias("value"))
+    heads = spark.range(3).select(F.col("id").alias("part"), F.lit(0).alias("o"), F.lit(",".join(names)).alias("value"))
+    body.unionByName(heads).repartition("part").sortWithinPartitions("part", "o").drop("o").write.partitionBy("part").text(csv_path)
+    found = []
+    for kind, path, header in (("json", json_path, None), ("csv", csv_path, names)):
+        good, bad = quarantine.read_candidates(spark, path, header)
+        found.append(good.select(F.lit(kind).alias("kind"), F.lit("accepted").alias("outcome"), F.concat_ws(":", "file", "line").alias("key")))
+        found.append(bad.select(F.lit(kind).alias("kind"), F.col("rule_id").alias("outcome"), "key"))
+    merged = found[0]
+    for other in found[1:]:
+        merged = merged.unionByName(other)
+    return merged.groupBy("kind", "outcome").agg(
+        F.count(F.lit(1)).alias("lines"), (F.count(F.lit(1)) == F.countDistinct("key")).alias("own_lines")
+    )
+
+
 _Q = f"""q as (
   select l.*, o.*, h.horizon_seconds as h, cast(l_quantity as bigint) as q, l_linestatus = 'O' as yes,
     date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as ship_day
@@ -743,4 +774,16 @@ QUERIES = {
         "case when o_orderpriority = '5-LOW' then 'bad_outcome_order' end, "
         "case when o_orderstatus = 'P' and o_totalprice <= 250000 then 'no_consistent_candidate' end) as problems from orders",
     ),
+    "src3_candidate_files": (
+        candidate_files,
+        "with c as (select o_orderkey % 11 = 0 as torn, [x for x in [case when o_orderstatus = 'F' then 'conflicting_event_id' end, "
+        "case when o_orderpriority = '3-MEDIUM' then 'missing_split' end, "
+        "case when o_orderpriority = '1-URGENT' then 'bad_condition_id' end, "
+        "case when o_orderpriority = '2-HIGH' then 'bad_target' end, "
+        "case when o_orderpriority = '5-LOW' then 'bad_outcome_order' end, "
+        "case when o_orderstatus = 'P' and o_totalprice <= 250000 then 'no_consistent_candidate' end] if x is not null] as ps from orders), "
+        "o as (select 'corrupt_line' as outcome from c where torn union all select 'accepted' from c where not torn and len(ps) = 0 "
+        "union all select unnest(ps) from c where not torn) "
+        "select k.kind, outcome, count(*) as lines, true as own_lines from o, (values ('json'), ('csv')) k(kind) group by all",
+    ),
 }
