@@ -360,20 +360,25 @@ def request_batches(
     )
 
 
-def canonical_order(rows: DataFrame, splits: Mapping[str, tuple[str, str]]) -> DataFrame:
+def canonical_keys(splits: Mapping[str, tuple[str, str]]) -> list[Column | str]:
     """Split, time, id (numeric ids first), longest horizon, threshold, market."""
     position = None
     for index, name in enumerate(splits):
         test = F.col("split") == name
         position = F.when(test, index) if position is None else position.when(test, index)
-    return rows.orderBy(
+    return [
         position,
         "scheduled_time",
         *identifier_order("event_id"),
         F.desc("horizon_seconds"),
         "threshold",
         "market_id",
-    )
+    ]
+
+
+def canonical_order(rows: DataFrame, splits: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Rows in the order of ``canonical_keys``."""
+    return rows.orderBy(*canonical_keys(splits))
 
 
 def with_position(ordered: DataFrame, name: str) -> DataFrame:

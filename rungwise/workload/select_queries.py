@@ -10,7 +10,7 @@ from rungwise.operators import compare, digest_tree, seen_state, select
 from rungwise.operators.ordered import side_by_side
 from rungwise.plans.collect import build_snapshot, deduplicated_events
 from rungwise.session import scratch_path, written
-from rungwise.sources import nested, sinks
+from rungwise.sources import nested, ordered_files, sinks
 from rungwise.workload import sql, views
 
 
@@ -196,12 +196,23 @@ def requests(spark, folder):
     )
 
 
-def ordered(spark, folder):
-    """Canonical order written down as the position of every row in the whole output."""
-    rows = views.ladder(spark, folder).select(
+def _ladder_rows(spark, folder):
+    return views.ladder(spark, folder).select(
         "split", "scheduled_time", F.col("event_id").cast("string").alias("event_id"),
         "horizon_seconds", "threshold",
     ).withColumn("market_id", F.concat_ws("-", "event_id", "threshold"))
+
+
+def ordered_table(spark, folder):
+    """The order kept in files: places from the manifest and the scan, nothing sorted on reading."""
+    path = scratch_path(spark, "ordered")
+    ordered_files.write(_ladder_rows(spark, folder), views.SPLITS, path, rows_per_file=20_000)
+    return ordered_files.with_places(spark, path).select("event_id", "horizon_seconds", "threshold", "position")
+
+
+def ordered(spark, folder):
+    """Canonical order written down as the position of every row in the whole output."""
+    rows = _ladder_rows(spark, folder)
     placed = select.with_position(select.canonical_order(rows, views.SPLITS), "position")
     return placed.select("event_id", "horizon_seconds", "threshold", "position")
 
@@ -469,6 +480,15 @@ QUERIES = {
             sql.LADDER,
         ),
     ),
+    "srt1_ordered_files": (
+        ordered_table,
+        sql.query(
+            "select cast(event_id as varchar) as event_id, horizon_seconds, threshold, row_number() over "
+            "(order by case split when 'development' then 0 when 'validation' then 1 else 2 end, "
+            "scheduled_time, event_id, -horizon_seconds, threshold) - 1 as position from ladder",
+            sql.LADDER,
+        ),
+    ),
     "collect_snapshot": (snapshot, sql.query(_SNAP_ROWS, sql.MARKETS, _SNAP)),
     "collect_coverage": (
         snapshot_coverage,

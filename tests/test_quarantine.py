@@ -72,3 +72,21 @@ def test_line_numbers_across_blocks_of_a_file(spark, tmp_path):
 def test_empty_file(spark, tmp_path, header):
     (tmp_path / "none").write_text("")
     assert read(spark, tmp_path, header) == ({}, set())
+
+
+def test_whole_documents(spark, tmp_path):
+    """The loader of whole documents: nested events and flat rows in JSON, and CSV."""
+    from rungwise.sources.tables import load_candidates
+
+    first, second = row(1), row(2)
+    shared = {k: first.pop(k) for k in ("eventId", "endDate", "split")}
+    (tmp_path / "nested.json").write_text(json.dumps({"events": [shared | {"markets": [first, first | {"conditionId": f"0x{9:064x}"}]}]}))
+    (tmp_path / "flat.json").write_text(json.dumps({"rows": [second, row(3, split="")]}, indent=1))
+    (tmp_path / "flat.csv").write_text("\n".join([",".join(HEADER), ",".join(row(4).values())]))
+
+    def load(name):
+        return sorted((r.event_id, int(r.condition_id, 16), r.candidate, tuple(r.problems)) for r in load_candidates(spark, str(tmp_path / name)).collect())
+
+    assert load("nested.json") == [("e1", 1, 1.0, ()), ("e1", 9, 1.0, ())]
+    assert load("flat.json") == [("e2", 2, 0.0, ()), ("e3", 3, 1.0, ("missing_split",))]
+    assert load("flat.csv") == [("e4", 4, 0.0, ())]
