@@ -18,22 +18,24 @@ def one(spark, value, function, kind="string"):
 @pytest.mark.parametrize(
     ("raw", "value"),
     [
-        ("$1.5M", 1.5e6),
-        ("above 2,500 thousand", 2.5e6),
-        ("≥ -3.25k", -3250.0),
-        ("1e3", 1000.0),
-        ("12.5%", 0.125),
-        ("25 bps", 0.0025),
-        ("£4 billion+", 4e9),
-        ("+7 percentage points", 0.07),
-        ("5 kilo", 5.0),
-        ("3 trillion", 3e12),
+        # The unit words and signs, each with the factor it must have.
+        ("$0.75M", 7.5e5),
+        ("over 14,200 thousand", 1.42e7),
+        ("≥ -0.5k", -500.0),
+        ("4e2", 400.0),
+        ("7.25%", 0.0725),
+        ("140 bps", 0.014),
+        ("£9 billion+", 9e9),
+        ("+11 percentage points", 0.11),
+        ("2 trillion", 2e12),
+        # No unit, no single number, or none that is finite.
+        ("8 kilo", 8.0),
         ("", None),
         ("no number", None),
-        ("between 10 and 20", None),
-        ("2025-01-01", None),
-        ("v1.2", None),
-        ("1e999", None),
+        ("between 3 and 4", None),
+        ("2031-12-24", None),
+        ("v7.9", None),
+        ("2e400", None),
     ],
 )
 def test_threshold(spark, raw, value):

@@ -25,6 +25,7 @@ def pool(values, weights=None):
     return pool_nonincreasing(y, w, np.zeros(len(y), dtype=int))
 
 
+# Published results that a projection must give.
 def test_goldens():
     assert pool([0.8, 0.2, 0.6, 0.1]).tolist() == pytest.approx([0.8, 0.4, 0.4, 0.1])
     assert pool([0.9, 0.2, 0.8], [1, 3, 1]).tolist() == pytest.approx([0.9, 0.35, 0.35])
