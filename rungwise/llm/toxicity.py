@@ -1,24 +1,27 @@
 """Toxic passages by maximum-scoring segments (operator 9).
 
-Words (runs of letters, lower-cased) get log-odds between toxic and clean labelled documents with
-an informative Dirichlet prior: pseudo-counts in the proportions of both classes together, so rare
-words stay near 0. A constant drift makes an average clean word negative. The linear-time scan of
-Ruzzo and Tompa returns every maximal scoring segment of a text. Their scores follow an extreme
-value law with the decay ``rate`` that solves sum p(w) exp(rate * s(w)) = 1 over clean words and a
-factor fitted to the best segments of clean documents, so a segment gets an expected number of
-equally good ones by chance (E-value), and segments below ``e_value`` are the significant ones. A
-text's evidence is the sum of -log10 E over them; a logistic curve over the evidence of labelled
-documents turns it into a probability.
+Words (runs of letters, lower-cased) and their beginnings of 3 to 7 letters get log-odds between
+toxic and clean labelled documents with an informative Dirichlet prior: pseudo-counts in the
+proportions of both classes together, so rare ones stay near 0. A word that fewer than ``support``
+learned documents hold gets the score of its longest beginning that has as many, so inflected and
+compound forms of a stem count without having been seen. A constant drift makes an average clean
+word negative. The linear-time scan of Ruzzo and Tompa returns every maximal scoring segment of a
+text. Their scores follow an extreme value law with the decay ``rate`` that solves
+sum p(w) exp(rate * s(w)) = 1 over clean words and a factor fitted to the best segments of clean
+documents, so a segment gets an expected number of equally good ones by chance (E-value), and
+segments below ``e_value`` are the significant ones. A text's evidence is the sum of -log10 E over
+them, and -log10 E of its best segment, significant or not; a logistic curve over both, fitted to
+labelled documents with equal weight of the classes, turns them into a probability.
 
 Only rows that are not held out are learned from, at most ``rows`` labelled ones, those with the
-smallest hash of their id; the table of words keeps the ``vocabulary`` ones farthest from 0. All
-documents are then scored in one scan.
+smallest hash of their id, one row of each id; the table of words keeps the ``vocabulary`` ones
+farthest from 0. All documents are then scored in one scan.
 
 Defined cases: null and empty texts have no segment and get the probability of no evidence; an id
 with several labels counts as toxic if at least half of them say so; null labels and ids are not
-learned from; without labels of both classes every score is 0; repeated documents are learned from
-as often as they occur; ties between words go to the smaller word; an empty table gives no rows;
-extra columns are ignored by ``score`` and kept by ``keep_clean``.
+learned from; without labels of both classes every score is 0; of rows that repeat an id one is
+learned from, that with the smallest hash of its text; ties between words go to the smaller word; an
+empty table gives no rows; extra columns are ignored by ``score`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -36,28 +39,52 @@ from rungwise.llm.common import held_out, map_arrow, stored
 
 _LETTERS = regex.compile(r"\p{L}+")
 FLUSH = 200_000
+CACHE_WORDS = 300_000
+#: Letters of the beginnings of words that are counted beside the words.
+STEMS = range(3, 8)
+#: Chance scores are counted in steps of 1 / SCORE_STEPS.
+SCORE_STEPS = 50
+#: -log10 E of a segment that says nothing.
+NOTHING = -1.0
 
 
 @dataclass(frozen=True)
 class Training:
     rows: int = 20_000
-    #: Weight of the Dirichlet prior, in words.
+    #: Weight of the Dirichlet prior, as a share of all words counted, and at least in words.
+    prior_share: float = 0.03
     prior: float = 500.0
-    vocabulary: int = 50_000
-    drift: float = 0.5
+    vocabulary: int = 250_000
+    drift: float = 1.0
     e_value: float = 0.1
-    #: Words of fewer toxic documents speak for nothing.
-    minimum_documents: int = 3
+    #: Words and beginnings of fewer documents have no score of their own.
+    support: int = 6
 
 
 @dataclass
 class Model:
     scores: dict[str, float] = field(default_factory=dict)
-    drift: float = 0.5
+    drift: float = 1.0
     rate: float = 1.0
     log_factor: float = 0.0
     e_value: float = 0.1
-    curve: tuple[float, float] | None = None
+    curve: tuple[float, ...] | None = None
+    #: Scores of words looked up before.
+    memo: dict[str, float] = field(default_factory=dict, repr=False)
+
+    def of(self, word: str) -> float:
+        found = self.memo.get(word)
+        if found is None:
+            if len(self.memo) >= CACHE_WORDS:
+                self.memo.clear()
+            units = [word, *reversed(beginnings(word))]
+            found = self.memo[word] = next((self.scores[u] for u in units if u in self.scores), 0.0)
+        return found
+
+
+def beginnings(word: str) -> list[str]:
+    """The beginnings of a word that are shorter than it, marked by a sign that no word holds."""
+    return [word[:n] + "+" for n in STEMS if n < len(word)]
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -85,7 +112,7 @@ def spans(text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
 
 
 def word_scores(words: list[str], known: Model) -> np.ndarray:
-    return np.array([known.scores.get(w, 0.0) for w in words]) - known.drift
+    return np.array([known.of(w) for w in words]) - known.drift
 
 
 def log_e(score: np.ndarray, n_words: int, known: Model) -> np.ndarray:
@@ -104,15 +131,30 @@ def passages(words: list[str], known: Model) -> list[tuple[int, int, float, floa
     return [(*f, float(e)) for f, e in zip(found, logs, strict=True) if e <= np.log(known.e_value)]
 
 
-def evidence(found: list[tuple[int, int, float, float]]) -> float:
-    return float(sum(-e for *_, e in found) / np.log(10))
+def evidence(words: list[str], known: Model) -> tuple[float, float]:
+    """The sum of -log10 E over the significant segments, and -log10 E of the best segment, at least
+    ``NOTHING``, which texts without a segment get."""
+    found = segments(word_scores(words, known)) if words and known.scores else []
+    if not found:
+        return 0.0, NOTHING
+    own = -log_e(np.array([s for *_, s in found]), len(words), known) / np.log(10)
+    return float(own[own >= -np.log10(known.e_value)].sum()), float(max(NOTHING, own.max()))
+
 
+def features(amount: np.ndarray, best: np.ndarray) -> np.ndarray:
+    return np.stack([np.log1p(np.maximum(amount, 0)), np.clip(best, NOTHING, 6)], -1)
 
-def probability(amount: float, known: Model) -> float:
+
+def probability(words: list[str], known: Model) -> float:
     if known.curve is None:
         return 0.0
-    a, b = known.curve
-    return float(1 / (1 + np.exp(-np.clip(a + b * np.log1p(amount), -500, 500))))
+    amount, best = evidence(words, known)
+    x = known.curve[0] + features(np.array(amount), np.array(best)) @ np.array(known.curve[1:])
+    return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
+
+
+def text_words(text: str | None) -> list[str]:
+    return _LETTERS.findall(text.lower()) if text else []
 
 
 def sample(docs: DataFrame, labels: DataFrame, options: Training, id_column: str, text: str) -> DataFrame:
@@ -125,11 +167,14 @@ def sample(docs: DataFrame, labels: DataFrame, options: Training, id_column: str
         .limit(options.rows)
     )
     rows = docs.join(F.broadcast(chosen), F.col(id_column) == F.col("_id"))
-    return stored(rows.select(F.col(text).alias("text"), F.col("_toxic").alias("toxic")), "toxic-sample")
+    rows = rows.select(F.col("_id").cast("string").alias("id"), F.col(text).alias("text"), F.col("_toxic").alias("toxic"))
+
+    best = F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), "text"))
+    return stored(rows.groupBy("id").agg(best.alias("row")).select("row.*"), "toxic-sample")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, clean, toxic): in how many sampled documents of each class a word occurs."""
+    """(word, clean, toxic): in how many sampled documents of each class a word or beginning occurs."""
 
     def kernel(batches):
         held = (Counter(), Counter())
@@ -143,7 +188,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for x, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                held[y].update(set(_LETTERS.findall(x.lower())) if x else ())
+                words = set(text_words(x))
+                held[y].update(words.union(*map(beginnings, words)))
                 if len(held[0]) + len(held[1]) > FLUSH:
                     yield emptied()
         yield emptied()
@@ -155,33 +201,31 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def fit(rows: DataFrame, options: Training = Training()) -> Model:
     """The model of the sampled rows. The driver gets the kept words and one number per document."""
     counts = stored(word_counts(rows), "toxic-words")
-    n0, n1 = counts.agg(F.sum("clean"), F.sum("toxic")).first()
+    n0, n1 = counts.where(~F.col("word").endswith("+")).agg(F.sum("clean"), F.sum("toxic")).first()
     if not n0 or not n1:
         return Model()
-    a0 = float(options.prior)
+    a0 = max(float(options.prior), options.prior_share * (n0 + n1))
     alpha = a0 * (F.col("clean") + F.col("toxic")) / float(n0 + n1)
-    odds = lambda y, n: F.log((y + alpha) / (n + a0 - y - alpha))
+    odds = lambda y, n: F.log((y + alpha) / F.greatest(F.lit(0.5), n + a0 - y - alpha))
     delta = odds(F.col("toxic"), float(n1)) - odds(F.col("clean"), float(n0))
     spread = F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha))
-    scored = counts.select("word", "clean", "toxic", delta.alias("delta"), (delta / spread).alias("z"))
-    delta_kept = F.when((F.col("delta") > 0) & (F.col("toxic") < options.minimum_documents), 0.0).otherwise(F.col("delta"))
-    scored = scored.withColumn("delta", delta_kept)
+    scored = counts.where(F.col("clean") + F.col("toxic") >= options.support).select("word", delta.alias("delta"), (delta / spread).alias("z"))
     # Shrink by certainty: a log-odds of less than its own error counts for little.
     kept = scored.orderBy(F.desc(F.abs("z")), "word").limit(options.vocabulary).collect()
     known = Model(
         {r.word: float(r.delta * r.z**2 / (r.z**2 + 4)) for r in kept}, options.drift, e_value=options.e_value
     )
-    # The decay of chance scores over clean words; words outside the table score 0.
-    shares = np.array([r.clean for r in kept] + [max(0, n0 - sum(r.clean for r in kept))], float) / n0
-    values = np.array([known.scores[r.word] for r in kept] + [0.0]) - known.drift
-    known.rate = decay(shares, values)
-    best = stored(best_segments(rows, known), "toxic-best").collect()
-    clean = [r for r in best if not r.toxic]
+    # The decay of chance scores over the words of clean documents.
+    chance = score_counts(rows, known).collect()
+    shares = np.array([r.n for r in chance], float)
+    known.rate = decay(shares / max(1.0, shares.sum()), np.array([r.step for r in chance], float) / SCORE_STEPS)
+    clean = best_segments(rows.where("toxic = 0"), known).collect()
     with np.errstate(under="ignore"):
-        mass = sum(r.n_words * np.exp(-known.rate * max(r.best, 0.0)) for r in clean)
-    known.log_factor = float(np.log(max(len(clean), 1) / max(mass, 1e-9)))
-    amounts = map_arrow(rows.select("text", "toxic"), _evidence_kernel(known), "toxic int, amount double").collect()
-    known.curve = curve(np.log1p(np.array([r.amount for r in amounts])), np.array([r.toxic for r in amounts], float))
+        mass = sum(r.n_words * np.exp(-known.rate * r.best) for r in clean)
+    known.log_factor = float(np.log(max(len(clean), 1) / max(mass, 1e-300)))
+    found = amounts(rows, known).collect()
+    x = features(np.array([r.amount for r in found]), np.array([r.best for r in found]))
+    known.curve = curve(x, np.array([r.toxic for r in found], float))
     return known
 
 
@@ -199,42 +243,68 @@ def decay(shares: np.ndarray, values: np.ndarray) -> float:
     return float(high)
 
 
-def best_segments(rows: DataFrame, known: Model) -> DataFrame:
+def score_counts(rows: DataFrame, known: Model) -> DataFrame:
+    """(step, n): how often each score, less the drift, is that of a word of a clean document."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
     def kernel(batches):
+        held: Counter = Counter()
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = _LETTERS.findall(x.lower()) if x else []
-                found = segments(word_scores(words, known)) if words else []
-                out.append((y, len(words), max((s for *_, s in found), default=0.0)))
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            kinds = [pa.int32(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["toxic", "n_words", "best"])
+            for x in batch.column("text").to_pylist():
+                words = text_words(x)
+                if words:
+                    steps, often = np.unique(np.rint(word_scores(words, shared.value) * SCORE_STEPS).astype(np.int64), return_counts=True)
+                    held.update(dict(zip(steps.tolist(), often.tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["step", "n"])
+
+    counts = map_arrow(rows.where("toxic = 0").select("text"), kernel, "step long, n long")
+    return counts.groupBy("step").agg(F.sum("n").alias("n")).orderBy("step")
 
-    return map_arrow(rows.select("text", "toxic"), kernel, "toxic int, n_words long, best double").where("n_words > 0")
 
+def best_segments(rows: DataFrame, known: Model) -> DataFrame:
+    """(n_words, best): words and best segment's score of each text that has words."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
-def _evidence_kernel(known: Model):
     def kernel(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            amounts = [evidence(passages(_LETTERS.findall(x.lower()), known)) if x else 0.0 for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(amounts, pa.float64())], names=["toxic", "amount"])
+            texts = [w for w in map(text_words, batch.column("text").to_pylist()) if w]
+            best = [max((s for *_, s in segments(word_scores(w, shared.value))), default=0.0) for w in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(map(len, texts), pa.int64()), pa.array(best, pa.float64())], names=["n_words", "best"])
+
+    return map_arrow(rows.select("text"), kernel, "n_words long, best double")
 
-    return kernel
 
+def amounts(rows: DataFrame, known: Model) -> DataFrame:
+    """(toxic, amount, best) of each learned document."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
-def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Intercept and slope of a logistic regression by Newton's method, lightly penalised."""
-    design, w = np.stack([np.ones_like(x), x], 1), np.zeros(2)
-    for _ in range(50):
+    def kernel(batches):
+        for batch in batches:
+            found = [evidence(text_words(x), shared.value) for x in batch.column("text").to_pylist()]
+            columns = [pa.array([f[k] for f in found], pa.float64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *columns], names=["toxic", "amount", "best"])
+
+    return map_arrow(rows.select("toxic", "text"), kernel, "toxic int, amount double, best double")
+
+
+def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
+    """Intercept and slopes of a logistic regression by damped Newton steps, the classes weighing
+    the same and the slopes lightly penalised."""
+    design = np.concatenate([np.ones((len(x), 1)), x], 1)
+    weight = np.where(y == 1, 0.5 / max(1.0, (y == 1).sum()), 0.5 / max(1.0, (y == 0).sum())) * len(y)
+    penalty = np.array([1e-3] + [ridge] * x.shape[1])
+    loss = lambda w: weight @ (np.logaddexp(0, design @ w) - y * (design @ w)) + penalty @ w**2 / 2
+    w = np.zeros(design.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
-        gradient = design.T @ (y - p) - ridge * w
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2), gradient)
-        w += step
+        gradient = design.T @ (weight * (y - p)) - penalty * w
+        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(penalty), gradient)
+        while np.abs(step).max() > 1e-9 and loss(w + step) > loss(w):
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return tuple(map(float, w))
 
 
 def find(docs: DataFrame, known: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,8 +320,9 @@ def find(docs: DataFrame, known: Model, id_column: str = "doc_id", text: str = "
         for batch in batches:
             scores, all_found = [], []
             for x in batch.column(1).to_pylist():
-                found = passages(_LETTERS.findall(x.lower()), own) if x else []
-                scores.append(probability(evidence(found), own))
+                words = text_words(x)
+                found = passages(words, own)
+                scores.append(probability(words, own))
                 if found:
                     places = spans(x)[1]
                     found = [
@@ -289,10 +360,7 @@ def keep_clean(
     def kernel(batches):
         own = shared.value
         for batch in batches:
-            clean = [
-                probability(evidence(passages(_LETTERS.findall(x.lower()), own)) if x else 0.0, own) < 0.5
-                for x in batch.column(text).to_pylist()
-            ]
+            clean = [probability(text_words(x), own) < 0.5 for x in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return map_arrow(docs, kernel, docs.schema)

@@ -86,3 +86,30 @@ def test_held_out_documents(spark):
     right = np.mean([r.predicted == r.toxic for r in got])
     false_alarms = np.mean([r.predicted for r in got if r.toxic == 0])
     assert right > 0.9 and false_alarms < 0.03
+
+
+def test_unseen_words_count_by_their_beginnings():
+    known = toxicity.Model({"viles": 1.0, "vil+": 3.0, "vile+": 4.0, "pla+": -1.0})
+    assert [known.of(w) for w in ("viles", "vileness", "vilst", "vil", "plain", "other")] == [1, 4, 3, 0, -1, 0]
+    assert toxicity.beginnings("vile") == ["vil+"] and toxicity.beginnings("abcdefghij")[-1] == "abcdefg+"
+
+
+def test_inflected_stems_are_found_in_words_never_learned(spark):
+    r = np.random.default_rng(3)
+    draw = lambda n: " ".join("".join(r.choice(list("abcdefghij"), 6)) for _ in range(n))
+    ending = lambda: "".join(r.choice(list("abcdefghij"), 5))
+    rows = [(i, draw(60) + (f" zzor{ending()} {draw(20)} zzor{ending()}" if i % 5 == 0 else draw(20)), int(i % 5 == 0)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score(docs.drop("toxic"), docs.select("doc_id", "toxic")).where("held_out").join(docs, "doc_id").collect()
+    assert np.mean([r.predicted for r in got if r.toxic]) > 0.95 and np.mean([r.predicted for r in got if not r.toxic]) < 0.03
+
+
+def test_scores_of_held_out_documents_differ(spark):
+    """Weak segments count too, so no large group ties at one score above that of no evidence."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    bad, good = got[got.toxic == 1].score, got[got.toxic == 0].score
+    assert (bad >= 0.5).mean() > 0.93 and (good < 0.5).mean() > 0.97
+    ranks = got.score.rank()[got.toxic == 1]
+    auc = (ranks.sum() - len(bad) * (len(bad) + 1) / 2) / (len(bad) * len(good))
+    assert auc > 0.95
