@@ -6,6 +6,14 @@ with every language's by the Jensen-Shannon distance (square root of the diverge
 smallest over the languages counts, so a wrong language tag does no harm. A comparison is made only
 for texts long enough to have shares at all (``minimum_chars``, ``minimum_words``).
 
+A language has a reference of its own only with enough words, so that a few rows cannot vouch for
+themselves: ``language_words`` or a thousandth of all words, whichever is less, and a ten-thousandth
+of all words in any case (so there are at most 10,000). The others are pooled into one reference, if
+they have as many together. The distance alone says little of texts that hold no common word at all,
+as the rest is most of a reference, too: a text's share of common words must also reach
+``min_common`` of the reference's for one language, among those that let ``expected_common`` of them
+be expected in a text of that length.
+
 Scale: the first pass counts inside the tasks (the table of words is emptied whenever it reaches
 ``FLUSH`` entries, and sums meet in a shuffle), the second is a scan with the references of all
 languages, 112 rows each, as a broadcast list of packed groups of ``group_languages``. A text is
@@ -40,6 +48,8 @@ CLASSES = (
     "vowel", "consonant", "upper", "digit", "space", "newline", "stop", "quote", "symbol", "other_ascii", "latin", "wide",
 )
 FLUSH = 200_000
+#: The name under which languages of few words are pooled.
+POOLED = "\uffff"
 #: Texts of fewer words fail the base rule; the word comparison starts where that ends.
 BASE_WORDS = 50
 #: A task keeps at most so many groups of languages unpacked.
@@ -55,6 +65,9 @@ class Rules:
     minimum_words: int = BASE_WORDS
     max_char_distance: float = 0.3
     max_word_distance: float = 0.55
+    language_words: int = 50_000
+    min_common: float = 0.3
+    expected_common: float = 8.0
 
 
 def class_table() -> np.ndarray:
@@ -119,7 +132,8 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, kind, key, n, total): counts of the classes and of the commonest words per language."""
+    """(lang, kind, key, n, total): counts of the classes and of the commonest words per language
+    of enough words, and of all others together."""
     picked = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text"))
 
     def kernel(batches):
@@ -149,6 +163,7 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
         .groupBy("lang", "kind", "key")
         .agg(F.sum("n").alias("n"))
     )
+    counts = voting(stored(counts, "language-counts"), rules)
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     # Only the best rows of each partition reach the window (the planner limits groups early).
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
@@ -156,6 +171,24 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     return top.join(totals, ["lang", "kind"])
 
 
+def voting(counts: DataFrame, rules: Rules) -> DataFrame:
+    """``counts`` with the languages of too few words under one name, or without them if they have
+    too few together."""
+    mass = counts.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("mass"))
+    every = mass.agg(F.sum("mass")).first()[0] or 0
+    bar = max(min(rules.language_words, every / 1000), every / 10_000)
+    own = mass.where(F.col("mass") >= bar).select("lang", F.lit(True).alias("votes"))
+    # At most 10,000 languages reach a ten-thousandth of all words.
+    named = counts.join(F.broadcast(own), "lang", "left")
+    merged = (
+        named.withColumn("lang", F.when(F.col("votes"), F.col("lang")).otherwise(F.lit(POOLED)))
+        .groupBy("lang", "kind", "key")
+        .agg(F.sum("n").alias("n"))
+    )
+    pooled = mass.where(F.col("mass") < bar).agg(F.sum("mass")).first()[0] or 0
+    return merged if pooled >= bar else merged.where(F.col("lang") != POOLED)
+
+
 @dataclass
 class Model:
     """References of some languages as arrays: classes (languages x classes), words (languages x
@@ -209,34 +242,40 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def distances(known: Model, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest character and word distance of each text over the languages.
+def distances(
+    known: Model, classes: np.ndarray, counts: np.ndarray, rules: Rules = Rules()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest character and word distance of each text over the languages, and the largest ratio
+    of its share of common words to the reference's (-1 where no language lets enough be expected).
 
     ``classes``: texts x classes; ``counts``: texts x (vocabulary and the rest).
     """
     n = len(classes)
     if not known.words or not n:
-        return np.zeros(n), np.zeros(n)
+        return np.zeros(n), np.zeros(n), np.full(n, -1.0)
     shares = classes / np.maximum(1, classes.sum(1, keepdims=True))
     total = np.maximum(1, counts.sum(1, keepdims=True))
-    by_char, by_word = np.ones(n), np.ones(n)
+    by_char, by_word, common = np.ones(n), np.ones(n), np.full(n, -1.0)
     for i, member in enumerate(known.members):
         by_char = np.minimum(by_char, js_distance(shares, known.classes[i]))
         mine = counts[:, member] / total
-        mine = np.concatenate([mine, np.maximum(0, 1 - mine.sum(1, keepdims=True))], 1)
+        held, wanted = mine.sum(1), 1 - known.words[i][-1]
+        mine = np.concatenate([mine, np.maximum(0, 1 - held)[:, None]], 1)
         by_word = np.minimum(by_word, js_distance(mine, known.words[i]))
-    return by_char, by_word
+        told = total[:, 0] * wanted >= rules.expected_common
+        common = np.where(told, np.maximum(common, held / max(wanted, 1e-12)), common)
+    return by_char, by_word, common
 
 
 def judge(
     docs: DataFrame, known: Iterator[Model], rules: Rules = Rules(), id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per document: id, the base counts, base_failed, kept, char_distance, word_distance
-    (the distances null where the text is too short to compare)."""
+    """One row per document: id, the base counts, base_failed, kept, char_distance, word_distance,
+    common_ratio (these null where the text is too short to compare)."""
     picked = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = f"id {kind}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, kept boolean, char_distance double, word_distance double"
+    schema = f"id {kind}, " + ", ".join(f"{c} long" for c in names) + ", base_failed boolean, kept boolean, char_distance double, word_distance double, common_ratio double"
     step = 256
 
     packed = docs.sparkSession.sparkContext.broadcast([pickle.dumps(m) for m in known])
@@ -249,21 +288,23 @@ def judge(
             base[i] = base_counts(x, x.encode().split(), own)
         return base, classes
 
-    def compared(texts: list[str | None], base: np.ndarray, classes: np.ndarray, group: Model) -> tuple[np.ndarray, np.ndarray]:
+    def compared(texts: list[str | None], base: np.ndarray, classes: np.ndarray, group: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         place, rest = group.vocabulary, len(group.vocabulary)
         counts = np.zeros((len(texts), rest + 1))
         for i in np.flatnonzero(base[:, 0] >= rules.minimum_words):
             counts[i] = np.bincount([place.get(w, rest) for w in texts[i].lower().encode().split()], minlength=rest + 1)
-        return distances(group, classes, counts)
+        return distances(group, classes, counts, rules)
 
-    def judged(ids: pa.Array, base: np.ndarray, classes: np.ndarray, by_char: np.ndarray, by_word: np.ndarray) -> pa.RecordBatch:
+    def judged(ids: pa.Array, base: np.ndarray, classes: np.ndarray, by_char: np.ndarray, by_word: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
         failed = np.array([base_failed(int(r[0]), int(r[4])) for r in base], bool)
         long_c, long_w = classes.sum(1) >= rules.minimum_chars, base[:, 0] >= rules.minimum_words
         far = (long_c & (by_char > rules.max_char_distance)) | (long_w & (by_word > rules.max_word_distance))
+        told = long_w & (common >= 0)
+        far |= told & (common < rules.min_common)
         return pa.RecordBatch.from_arrays(
             [ids, *(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(~failed & ~far),
-             pa.array(by_char, mask=~long_c), pa.array(by_word, mask=~long_w)],
-            names=["id", *names, "base_failed", "kept", "char_distance", "word_distance"],
+             pa.array(by_char, mask=~long_c), pa.array(by_word, mask=~long_w), pa.array(common, mask=~told)],
+            names=["id", *names, "base_failed", "kept", "char_distance", "word_distance", "common_ratio"],
         )
 
     def kernel(batches):
@@ -273,11 +314,13 @@ def judge(
             starts = range(0, batch.num_rows, step)
             found = [counted(batch.column(1).slice(at, step).to_pylist()) for at in starts]
             # Without any reference all distances are 0.
-            near = [np.full((2, len(base)), 1.0 if blobs else 0.0) for base, _ in found]
+            far = 1.0 if blobs else 0.0
+            near = [np.stack([np.full(len(base), x) for x in (far, far, -1.0)]) for base, _ in found]
             for group in held if held is not None else map(pickle.loads, blobs):
                 for k, at in enumerate(starts):
                     texts = batch.column(1).slice(at, step).to_pylist()
-                    near[k] = np.minimum(near[k], compared(texts, *found[k], group))
+                    by_char, by_word, common = compared(texts, *found[k], group)
+                    near[k] = np.stack([np.minimum(near[k][0], by_char), np.minimum(near[k][1], by_word), np.maximum(near[k][2], common)])
             for k, at in enumerate(starts):
                 yield judged(batch.column(0).slice(at, step), *found[k], *near[k])
 

@@ -83,3 +83,37 @@ def test_every_language_has_a_reference(spark, rows):
     got = {r.doc_id: r for r in quality.assess(df, quality.Rules(collected_rows=rows)).collect()}
     assert [k for k in range(600) if not got[k].kept] == []
     assert max(got[k].word_distance for k in range(600)) < 0.3
+
+
+def test_one_row_of_a_new_language_vouches_for_nothing(spark):
+    """Junk kept does not rise by a row with a tag of its own, nor is that row kept for its tag."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("bcdfghjk"), 8)) for _ in range(250)]
+    strange = spark.createDataFrame([(-1, " ".join(words), "zz")], "doc_id long, text string, lang string")
+    columns = ["doc_id", "text", "lang"]
+    before = quality.assess(docs.select(columns))
+    after = quality.assess(docs.select(columns).unionByName(strange)).toPandas().set_index("doc_id")
+    assert not after.kept[-1]
+    junk = [x.doc_id for x in labels.where("quality = 0").collect()]
+    kept = lambda t: t[t.index.isin(junk)].kept.sum()
+    assert kept(after) <= kept(before.toPandas().set_index("doc_id")) + 1
+
+
+def test_texts_without_any_common_word_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    r = np.random.default_rng(9)
+    rows = [(-1 - i, " ".join("".join(r.choice(list("etaoinshrd"), 8)) for _ in range(n)), "en") for i, n in enumerate((60, 200, 2000))]
+    got = quality.assess(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert [x.kept for x in got.where("doc_id < 0").collect()] == [False] * 3
+
+
+def test_languages_of_few_words_are_pooled(spark):
+    rows = [("en", "word", f"w{i}", 1000) for i in range(100)] + [(f"x{i}", "word", f"r{i % 7}", 3) for i in range(50)]
+    rows += [("en", "class", "vowel", 10), ("x1", "class", "digit", 4)]
+    counts = spark.createDataFrame(rows, "lang string, kind string, key string, n long")
+    got = quality.voting(counts, quality.Rules())
+    assert {(r.lang, r.kind): r.n for r in got.groupBy("lang", "kind").agg({"n": "sum"}).toDF("lang", "kind", "n").collect()} == {
+        ("en", "word"): 100_000, ("en", "class"): 10, (quality.POOLED, "word"): 150, (quality.POOLED, "class"): 4,
+    }
+    assert {r.lang for r in quality.voting(counts.where("lang in ('en', 'x1')"), quality.Rules()).collect()} == {"en"}
