@@ -8,9 +8,11 @@ Two sketches are made of XORs, so what both sets share cancels out:
 
 * parts: within a size band all fingerprints are dealt to p parts and each part is the XOR of its
   fingerprints. A difference of D elements changes at most D parts, so by the pigeonhole principle
-  two linked sets agree in all but D of their non-empty parts. Ordering part values by how many
-  classes hold them, rarest first, they must then share one of the first D + 1 (values held once
-  come first and are never joined). Classes meet on those values only.
+  two linked sets agree in all but D of their non-empty parts. In any order common to all sets they
+  must then share one of the first D + 1 values, so only those leave the scan and classes meet on
+  them. The order is by how often values occur, rarest first, as a table of 8 million counters says
+  (one hash, counted in the scan that names the sets, added up over tasks in lots of 64): wrong
+  counts change the order, never the result, so the table keeps its size at any size of the input.
 * parity bits: every fingerprint flips one bit. The Hamming distance of two sketches is at most D,
   so candidates beyond that bound go before any set is fetched.
 
@@ -39,6 +41,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +49,13 @@ from pyspark.sql import types as T
 from rungwise.llm.common import broadcast_if_small, components, fresh, map_arrow, stored
 
 CACHE_WORDS = 300_000
+#: Counters of the order of values, and how many of them a row holds.
+COUNTER_BITS = 23
+CHUNK = 1 << 16
+#: Tables of so many tasks are added up at a time.
+LOT = 64
+#: A task knows again at most so many sets that it has counted.
+KNOWN_SETS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,35 +161,120 @@ def _picked(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
 
 
+def counter(values: np.ndarray) -> np.ndarray:
+    """Where values are counted."""
+    return (values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def set_bands(n: int, join: Join) -> list[int]:
+    """The size bands that a set of ``n`` shingles joins."""
+    return sorted({band_of(n), band_of(join.smallest(n))})
+
+
 def named(picked: DataFrame, join: Join) -> DataFrame:
-    """(id, set, n): every document with the fingerprint and the size of its set."""
+    """Every document as (id, set, n), the fingerprint and the size of its set; after those of a
+    task, its part values' counters as rows (source, chunk, counts). Copies within a task count once."""
 
     def kernel(batches):
         cache: dict[bytes, int] = {}
+        known: set[int] = set()
+        table = np.zeros(1 << COUNTER_BITS, np.uint32)
+        one = np.uint32(1)
         for batch in batches:
-            found = [shingle_set(x, join.shingle, cache) for x in batch.column("text").to_pylist()]
-            names = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
-            sizes = pa.array([len(s) for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), names, sizes], names=["id", "set", "n"])
-
-    return map_arrow(picked, kernel, "id long, set long, n long")
-
+            names, sizes = [], []
+            for x in batch.column("text").to_pylist():
+                found = shingle_set(x, join.shingle, cache)
+                name = fingerprint(found) if len(found) else None
+                names.append(name)
+                sizes.append(len(found))
+                if name is None or name in known:
+                    continue
+                if len(known) >= KNOWN_SETS:
+                    known.clear()
+                known.add(name)
+                for b in set_bands(len(found), join):
+                    np.add.at(table, counter(part_values(found, b)), one)
+            rows = {"id": batch.column("id"), "set": pa.array(names, pa.int64()), "n": pa.array(sizes, pa.int64())}
+            yield pa.RecordBatch.from_pydict(rows | empty(batch.num_rows), schema=shape)
+        source = TaskContext.get().partitionId()
+        small = np.minimum(table, 255).astype(np.uint8).reshape(-1, CHUNK)
+        for chunk in np.flatnonzero(small.any(axis=1)):
+            rows = {"id": [None], "set": [None], "n": [None], "source": [source], "chunk": [int(chunk)], "counts": [small[chunk].tobytes()]}
+            yield pa.RecordBatch.from_pydict(rows, schema=shape)
+
+    def empty(rows: int) -> dict:
+        return {f.name: pa.nulls(rows, f.type) for f in shape if f.name in ("source", "chunk", "counts")}
+
+    shape = pa.schema([("id", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("source", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    return map_arrow(picked, kernel, "id long, set long, n long, source int, chunk int, counts binary")
+
+
+def unpacked(counts: bytes) -> np.ndarray:
+    """Counters of a chunk, in one byte each as tasks write them or in four."""
+    return np.frombuffer(counts, np.uint8 if len(counts) == CHUNK else np.uint32)
+
+
+def added_up(tables: DataFrame) -> DataFrame:
+    """(chunk, lot, counts) with one row for each chunk and lot; rows stream through, sorted."""
 
-def sketched(picked: DataFrame, join: Join) -> DataFrame:
-    """(set, n, sketch, bands): a row per document; ``bands`` are (band, need, values), where a
-    class must be joined on its ``need`` rarest values."""
-    band = pa.struct([("band", pa.int32()), ("need", pa.int32()), ("values", pa.list_(pa.int64()))])
+    def kernel(batches):
+        key, total = None, None
+        for batch in batches:
+            for chunk, lot, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (chunk, lot) != key:
+                    if key is not None:
+                        yield row(key, total)
+                    key, total = (chunk, lot), np.zeros(CHUNK, np.uint64)
+                total += unpacked(counts)
+        if key is not None:
+            yield row(key, total)
+
+    def row(key, total):
+        counts = np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([counts], pa.binary())],
+            names=["chunk", "lot", "counts"],
+        )
 
-    def bands(elements: np.ndarray) -> list[dict]:
-        n, out = len(elements), []
-        for b in sorted({band_of(n), band_of(join.smallest(n))}):
-            # In its own band the set may be the smaller one, below it is the larger.
-            total = n + (join.largest(n) if b == band_of(n) else n)
-            out.append({"band": b, "need": join.difference(total) + 1, "values": part_values(elements, b).view(np.int64)})
-        return out
+    dealt = tables.repartition("chunk", "lot").sortWithinPartitions("chunk", "lot")
+    return map_arrow(dealt, kernel, "chunk int, lot int, counts binary")
+
+
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """The counters of all tasks together, of a fixed size (16 MB), up to 65,535 each."""
+    tables = rows.where("chunk is not null").select("chunk", F.col("source").alias("lot"), "counts")
+    last = tables.agg(F.max("lot")).first()[0] or 0
+    while last:
+        last //= LOT
+        lots = tables.withColumn("lot", (F.col("lot") / LOT).cast("int"))
+        tables = stored(added_up(lots), "counters")
+    out = np.zeros((1 << COUNTER_BITS) // CHUNK * CHUNK, np.uint16).reshape(-1, CHUNK)
+    for chunk, counts in tables.select("chunk", "counts").collect():
+        out[chunk] = np.minimum(unpacked(counts).astype(np.uint32), 65_535)
+    return out.reshape(-1)
+
+
+def first_values(elements: np.ndarray, join: Join, often: np.ndarray) -> np.ndarray:
+    """The values that a set must be joined on: of each band the first D + 1, rarest first."""
+    n, out = len(elements), []
+    for b in set_bands(n, join):
+        # In its own band the set may be the smaller one, below it is the larger.
+        need = join.difference(n + (join.largest(n) if b == band_of(n) else n)) + 1
+        values = part_values(elements, b)
+        if need < len(values):
+            # Low bits of a value name the band, which is the same for all of them here.
+            order = (often[counter(values)].astype(np.uint64) << np.uint64(48)) | ((values << np.uint64(COUNTER_BITS)) >> np.uint64(16))
+            values = values[order <= np.partition(order, need - 1)[need - 1]]
+        out.append(values)
+    return np.concatenate(out)
+
+
+def sketched(picked: DataFrame, join: Join, often) -> DataFrame:
+    """(set, n, sketch, values): a row per document with words; ``often`` is a broadcast table."""
 
     def kernel(batches):
         cache: dict[bytes, int] = {}
+        table = often.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column("text").slice(at, 256).to_pylist()
@@ -189,44 +284,40 @@ def sketched(picked: DataFrame, join: Join) -> DataFrame:
                         pa.array([fingerprint(s) for s in found], pa.int64()),
                         pa.array([len(s) for s in found], pa.int64()),
                         pa.array([parity_sketch(s).tobytes() for s in found], pa.binary()),
-                        pa.array([bands(s) for s in found], pa.list_(band)),
+                        pa.array([first_values(s, join, table).view(np.int64) for s in found], pa.list_(pa.int64())),
                     ],
-                    names=["set", "n", "sketch", "bands"],
+                    names=["set", "n", "sketch", "values"],
                 )
 
-    schema = "set long, n long, sketch binary, bands array<struct<band:int,need:int,values:array<long>>>"
-    return map_arrow(picked, kernel, schema)
+    return map_arrow(picked, kernel, "set long, n long, sketch binary, values array<long>")
 
 
 def met(sets: DataFrame) -> DataFrame:
-    """(value, set, n): the shared values that each class must be joined on.
+    """(value, set, n): the values to join on that several classes hold.
 
-    One shuffle of (value, set) counts the classes of every value; those held once go there. Per
-    class and band the rarest ``need`` values, counting the ones held once, are kept.
+    One shuffle of (value, set), read twice: for each value the smallest and the largest holder
+    tell whether there are several, and those values keep their rows. Rows of a value pass through
+    its task one by one, nothing sorts or gathers them.
     """
-    each = sets.select("set", F.explode("bands").alias("x"))
-    values = each.select(F.explode("x.values").alias("value"), "set")
-    often = F.count(F.lit(1)).over(Window.partitionBy("value"))
-    shared = stored(values.withColumn("often", often).where("often > 1"), "shared-values")
-    facts = sets.select("set", "n", F.explode("bands").alias("x")).select(
-        "set", "n", F.col("x.band").alias("band"), F.col("x.need").alias("need"), F.size("x.values").alias("values")
-    )
-    own = Window.partitionBy("set", "band")
-    ranked = (
-        shared.withColumn("band", F.col("value").bitwiseAND(63).cast("int"))
-        .withColumn("shared", F.count(F.lit(1)).over(own))
-        .withColumn("place", F.row_number().over(own.orderBy("often", "value")))
-        .join(facts, ["set", "band"])
-        .where(F.col("place") <= F.col("need") - (F.col("values") - F.col("shared")))
-    )
-    return ranked.select("value", "set", "n")
+    each = sets.select(F.explode("values").alias("value"), "set").repartition("value")
+    shared = each.groupBy("value").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x <> y").select("value")
+    held = each.join(shared.hint("shuffle_hash"), "value", "left_semi")
+    return held.join(sets.select("set", "n"), "set").select("value", "set", "n")
 
 
-def still_open(where: DataFrame, parts: DataFrame) -> DataFrame:
-    """(value, set, n, component_id) of the values that classes of several components share."""
+def still_open(where: DataFrame, parts: DataFrame, turn: int = 0) -> DataFrame:
+    """(value, set, n, component_id, k, hub) of the values that classes of several components share;
+    ``k`` is how many classes hold the value, ``hub`` one of them, drawn by hash."""
     labelled = where.join(parts, "set")
-    several = labelled.groupBy("value").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y"))
-    return labelled.join(several.where("x <> y").select("value"), "value")
+    hub = F.struct(
+        F.xxhash64("value", "set", F.lit(turn)).alias("h"), F.col("set").alias("a"),
+        F.col("n").alias("na"), F.col("component_id").alias("ca"),
+    )
+    several = labelled.groupBy("value").agg(
+        F.min("component_id").alias("x"), F.max("component_id").alias("y"),
+        F.count(F.lit(1)).alias("k"), F.min(hub).alias("hub"),
+    )
+    return labelled.join(several.where("x <> y").drop("x", "y"), "value")
 
 
 def _may_link(m: str, n: str, join: Join):
@@ -235,11 +326,10 @@ def _may_link(m: str, n: str, join: Join):
     return (a * join.numerator <= b * join.denominator) & (b * join.numerator <= a * join.denominator)
 
 
-def stars(open_: DataFrame, join: Join, turn: int) -> DataFrame:
-    """Pairs (a, b) of each class with at most ``hubs`` classes of other components, those it meets
-    most often where every value has one of its classes, drawn by hash, as its hub."""
-    hub = F.min(F.struct(F.xxhash64("value", "set", F.lit(turn)).alias("h"), F.col("set").alias("a"), F.col("n").alias("na"), F.col("component_id").alias("ca")))
-    met_hub = open_.withColumn("hub", hub.over(Window.partitionBy("value"))).select("set", "n", "component_id", "hub.a", "hub.na", "hub.ca")
+def stars(open_: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) of each class with at most ``hubs`` classes of other components, those that it
+    meets most often as hubs of values."""
+    met_hub = open_.select("set", "n", "component_id", "hub.a", "hub.na", "hub.ca")
     often = met_hub.where("component_id <> ca").where(_may_link("n", "na", join)).groupBy("set", "a").agg(F.count(F.lit(1)).alias("times"))
     place = F.row_number().over(Window.partitionBy("set").orderBy(F.desc("times"), "a"))
     best = often.withColumn("place", place).where(F.col("place") <= join.hubs)
@@ -285,10 +375,9 @@ def crossing(open_: DataFrame, sets: DataFrame, join: Join, nearest: bool = Fals
     The rows of a value are dealt to blocks, and each pair of blocks is one group of at most about
     two blocks' rows; groups follow each other sorted, so a task holds one group and one batch.
     """
-    sized = open_.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("value")))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / join.block)).cast("int")
     dealt = (
-        sized.withColumn("blocks", blocks)
+        open_.drop("hub").withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -398,27 +487,30 @@ def labelled(docs: DataFrame, join: Join, id_column: str, text: str) -> DataFram
     """(id, set, n, component, least): a row per document, with its set's component (null for texts
     without words) and the smallest id there."""
     picked = _picked(docs, id_column, text)
-    rows = stored(named(picked, join), "named")
+    scanned = stored(named(picked, join), "named")
+    rows = scanned.where("chunk is null").select("id", "set", "n")
+    often = docs.sparkSession.sparkContext.broadcast(frequencies(scanned))
     owners = stored(rows.where("set is not null").groupBy("set").agg(F.min("id").alias("id")), "classes")
     first = owners.select(F.col("id").alias("own"), F.col("set").alias("own_set")).where("own is not null")
     # A class is sketched from its smallest id, one that only rows without an id hold from those rows.
     chosen = picked.join(broadcast_if_small(first.select("own").distinct()), picked["id"] == F.col("own"), "left_semi")
-    sets = sketched(chosen, join)
+    sets = sketched(chosen, join, often)
     if repeated(rows):
         sets = sets.dropDuplicates(["set"])
     unnamed = owners.where("id is null").select("set")
     if not unnamed.isEmpty():
-        more = sketched(picked.where("id is null"), join).join(unnamed, "set", "left_semi")
+        more = sketched(picked.where("id is null"), join, often).join(unnamed, "set", "left_semi")
         sets = sets.unionByName(more.dropDuplicates(["set"]))
     sets = stored(sets, "sketches")
+    often.unpersist()
     where = stored(met(sets), "met")
 
     nodes = stored(where.select("set").distinct(), "nodes")
     parts = nodes.select("set", F.col("set").alias("component_id"))
     links = None
     for turn in range(join.stars + join.nearest):
-        open_ = still_open(where, parts)
-        some = stars(open_, join, turn) if turn < join.stars else crossing(open_, sets, join, nearest=True)
+        open_ = still_open(where, parts, turn)
+        some = stars(open_, join) if turn < join.stars else crossing(open_, sets, join, nearest=True)
         some = stored(some, "some-pairs")
         if some.isEmpty():
             break
