@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -370,10 +371,25 @@ def plausible(kind: str, span: str) -> bool:
 
 
 def added(text: str, base: list[tuple[str, int, int]], found: list[tuple[str, int, int, float]], least: float):
-    """Sure and plausible spans of the tagger without line breaks that overlap no base span."""
+    """Sure and plausible spans of the tagger without line breaks that overlap no base span.
+
+    Base spans of different kinds may overlap: they are joined to stretches, searched by halving."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(base, key=lambda x: x[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return k == 0 or ends[k - 1] <= a
+
     out = []
     for kind, a, b, sure in found:
-        if sure >= least and plausible(kind, text[a:b]) and "\n" not in text[a:b] and not any(x < b and a < y for _, x, y in base):
+        if sure >= least and plausible(kind, text[a:b]) and "\n" not in text[a:b] and free(a, b):
             out.append((kind, a, b))
     return out
 

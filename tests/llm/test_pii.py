@@ -136,3 +136,17 @@ def test_no_example_at_all(spark):
     df = spark.createDataFrame([(1, "plain")], "doc_id long, text string")
     assert [(r.spans, r.n_added) for r in pii.detect(df).collect()] == [("", 0)]
     assert pii.detect(df.limit(0)).count() == 0 and pii.mask(df).collect()[0].text == "plain"
+
+
+def test_added_spans_overlap_no_base_span():
+    """Against comparing every span with every other; base spans of two kinds may overlap."""
+    r = np.random.default_rng(5)
+    text = "1" * 3000
+    for _ in range(50):
+        base = sorted(("ip", int(a), int(a + k)) for a, k in zip(r.integers(0, 2900, 30), r.integers(1, 60, 30)))
+        found = [("phone", int(a), int(a + k), 1.0) for a, k in zip(r.integers(0, 2900, 90), r.integers(9, 15, 90))]
+        want = [(k, a, b) for k, a, b, _ in found if not any(x < b and a < y for _, x, y in base)]
+        assert pii.added(text, base, found, 0.5) == want
+    many = [("ip", 20 * k, 20 * k + 10) for k in range(20_000)]
+    near = [("phone", 20 * k + 10, 20 * k + 20, 1.0) for k in range(20_000)]
+    assert len(pii.added("1" * 400_000, many, near, 0.5)) == 20_000
