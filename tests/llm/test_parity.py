@@ -136,33 +136,18 @@ def test_bands_of_linked_sizes_meet_and_hold_enough_parts():
                 assert len(values) > JOIN.difference(total)
 
 
-def test_counters_add_up_over_tasks_and_lots(spark, monkeypatch):
-    """More tasks than a lot holds: the table is added up in several levels, copies within a task count once."""
-    monkeypatch.setattr(parity, "LOT", 3)
-    rows = [(i, " ".join(f"w{k}" for k in range(i % 4, 90 + i % 4))) for i in range(40)] + [(99, None), (100, "")]
-    scanned = parity.named(spark.createDataFrame(rows, "id long, text string").repartition(11), JOIN).cache()
-    assert scanned.where("chunk is null").count() == len(rows)
-    tasks = [r.counts for r in scanned.where("chunk is not null").collect()]
-    assert scanned.where("source > 8").count() and len(tasks) > 11
-    got = parity.frequencies(scanned)
-    assert int(got.sum()) == sum(int(parity.unpacked(c).sum()) for c in tasks) > 0
-    alone = parity.named(spark.createDataFrame(rows, "id long, text string").coalesce(1), JOIN)
-    assert parity.frequencies(alone).any() and not parity.frequencies(alone.where("id is not null")).any()
-    one = parity.shingle_set(rows[0][1], 5, {})
-    values = np.concatenate([parity.part_values(one, b) for b in parity.set_bands(len(one), JOIN)])
-    assert (got[parity.counter(values)] >= 1).all()
-
-
-def test_any_order_of_values_lets_linked_sets_meet():
-    """Whatever the counters say, linked sets share one of their first values."""
-    r = np.random.default_rng(4)
-    for n in (1, 3, 8, 31, 33, 70, 200, 700):
-        for often in (np.zeros(1 << parity.COUNTER_BITS, np.uint16), r.integers(0, 3, 1 << parity.COUNTER_BITS).astype(np.uint16)):
-            a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-            for _ in range(10):
-                gone = r.integers(0, n // 7 + 1)
-                b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 2**63, n // 7 - gone + (n > 6)).astype(np.uint64)]))
-                both = len(np.intersect1d(a, b))
-                if 100 * both >= 75 * (len(a) + len(b) - both):
-                    first = [parity.first_values(x, JOIN, often) for x in (a, b)]
-                    assert len(np.intersect1d(*first)), (n, gone)
+def test_open_values_name_their_holders_and_a_hub(spark):
+    """Values inside one component go; of the others every holder sees their number and the same hub."""
+    r = random.Random(6)
+    where = sorted({(r.randrange(30), s) for s in range(40) for _ in range(4)})
+    part = {s: s % 3 if s < 30 else s for s in range(40)}
+    met = spark.createDataFrame([(v, s, 100 + s) for v, s in where], "value long, set long, n long")
+    parts = spark.createDataFrame(sorted(part.items()), "set long, component_id long")
+    got = parity.still_open(met, parts, 1).collect()
+    holders = {v: [s for w, s in where if w == v] for v, _ in where}
+    want = {(v, s) for v, s in where if len({part[x] for x in holders[v]}) > 1}
+    assert {(x.value, x.set) for x in got} == want and len(got) == len(want)
+    for x in got:
+        assert x.k == len(holders[x.value]) and x.hub.a in holders[x.value]
+        assert (x.hub.na, x.hub.ca, x.component_id, x.n) == (100 + x.hub.a, part[x.hub.a], part[x.set], 100 + x.set)
+    assert all(len({x.hub.a for x in got if x.value == v}) == 1 for v in {x.value for x in got})
