@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from rungwise.config import Protocol
 from rungwise.operators import select
 from rungwise.operators.quality import DataQualityError
-from rungwise.plans.collect import build_snapshot, deduplicated_events
+from rungwise.plans.collect import build_snapshot, deduplicated_events, selected_pages, snapshot_of
 from rungwise.sources import nested
+from rungwise.workload import views
 
 CLOSE_TEXT = "2031-03-05T06:00:00Z"
 CLOSE = int(datetime(2031, 3, 5, 6, tzinfo=timezone.utc).timestamp())
@@ -197,3 +198,44 @@ def test_request_batches_are_bounded(spark):
         plan = select.request_batches(asked, "event", "token", "rung", "end", 600, size=15, max_rows=limit).collect()
         assert sorted((r.event, r.batch_index, len(r.tokens)) for r in plan) == [("a", 0, 15), ("a", 1, 15), ("a", 2, 3), ("b", 0, 1)]
         assert {(r.start_ts, r.end_ts) for r in plan} == {(CLOSE - 600, CLOSE)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_event_is_parsed_once_however_many_fields_are_read(spark):
+    pages = landed(spark, [sound()]).select(select.event_reasons(PROTOCOL, F.to_timestamp("endDate")).alias("r"))
+    optimised = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline(array(from_json" in optimised
+
+
+def test_copies_of_pages_meet_in_one_shuffle_with_the_fields_asked_for(spark):
+    pages = landed(spark, [sound(), spoilt()], [sound(volume=9)])
+    counted = deduplicated_events(pages, ["window", "position"], ["id", F.size("markets").alias("n")])
+    plan = _plan(counted)
+    assert plan.count("Exchange hashpartitioning") == 1 and "parse_json" not in plan
+    assert sorted(map(tuple, counted.collect())) == [("sound", 2), ("spoilt", 2)]
+
+
+def test_events_decided_page_by_page_are_those_decided_after_copies_met(spark):
+    pages = landed(spark, [sound(), spoilt()], [sound(volume=9), ladder("open", rung(1, True), closed=False)])
+    order = ["window", "position"]
+    one = selected_pages(pages, order, PROTOCOL)
+    two = select.select_events(deduplicated_events(pages, order), PROTOCOL)
+    shared = [c for c in one.columns if c != "candidates"]
+    assert sorted(map(str, one.select(shared).collect())) == sorted(map(str, two.select(shared).collect()))
+    assert sorted(map(str, select.contracts(one).collect())) == sorted(map(str, select.contracts(two).collect()))
+    done = snapshot_of(one, quotes(spark, **FRESH), PROTOCOL, "gauges")
+    assert {(r.event_id, r.yes_token, r.horizon_seconds) for r in done.rows.collect()} == {
+        ("sound", t, h) for t in ("3107", "3407") for h in (1800, 900)
+    }
+    with pytest.raises(Exception, match="changed selection-relevant"):
+        selected_pages(landed(spark, [sound()], [sound(closed=False)]), ["window"], PROTOCOL).collect()
+
+
+def test_documents_meet_as_narrow_rows(spark):
+    """No shuffle carries the text of a market."""
+    plan = views.event_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate") :]
+    assert "conditionId" not in below and "to_json" not in below
