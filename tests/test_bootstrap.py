@@ -180,3 +180,30 @@ def test_percentiles_interpolate(spark):
     df = spark.range(11).select(F.col("id").cast("double").alias("d"))
     row = bst.intervals(df, ["d"], 0.95).first()
     assert (row.lower, row.upper) == pytest.approx(tuple(np.quantile(range(11), [0.025, 0.975])))
+
+
+def test_neighbouring_chunks_worked_together_are_those_worked_alone():
+    values = np.random.default_rng(2).normal(size=(40, 2))
+    which, table = bst.chunk_sums(values[8:32], 1, 40, 8, 1, 3, 5, 10, 60)
+    whole = np.zeros((50, 3))
+    whole[which - 10] = table
+    parts = np.zeros((50, 3))
+    for chunk in (1, 2, 3):
+        at, sums = bst.chunk_sums(values[chunk * 8 : chunk * 8 + 8], chunk, 40, 8, 1, 3, 5, 10, 60)
+        parts[at - 10] += sums
+    assert np.allclose(whole, parts) and whole[:, 0].any()
+
+
+def test_small_chunks_do_not_each_return_a_row_per_replicate(spark):
+    """64 chunks of 16 events in a block: the kernel gets one array for all of them."""
+    df = spark.range(2048).select(
+        F.col("id").cast("string").alias("event_id"), (F.col("id") % 2).cast("string").alias("block"), F.rand(1).alias("d")
+    )
+    seen = []
+    real = bst._kernel
+    bst._kernel = lambda *args: seen.append(args) or real(*args)
+    try:
+        got = bst.replicates(df, ["d"], 50, [1], block_events=0, chunk_events=16).toPandas()
+    finally:
+        bst._kernel = real
+    assert len(got) == 50 and seen[0][-2:] == (16, bst.CHUNK_EVENTS // 16)
