@@ -226,8 +226,8 @@ def column_sets(spark, folder):
         F.concat(F.lit("c"), "l_linenumber").alias("column_name"),
         "l_returnflag",
     )
-    found = named.where("l_returnflag <> 'A'").select("table_name", "column_name").distinct()
-    declared = named.where("l_returnflag <> 'R'").select("table_name", "column_name").distinct()
+    found = named.where("l_returnflag <> 'A'").select("table_name", "column_name")
+    declared = named.where("l_returnflag <> 'R'").select("table_name", "column_name")
     return compare.column_differences(found, declared)
 
 
