@@ -73,13 +73,16 @@ def parse_csv(lines: DataFrame, header: Sequence[str]) -> DataFrame:
 def split_candidates(parsed: DataFrame, outcomes: Sequence[str] = ("Yes", "No")) -> tuple[DataFrame, DataFrame]:
     """(candidates with their file and line, violations) of parsed lines.
 
-    A line with several faults is several violations.
+    A line with several faults is several violations. Lines are judged once and stored with what was
+    found, as candidates and violations are read from them apart.
     """
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in PLACE])
-    corrupt = parsed.where(f"{CORRUPT} is not null").select(
-        F.col(CORRUPT).alias("rule_id"), key.alias("key"), F.substring("value", 1, 200).alias("detail")
+    cut = parsed.withColumn("value", F.when(F.col(CORRUPT).isNotNull(), F.substring("value", 1, 200)))
+    judged = written(normalise_candidates(cut, outcomes, keep=[*PLACE, "value", CORRUPT]), "candidates")
+    corrupt = judged.where(f"{CORRUPT} is not null").select(
+        F.col(CORRUPT).alias("rule_id"), key.alias("key"), F.col("value").alias("detail")
     )
-    rows = normalise_candidates(parsed.where(f"{CORRUPT} is null"), outcomes, keep=PLACE)
+    rows = judged.where(f"{CORRUPT} is null").drop("value", CORRUPT)
     faulty = rows.select(F.explode("problems").alias("rule_id"), key.alias("key"), F.lit("").alias("detail"))
     return rows.where(F.size("problems") == 0).drop("problems"), corrupt.unionByName(faulty)
 
@@ -90,4 +93,4 @@ def read_candidates(
     """(candidates, violations) of the files under ``path``: CSV if a header is given, else JSON lines."""
     lines = numbered_lines(spark, path)
     parsed = parse_json(lines) if header is None else parse_csv(lines, header)
-    return split_candidates(written(parsed, "candidates"), outcomes)
+    return split_candidates(parsed, outcomes)

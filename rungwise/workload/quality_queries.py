@@ -435,9 +435,11 @@ def candidate_files(spark, folder):
     whole = F.to_json(F.struct(*names))
     raw.select(F.when(torn, F.substring(whole, 1, 30)).otherwise(whole).alias("value")).write.text(json_path)
     line = F.to_csv(F.struct(*names), {"escape": '"', "quoteAll": "true"})
-    part = F.col("event_id").cast("bigint") % 3
+    # A file per part, as many as the session has shuffle partitions, each with its own header.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("event_id"), F.lit(parts))
     body = raw.select(part.alias("part"), F.lit(1).alias("o"), F.when(torn, F.substring_index(line, ",", 4)).otherwise(line).alias("value"))
-    heads = spark.range(3).select(F.col("id").alias("part"), F.lit(0).alias("o"), F.lit(",".join(names)).alias("value"))
+    heads = spark.range(parts).select(F.col("id").alias("part"), F.lit(0).alias("o"), F.lit(",".join(names)).alias("value"))
     body.unionByName(heads).repartition("part").sortWithinPartitions("part", "o").drop("o").write.partitionBy("part").text(csv_path)
     found = []
     for kind, path, header in (("json", json_path, None), ("csv", csv_path, names)):

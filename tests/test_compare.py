@@ -6,6 +6,7 @@ import glob
 
 from rungwise import session
 from rungwise.operators import compare
+from rungwise.sources import quarantine
 from rungwise.workload import quality_queries
 
 
@@ -40,3 +41,12 @@ def test_candidate_files_are_written_by_as_many_tasks_as_the_session_deals(spark
         spark.conf.set("spark.sql.shuffle.partitions", before)
     (path,) = [p for p in session._SCRATCH[-6:] if "csv-lines" in p]
     assert len(glob.glob(f"{path.removeprefix('file:')}/part=*")) == 7
+
+
+def test_candidate_lines_are_judged_once(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"eventId": "e"}\n{"eve\n')
+    good, bad = quarantine.read_candidates(spark, str(tmp_path))
+    for part in (good, bad):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and "regexp" not in plan.lower()
+    assert good.count() == 0 and {"corrupt_line", "missing_condition_id"} <= {r.rule_id for r in bad.collect()}
