@@ -239,3 +239,13 @@ def test_documents_meet_as_narrow_rows(spark):
     plan = views.event_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Aggregate") :]
     assert "conditionId" not in below and "to_json" not in below
+
+
+def test_documents_are_made_by_tasks_of_bounded_rows(spark, monkeypatch):
+    """Tasks follow the rows, not the moved bytes; lines and orders are moved once."""
+    small = "/root/testdata/sf0.001"
+    rows = sum(views.table(spark, small, t).count() for t in ("lineitem", "orders"))
+    monkeypatch.setattr(views, "TASK_ROWS", 300)
+    documents = views.event_documents(spark, small)
+    assert _plan(documents).count("Exchange hashpartitioning") == 2
+    assert documents.rdd.getNumPartitions() == -(-rows // 300) > 8
