@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import glob
 
 from rungwise import session
@@ -50,3 +51,20 @@ def test_candidate_lines_are_judged_once(spark, tmp_path):
         plan = part._jdf.queryExecution().optimizedPlan().toString()
         assert "from_json" not in plan and "regexp" not in plan.lower()
     assert good.count() == 0 and {"corrupt_line", "missing_condition_id"} <= {r.rule_id for r in bad.collect()}
+
+
+def test_rows_meet_as_keys_and_digests(spark):
+    kind = "k string, n bigint, p double, at timestamp, t string"
+    def at(micros):
+        return datetime.datetime(2024, 1, 1, microsecond=micros)
+
+    left = [("a", 1, 0.0, at(1), "x"), ("a", 1, 0.0, at(1), "x"), ("b", 1, None, at(2), None), (None, 2, 0.5, None, "y"), ("c", 1, 0.1, at(3), "z")]
+    right = [("a", 1, -0.0, at(1), "x"), ("b", 1, None, at(2), "null"), (None, 2, 0.5, None, "y"), ("c", 1, 0.1, at(4), "z")]
+    one, two = spark.createDataFrame(left, kind), spark.createDataFrame(right, kind)
+    narrow = compare.key_differences(one, two, ("k", "n"))
+    whole = compare.table_differences(one, two).select("k", "n", "surplus")
+    assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, narrow.collect())) == [("a", 1, 1), ("b", 1, -1), ("b", 1, 1), ("c", 1, -1), ("c", 1, 1)]
+    moved = _plan(narrow)
+    assert "Exchange hashpartitioning(k" in moved and "hashpartitioning(k#" in moved
+    assert " t#" not in moved[moved.index("Exchange hashpartitioning") :].split("\n")[0]
