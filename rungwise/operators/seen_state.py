@@ -2,8 +2,8 @@
 
 The state is a table of what was seen: id, fingerprints, how often, where first, and the payload kept,
 one row per distinct content and window. It is bucketed by id: a new window's contents are counted
-first (copies shrink in their tasks), the window's ids meet the stored rows where those lie, and only
-rows of ids that the window shows again are moved. Landing appends; nothing is written anew.
+first (copies shrink in their tasks), moved to their buckets once, and meet the stored rows where both
+lie. Landing appends; nothing is written anew.
 
 An id whose decision-relevant content differs from what was seen before is fatal, and then nothing of
 the window is kept. A window lands once: its name is kept with its rows, and landing it again is an
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rungwise.operators.quality import DataQualityError
 from rungwise.operators.select import contents_of, merged_contents, per_id
-from rungwise.session import scratch_path, written
+from rungwise.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -68,24 +68,52 @@ def first_seen(spark: SparkSession, state: SeenState) -> DataFrame:
 def land(state: SeenState, pages: DataFrame, order: Sequence[str], window: str) -> DataFrame:
     """Add a window; returns ``select.first_seen`` of its ids over everything up to it.
 
-    Raises, and keeps nothing of the window, if an id changed.
+    Raises, and keeps nothing of the window, if an id changed. The window's contents are moved to the
+    buckets of the state once and kept there under a table of their own; the check and the landing
+    read them in place.
     """
     spark = pages.sparkSession
-    stored = spark.table(state.table)
-    if not stored.where(F.col("landed") == window).isEmpty():
+    before = [r.landed for r in spark.table(state.table).select("landed").distinct().collect()]
+    if window in before:
         raise ValueError(f"window {window!r} has landed before")
-    contents = written(contents_of(pages, order), "window")
+    contents = _bucketed(contents_of(pages, order), state.files)
+    changed = [r.id for r in _changed(spark, state, contents).select("id").limit(5).collect()]
+    if changed:
+        raise DataQualityError(f"seen again with other decision-relevant fields: {changed}")
+    contents.select(F.lit(window).alias("landed"), *contents.columns).write.insertInto(state.table)
+    up_to = spark.table(state.table).where(F.col("landed").isin([*before, window])).drop("landed")
     ids = contents.select(F.col("id").alias("_id")).distinct()
-    known = seen_before(spark, state)
+    known = merged_contents(up_to)
     # Plain equality finds the stored rows where they lie; the null id, if shown, comes beside.
-    old = known.join(ids, F.col("id") == F.col("_id"), "left_semi")
+    again = known.join(ids, F.col("id") == F.col("_id"), "left_semi")
     if not ids.where("_id is null").isEmpty():
-        old = old.unionByName(known.where("id is null"))
-    # Stored before the window is appended, as it reads the table that grows.
-    now = written(per_id(merged_contents(old.unionByName(contents))), "seen-again")
-    changed = [r.id for r in now.where("changed").select("id").limit(5).collect()]
-    if changed:
-        raise DataQualityError(f"seen again with other decision-relevant fields: {changed}")
-    landed = contents.select(F.lit(window).alias("landed"), *contents.columns)
-    landed.repartition(state.files, "id").write.insertInto(state.table)
-    return now
+        again = again.unionByName(known.where("id is null"))
+    return per_id(again)
+
+
+def _bucketed(contents: DataFrame, files: int) -> DataFrame:
+    """``contents`` as a table of the session in the shared folder, in buckets like those of the state."""
+    spark = contents.sparkSession
+    path = scratch_path(spark, "window")
+    name = "window_" + "".join(c for c in path[-32:] if c.isalnum())
+    moved = contents.repartition(files, "id")
+    moved.write.format("parquet").bucketBy(files, "id").option("path", path).saveAsTable(name)
+    kept = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name only: files outside the warehouse stay
+    return kept
+
+
+def _changed(spark: SparkSession, state: SeenState, contents: DataFrame) -> DataFrame:
+    """Ids of the window with more than one selection, in it or against the state.
+
+    Smallest and largest selection of an id, on both sides where the rows lie.
+    """
+    extremes = [F.min("selection").alias("low"), F.max("selection").alias("high")]
+    shown = contents.groupBy("id").agg(*extremes)
+    stored = spark.table(state.table).groupBy(F.col("id").alias("_id")).agg(
+        F.min("selection").alias("_low"), F.max("selection").alias("_high")
+    )
+    both = shown.join(stored, F.col("id") == F.col("_id"), "left")
+    null_id = stored.where("_id is null").join(shown.where("id is null"), F.lit(True))
+    differs = (F.least("low", "_low") != F.greatest("high", "_high"))
+    return both.where(differs).select("id").unionByName(null_id.where(differs).select("id"))

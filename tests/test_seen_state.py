@@ -80,3 +80,14 @@ def test_stored_rows_are_not_moved(spark, tmp_path):
     seen_state.land(state, frame(spark, windows()[0]), ORDER, "one")
     plan = seen_state.first_seen(spark, state)._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and "Exchange" not in plan
+
+
+def test_a_window_meets_the_state_where_both_lie(spark, tmp_path):
+    """Its contents are moved once; the check of changed ids moves neither side."""
+    state = state_in(spark, tmp_path, "met")
+    seen_state.land(state, frame(spark, windows()[0]), ORDER, "one")
+    other = [(None, 1, 0, "other", "g", "q"), ("e1000", 1, 0, "s", "f", "p"), ("e1000", 1, 1, "t", "f", "p")]
+    contents = seen_state._bucketed(select.contents_of(frame(spark, windows()[1] + other), ORDER), state.files)
+    changed = seen_state._changed(spark, state, contents)
+    assert "Exchange hashpartitioning" not in changed._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in changed.collect()} == {None, "e1000"}
