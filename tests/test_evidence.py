@@ -253,3 +253,11 @@ def test_key_rules_in_one_aggregate(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and plan.count("Generate") <= 1
     assert quality.key_violations(df.limit(0), rules_).count() == 0
+
+
+def test_row_rules_are_compiled(spark):
+    """No lambda stands around the rules, and one violation row comes of each broken rule."""
+    rows = spark.createDataFrame([(1, 2), (None, 2), (1, 0)], "a int, b int")
+    found = quality.row_rules(rows, {"a": F.col("a") != 1, "b": F.col("b") <= 0}, F.lit("k"))
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.rule_id for r in found.collect()) == ["a", "b"]
