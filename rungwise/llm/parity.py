@@ -34,11 +34,13 @@ of 64 bits stand for shingles and sets: unequal ones are taken for equal with pr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,10 @@ from pyspark.sql import types as T
 from rungwise.llm.common import broadcast_if_small, components, fresh, map_arrow, stored
 
 CACHE_WORDS = 300_000
+STRETCH_BYTES = 1 << 20
+#: Values that one task counts at a time, about; bytes of a value that stay (the lowest six bits name its band).
+BUCKET_VALUES = 1_000_000
+VALUE_BYTES = 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,6 +65,8 @@ class Join:
     nearest: int = 1
     hubs: int = 4
     block: int = 1024
+    #: Values of at most so many classes name their pairs at once, without sketches.
+    few: int = 32
 
     def difference(self, total: int) -> int:
         """The largest symmetric difference of two linked sets whose sizes add up to ``total``."""
@@ -80,22 +88,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, width: int, cache: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct fingerprints of the text's shingles; ``cache`` keeps hashes of words."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    for w in words:
-        if w not in cache:
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([cache[w] for w in words], np.uint64)
-    n = min(width, len(words))
-    out = np.full(len(words) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = mixed(out * _ODD + h[k : len(words) - n + 1 + k])
-    return np.unique(out)
+class Words(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """One fingerprint per stretch of ``width`` neighbouring word hashes."""
+    out = np.full(len(h) - width + 1, width, np.uint64)
+    for k in range(width):
+        out = mixed(out * _ODD + h[k : len(h) - width + 1 + k])
+    return out
+
+
+def shingle_sets(texts: list[str | None], width: int, cache: Words) -> Iterator[np.ndarray]:
+    """Sorted distinct fingerprints of every text's shingles; texts of a stretch share the arithmetic."""
+    at = 0
+    while at < len(texts):
+        words, ends, size = [], [0], 0
+        while at < len(texts) and size < STRETCH_BYTES:
+            raw = texts[at].encode().lower() if texts[at] else b""
+            words += raw.split()
+            ends.append(len(words))
+            size += len(raw)
+            at += 1
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        full = rolled(h, width) if len(h) >= width else h[:0]
+        for low, high in zip(ends, ends[1:]):
+            n = high - low
+            found = full[low : high - width + 1] if n >= width else rolled(h[low:high], n) if n else h[:0]
+            found = np.sort(found)
+            yield found[np.concatenate([found[:1] == found[:1], found[1:] != found[:-1]])]
 
 
 def fingerprint(elements: np.ndarray) -> int:
@@ -155,9 +183,9 @@ def named(picked: DataFrame, join: Join) -> DataFrame:
     """(id, set, n): every document with the fingerprint and the size of its set."""
 
     def kernel(batches):
-        cache: dict[bytes, int] = {}
+        cache = Words()
         for batch in batches:
-            found = [shingle_set(x, join.shingle, cache) for x in batch.column("text").to_pylist()]
+            found = list(shingle_sets(batch.column("text").to_pylist(), join.shingle, cache))
             names = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
             sizes = pa.array([len(s) for s in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), names, sizes], names=["id", "set", "n"])
@@ -165,9 +193,10 @@ def named(picked: DataFrame, join: Join) -> DataFrame:
     return map_arrow(picked, kernel, "id long, set long, n long")
 
 
-def sketched(picked: DataFrame, join: Join) -> DataFrame:
-    """(set, n, sketch, bands): a row per document; ``bands`` are (band, need, values), where a
-    class must be joined on its ``need`` rarest values."""
+def sketched(picked: DataFrame, join: Join, source: int = 0) -> DataFrame:
+    """(row, set, n, sketch, brief, bands): a row per document, numbered apart from other sources;
+    ``brief`` is the sketch folded to half, ``bands`` are (band, need, values), where a class must
+    be joined on its ``need`` rarest values."""
     band = pa.struct([("band", pa.int32()), ("need", pa.int32()), ("values", pa.list_(pa.int64()))])
 
     def bands(elements: np.ndarray) -> list[dict]:
@@ -179,44 +208,138 @@ def sketched(picked: DataFrame, join: Join) -> DataFrame:
         return out
 
     def kernel(batches):
-        cache: dict[bytes, int] = {}
+        cache = Words()
+        row = (source << 62) + (TaskContext.get().partitionId() << 36)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column("text").slice(at, 256).to_pylist()
-                found = [s for s in (shingle_set(x, join.shingle, cache) for x in texts) if len(s)]
+                found = [s for s in shingle_sets(texts, join.shingle, cache) if len(s)]
+                sketches = [parity_sketch(s) for s in found]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.arange(row, row + len(found))),
                         pa.array([fingerprint(s) for s in found], pa.int64()),
                         pa.array([len(s) for s in found], pa.int64()),
-                        pa.array([parity_sketch(s).tobytes() for s in found], pa.binary()),
+                        pa.array([x.tobytes() for x in sketches], pa.binary()),
+                        pa.array([folded(x, max(4, len(x) // 2)).tobytes() for x in sketches], pa.binary()),
                         pa.array([bands(s) for s in found], pa.list_(band)),
                     ],
-                    names=["set", "n", "sketch", "bands"],
+                    names=["row", "set", "n", "sketch", "brief", "bands"],
                 )
+                row += len(found)
 
-    schema = "set long, n long, sketch binary, bands array<struct<band:int,need:int,values:array<long>>>"
+    schema = "row long, set long, n long, sketch binary, brief binary, bands array<struct<band:int,need:int,values:array<long>>>"
     return map_arrow(picked, kernel, schema)
 
 
+def packed(rows: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, base, rows, bytes): a row per bucket of values, in the order of values.
+
+    A value moves as the bytes that differ inside a bucket (``VALUE_BYTES``, highest first, byte by
+    byte, so that the sorted ones compress) and the number of its row from ``base`` in two bytes.
+    """
+    values = values & np.uint64((1 << 8 * VALUE_BYTES) - 1)
+    order = np.argsort(values, kind="stable")
+    values, base = values[order], int(rows.min())
+    places = (rows[order] - base).astype(np.uint16)
+    bucket = bucket_of(values, buckets)
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(values)]
+    planes = values.view(np.uint8).reshape(-1, 8)[:, VALUE_BYTES - 1 :: -1]
+    spans = list(zip(edges, edges[1:]))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([bucket[low] for low, _ in spans], pa.int32()),
+            pa.array([base] * len(spans), pa.int64()),
+            pa.array([places[low:high].tobytes() for low, high in spans], pa.binary()),
+            pa.array([planes[low:high].T.tobytes() for low, high in spans], pa.binary()),
+        ],
+        names=["bucket", "base", "rows", "bytes"],
+    )
+
+
+def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the highest 32 of the bytes that stay."""
+    high = values >> np.uint64(8 * VALUE_BYTES - 32)
+    return ((high * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
+def unpacked(base: int, rows: bytes, planes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What ``packed`` put in: rows and values."""
+    places = np.frombuffer(rows, np.uint16)
+    wide = np.zeros((len(places), 8), np.uint8)
+    wide[:, VALUE_BYTES - 1 :: -1] = np.frombuffer(planes, np.uint8).reshape(VALUE_BYTES, -1).T
+    return places.astype(np.int64) + base, wide.view(np.uint64).ravel()
+
+
+def shared_values(sets: DataFrame) -> DataFrame:
+    """(value, row, often): values that several rows of ``sets`` hold, and how many do.
+
+    Values move once, packed, into buckets of a bounded number; a task counts one bucket at a time.
+    """
+    each = sets.select("row", F.flatten("bands.values").alias("values"))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    tasks = max(2 * sets.sparkSession.sparkContext.defaultParallelism, -(-total // BUCKET_VALUES))
+
+    def pack(batches):
+        for batch in batches:
+            rows, lists = batch.column("row").to_numpy(), batch.column("values")
+            at = 0
+            while at < len(rows):  # as many rows as two bytes number; those of one file follow each other
+                near = (rows[at:] >= rows[at]) & (rows[at:] - rows[at] < 1 << 16)
+                size = len(near) if near.all() else int(near.argmin())
+                part = lists.slice(at, size)
+                values = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                counts = part.value_lengths().to_numpy(zero_copy_only=False)
+                if len(values):
+                    yield packed(np.repeat(rows[at : at + size], counts), values, tasks)
+                at += size
+
+    def counted(held):
+        rows, values = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(values, kind="stable")
+        rows, values = rows[order], values[order]
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        often = np.diff(np.append(first, len(values)))
+        often = np.repeat(often, often)
+        keep = often > 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values[keep].view(np.int64)), pa.array(rows[keep]), pa.array(often[keep])],
+            names=["value", "row", "often"],
+        )
+
+    def count(batches):
+        now, held = None, []
+        for batch in batches:
+            for bucket, *blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "base", "rows", "bytes")), strict=True):
+                if held and bucket != now:
+                    yield counted(held)
+                    held = []
+                now = bucket
+                held.append(unpacked(*blob))
+        if held:
+            yield counted(held)
+
+    moved = map_arrow(each, pack, "bucket int, base long, rows binary, bytes binary")
+    dealt = moved.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return map_arrow(dealt, count, "value long, row long, often long")
+
+
 def met(sets: DataFrame) -> DataFrame:
     """(value, set, n): the shared values that each class must be joined on.
 
-    One shuffle of (value, set) counts the classes of every value; those held once go there. Per
-    class and band the rarest ``need`` values, counting the ones held once, are kept.
+    One shuffle of values counts the classes of each (``shared_values``); those held once go there.
+    Per class and band the rarest ``need`` values, counting the ones held once, are kept.
     """
-    each = sets.select("set", F.explode("bands").alias("x"))
-    values = each.select(F.explode("x.values").alias("value"), "set")
-    often = F.count(F.lit(1)).over(Window.partitionBy("value"))
-    shared = stored(values.withColumn("often", often).where("often > 1"), "shared-values")
-    facts = sets.select("set", "n", F.explode("bands").alias("x")).select(
-        "set", "n", F.col("x.band").alias("band"), F.col("x.need").alias("need"), F.size("x.values").alias("values")
+    shared = stored(shared_values(sets), "shared-values")
+    facts = sets.select("row", "set", "n", F.explode("bands").alias("x")).select(
+        "row", "set", "n", F.col("x.band").alias("band"), F.col("x.need").alias("need"), F.size("x.values").alias("values")
     )
-    own = Window.partitionBy("set", "band")
+    own = Window.partitionBy("row", "band")
     ranked = (
         shared.withColumn("band", F.col("value").bitwiseAND(63).cast("int"))
         .withColumn("shared", F.count(F.lit(1)).over(own))
         .withColumn("place", F.row_number().over(own.orderBy("often", "value")))
-        .join(facts, ["set", "band"])
+        .join(facts, ["row", "band"])
         .where(F.col("place") <= F.col("need") - (F.col("values") - F.col("shared")))
     )
     return ranked.select("value", "set", "n")
@@ -253,9 +376,10 @@ def stars(open_: DataFrame, join: Join) -> DataFrame:
     return best.select(F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b")).distinct()
 
 
-def near_pairs(group: pa.Table, join: Join, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one value, or of two of its blocks, that may link and are in different components;
-    with ``nearest`` just the pair that is nearest for its sizes of each two components."""
+def near_pairs(group: pa.Table, join: Join, nearest: bool = False) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of one value, or of two of its blocks, that may link and are in different components, and
+    whether those are all: with ``nearest``, where they are more than twice the rows, just the pair
+    that is nearest for its sizes of each two components is named."""
     n, part, block = (group.column(c).to_numpy() for c in ("n", "component_id", "block"))
     across = part[:, None] != part[None, :]
     if group.column("i")[0] != group.column("j")[0]:
@@ -263,7 +387,7 @@ def near_pairs(group: pa.Table, join: Join, nearest: bool = False) -> tuple[np.n
     fits = n * join.numerator
     across &= (fits[:, None] <= n[None, :] * join.denominator) & (fits[None, :] <= n[:, None] * join.denominator)
     left, right = np.nonzero(np.triu(across))
-    sketches = [np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()]
+    sketches = [np.frombuffer(x, np.uint64) for x in group.column("brief").to_pylist()]
     words = min(map(len, sketches))
     table = np.stack([folded(x, words) for x in sketches])
     keep, share = [], []
@@ -276,30 +400,48 @@ def near_pairs(group: pa.Table, join: Join, nearest: bool = False) -> tuple[np.n
         keep.append(at + near)
         share.append(apart[near] / np.maximum(1, n[a] + n[b])[near])
     keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-    if nearest and len(keep):
+    whole = not nearest or len(keep) <= 2 * len(n)
+    if not whole:
         low = np.minimum(part[left[keep]], part[right[keep]])
         high = np.maximum(part[left[keep]], part[right[keep]])
         order = np.lexsort((keep, np.concatenate(share), high, low))
         first = np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])
         keep = keep[order[first]]
-    return left[keep], right[keep]
+    return left[keep], right[keep], whole
 
 
 def crossing(open_: DataFrame, sets: DataFrame, join: Join, nearest: bool = False) -> DataFrame:
-    """Pairs (a, b) that share a value across components and are within the bound of parity bits;
-    with ``nearest`` one of each two components where they meet.
-
-    The rows of a value are dealt to blocks, and each pair of blocks is one group of at most about
-    two blocks' rows; groups follow each other sorted, so a task holds one group and one batch.
+    """(value, a, b, whole): pairs that share a value across components and are within the bound of
+    parity bits; with ``nearest``, values with very many of them name one of each two components
+    where they meet, and are marked as not whole.
+
+    The pairs of values that ``few`` classes hold are named once, as numbers; their sketches meet when
+    they are verified, once per pair and not per value. The rows of other values are dealt to blocks,
+    and each pair of blocks is one group of at most about two blocks' rows; groups follow each other
+    sorted, so a task holds one group and one batch.
     """
+    open_ = stored(open_.drop("hub"), "open-values")
+    few = F.col("k") <= min(join.few, join.block)
+    row = F.struct("set", "n", "component_id")
+    rows = F.col("rows")
+    ahead = F.transform(rows, lambda x: F.transform(F.filter(rows, lambda y: x["set"] < y["set"]), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    named_at_once = (
+        open_.where(few).groupBy("value").agg(F.collect_list(row).alias("rows"))
+        .select(F.explode(F.flatten(ahead)).alias("p")).select("p.x", "p.y")
+        .where("x.component_id <> y.component_id").where(_may_link("x.n", "y.n", join))
+        .select(F.lit(0).cast("long").alias("value"), F.col("x.set").alias("a"), F.col("y.set").alias("b"), F.lit(True).alias("whole"))
+        .distinct()
+    )
+    many = open_.where(~few)
+    drawn = sets.join(broadcast_if_small(many.select("set").distinct()), "set", "left_semi")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / join.block)).cast("int")
     dealt = (
-        open_.drop("hub").withColumn("blocks", blocks)
+        many.withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        .join(sets.select("set", "sketch"), "set")
-        .select("value", "i", "j", "block", "set", "n", "component_id", "sketch")
+        .join(drawn.select("set", "brief"), "set")
+        .select("value", "i", "j", "block", "set", "n", "component_id", "brief")
         .repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
     )
 
@@ -309,43 +451,52 @@ def crossing(open_: DataFrame, sets: DataFrame, join: Join, nearest: bool = Fals
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             keys = np.stack([held.column(c).to_numpy() for c in ("value", "i", "j")])
-            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1)]
-            for low, high in zip(edges, edges[1:]):
-                yield paired(held.slice(low, high - low))
+            edges = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1])
+            yield from groups(held, edges)
             held = held.slice(edges[-1])
         if held is not None and held.num_rows:
-            yield paired(held)
+            yield from groups(held, np.array([0, held.num_rows]))
 
-    def paired(group: pa.Table) -> pa.RecordBatch:
-        left, right = near_pairs(group, join, nearest)
-        name = group.column("set").to_numpy()
-        a, b = np.minimum(name[left], name[right]), np.maximum(name[left], name[right])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def groups(held: pa.Table, edges: np.ndarray):
+        for low, high in zip(edges, edges[1:]):
+            group = held.slice(low, high - low)
+            left, right, whole = near_pairs(group, join, nearest)
+            value, name = (group.column(c).to_numpy() for c in ("value", "set"))
+            x, y = name[left], name[right]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value[left]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), whole))],
+                names=["value", "a", "b", "whole"],
+            )
 
-    return map_arrow(dealt, kernel, "a long, b long").distinct()
+    return map_arrow(dealt, kernel, "value long, a long, b long, whole boolean").unionByName(named_at_once)
 
 
 def with_set(docs: DataFrame, join: Join, text: str, column: str) -> DataFrame:
     """``docs`` and the fingerprint of each row's set, null for texts without words."""
 
     def kernel(batches):
-        cache: dict[bytes, int] = {}
+        cache = Words()
         for batch in batches:
-            found = (shingle_set(x, join.shingle, cache) for x in batch.column(text).to_pylist())
+            found = shingle_sets(batch.column(text).to_pylist(), join.shingle, cache)
             names = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, column])
 
     return map_arrow(docs, kernel, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, owners: DataFrame, picked: DataFrame, join: Join) -> DataFrame:
+def verified(
+    pairs: DataFrame, sets: DataFrame, owners: DataFrame, picked: DataFrame, join: Join, repeats: bool = True
+) -> DataFrame:
     """The pairs (a, b) of set names that link: first by parity bits, then on the whole sets.
 
     Sets are made again from the texts of the documents that ``owners`` (id, set) names, a set's
     own document each; only texts with a surviving pair are read beyond the scan. A null id in
-    ``owners`` stands for any of the rows without an id.
+    ``owners`` stands for any of the rows without an id. ``pairs`` is a stored table; ``repeats``
+    tells whether ids may stand in several rows.
     """
-    side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    judged = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    drawn = sets.join(broadcast_if_small(judged), "set", "left_semi")
+    side = lambda x: drawn.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
     def near(batches):
         for batch in batches:
@@ -363,20 +514,22 @@ def verified(pairs: DataFrame, sets: DataFrame, owners: DataFrame, picked: DataF
     texts = picked.join(broadcast_if_small(ids.where("own is not null")), picked["id"] == F.col("own")).select("text", "set")
     unnamed = ids.where("own is null").select("set")
     if not unnamed.isEmpty():
+        repeats = True
         without = with_set(picked.where("id is null").select("text"), join, "text", "set")
         texts = texts.unionByName(without.join(broadcast_if_small(unnamed), "set", "left_semi").select("text", "set"))
 
     def whole(batches):
-        cache: dict[bytes, int] = {}
+        cache = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [shingle_set(x, join.shingle, cache) for x in part.column("text").to_pylist()]
+                found = list(shingle_sets(part.column("text").to_pylist(), join.shingle, cache))
                 match = [len(s) > 0 and fingerprint(s) == k for s, k in zip(found, part.column("set").to_pylist(), strict=True)]
                 bodies = pa.array([s.tobytes() for s in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("set"), bodies], names=["set", "body"]).filter(pa.array(match, pa.bool_()))
 
-    bodies = stored(map_arrow(texts, whole, "set long, body binary").dropDuplicates(["set"]), "sets")
+    made = map_arrow(texts, whole, "set long, body binary")
+    bodies = stored(made.dropDuplicates(["set"]) if repeats else made, "sets")
 
     def linked(batches):
         for batch in batches:
@@ -410,11 +563,12 @@ def labelled(docs: DataFrame, join: Join, id_column: str, text: str) -> DataFram
     # A class is sketched from its smallest id, one that only rows without an id hold from those rows.
     chosen = picked.join(broadcast_if_small(first.select("own").distinct()), picked["id"] == F.col("own"), "left_semi")
     sets = sketched(chosen, join)
-    if repeated(rows):
+    repeats = repeated(rows)
+    if repeats:
         sets = sets.dropDuplicates(["set"])
     unnamed = owners.where("id is null").select("set")
     if not unnamed.isEmpty():
-        more = sketched(picked.where("id is null"), join).join(unnamed, "set", "left_semi")
+        more = sketched(picked.where("id is null"), join, 1).join(unnamed, "set", "left_semi")
         sets = sets.unionByName(more.dropDuplicates(["set"]))
     sets = stored(sets, "sketches")
     where = stored(met(sets), "met")
@@ -422,18 +576,28 @@ def labelled(docs: DataFrame, join: Join, id_column: str, text: str) -> DataFram
     nodes = stored(where.select("set").distinct(), "nodes")
     parts = nodes.select("set", F.col("set").alias("component_id"))
     links = None
-    for turn in range(join.stars + join.nearest):
+    for turn in range(join.stars + join.nearest + 1):
         open_ = still_open(where, parts, turn)
-        some = stars(open_, join) if turn < join.stars else crossing(open_, sets, join, nearest=True)
-        some = stored(some, "some-pairs")
-        if some.isEmpty():
+        if turn < join.stars:
+            some = stored(stars(open_, join), "some-pairs")
+        else:
+            met_pairs = stored(crossing(open_, sets, join, nearest=turn < join.stars + join.nearest), "met-pairs")
+            some = stored(met_pairs.select("a", "b").distinct(), "some-pairs")
+        if not some.isEmpty():
+            more = verified(some, sets, owners, picked, join, repeats)
+            links = more if links is None else links.unionByName(more)
+        if turn < join.stars:
+            if links is not None:
+                parts = stored(components(nodes, links, "set"), "components")
+            continue
+        # Values all of whose pairs were named are done; only the others meet again.
+        again = met_pairs.where("not whole").select("value").distinct()
+        if again.isEmpty():
             break
-        more = verified(some, sets, owners, picked, join)
-        links = more if links is None else links.unionByName(more)
+        where = stored(where.join(again, "value", "left_semi"), "met-again")
         parts = stored(components(nodes, links, "set"), "components")
-    pairs = crossing(still_open(where, parts), sets, join)
-    more = verified(pairs, sets, owners, picked, join)
-    links = more if links is None else links.unionByName(more)
+    if links is None:
+        links = owners.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
     found = stored(components(sets.select("set"), links, "set"), "components")
     label = found.join(owners, "set").groupBy("component_id").agg(F.min("id").alias("least"))
     named_by = found.join(label, "component_id").select("set", F.col("component_id").alias("component"), "least")

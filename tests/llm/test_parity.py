@@ -151,3 +151,54 @@ def test_open_values_name_their_holders_and_a_hub(spark):
         assert x.k == len(holders[x.value]) and x.hub.a in holders[x.value]
         assert (x.hub.na, x.hub.ca, x.component_id, x.n) == (100 + x.hub.a, part[x.hub.a], part[x.set], 100 + x.set)
     assert all(len({x.hub.a for x in got if x.value == v}) == 1 for v in {x.value for x in got})
+
+
+def test_values_move_packed_and_are_counted_whole(spark):
+    """Every value with several holders comes back with all of them; a value moves in about eight bytes."""
+    r = np.random.default_rng(4)
+    held = {row: np.unique(r.integers(0, 2**50, 400).astype(np.uint64) % np.uint64(40_000) * np.uint64(1 << 30)) for row in [*range(40), *range(1 << 36, (1 << 36) + 40), 5 + (1 << 16)]}
+    rows = [(row, len(v), [(0, 1, v[:100].view(np.int64).tolist()), (1, 1, v[100:].view(np.int64).tolist())]) for row, v in held.items()]
+    sets = spark.createDataFrame([*rows, (7000, 0, [])], "row long, n long, bands array<struct<band:int,need:int,values:array<long>>>")
+    by_value = {}
+    for row, values in held.items():
+        for v in values.tolist():
+            by_value.setdefault(v & (1 << 48) - 1, []).append(row)
+    want = sorted((v, row, len(k)) for v, k in by_value.items() if len(k) > 1 for row in k)
+    assert sorted(map(tuple, parity.shared_values(sets).collect())) == want and want
+
+    values = np.concatenate(list(held.values())[:40])
+    near = np.repeat(np.arange(40), [len(v) for v in list(held.values())[:40]])
+    moved = parity.packed(near, values, 16)
+    assert sum(len(x.as_py()) for c in ("rows", "bytes") for x in moved.column(c)) == 8 * len(values)
+    back = [parity.unpacked(*(moved.column(c)[i].as_py() for c in ("base", "rows", "bytes"))) for i in range(moved.num_rows)]
+    both = lambda x, y: sorted(zip(x.tolist(), (y & np.uint64((1 << 48) - 1)).tolist()))
+    assert both(*(np.concatenate(x) for x in zip(*back))) == both(near, values)
+
+
+def test_values_that_named_all_pairs_do_not_meet_again(spark):
+    """Of narrow values and small blocks all pairs are named at once; only a wide one of near copies is not whole."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, 120).astype(np.uint64)
+    copies = [np.unique(np.append(base, r.integers(0, 2**63, 1).astype(np.uint64))) for _ in range(60)]
+    others = [np.unique(r.integers(0, 2**63, 121).astype(np.uint64)) for _ in range(60)]
+    sketches = [parity.parity_sketch(x) for x in [*copies, *others]]
+    sets = spark.createDataFrame([(i, bytearray(s.tobytes()), bytearray(parity.folded(s, 4).tobytes())) for i, s in enumerate(sketches)], "set long, sketch binary, brief binary")
+    where = [(1, i) for i in range(60)] + [(2, i) for i in range(60, 120)] + [(3, i) for i in (0, 1, 70)]
+    k = {1: 60, 2: 60, 3: 3}
+    open_ = spark.createDataFrame([(v, i, 121, i, k[v], 0) for v, i in where], "value long, set long, n long, component_id long, k long, hub int")
+    got = parity.crossing(open_, sets, JOIN, nearest=False).collect()
+    assert {(x.a, x.b) for x in got} >= set(itertools.combinations(range(60), 2)) and all(x.whole for x in got)
+    assert {(0, 1), (0, 70), (1, 70)} <= {(x.a, x.b) for x in got}
+    got = parity.crossing(open_, sets, JOIN, nearest=True).collect()
+    assert {x.value for x in got if not x.whole} == {1}
+    assert not {x.value for x in got if x.whole} & {1}
+
+
+def test_shingles_of_many_texts_are_those_of_each(monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["a", "B", "cc"]) for _ in range(r.randrange(12))) for _ in range(200)] + [None, "", " \n", "x " * 3000]
+    alone = [next(parity.shingle_sets([t], 5, parity.Words())) for t in texts]
+    assert [len(x) for x in alone] == [len(slow_set(t)) for t in texts]
+    monkeypatch.setattr(parity, "STRETCH_BYTES", 500)
+    for x, y in zip(alone, parity.shingle_sets(texts, 5, parity.Words()), strict=True):
+        assert (x == y).all()
