@@ -52,6 +52,8 @@ STRETCH_BYTES = 1 << 20
 #: Values that one task counts at a time, about; bytes of a value that stay (the lowest six bits name its band).
 BUCKET_VALUES = 1_000_000
 VALUE_BYTES = 6
+#: Pairs that are looked at together.
+STRETCH_PAIRS = 1 << 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +66,10 @@ class Join:
     stars: int = 1
     nearest: int = 1
     hubs: int = 4
-    block: int = 1024
+    #: Rows of a value that are compared with others in one task, and how many such blocks a value may
+    #: have: no row moves more often, beyond that blocks hold more rows.
+    block: int = 8192
+    blocks: int = 64
     #: Values of at most so many classes name their pairs at once, without sketches.
     few: int = 32
 
@@ -376,38 +381,84 @@ def stars(open_: DataFrame, join: Join) -> DataFrame:
     return best.select(F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b")).distinct()
 
 
-def near_pairs(group: pa.Table, join: Join, nearest: bool = False) -> tuple[np.ndarray, np.ndarray, bool]:
+def gathered(open_: DataFrame, join: Join) -> DataFrame:
+    """``open_`` without its hubs, and with values that much the same classes hold taken as one.
+
+    Near copies share dozens of values, and at each of them all their pairs would meet anew. Values
+    of many classes and one band are grouped by the holder of the smallest hash; a group that has no
+    more pairs than its values have, each for itself, takes their place under its smallest value.
+    Classes that share a value share its group, so no pair is lost.
+    """
+    open_ = stored(open_.drop("hub"), "open-values")
+    few = F.col("k") <= min(join.few, join.block)
+    if open_.where(~few).isEmpty():
+        return open_
+    band = F.col("value").bitwiseAND(63).alias("band")
+    first = open_.where(~few).groupBy("value").agg(F.min(F.xxhash64("set")).alias("first"))
+    many = stored(open_.where(~few).join(first, "value").select(*open_.columns, "first", band), "many")
+    each = many.groupBy("first", "band", "set").agg(
+        F.min("n").alias("n"), F.min("component_id").alias("component_id"),
+        F.min("value").alias("least"), F.sum("k").alias("pairs"),
+    )
+    groups = stored(
+        each.groupBy("first", "band")
+        .agg(F.min("least").alias("value"), F.count(F.lit(1)).alias("k"), F.sum("pairs").alias("pairs"))
+        .where("k * k <= pairs").drop("pairs"),
+        "groups",
+    )
+    together = each.join(groups, ["first", "band"]).select(open_.columns)
+    apart = many.join(groups.select("first", "band"), ["first", "band"], "left_anti").select(open_.columns)
+    return open_.where(few).unionByName(apart).unionByName(together)
+
+
+def near_pairs(group: pa.Table, join: Join, nearest: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Rows of one value, or of two of its blocks, that may link and are in different components, and
-    whether those are all: with ``nearest``, where they are more than twice the rows, just the pair
-    that is nearest for its sizes of each two components is named."""
+    whether those are all, a stretch of rows at a time: with ``nearest``, once they are more than
+    twice the rows, just the pair that is nearest for its sizes of each two components is named."""
     n, part, block = (group.column(c).to_numpy() for c in ("n", "component_id", "block"))
-    across = part[:, None] != part[None, :]
-    if group.column("i")[0] != group.column("j")[0]:
-        across &= block[:, None] != block[None, :]
-    fits = n * join.numerator
-    across &= (fits[:, None] <= n[None, :] * join.denominator) & (fits[None, :] <= n[:, None] * join.denominator)
-    left, right = np.nonzero(np.triu(across))
+    two = group.column("i")[0] != group.column("j")[0]
+    low, high = n * join.numerator, n * join.denominator
+    place = np.arange(len(n))
     sketches = [np.frombuffer(x, np.uint64) for x in group.column("brief").to_pylist()]
     words = min(map(len, sketches))
     table = np.stack([folded(x, words) for x in sketches])
-    keep, share = [], []
     step = max(1, (1 << 21) // words)
-    for at in range(0, len(left), step):
-        a, b = left[at : at + step], right[at : at + step]
-        apart = np.bitwise_count(table[a] ^ table[b]).sum(1, dtype=np.int64)
-        bound = (n[a] + n[b]) * (join.denominator - join.numerator) // (join.denominator + join.numerator)
-        near = np.flatnonzero(apart <= bound)
-        keep.append(at + near)
-        share.append(apart[near] / np.maximum(1, n[a] + n[b])[near])
-    keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-    whole = not nearest or len(keep) <= 2 * len(n)
-    if not whole:
-        low = np.minimum(part[left[keep]], part[right[keep]])
-        high = np.maximum(part[left[keep]], part[right[keep]])
-        order = np.lexsort((keep, np.concatenate(share), high, low))
-        first = np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])
-        keep = keep[order[first]]
-    return left[keep], right[keep], whole
+    rows, named = max(1, STRETCH_PAIRS // len(n)), 0
+    for start in range(0, len(n), rows):
+        own, rest = (slice(start, start + rows), None), (None, slice(start, None))
+        across = (part[own] != part[rest]) & (place[own] < place[rest])
+        if two:
+            across &= block[own] != block[rest]
+        across &= (low[own] <= high[rest]) & (low[rest] <= high[own])
+        left, right = (x + start for x in np.nonzero(across))
+        keep, share = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for at in range(0, len(left), step):
+            a, b = left[at : at + step], right[at : at + step]
+            apart = np.bitwise_count(table[a] ^ table[b]).sum(1, dtype=np.int64)
+            bound = (n[a] + n[b]) * (join.denominator - join.numerator) // (join.denominator + join.numerator)
+            near = np.flatnonzero(apart <= bound)
+            keep.append(at + near)
+            share.append(apart[near] / np.maximum(1, n[a] + n[b])[near])
+        keep = np.concatenate(keep)
+        named += len(keep)
+        whole = not nearest or named <= 2 * len(n)
+        if not whole:
+            x, y = (np.sort(np.stack([part[left[keep]], part[right[keep]]]), axis=0))
+            order = np.lexsort((keep, np.concatenate(share), y, x))
+            first = np.concatenate([[True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)])[: len(order)]
+            keep = keep[order[first]]
+        yield left[keep], right[keep], whole
+
+
+def tiled(many: DataFrame, join: Join) -> DataFrame:
+    """``many`` with ``block``, and a row for each pair of blocks (i, j) that its block is in."""
+    blocks = F.least(F.lit(join.blocks), F.ceil(F.col("k") / join.block)).cast("int")
+    return (
+        many.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    )
 
 
 def crossing(open_: DataFrame, sets: DataFrame, join: Join, nearest: bool = False) -> DataFrame:
@@ -418,9 +469,9 @@ def crossing(open_: DataFrame, sets: DataFrame, join: Join, nearest: bool = Fals
     The pairs of values that ``few`` classes hold are named once, as numbers; their sketches meet when
     they are verified, once per pair and not per value. The rows of other values are dealt to blocks,
     and each pair of blocks is one group of at most about two blocks' rows; groups follow each other
-    sorted, so a task holds one group and one batch.
+    sorted, so a task holds one group and one batch. A row moves once per block of its value, at most
+    ``blocks`` times however many hold the value, and once if they fit into one block.
     """
-    open_ = stored(open_.drop("hub"), "open-values")
     few = F.col("k") <= min(join.few, join.block)
     row = F.struct("set", "n", "component_id")
     rows = F.col("rows")
@@ -434,12 +485,8 @@ def crossing(open_: DataFrame, sets: DataFrame, join: Join, nearest: bool = Fals
     )
     many = open_.where(~few)
     drawn = sets.join(broadcast_if_small(many.select("set").distinct()), "set", "left_semi")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / join.block)).cast("int")
     dealt = (
-        many.withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        tiled(many, join)
         .join(drawn.select("set", "brief"), "set")
         .select("value", "i", "j", "block", "set", "n", "component_id", "brief")
         .repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
@@ -460,13 +507,13 @@ def crossing(open_: DataFrame, sets: DataFrame, join: Join, nearest: bool = Fals
     def groups(held: pa.Table, edges: np.ndarray):
         for low, high in zip(edges, edges[1:]):
             group = held.slice(low, high - low)
-            left, right, whole = near_pairs(group, join, nearest)
             value, name = (group.column(c).to_numpy() for c in ("value", "set"))
-            x, y = name[left], name[right]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(value[left]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), whole))],
-                names=["value", "a", "b", "whole"],
-            )
+            for left, right, whole in near_pairs(group, join, nearest):
+                x, y = name[left], name[right]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(value[left]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), whole))],
+                    names=["value", "a", "b", "whole"],
+                )
 
     return map_arrow(dealt, kernel, "value long, a long, b long, whole boolean").unionByName(named_at_once)
 
@@ -581,6 +628,7 @@ def labelled(docs: DataFrame, join: Join, id_column: str, text: str) -> DataFram
         if turn < join.stars:
             some = stored(stars(open_, join), "some-pairs")
         else:
+            open_ = stored(gathered(open_, join), "open-groups")
             met_pairs = stored(crossing(open_, sets, join, nearest=turn < join.stars + join.nearest), "met-pairs")
             some = stored(met_pairs.select("a", "b").distinct(), "some-pairs")
         if not some.isEmpty():
@@ -594,7 +642,7 @@ def labelled(docs: DataFrame, join: Join, id_column: str, text: str) -> DataFram
         again = met_pairs.where("not whole").select("value").distinct()
         if again.isEmpty():
             break
-        where = stored(where.join(again, "value", "left_semi"), "met-again")
+        where = stored(open_.join(again, "value", "left_semi").select("value", "set", "n"), "met-again")
         parts = stored(components(nodes, links, "set"), "components")
     if links is None:
         links = owners.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)

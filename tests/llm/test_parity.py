@@ -202,3 +202,52 @@ def test_shingles_of_many_texts_are_those_of_each(monkeypatch):
     monkeypatch.setattr(parity, "STRETCH_BYTES", 500)
     for x, y in zip(alone, parity.shingle_sets(texts, 5, parity.Words()), strict=True):
         assert (x == y).all()
+
+
+def test_values_of_the_same_classes_meet_as_one_group(spark):
+    """Near copies that share many values move once and not per value; unlike values stay apart."""
+    where = [(64 * v, s) for v in range(1, 31) for s in range(100) if (s + v) % 10]
+    where += [(64 * v, s) for v in (50, 51) for s in [(-1, 1000)[v == 50], *range(100 * v, 100 * v + 40)]]
+    # One class, that of the smallest hash, holds two values that share nothing else.
+    hashed = spark.range(10_000, 90_000).selectExpr("id", "xxhash64(id) h").orderBy("h").first().id
+    where += [(64 * v, s) for v in (60, 61) for s in [hashed, *range(200_000 + 100 * v, 200_000 + 100 * v + 40)]]
+    k = {v: sum(w == v for w, _ in where) for v, _ in where}
+    open_ = spark.createDataFrame([(v, s, 50, s, k[v], 0) for v, s in where], "value long, set long, n long, component_id long, k long, hub int")
+    got = [(x.value, x.set, x.k) for x in parity.gathered(open_, JOIN).collect()]
+    assert len({x[:2] for x in got}) == len(got)
+    assert {v for v, s, _ in got if s == hashed} == {64 * 60, 64 * 61}
+    copies = [x for x in got if x[1] < 100 and x[0] < 64 * 50]
+    assert len(copies) < 600 < sum(v < 64 * 50 for v, _ in where)
+    meets = lambda rows: {(a, b) for v in {x[0] for x in rows} for a, b in itertools.combinations(sorted(x[1] for x in rows if x[0] == v), 2)}
+    assert meets(got) >= meets(where)
+    assert all(n == sum(x[0] == v for x in got) for v, _, n in got)
+
+
+def test_a_row_of_a_frequent_value_moves_a_bounded_number_of_times(spark):
+    """Ten times the holders are ten times the rows dealt, not a hundred times, and all pairs are compared."""
+    join = parity.Join(few=2, block=8, blocks=4)
+    held = lambda k: spark.range(k).selectExpr("7L value", "id set", f"{k}L k")
+    assert [parity.tiled(held(k), join).count() for k in (8, 80, 800)] == [8, 320, 3200]
+    r = np.random.default_rng(7)
+    base = r.integers(0, 2**63, 120).astype(np.uint64)
+    sketches = [parity.parity_sketch(np.append(base, x)) for x in r.integers(0, 2**63, 80).astype(np.uint64)]
+    sets = spark.createDataFrame([(i, bytearray(s.tobytes()), bytearray(parity.folded(s, 4).tobytes())) for i, s in enumerate(sketches)], "set long, sketch binary, brief binary")
+    open_ = spark.createDataFrame([(64, i, 121, i, 80) for i in range(80)], "value long, set long, n long, component_id long, k long")
+    got = [(x.a, x.b) for x in parity.crossing(open_, sets, join).collect()]
+    assert sorted(got) == list(itertools.combinations(range(80), 2))
+
+
+def test_pairs_are_looked_at_in_stretches(monkeypatch):
+    r = np.random.default_rng(9)
+    part = r.integers(0, 30, 50)
+    n = r.integers(40, 60, 50)
+    brief = [x.tobytes() for x in r.integers(0, 2**6, (50, 4)).astype(np.uint64)]
+    group = parity.pa.table({"n": n, "component_id": part, "block": part % 2, "i": np.zeros(50, int), "j": np.ones(50, int), "brief": brief})
+    named = lambda nearest: [(a, b, whole) for x, y, whole in parity.near_pairs(group, JOIN, nearest) for a, b in zip(x.tolist(), y.tolist())]
+    at_once = named(False)
+    assert at_once and all(w for *_, w in at_once)
+    assert all(not w for *_, w in named(True))
+    monkeypatch.setattr(parity, "STRETCH_PAIRS", 200)
+    assert sorted(named(False)) == sorted(at_once)
+    few = named(True)
+    assert {w for *_, w in few} == {True, False} and {x[:2] for x in few} < {x[:2] for x in at_once}
