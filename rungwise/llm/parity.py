@@ -350,10 +350,16 @@ def met(sets: DataFrame) -> DataFrame:
     return ranked.select("value", "set", "n")
 
 
-def still_open(where: DataFrame, parts: DataFrame, turn: int = 0) -> DataFrame:
+def still_open(where: DataFrame, parts: DataFrame | None, turn: int = 0) -> DataFrame:
     """(value, set, n, component_id, k, hub) of the values that classes of several components share;
-    ``k`` is how many classes hold the value, ``hub`` one of them, drawn by hash."""
-    labelled = where.join(parts, "set")
+    ``k`` is how many classes hold the value, ``hub`` one of them, drawn by hash. Without ``parts``
+    every class is a component of its own, and only the hubs move."""
+    if parts is None:
+        drawn = F.struct(F.xxhash64("value", "set", F.lit(turn)).alias("h"), "set", "n")
+        several = where.groupBy("value").agg(F.count(F.lit(1)).alias("k"), F.min(drawn).alias("hub")).where("k > 1")
+        hub = F.struct(F.col("hub.set").alias("a"), F.col("hub.n").alias("na"), F.col("hub.set").alias("ca"))
+        return where.withColumn("component_id", F.col("set")).join(several.withColumn("hub", hub), "value")
+    labelled = where.join(broadcast_if_small(parts), "set")
     hub = F.struct(
         F.xxhash64("value", "set", F.lit(turn)).alias("h"), F.col("set").alias("a"),
         F.col("n").alias("na"), F.col("component_id").alias("ca"),
@@ -621,8 +627,7 @@ def labelled(docs: DataFrame, join: Join, id_column: str, text: str) -> DataFram
     where = stored(met(sets), "met")
 
     nodes = stored(where.select("set").distinct(), "nodes")
-    parts = nodes.select("set", F.col("set").alias("component_id"))
-    links = None
+    parts = links = None
     for turn in range(join.stars + join.nearest + 1):
         open_ = still_open(where, parts, turn)
         if turn < join.stars:

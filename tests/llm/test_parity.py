@@ -251,3 +251,14 @@ def test_pairs_are_looked_at_in_stretches(monkeypatch):
     assert sorted(named(False)) == sorted(at_once)
     few = named(True)
     assert {w for *_, w in few} == {True, False} and {x[:2] for x in few} < {x[:2] for x in at_once}
+
+
+def test_classes_before_any_link_are_their_own_components(spark):
+    """The first round needs no table of components; it is as if each class were one."""
+    r = random.Random(11)
+    where = sorted({(r.randrange(60), s) for s in range(40) for _ in range(3)})
+    met = spark.createDataFrame([(v, s, 100 + s) for v, s in where], "value long, set long, n long")
+    own = spark.createDataFrame([(s, s) for s in range(40)], "set long, component_id long")
+    rows = lambda df: sorted((x.value, x.set, x.n, x.component_id, x.k, x.hub.a, x.hub.na, x.hub.ca) for x in df.collect())
+    got = rows(parity.still_open(met, None, 2))
+    assert got and got == rows(parity.still_open(met, own, 2))
