@@ -249,3 +249,22 @@ def test_documents_are_made_by_tasks_of_bounded_rows(spark, monkeypatch):
     documents = views.event_documents(spark, small)
     assert _plan(documents).count("Exchange hashpartitioning") == 2
     assert documents.rdd.getNumPartitions() == -(-rows // 300) > 8
+
+
+def test_documents_of_both_windows_are_made_once(spark):
+    rows = views.overlapping_pages(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # lines and orders, each read once
+
+
+def test_cutoff_rows_meet_contracts_by_token(spark):
+    from rungwise.operators import asof
+
+    contracts = select.contracts(select.select_events(landed(spark, [sound(), spoilt()]), PROTOCOL))
+    points = quotes(spark, **FRESH).select("token", "ts", "p")
+    limits = (PROTOCOL.horizons, PROTOCOL.max_staleness_seconds)
+    names = ["market_id", "horizon_seconds", "cutoff", "utc_day", "status", "reason", "p", "point_ts", "staleness_seconds"]
+    one = asof.cutoff_rows(contracts, points, *limits).select(*names)
+    other = asof.cutoff_rows_of_tokens(contracts, contracts.select("token", "event_end"), points, *limits)
+    found = other.select(*names).collect()
+    assert len(found) == 4 and sorted(map(str, found)) == sorted(map(str, one.collect()))

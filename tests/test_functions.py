@@ -244,3 +244,17 @@ def test_identifier_order_is_numeric_before_text(spark):
     df = spark.createDataFrame([(i,) for i in ids], "x string")
     got = [r.x for r in df.orderBy(*text.identifier_order("x")).collect()]
     assert got == ["9", "10", "99", "0100", "123456789012345678901234567890", "a", "b"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['["Yes","No"]', '[""]', '["",""]', '["a,b","]["]', '["é","𝒳"]', "[]", '["a", "b"]', '["a\\"","b"]', '["a"', '["a""b"]',
+     '["a\nb"]', '["a"]\n', '[1,2]', '[null]', ' ["a"]', '{"a":1}', "none", "", '["a"],["b"]', None],
+)
+def test_plain_lists_are_cut_as_they_would_be_parsed(spark, text):
+    from rungwise.functions.documents import json_list
+
+    given = spark.createDataFrame([(text,)], "text string")
+    parsed = F.when(F.col("text").rlike(r"^\s*\["), F.from_json("text", "array<string>"))
+    row = given.select(json_list("text").alias("cut"), parsed.alias("parsed")).first()
+    assert row["cut"] == row["parsed"]
