@@ -149,13 +149,33 @@ def _digest(df: DataFrame, names: Sequence[str]) -> Column:
     return F.xxhash64(*[part for name in names for part in (_plain(df, name), F.col(name).isNull())])
 
 
+def _key_columns(rules: Sequence[KeyRule]) -> list[str]:
+    return list(dict.fromkeys(k for rule in rules for k in rule.keys))
+
+
+def key_facts(df: DataFrame, rules: Sequence[KeyRule], keep: Sequence[str] = ()) -> DataFrame:
+    """What the rules read of a row: keys, thresholds and labels, and one digest for the fields that a
+    rule's key determines, however many and wide they are. Columns of ``keep`` are passed on."""
+    read = [*_key_columns(rules), *(c for rule in rules for c in rule.rising or ()), *keep]
+    contents = [_digest(df, rule.fields).alias(f"_content_{i}") for i, rule in enumerate(rules) if rule.fields]
+    return df.select(*[_plain(df, c).alias(c) for c in dict.fromkeys(read)], *contents)
+
+
 def key_violations(df: DataFrame, rules: Sequence[KeyRule]) -> DataFrame:
-    """Keys that break any of the rules, found in one scan and one shuffle.
+    """Keys that break any of the rules, found in one scan and one shuffle."""
+    return broken_keys(key_facts(df, rules), rules)
+
+
+def broken_keys(facts: DataFrame, rules: Sequence[KeyRule]) -> DataFrame:
+    """``key_violations`` of a table's ``key_facts``.
 
-    A row becomes one narrow row per rule: number of the rule, key, digest of the determined fields.
-    Smallest against largest digest needs no distinct, and a hash aggregate keeps numbers only, so
-    repeated keys shrink in the tasks before anything is shuffled, whatever the number of rules.
+    A row becomes one narrow row per rule: number of the rule, key columns (null where they are not of
+    its key), digest of the determined fields. Smallest against largest digest needs no distinct, and a
+    hash aggregate keeps numbers only, so repeated keys shrink in the tasks before anything is shuffled,
+    whatever the number of rules. Keys meet as they are; only those reported become text.
     """
+    columns = _key_columns(rules)
+    kinds = dict(facts.dtypes)
     nothing = F.lit(None)
     parts = []
     for i, rule in enumerate(rules):
@@ -163,16 +183,15 @@ def key_violations(df: DataFrame, rules: Sequence[KeyRule]) -> DataFrame:
         parts.append(
             F.struct(
                 F.lit(i).alias("rule"),
-                F.concat_ws("|", *[_plain(df, k).cast("string") for k in rule.keys]).alias("key"),
-                _digest(df, rule.keys).alias("key_digest"),
-                (_digest(df, rule.fields) if rule.fields else F.lit(0).cast("bigint")).alias("content"),
+                *[(F.col(k) if k in rule.keys else nothing.cast(kinds[k])).alias(f"_key_{j}") for j, k in enumerate(columns)],
+                (F.col(f"_content_{i}") if rule.fields else nothing.cast("bigint")).alias("content"),
                 F.when(label == 0.0, threshold).cast("double").alias("no"),
                 F.when(label == 1.0, threshold).cast("double").alias("yes"),
             )
         )
-    facts = (
-        df.select(F.inline(F.array(*parts)))
-        .groupBy("rule", "key", "key_digest")
+    found = (
+        facts.select(F.inline(F.array(*parts)))
+        .groupBy("rule", *[f"_key_{j}" for j in range(len(columns))])
         .agg(
             F.count(F.lit(1)).alias("n"),
             (F.min("content") != F.max("content")).alias("differs"),
@@ -181,9 +200,14 @@ def key_violations(df: DataFrame, rules: Sequence[KeyRule]) -> DataFrame:
     )
     numbers = [i for i, r in enumerate(rules) if r.once]
     repeated = F.col("rule").isin(numbers) & (F.col("n") > 1)
+    fired = F.coalesce("differs", F.lit(False)) | F.coalesce("rises", F.lit(False)) | repeated
     names = F.array(*[F.lit(r.rule) for r in rules])
-    return facts.where(F.col("differs") | F.coalesce("rises", F.lit(False)) | repeated).select(
-        F.element_at(names, F.col("rule") + 1).alias("rule_id"), "key",
+    texts = [
+        F.concat_ws("|", *[F.col(f"_key_{columns.index(k)}").cast("string") for k in rule.keys]) for rule in rules
+    ]
+    key = F.coalesce(*[F.when(F.col("rule") == i, text) for i, text in enumerate(texts)])
+    return found.where(fired).select(
+        F.element_at(names, F.col("rule") + 1).alias("rule_id"), key.alias("key"),
         F.when(repeated, F.col("n").cast("string")).otherwise("").alias("detail"),
     )
 
@@ -223,19 +247,14 @@ def rising_label_edges(df: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFra
 
 
 def ladders_differ(df: DataFrame) -> DataFrame:
-    """Events whose (market, threshold, label) set is not the same at every horizon."""
-    rungs = df.groupBy("event_id", "market_id", "threshold", "label", "horizon_seconds").agg(
-        F.lit(1).alias("one")
-    )
-    seen = rungs.groupBy("event_id", "market_id", "threshold", "label").agg(
-        F.count(F.lit(1)).alias("horizons")
-    )
-    fewest = seen.groupBy("event_id").agg(F.min("horizons").alias("fewest"))
-    declared = (
-        df.groupBy("event_id", "horizon_seconds").agg(F.lit(1).alias("one"))
-        .groupBy("event_id").agg(F.count(F.lit(1)).alias("horizons"))
-    )
-    bad = fewest.join(declared, "event_id").where("fewest <> horizons")
+    """Events whose (market, threshold, label) set is not the same at every horizon.
+
+    Rungs move once, with the few horizons they occur at; events with their distinct sets of these.
+    """
+    at = F.array_sort(F.collect_set(F.struct("horizon_seconds"))).alias("at")
+    rungs = df.where("event_id is not null").groupBy("event_id", "market_id", "threshold", "label").agg(at)
+    sets = rungs.groupBy("event_id").agg(F.min(F.size("at")).alias("fewest"), F.collect_set("at").alias("sets"))
+    bad = sets.where(F.col("fewest") != F.size(F.array_distinct(F.flatten("sets"))))
     return _violations(bad, "ladder_differs_across_horizons", key_text("event_id"))
 
 
@@ -254,13 +273,12 @@ CHAIN_RULE = KeyRule("chain_evidence_disagrees", ("condition_id",), CONDITION_FI
 def table_invariants(df: DataFrame, chain: bool = False) -> DataFrame:
     """Keys, functional dependencies and ladder rules of a whole snapshot or evidence table.
 
-    The columns that rules read are written once to the shared folder: the key rules scan them
-    once, the comparison of ladders reads five of them.
+    What the rules read is written once to the shared folder, determined fields as digests: the key
+    rules scan it once, the comparison of ladders reads five of its columns.
     """
     rules = (*KEY_RULES, CHAIN_RULE) if chain else KEY_RULES
-    wanted = {"label", *ROW_KEY, *(c for r in rules for c in (*r.keys, *r.fields))}
-    df = written(df.select(*[c for c in df.columns if c in wanted]), "invariants")
-    return key_violations(df, rules).unionByName(ladders_differ(df))
+    facts = written(key_facts(df, rules, ROW_KEY), "invariants")
+    return broken_keys(facts, rules).unionByName(ladders_differ(facts))
 
 
 def protocol_violations(df: DataFrame, protocol: Protocol, chain: bool = False) -> DataFrame:

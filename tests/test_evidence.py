@@ -261,3 +261,12 @@ def test_row_rules_are_compiled(spark):
     found = quality.row_rules(rows, {"a": F.col("a") != 1, "b": F.col("b") <= 0}, F.lit("k"))
     assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.rule_id for r in found.collect()) == ["a", "b"]
+
+
+def test_determined_fields_are_written_as_digests_and_keys_move_without_text(spark):
+    df = spark.createDataFrame([("e", "m", 900, 1.0, 0.0, "x" * 200), ("e", "m", 900, 1.0, 0.0, "y" * 200)],
+                               "event_id string, market_id string, horizon_seconds int, threshold double, label double, wide string")
+    rules_ = [quality.KeyRule("d", ("event_id", "market_id"), ("wide",)), quality.KeyRule("r", ("event_id",), rising=("threshold", "label"))]
+    facts = quality.key_facts(df, rules_, ("horizon_seconds",))
+    assert "wide" not in facts.columns and dict(facts.dtypes)["_content_0"] == "bigint"
+    assert [tuple(r) for r in quality.broken_keys(facts, rules_).collect()] == [("d", "e|m", "")]
