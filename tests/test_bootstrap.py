@@ -207,3 +207,33 @@ def test_small_chunks_do_not_each_return_a_row_per_replicate(spark):
     finally:
         bst._kernel = real
     assert len(got) == 50 and seen[0][-2:] == (16, bst.CHUNK_EVENTS // 16)
+
+
+def test_many_pools_move_once_and_few_once_per_range(spark, monkeypatch):
+    monkeypatch.setattr(bst, "REPLICATES_PER_TASK", 10)
+    rng = np.random.default_rng(4)
+    rows = [(f"e{i:03d}", f"b{i % 5}", float(rng.normal())) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id string, block string, d double")
+    found, generated = [], []
+    for pools in (0, 1_000_000):
+        monkeypatch.setattr(bst, "POOLS_PER_CORE", pools)
+        got = bst.replicates(df, ["d"], 40, [6])
+        found.append(got.orderBy("replicate").toPandas().d.to_numpy())
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        generated.append(plan.index("Generate") < plan.index("Repartition"))
+    assert np.allclose(*found) and generated == [True, False]
+
+
+def test_the_gate_makes_the_intervals_it_reads_and_no_others(spark):
+    from rungwise.plans import evaluate as ev
+    from rungwise.workload import views
+
+    rng = np.random.default_rng(8)
+    losses = [f"{m}__{loss}" for m in ev.METHODS for loss in ("brier", "log")]
+    rows = [("holdout", h, f"e{i}", f"b{i % 4}", *map(float, rng.random(10))) for i in range(30) for h in (1800, 900)]
+    kinds = "split string, horizon_seconds bigint, event_id string, block string, " + ", ".join(f"{c} double" for c in losses)
+    held = spark.createDataFrame(rows, kinds)
+    whole = ev.comparison_intervals(held, views.PROTOCOL, 1_000).where("loss = 'brier' and horizon_seconds = 1800")
+    part = ev.comparison_intervals(held, views.PROTOCOL, 1_000, ("brier",), [1800])
+    text = lambda df: sorted((r.comparison, round(r.lower, 12), round(r.upper, 12)) for r in df.collect())
+    assert len(text(part)) == 4 and text(part) == text(whole)

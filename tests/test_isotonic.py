@@ -105,3 +105,16 @@ def test_two_columns_in_one_pass(spark):
     both = project_ladders(df, ["event"], "threshold", {"a": "fa", "b": "fb"}).toPandas()
     for _, group in both.sort_values("threshold").groupby("event"):
         assert np.allclose(group.fa, brute(group.a)) and np.allclose(group.fb, brute(group.b))
+
+
+def test_derived_columns_are_made_where_the_ladder_lies(spark):
+    """Columns that follow from a row alone do not move with it, and may be projected."""
+    rows = [(e, float(t), ((3 * e + 5 * t) % 7) / 10) for e in range(20) for t in range(6)]
+    df = spark.createDataFrame(rows, "e int, t double, p double")
+    derive = lambda moved: moved.withColumn("twin", F.col("p") * F.col("p"))
+    later = project_ladders(df, ["e"], "t", {"p": "a", "twin": "b"}, derive=derive)
+    before = project_ladders(derive(df), ["e"], "t", {"p": "a", "twin": "b"})
+    names = ["e", "t", "p", "twin", "a", "b"]
+    assert sorted(later.select(*names).collect()) == sorted(before.select(*names).collect())
+    plan = later._jdf.queryExecution().optimizedPlan().toString()
+    assert "twin" not in plan[plan.index("RepartitionByExpression") :]
